@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ngram_join
+from llm import chat, ngram_join, packing, pii, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,37 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_chats(rows))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op6_pii": op6_pii,
+    "op8_packing": op8_packing,
+    "op2_token_counts": op2_token_counts,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op7_quality_rules": op7_quality_rules,
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
 }
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -44,4 +74,41 @@ least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
 degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links
 FROM sets s JOIN least l ON l.x = s.doc_id LEFT JOIN degree d ON d.x = s.doc_id""",
+    "op3_chat_formatting": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+cut AS (
+  SELECT *, lag(role) OVER o IS NOT DISTINCT FROM role AS joined FROM turns
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+sized AS (
+  SELECT *, length(replace(replace(text, '\', '\b'), '<', '\l')) AS n,
+    CASE WHEN joined THEN 6 ELSE 15 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) END AS around FROM cut),
+told AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_text,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss_text,
+    sum(n + around) AS chars FROM sized GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(all_text) AS turns_sha256,
+  CAST(length(loss_text) AS BIGINT) AS loss_chars, sha256(loss_text) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM told""",
+    "op7_quality_rules": f"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL.format(text="coalesce(text, '')")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality.STOP_WORDS))}))) AS n_stop_words
+  FROM words LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({" OR ".join(f"{r.scale} * {r.measure} {r.op} {r.bound} * {r.base or 1}" for r in quality.METHOD_RULES)}) AS kept
+FROM judged""",
 }
