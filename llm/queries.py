@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import chat, ngram_join, packing, pii, quality, token_counts
+from llm import chat, decontaminate, ngram_join, packing, pii, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +44,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op9_warc": op9_warc,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op6_pii": op6_pii,
     "op8_packing": op8_packing,
     "op2_token_counts": op2_token_counts,
@@ -111,4 +123,11 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT ({" OR ".join(f"{r.scale} * {r.measure} {r.op} {r.bound} * {r.base or 1}" for r in quality.METHOD_RULES)}) AS kept
 FROM judged""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to
+FROM p LEFT JOIN g USING (d)""",
 }

@@ -49,9 +49,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes between words where only letters, digits and non-ASCII characters count.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[128:] = False
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def word_spans(raw: np.ndarray, cuts: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of every word; words never cross a byte in cuts."""
-    word = ~_IS_SPACE[raw]
+    word = ~gap[raw]
     start = word.copy()
     start[1:] &= ~word[:-1]
     end = word.copy()
@@ -110,23 +116,33 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def text_words(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+def text_words(texts: pa.Array, lower: bool = True, gap: np.ndarray = _IS_SPACE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word hashes) of every text of an array, in order."""
+    for i, words, _, _ in text_word_spans(texts, lower, gap):
+        yield i, words
+
+
+def text_word_spans(
+    texts: pa.Array, lower: bool = True, gap: np.ndarray = _IS_SPACE
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, word hashes, start bytes, end bytes) of every text of an array, in order."""
     raw, off = text_buffer(texts)
     for lo, hi in chunks(off):
         part = raw[off[lo] : off[hi]]
         cuts = off[lo : hi + 1] - off[lo]
         if not len(part):
+            none = np.zeros(0, dtype=np.int64)
             for i in range(lo, hi):
-                yield i, np.zeros(0, dtype=np.uint64)
+                yield i, none.astype(np.uint64), none, none
             continue
         if lower:
             part = _LOWER[part]
-        start, end = word_spans(part, cuts)
+        start, end = word_spans(part, cuts, gap)
         words = hash_words(part, start, end)
         at = np.searchsorted(start, cuts)
         for i in range(lo, hi):
-            yield i, words[at[i - lo] : at[i - lo + 1]]
+            a, b = at[i - lo], at[i - lo + 1]
+            yield i, words[a:b], start[a:b] - cuts[i - lo], end[a:b] - cuts[i - lo]
 
 
 def shingle_set(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
