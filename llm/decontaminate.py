@@ -157,6 +157,6 @@ def contaminated(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no benchmark item contaminates."""
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
+    """The rows of docs that no benchmark item contaminates; rows without an id stay."""
+    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")

@@ -225,7 +225,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their link component; ids are taken as distinct."""
-    groups_ = ngram_jaccard(docs, id_col, text_col)
-    gone = groups_.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
+    """The rows of docs whose id is the least of their link component.
+
+    Rows that share an id are one document and stay or go together; rows
+    without an id stay.
+    """
+    found = ngram_jaccard(docs, id_col, text_col)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")
