@@ -124,8 +124,13 @@ def judged(docs: DataFrame, text_col: str = "text", base: Sequence[Rule] = BASE_
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects."""
-    return judged(docs, text_col).where("kept").select("row.*")
+    """The rows of docs that no rule rejects.
+
+    The verdict is taken by a generator and not by a filter: a filter would be
+    pushed below the projections and build every array anew for each element.
+    """
+    verdict = F.explode(F.when(F.col("kept"), F.array("row")))
+    return judged(docs, text_col).select("row", "kept").select(verdict.alias("row")).select("row.*")
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
