@@ -21,6 +21,7 @@ stays null; repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import Tables
-from llm.units import Encoder, tokenizer_path
+from llm.units import tokenizer_path, worker_encoder
 
 WINDOW = 2048
 END_ID = 1
@@ -122,11 +123,16 @@ class _Tail:
         return self.ids[part.start - self.start : part.stop - self.start]
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as unsigned little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _pack(name: str, path: str | None, window: int, end_id: int):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or tokenizer_path(name), lambda ids: np.array(ids, dtype="<u4").tobytes())
+        encoder = worker_encoder(path or tokenizer_path(name), id_bytes)
         packer = Packer(window, TaskContext.get().partitionId() << 36)
 
         def flush() -> pa.RecordBatch:

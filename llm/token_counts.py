@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.units import Encoder, tokenizer_path
+from llm.units import tokenizer_path, worker_encoder
 
 TOKEN_LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
@@ -25,7 +25,7 @@ MODEL = "piece_bpe_32k.model"
 
 def _count(name: str, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or tokenizer_path(name), len)
+        encoder = worker_encoder(path or tokenizer_path(name), len)
         for batch in batches:
             counts = [sum(kept) for _, kept in encoder.texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

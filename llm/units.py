@@ -1,35 +1,39 @@
 """Cutting texts at safe boundaries and encoding the cut units with public tokenizers.
 
 A *unit* ends before a space that follows a character that is no white space
-(nor the model's own space mark).  Neither library joins text across such a
-point:
-
-* byte-level BPE splits text by a pattern before it merges, and every
-  alternative of that pattern that can hold a non-space character ends before a
-  following space, while its look-ahead only ever sees the unit's own text;
-* a sentencepiece BPE merges only into pieces of its vocabulary; a point
-  between another character and the space mark is safe when no piece has the
-  mark after another character.  That is checked against the vocabulary when
-  the model is loaded, and the model's normaliser must keep spaces as they are.
-
-So the ids of a text are the ids of its units, one after the other.  Units recur,
-which is why each worker keeps the ids of those it has met (bounded).  Where the
-check fails the whole text is the only unit.
+nor the model's own space mark.  A sentencepiece BPE merges only into pieces of
+its vocabulary, so such a point is safe when no piece has the mark after another
+character; that is checked against the vocabulary when the model is loaded, and
+the model's normaliser must keep spaces as they are.  So the ids of a text are
+the ids of its units, one after the other.  Units recur, which is why each
+Python worker keeps the ids of those it met lately, over the tasks that it
+serves, in two generations of bounded size.  Where the check fails the whole
+text is the only unit.
+
+Byte-level BPE splits text into words itself and is fast enough on whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CALL_BYTES = 1 << 18
-CACHE_UNITS = 400_000
+#: Units of a generation; a worker holds two.
+CACHE_UNITS = 250_000
 CHUNK_BYTES = 1 << 20
 MARK = "▁"
+LONG_WORD = 10_000
+#: How byte-level BPE files split text into words (a public fixed pattern).
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PROBES = ("", "a bc.,!", " don't we'll  I'M 12 3,4  \n\n x\t\r\n", "Über ça señor ßẞ ǅ \u00a0\u3000 漢字 かな 😀👍🏽 \u0301e\u0301 ١٢ Ⅷ²", "x" * 300 + "  ")
 _ODD = re.compile(r"\s |▁ ")
 _CUT = re.compile(r"(?<=[^\s▁]) ")
 
@@ -66,28 +70,60 @@ class SentencePieceUnits:
         return ids
 
 
-class TokenizersUnits:
-    """Ids of units by the tokenizers library (byte-level BPE files)."""
+class TokenizersTexts:
+    """Ids of texts as the tokenizers library gives them for a .json file.
+
+    For byte-level BPE files the ids of plain texts come from tiktoken, with the
+    vocabulary read from the same file: it applies the same merges several times
+    faster.  Texts with a special string, texts with a very long word, and files
+    of another kind or for which a probe differs go to the tokenizers library.
+    """
+
+    safe = False
 
     def __init__(self, path: str):
+        # the library's own thread pool would take the cores of other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.safe = "ByteLevel" in str(self.model.pre_tokenizer)
-
-    def encode(self, units: list[str], first: bool) -> list[list[int]]:
-        found = self.model.encode_batch_fast(units if first else [" " + u for u in units], add_special_tokens=False)
-        return [e.ids for e in found]
-
-
-def load(path: str) -> SentencePieceUnits | TokenizersUnits:
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.plain = self._same_merges(path)
+        if self.plain and any(self.plain.encode_ordinary(x) != self._whole(x) for x in PROBES):
+            self.plain = None
+
+    def _same_merges(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        kinds = file.get("pre_tokenizer") or {}
+        if file.get("normalizer") or kinds.get("type") != "ByteLevel" or kinds.get("add_prefix_space"):
+            return None
+        import tiktoken
+
+        # bytes that print as themselves, then the others from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
+        return tiktoken.Encoding("texts", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def _whole(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def encode_text(self, text: str) -> list[int]:
+        if self.plain is None or any(s in text for s in self.special) or len(text) > LONG_WORD and max(map(len, text.split()), default=0) > LONG_WORD:
+            return self._whole(text)
+        return self.plain.encode_ordinary(text)
+
+
+def load(path: str) -> SentencePieceUnits | TokenizersTexts:
     """The library for a file: sentencepiece for .model, tokenizers for .json."""
     if path.endswith(".model"):
         return SentencePieceUnits(path)
     if path.endswith(".json"):
-        return TokenizersUnits(path)
+        return TokenizersTexts(path)
     raise ValueError("a .model or .json vocabulary file is needed")
 
 
@@ -97,24 +133,35 @@ class Encoder:
     def __init__(self, path: str, keep: Callable[[list[int]], object]):
         self.units = load(path)
         self.keep = keep
-        self.known: tuple[dict, dict] = ({}, {})
-
-    def _learn(self, wanted: set[str], first: bool) -> None:
-        """Encodes unknown units in calls of about equal bytes."""
-        known = self.known[first]
-        call: list[str] = []
-        size = 0
-        for u in wanted:
-            call.append(u)
-            size += len(u) + 1
-            if size >= CALL_BYTES:
-                known.update(zip(call, map(self.keep, self.units.encode(call, first)), strict=True))
-                call, size = [], 0
-        if call:
+        # units that open a text, and all others: known lately, known before that
+        self.known: list[dict] = [{}, {}]
+        self.past: list[dict] = [{}, {}]
+
+    def _learn(self, wanted: set[str], first: bool) -> dict:
+        """Makes all wanted units known, encoding new ones in calls of about equal bytes."""
+        if len(self.known[first]) > CACHE_UNITS:
+            self.past[first], self.known[first] = self.known[first], {}
+        known, past = self.known[first], self.past[first]
+        wanted = wanted - known.keys()
+        again = wanted & past.keys()
+        known.update((u, past[u]) for u in again)
+        new = list(wanted - again)
+        sizes = np.cumsum(np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 1)
+        lo = 0
+        while lo < len(new):
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CALL_BYTES)))
+            call = new[lo:hi]
             known.update(zip(call, map(self.keep, self.units.encode(call, first)), strict=True))
+            lo = hi
+        return known
 
     def texts(self, column: pa.Array) -> Iterator[tuple[str, list]]:
         """(text, what is kept of each unit in order) for every row; null is empty."""
+        if isinstance(self.units, TokenizersTexts):
+            for x in column:
+                text = x.as_py() or ""
+                yield text, [self.keep(self.units.encode_text(text))]
+            return
         lo = 0
         sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
         while lo < len(column):
@@ -124,17 +171,19 @@ class Encoder:
             lo = hi
 
     def _chunk(self, texts: list[str]) -> Iterator[tuple[str, list]]:
-        for known in self.known:
-            if len(known) > CACHE_UNITS:
-                known.clear()
-        rest, first = self.known
         parts = [cut(t) if self.units.safe else [t] for t in texts]
-        self._learn({p[0] for p in parts} - first.keys(), True)
+        opening = self._learn({p[0] for p in parts}, True)
         wanted: set[str] = set()
         for p in parts:
-            wanted.update(p[1:])
-        self._learn(wanted - rest.keys(), False)
+            wanted.update(p)
+        rest = self._learn(wanted, False)
         for t, p in zip(texts, parts, strict=True):
-            out = [first[p[0]]]
-            out.extend(map(rest.__getitem__, p[1:]))
+            out = list(map(rest.__getitem__, p))
+            out[0] = opening[p[0]]
             yield t, out
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, keep: Callable[[list[int]], object]) -> Encoder:
+    """The encoder of this Python worker, kept from task to task."""
+    return Encoder(path, keep)
