@@ -1,8 +1,8 @@
 """License scans by patience alignment.
 
 Texts and templates are word sequences (letters and digits, lower case).  Runs
-of ``SEED_WORDS`` words that a text shares with a template mark the windows of the
-text that are worth aligning; a window reaches a template's length to either
+of ``SEED_WORDS`` words (two for templates of under ``SHORT`` words) that a text
+shares with a template mark the windows of the text that are worth aligning; a window reaches a template's length to either
 side of its seeds.  In a window the alignment anchors on the words that occur
 once in both window and template, takes the longest increasing subsequence of
 these anchors, and does the same in each gap between them; a gap without such
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from llm.shingles import PUNCTUATION, combine, text_word_spans, text_words
 
 SEED_WORDS = 3
+SHORT = 10
 PERCENT = 80
 SCHEMA = "doc_id long, license string, start long, end long, n_aligned long, n_template_words long"
 
@@ -116,32 +117,34 @@ class Scanner:
         self.words = [w for _, w in text_words(pa.array(list(templates.values()), pa.large_string()), gap=PUNCTUATION)]
         if any(len(w) < SEED_WORDS for w in self.words):
             raise ValueError(f"a template needs at least {SEED_WORDS} words")
-        grams = [np.unique(combine(w, SEED_WORDS)) for w in self.words]
-        h = np.concatenate(grams)
-        order = np.argsort(h, kind="stable")
-        self.h, self.owner = h[order], np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.seen = np.zeros(1 << 16, dtype=bool)
-        self.seen[(h & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.seeds = []
+        for k in (SEED_WORDS - 1, SEED_WORDS):
+            owners = [t for t, w in enumerate(self.words) if (len(w) < SHORT) == (k < SEED_WORDS)]
+            grams = [np.unique(combine(self.words[t], k)) for t in owners]
+            h = np.concatenate([*grams, np.zeros(0, np.uint64)])
+            order = np.argsort(h, kind="stable")
+            owner = np.repeat(np.array(owners, dtype=np.int64), [len(g) for g in grams])[order]
+            seen = np.zeros(1 << 16, dtype=bool)
+            seen[(h & np.uint64(0xFFFF)).astype(np.int64)] = True
+            self.seeds.append((k, h[order], owner, seen))
 
     def find(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(template, first word, end word, words aligned) of each finding."""
-        if len(words) < SEED_WORDS:
-            return []
-        g = combine(words, SEED_WORDS)
-        at = np.flatnonzero(self.seen[(g & np.uint64(0xFFFF)).astype(np.int64)])
-        lo = np.searchsorted(self.h, g[at], side="left")
-        hi = np.searchsorted(self.h, g[at], side="right")
-        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-        if not len(at):
-            return []
-        pos = np.repeat(at, hi - lo)
-        owner = np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)])
         out = []
-        for t in np.unique(owner).tolist():
-            n = len(self.words[t])
-            p = pos[owner == t]
-            for group in np.split(p, np.flatnonzero(np.diff(p) > n) + 1):
-                out += self._windows(words, t, n, group)
+        for k, h, owners, seen in self.seeds:
+            if len(words) < k:
+                continue
+            g = combine(words, k)
+            at = np.flatnonzero(seen[(g & np.uint64(0xFFFF)).astype(np.int64)])
+            lo = np.searchsorted(h, g[at], side="left")
+            hi = np.searchsorted(h, g[at], side="right")
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            if not len(at):
+                continue
+            pos = np.repeat(at, hi - lo)
+            owner = np.concatenate([owners[a:b] for a, b in zip(lo, hi, strict=True)])
+            for t in np.unique(owner).tolist():
+                out += self._windows(words, t, len(self.words[t]), pos[owner == t])
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     def _windows(self, words: np.ndarray, t: int, n: int, seeds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -151,6 +154,8 @@ class Scanner:
             if s < done:
                 continue
             a, b = max(done, s - n), min(len(words), s + n + SEED_WORDS)
+            if not len(template) * self.percent <= 100 * (b - a):
+                continue
             pairs = align(words[a:b].tolist(), template)
             if pairs and 100 * len(pairs) >= self.percent * n:
                 done = a + pairs[-1][0] + 1
