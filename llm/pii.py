@@ -77,6 +77,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(part: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or "0") < 256
+
+
 def _iban(value: str) -> bool:
     value = re.sub(r"[\s-]", "", value)
     if not _IBAN.fullmatch(value):
@@ -101,7 +107,7 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
                 continue
             if at >= past["ip"] and (m := _IP.match(text, at)):
                 past["ip"] = m.end()
-                if all(len(p) < 4 and int(p) < 256 if len(p) < 4 else int(p) < 256 for p in m[0].split(".")):
+                if all(map(_byte, m[0].split("."))):
                     spans.append((at, "ip", m.end()))
             if at >= past["card"] and (m := _CARD.match(text, at)):
                 past["card"] = m.end()
