@@ -146,7 +146,7 @@ def rule_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH tails AS (SELECT source_record_id, string_split(substr(normalized, instr(normalized, ' by ') + 4), ' ') AS w, instr(normalized, ' by ') + 3 AS base FROM chem),
 heads AS (SELECT t.*, len(w) - i - n AS before_, i, n FROM tails t, (SELECT unnest([0, 1]) AS i) h, (SELECT unnest([2, 3, 4]) AS n) k)
 SELECT source_record_id, CAST(base + CASE WHEN before_ > 0 THEN length(array_to_string(w[1:before_], ' ')) + 1 ELSE 0 END AS INT) AS start,
-  array_to_string(w[before_ + 1:len(w) - i], ' ') AS text, 'MATERIAL_PHRASE' AS raw_label, round(least(0.88, 0.64 + 0.05 * n), 6) AS confidence
+  array_to_string(w[before_ + 1:len(w) - i], ' ') AS text, 'MATERIAL_PHRASE' AS raw_label, CAST(round(least(0.88, 0.64 + 0.05 * n), 6) AS DOUBLE) AS confidence
 FROM heads WHERE before_ >= 0""")
 def technical_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested phrases that end in head words."""
@@ -235,7 +235,7 @@ _ABOVE = "CASE k WHEN 'COMPOUND' THEN ['CHEMICAL_ENTITY'] WHEN 'HYDRATE' THEN ['
   SELECT source_record_id, start, "end", text, count(*) AS n, max(confidence) AS c, list(DISTINCT kind) AS ks, bool_or(needs_review) AS r, min(struct_pack(seq, kind, confidence, extractor)) AS f
   FROM spans GROUP BY ALL),
 k AS (SELECT *, list_sort(list_filter(ks, lambda x: NOT list_contains(flatten(list_transform(ks, lambda k: {_ABOVE})), x))) AS kinds FROM g)
-SELECT source_record_id, start, "end", array_to_string(CASE WHEN n = 1 THEN ks ELSE kinds END, ',') AS types, round(CASE WHEN n = 1 THEN c ELSE least(0.99, c + 0.03 * (n - 1)) END, 6) AS confidence,
+SELECT source_record_id, start, "end", array_to_string(CASE WHEN n = 1 THEN ks ELSE kinds END, ',') AS types, CAST(round(CASE WHEN n = 1 THEN c ELSE least(0.99, c + 0.03 * (n - 1)) END, 6) AS DOUBLE) AS confidence,
   CASE WHEN n = 1 THEN f.extractor ELSE 'exact_span_reconciler' END AS extractor,
   CASE WHEN n = 1 THEN r ELSE r OR (list_contains(kinds, 'MATERIAL') AND len(kinds) > 1) END AS needs_review FROM k""")
 def reconcile_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +374,7 @@ every AS (SELECT proposal_id, concept_id FROM x UNION SELECT proposal_id, concep
 scored AS (SELECT e.proposal_id, e.concept_id, CASE s WHEN 3 THEN 2.0 WHEN 2 THEN 1.5 WHEN 1 THEN 0.35 ELSE 0 END + CASE WHEN x.concept_id IS NULL THEN 0 ELSE 1.25 END + 0.65 * coalesce(trigram, 0) AS score
   FROM every e LEFT JOIN x USING (proposal_id, concept_id) LEFT JOIN i USING (proposal_id, concept_id) LEFT JOIN f USING (proposal_id, concept_id)),
 t AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY round(score, 9) DESC, CAST(concept_id AS VARCHAR)) AS r FROM scored)
-SELECT proposal_id, concept_id, CAST(r AS INT) AS rank, round(score, 6) AS ranking_score FROM t WHERE r <= 8""")
+SELECT proposal_id, concept_id, CAST(r AS INT) AS rank, CAST(round(score, 6) AS DOUBLE) AS ranking_score FROM t WHERE r <= 8""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best concepts of each proposal by exact, identifier and trigram signals."""
     ranked = resolve.hybrid_topk(_asked(spark, sf_dir), derived(spark, sf_dir, "terms"), derived(spark, sf_dir, "identifiers"), derived(spark, sf_dir, "namespaces"))
