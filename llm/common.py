@@ -50,6 +50,13 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 500_000) -> DataFra
     return df.hint("broadcast") if rows <= most else df
 
 
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, tables: Tables) -> DataFrame:
+    """docs less the rows whose id is in gone (one column, ids not null); rows without an id stay."""
+    ids = tables.write(gone.distinct().toDF("gone_id"))
+    ids = broadcast_if_small(ids, ids.count(), 1_000_000)
+    return docs.join(ids, docs[id_col] == ids.gone_id, "left_anti")
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys, as tables; the rows must be sorted by the keys.
 

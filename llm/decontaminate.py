@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import Tables, without_ids
 from llm.shingles import PUNCTUATION, combine, text_words
 
 SEED_WORDS = 5
@@ -158,5 +159,5 @@ def contaminated(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no benchmark item contaminates; rows without an id stay."""
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")
+    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).where("doc_id is not null").select("doc_id")
+    return without_ids(docs, id_col, gone, Tables(docs.sparkSession, "tiling"))

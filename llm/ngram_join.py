@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import Tables, broadcast_if_small, groups
+from llm.common import Tables, broadcast_if_small, groups, without_ids
 from llm.components import connected_components
 from llm.shingles import distinct, shingle_set, text_words
 
@@ -230,6 +230,5 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that share an id are one document and stay or go together; rows
     without an id stay.
     """
-    found = ngram_jaccard(docs, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")
+    gone = ngram_jaccard(docs, id_col, text_col).where("component_id <> doc_id").select("doc_id")
+    return without_ids(docs, id_col, gone, Tables(docs.sparkSession, "ngram"))
