@@ -262,6 +262,33 @@ def test_license_scan(spark):
     assert licenses.license_spans(docs_of(spark, ["x"]).where("false")).count() == 0
 
 
+def test_license_siblings_are_told_apart(spark):
+    cc, gnu = "This work is licensed under a Creative Commons Attribution", "This work is licensed under the GNU"
+    cases = {
+        "Released under the BSD License.": ["bsd"],
+        "Released under the BSD 3-Clause License.": ["bsd-3-clause"],
+        "Released under the ISC License.": ["isc"],
+        "Released under the Acme License.": [],
+        "Licensed under CC BY 4.0.": ["cc-by-4.0"],
+        "Licensed under CC BY-SA 4.0.": ["cc-by-sa-4.0"],
+        "Licensed under CC BY-NC 4.0.": ["cc-by-nc-4.0"],
+        "Licensed under CC BY-NC-SA 4.0.": ["cc-by-nc-sa-4.0"],
+        f"{cc}-NonCommercial-ShareAlike 4.0 International License.": ["cc-by-nc-sa-4.0"],
+        f"{cc} 3.0 Unported License.": ["cc-by-3.0"],
+        f"{gnu} General Public License, version 2.": ["gpl-2.0"],
+        f"{gnu} General Public License, version 3.": ["gpl-3.0"],
+        f"{gnu} General Public License.": ["gpl"],
+        f"{gnu} Lesser General Public License, version 2.1.": ["lgpl-2.1"],
+        f"{gnu} Affero General Public License, version 3.": ["agpl-3.0"],
+        "Licensed under the Eclipse Public License 2.0.": ["epl-2.0"],
+        "Licensed under the MIT License and the Apache License, Version 2.0.": ["apache-2.0", "mit"],
+        licenses.TEMPLATES["apache-2.0-header"]: ["apache-2.0-header"],
+    }
+    cases |= {licenses.TEMPLATES[n]: [n] for n in licenses.TEMPLATES if n.endswith("-text")}
+    got = licenses.license_spans(docs_of(spark, list(cases))).collect()
+    assert [sorted(r.license for r in got if r.doc_id == i) for i in range(len(cases))] == list(cases.values())
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
