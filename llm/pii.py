@@ -13,10 +13,14 @@ ip        first digit of a run                   four dotted parts, each at most
 card      first digit of a run                   14 to 19 digits, single spaces or hyphens between, Luhn
 phone     ``+``                                  10 to 15 digits
 url       ``://`` after a scheme                 to the next white space, quote or bracket, if it has user info
-account   cue (iban, account, token, ...)        the identifier after the cue; IBANs by remainder 97
+account   cue (iban, account, token, ...)        the identifier after the cue, to its closing quote or last character, of any
+                                                 length; IBANs by remainder 97; without a separator only IBANs, numbers of five
+                                                 digits or more, and secrets of 16 characters or more with letters and digits
 ssn       cue (ssn, social security)             three, two and four digits
 ========  =====================================  ===============================
 
+Cues are found in any case, also after an underscore or inside a camel-case name.
+
 The first four are the base kinds; their spans are those of leftmost
 non-overlapping matches of the kind's pattern, kept or dropped whole.  The
 others are added by the method and never change base spans.
@@ -40,8 +44,8 @@ from pyspark.sql import functions as F
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "ssn")
 CUES = {
-    "account": ("iban", "account", "acct", "token", "password", "passport", "api_key", "apikey", "secret"),
-    "ssn": ("ssn", "social security"),
+    "account": ("iban", "account", "acct", "token", "password", "passport", "api_key", "apikey", "api key", "api-key", "secret"),
+    "ssn": ("ssn", "social security", "social-security"),
 }
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,9 +53,16 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s\"'<>(){}\[\]]+")
-_VALUE = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id))?\s*[:=#]\s*[\"']?([A-Za-z0-9](?:[A-Za-z0-9_.-]|\x20(?=[A-Z0-9]{2,4}\b)){4,63})", re.I)
-_SSN = re.compile(r"(?:\s*(?:number|no\.?))?\s*[:=#]?\s*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I)
+_AFTER = re.compile(r"[\"']?(\s*(?:number|num|no|nr|id)\b\.?)?[\"']?\s*([:=#]+>?|is\b)?\s*", re.I)
+_QUOTED = re.compile(r"([\"'`])((?:(?!\1)\S){5,})\1")
+_RUN = re.compile(r"[\"'`]?([A-Za-z0-9!@$%^*_~+/](?:[A-Za-z0-9!@#$%^*_~+/:?.=\\-]|\x20(?=[A-Z0-9]{2,4}\b)|(?<=[0-9])\x20(?=[0-9]{2,}\b))*)")
+_NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){4,}(?![A-Za-z0-9_])")
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])")
+_SECRET = re.compile(r"(?=[^0-9\s]*[0-9])(?=[^A-Za-z\s]*[A-Za-z])[A-Za-z0-9](?:[A-Za-z0-9_.~+/=-]{14,})[A-Za-z0-9_+/=]")
+_NUMBERED = re.compile(r"(?=[A-Za-z-]*[0-9])[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])")
+_SSN = re.compile(r"[\"']?(?:\s*(?:number|num|no)\b\.?)?[\"']?\s*(?:[:=#]+|is\b)?\s*[\"']?([0-9]{3}[\x20-]?[0-9]{2}[\x20-]?[0-9]{4})(?![0-9-])", re.I)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}")
+_IBAN_TEXT = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){10,30}|[a-z]{2}[0-9]{2}[a-z0-9]{10,30}")
 
 
 @lru_cache(maxsize=1)
@@ -63,8 +74,7 @@ def _automaton():
         found.add_word(mark, (mark, len(mark)))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -90,6 +100,50 @@ def _iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _lower(text: str) -> str:
+    """The text in lower case with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def _iban_end(text: str, at: int) -> int:
+    """Where the longest valid IBAN that starts at a place ends, or 0."""
+    m = _IBAN_TEXT.match(text, at)
+    if m:
+        for end in range(m.end(), at + 13, -1):
+            if text[end - 1].isalnum() and not text[end : end + 1].isalnum() and _iban(text[at:end].upper()):
+                return end
+    return 0
+
+
+def _account(text: str, at: int) -> tuple[int, int, int]:
+    """(start, end, place up to which no other cue need be tried) of the identifier after a cue that ends at a place; start and end are 0 without one."""
+    m = _AFTER.match(text, at)
+    start = m.end()
+    told, separated = m[1] is not None, m[2] is not None
+    if not separated and (start == at or not text[start - 1].isspace()):
+        return 0, 0, 0
+    first = start + (text[start : start + 1] in ("'", '"', "`"))
+    if end := _iban_end(text, first):
+        return first, end, end
+    if separated:
+        if v := _QUOTED.match(text, start) or _RUN.match(text, start):
+            lo, value = v.start(v.lastindex), v[v.lastindex]
+            if v.re is _RUN:
+                value = value.rstrip(".-:!?")
+            if "://" not in value and len(value) > 4 and any("0" <= c <= "9" for c in value):
+                return lo, lo + len(value), lo + len(value)
+            return 0, 0, v.end() if not any("0" <= c <= "9" for c in value) else 0
+        return 0, 0, 0
+    v = _SECRET.match(text, first) or not _DATE.match(text, first) and _NUMBER.match(text, first) or told and _NUMBERED.match(text, first)
+    return (first, v.end(), v.end()) if v and len(v[0]) > 4 else (0, 0, 0)
+
+
+def _begins(text: str, at: int) -> bool:
+    """Whether a cue at a place begins a word: not after a letter or digit, but for the hump of a camel-case name."""
+    return not at or not text[at - 1].isalnum() or text[at].isupper() and text[at - 1].islower()
+
+
 def _digits(value: str) -> str:
     return "".join(c for c in value if "0" <= c <= "9")
 
@@ -99,7 +153,7 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
     spans: list[tuple[int, str, int]] = []
     past = dict.fromkeys(KINDS, 0)
     last_digit = -2
-    for at, (what, size) in _automaton().iter(text):
+    for at, (what, size) in _automaton().iter(_lower(text)):
         if "0" <= what <= "9":
             run = at != last_digit + 1
             last_digit = at
@@ -135,13 +189,16 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
                 past["url"] = m.end()
                 spans.append((lo, "url", m.end()))
         elif at + 1 >= past[what]:
-            lo = at - size + 1
-            if lo and (text[lo - 1].isalnum() or text[lo - 1] == "_"):
+            if not _begins(text, at - size + 1):
                 continue
-            m = (_SSN if what == "ssn" else _VALUE).match(text, at + 1)
-            if m and (what == "ssn" or _iban(m[1]) or not m[1].isalpha() and any(c.isdigit() for c in m[1])):
-                past[what] = m.end(1)
-                spans.append((m.start(1), what, m.end(1)))
+            if what == "ssn":
+                m = _SSN.match(text, at + 1)
+                lo, hi, tried = (m.start(1), m.end(1), m.end(1)) if m else (0, 0, 0)
+            else:
+                lo, hi, tried = _account(text, at + 1)
+            past[what] = max(past[what], tried)
+            if hi:
+                spans.append((lo, what, hi))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
     return spans
 

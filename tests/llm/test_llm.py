@@ -331,6 +331,32 @@ def test_pii(spark):
     assert masked[0] is None and masked[3].startswith("<card> é <phone>")
 
 
+def test_identifiers_after_cues(spark):
+    long = "eyJhbGciOiJIUzI1NiJ9." + "aB3_-x" * 40 + ".sig0"
+    cases = {
+        f"token: {long} rest": "token: <account> rest",
+        f'{{"apiKey": "{long}"}}': '{"apiKey": "<account>"}',
+        "IBAN DE89 3704 0044 0532 0130 00 in town": "IBAN <account> in town",
+        "iban: de89370400440532013000.": "iban: <account>.",
+        "IBAN DE88 3704 0044 0532 0130 00": None,
+        "passport number 12345678 was": "passport number <account> was",
+        "account 123456, and": "account <account>, and",
+        "account 2024-05-06 opened, accounting 123456": None,
+        "Social Security number 123-45-6789.": "Social Security number <ssn>.",
+        "SOCIAL Security: 123-45-6789": "SOCIAL Security: <ssn>",
+        "ApiKey = a1b2c3d4 of me": "ApiKey = <account> of me",
+        "apiKey = a1b2c3d4": "apiKey = <account>",
+        "API_Key: a1b2c3d4": "API_Key: <account>",
+        "İ é API_Key: a1b2c3d4": "İ é API_Key: <account>",
+        "token = a1b2c3d4 is the one": "token = <account> is the one",
+        "token=" * 30000: None,
+        "password: hunter2!x9, then": "password: <account>, then",
+        'secret: "a1<b2\'c3>" x': 'secret: "<account>" x',
+    }
+    got = {r.doc_id: r.text for r in pii.redact(docs_of(spark, list(cases))).collect()}
+    assert [got[i] for i in range(len(cases))] == [want or text for text, want in cases.items()]
+
+
 def test_packing(spark, odd_texts):
     from tokenizers import Tokenizer
 
