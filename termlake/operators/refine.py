@@ -18,7 +18,14 @@ def ground(text: Column, copied: Column, start: Column, end: Column) -> Column:
     """struct<start, end>: the hint where it is right, else the occurrence nearest to it (the first without
     a hint); null where the copied text is absent."""
     right = (start >= 0) & (start < end) & (end <= F.length(text)) & (F.substr(text, start + 1, end - start) == copied)
-    near = F.array_min(F.transform(occurrences(text, copied), lambda i: F.struct(F.abs(i - F.coalesce(start, F.lit(0))).alias("d"), i.alias("i"))))["i"]
+    hint = F.coalesce(start, F.lit(0))
+    size = F.length(copied)
+    head = F.substr(text, F.lit(1), F.greatest(hint, F.lit(-1)) + size)  # up to the end of an occurrence at the hint
+    back = F.call_function("locate", F.reverse(copied), F.reverse(head))
+    before = F.when(back > 0, F.length(head) - back + 1 - size)
+    ahead = F.call_function("locate", copied, text, F.greatest(hint, F.lit(0)) + 1)
+    after = F.when(ahead > 0, ahead - 1)
+    near = F.when(size > 0, F.when(after.isNull() | (hint - before <= after - hint), before).otherwise(after))
     first = F.instr(text, copied) - 1
     at = F.when(start.isNull(), F.nullif(first, F.lit(-1))).otherwise(near)
     return F.when(F.coalesce(right, F.lit(False)), F.struct(start.alias("start"), end.alias("end"))).when(

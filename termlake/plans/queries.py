@@ -21,6 +21,8 @@ from termlake.sources import csv_units
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Queries over every document, for which no SQL is given; the tests hold them against plain versions.
+WHOLE: dict[str, Query] = {}
 
 # Derived inputs, by name; an input may use others.
 INPUTS = {
@@ -97,6 +99,11 @@ def query(sql: str | None):
     return add
 
 
+def whole(function: Query) -> Query:
+    WHOLE[function.__name__] = function
+    return function
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -292,6 +299,13 @@ def ground_exact_span_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "copied", refine.ground(F.col("text"), F.col("copied"), F.lit(20), F.lit(20))["start"].alias("start"))
 
 
+@whole
+def ground_exact_span_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copied text found nearest to a wrong hint, for every document; no start for texts too short to copy from, and for null."""
+    t = _table(spark, sf_dir, "documents").withColumn("copied", F.substring("text", 11, 4))
+    return t.select("doc_id", "copied", refine.ground(F.col("text"), F.col("copied"), F.lit(20), F.lit(20))["start"].alias("start"))
+
+
 @query("""SELECT e.source_record_id, e.text_unit_index AS source_unit, t.language AS target_language, t.text_unit_index AS target_unit
 FROM units e JOIN units t USING (source_record_id, unit_type, locator) WHERE e.language = 'en' AND t.language IN ('de', 'fr')""")
 def parallel_units(spark: SparkSession, sf_dir: str) -> DataFrame:
