@@ -185,6 +185,12 @@ def source_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", tx.normalize_source(F.col("text"))["normalized"].alias("normalized"))
 
 
+@whole
+def source_normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised text of every document; null for null."""
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.normalize_source(F.col("text"))["normalized"].alias("normalized"))
+
+
 @query("SELECT p_partkey, lower(p_name) AS general, p_name AS chemical, replace(p_name, ' ', '') AS formula FROM part")
 def term_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of part names under three profiles."""

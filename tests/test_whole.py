@@ -2,6 +2,7 @@ import random
 
 import pyspark.sql.functions as F
 
+from termlake.functions import text as tx
 from termlake.operators import refine
 from termlake.plans import queries
 
@@ -36,3 +37,10 @@ def test_grounding_with_any_hint(spark):
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, text string, copied string, hint int")
     got = {r.i: r.at for r in rows.select("i", refine.ground(F.col("text"), F.col("copied"), F.col("hint"), F.col("hint"))["start"].alias("at")).collect()}
     assert [got[i] for i in range(len(cases))] == [nearest(*c) for c in cases]
+
+
+def test_normalisation_of_every_document(spark, tmp_path):
+    texts = [None, "", "a &amp; b &#233;", "é café", " x\n\ty ", "AT&T &nosuch; &lt;b&gt;", "plain"]
+    got = {r.doc_id: r.normalized for r in queries.WHOLE["source_normalize_all"](spark, documents(spark, tmp_path, texts)).collect()}
+    assert got == {i: None if t is None else tx.normalize(t)[0] for i, t in enumerate(texts)}
+    assert (got[2], got[3], got[4]) == ("a & b é", "é café", "x y")
