@@ -25,7 +25,10 @@ exactly:
    from Spark's shuffle files and are read in sequence.  An anchor with more
    than ``MOST`` different contexts is split by a longer common core: of each
    context, windows are dealt by where they start, ``STEP`` starts at a time,
-   to the bucket of the bytes that all of these windows contain.
+   to the bucket of the bytes that all of these windows contain.  These buckets
+   are counted first; one of more than ``MOST`` rows is never held by a task:
+   its windows are compared by digest (16 bytes, by bucket and place) in a
+   counted aggregation.
 
 Documents are never joined into one string, so matches never cross them.
 
@@ -52,8 +55,8 @@ LENGTH = 400
 GRAM = 24
 SEGMENT = 1 << 19
 MOST = 20_000
-#: Window starts dealt to one core when an anchor has more than MOST (or MOST squared) contexts.
-STEP, LAST_STEP = 50, 1
+#: Window starts dealt to one core when an anchor has more than MOST contexts.
+STEP = 50
 BUCKET_ROWS = 8_000
 BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 4_000_000
 
@@ -129,7 +132,7 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _contexts(length: int, gram: int, step: int, last_step: int, most: int):
+def _contexts(length: int, gram: int, step: int, most: int):
     """(bucket, rid, base, pin, bytes) for the wanted anchors of each document."""
     before = _before(length, gram)
 
@@ -140,6 +143,7 @@ def _contexts(length: int, gram: int, step: int, last_step: int, most: int):
             size = 0
             for i, (rid, wanted) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
                 text = raw[off[i] : off[i + 1]].tobytes()
+                dealt: set[tuple[bytes, int, int]] = set()
                 for x in wanted:
                     p, h, kinds = x["at"], x["h"].to_bytes(8, "little", signed=True), x["kinds"]
                     lo, hi = max(0, p - before), min(len(text), p + length)
@@ -147,12 +151,14 @@ def _contexts(length: int, gram: int, step: int, last_step: int, most: int):
                         rows.append((h, rid, lo, p - lo, text[lo:hi]))
                         size += hi - lo
                     else:
-                        g = step if kinds <= most * most else last_step
-                        for c in range(p, p - before - 1, -g):
-                            if c >= 0 and c + length - g <= hi:
-                                a, b = max(lo, c - g + 1), min(hi, c + length)
+                        for c in range(p, p - before - 1, -step):
+                            if c >= 0 and c + length - step <= hi:
+                                a, b = max(lo, c - step + 1), min(hi, c + length)
                                 if b - a >= length:
-                                    core = hashlib.blake2b(text[c : c + length - g], digest_size=12, salt=h).digest()
+                                    core = hashlib.blake2b(text[c : c + length - step], digest_size=12, salt=h).digest()
+                                    if (core, c, a) in dealt:
+                                        continue
+                                    dealt.add((core, c, a))
                                     rows.append((core, rid, a, c - a, text[a:b]))
                                     size += b - a
                     if size > 4 << 20:
@@ -169,6 +175,26 @@ def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "rid", "base", "pin", "bytes"])
 
 
+def _windows(length: int):
+    """(f1, f2, rid, a): digest of every window of contexts, by bucket and place in it, and where the window stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                digests, rids, ats = [], [], []
+                for bucket, rid, base, pin, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "rid", "base", "pin", "bytes")), strict=True):
+                    for k in range(len(text) - length + 1):
+                        salt = bucket + (pin - k).to_bytes(4, "little", signed=True)
+                        digests.append(hashlib.blake2b(text[k : k + length], digest_size=16, salt=salt).digest())
+                        rids.append(rid)
+                        ats.append(base + k)
+                f = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(rids, pa.int64()), pa.array(ats, pa.int64())], ["f1", "f2", "rid", "a"])
+
+    return run
+
+
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Minimum of values[lo..hi], both ends included, from a table of power-of-two ranges."""
     level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
@@ -296,9 +322,22 @@ def repeated_spans(docs: DataFrame, tables: Tables, length: int = LENGTH, gram:
     kinds = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = classes.join(kinds, "h").groupBy("first.rid").agg(F.collect_list(F.struct("first.at", "h", "kinds")).alias("wanted"))
     wanted = tables.write(wanted.join(names, "rid"))
-    contexts = _with_lists(docs, _fit(wanted, "wanted"), "inner").mapInArrow(
-        _contexts(length, gram, STEP, LAST_STEP, most), "bucket binary, rid long, base long, pin int, bytes binary"
-    )
+
+    def contexts_of(rows: DataFrame) -> DataFrame:
+        return _with_lists(docs, _fit(rows, "wanted"), "inner").mapInArrow(_contexts(length, gram, STEP, most), "bucket binary, rid long, base long, pin int, bytes binary")
+
+    contexts = contexts_of(wanted)
+    hot = wanted.withColumn("wanted", F.filter("wanted", lambda x: x["kinds"] > most)).where("size(wanted) > 0")
+    if not hot.isEmpty():
+        large = tables.write(contexts_of(hot).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket"))
+        if n := large.count():
+            large = large.hint("broadcast") if n <= BROADCAST_ROWS else large
+            windows = contexts_of(hot).join(large, "bucket", "left_semi").mapInArrow(_windows(length), "f1 long, f2 long, rid long, a long")
+            again = tables.write(windows.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2"))
+            again = again.hint("broadcast") if again.count() <= BROADCAST_ROWS else again
+            equal = windows.join(again, ["f1", "f2"], "left_semi").select("rid", "a", (F.col("a") + length).alias("b"))
+            whole = whole.unionByName(equal)
+            contexts = contexts.join(large, "bucket", "left_anti")
     parts = contexts.repartition("bucket").sortWithinPartitions("bucket", "rid", "base").mapInArrow(_buckets(length), "rid long, a long, b long")
 
     by_doc = Window.partitionBy("rid").orderBy("a", "b")

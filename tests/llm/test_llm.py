@@ -215,6 +215,35 @@ def test_repeated_bytes(spark, odd_texts, length, gram, most):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (n, removed, spans, kept), i
 
 
+def test_no_task_holds_a_large_bucket(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(130)
+    texts = [text(40) + passage + text(40) for _ in range(40)]
+    real, seen = suffix_dedup._buckets, str(tmp_path / "seen")
+
+    def watched(length):
+        inner = real(length)
+
+        def run(batches):
+            def told():
+                for batch in batches:
+                    with open(seen, "a") as out:
+                        out.writelines(b.hex() + "\n" for b in batch.column("bucket").to_pylist())
+                    yield batch
+
+            yield from inner(told())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_buckets", watched)
+    got = {r.doc_id: r for r in suffix_dedup.without_repeats(docs_of(spark, texts), 60, 12, most=8).collect()}
+    for i, (_, removed, spans, kept) in enumerate(brute_repeats(texts, 60)):
+        assert (got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (removed, spans, kept), i
+    lines = open(seen).read().split() if (tmp_path / "seen").exists() else []
+    assert max(Counter(lines).values(), default=0) <= 8
+
+
 def test_repeated_bytes_odd_tables(spark):
     assert suffix_dedup.without_repeats(docs_of(spark, ["x"]).where("false")).count() == 0
     rows = spark.createDataFrame([(None, "q" * 450), (1, "r" * 399), (1, "r" * 399)], "doc_id long, text string")
