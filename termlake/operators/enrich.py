@@ -6,6 +6,9 @@ Network services are outside of queries: their answers are tables
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ def compound_references(proposals: DataFrame, records: DataFrame) -> DataFrame:
     allowed = (F.size("type_codes") <= 0) | F.arrays_overlap("type_codes", F.array(*map(F.lit, vocab.COMPOUND_TYPES)))
     p = proposals.where(F.coalesce(allowed, F.lit(True))).withColumn("query_key", authority_key(F.col("term")))
     many = records.groupBy("query_key").agg((F.count("*") > 1).alias("ambiguous"))
-    order = Window.partitionBy("proposal_id").orderBy("position")
+    order = Window.partitionBy("proposal_id").orderBy("position", "external_id")
     rows = p.join(records, "query_key").join(many, "query_key").withColumn("at", F.row_number().over(order)).where("at <= 3")
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     rows = rows.withColumn("label", F.coalesce(empty("title"), empty("iupac_name"), F.col("term"))).withColumn("exact", authority_key(F.col("label")) == F.col("query_key"))
@@ -77,7 +80,7 @@ def entry_references(proposals: DataFrame, entries: DataFrame) -> DataFrame:
     first = Window.partitionBy("proposal_id", "external_id").orderBy("term_at")
     rows = p.join(e, "entry_key").withColumn("k", F.row_number().over(first)).where("k = 1")
     every = Window.partitionBy("proposal_id")
-    rows = rows.withColumn("ambiguous", F.count("*").over(every) > 1).withColumn("at", F.row_number().over(every.orderBy("position"))).where("at <= 3")
+    rows = rows.withColumn("ambiguous", F.count("*").over(every) > 1).withColumn("at", F.row_number().over(every.orderBy("position", "external_id"))).where("at <= 3")
     context = F.exists(F.array(*map(F.lit, vocab.CHEMISTRY_WORDS)), lambda w: F.contains(F.lower("raw"), w))
     rows = rows.withColumn("context", context)
     sure = F.col("context") & ~F.col("ambiguous")
@@ -90,6 +93,35 @@ def entry_references(proposals: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+REFERENCE = "namespace string, external_id string, label string, canonical_url string, description string, mapping_type string, confidence double, needs_review boolean"
+
+
+def apply_lookup(proposals: DataFrame, provider: str, load: Callable[[], Callable[[str, list[str]], list[dict]]]) -> tuple[DataFrame, DataFrame]:
+    """(references, issues) of an injected provider for proposals (proposal_id, term, type_codes).
+
+    load gives the provider and is called once a task; it maps a term and its
+    types to dicts of reference fields.  A lookup that fails is a row of issues
+    (LOOKUP_FAILED) and leaves the other terms alone.
+    """
+    names = [f.split()[0] for f in REFERENCE.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = load()
+        for frame in frames:
+            rows = []
+            for p, term, types in zip(frame["proposal_id"], frame["term"], frame["type_codes"], strict=True):
+                try:
+                    rows += [(p, term, *[r.get(n) for n in names], None) for r in look(term, [] if types is None else list(types))]
+                except Exception as error:  # a failed lookup is a result: other terms go on
+                    rows.append((p, term, *[None] * len(names), str(error)))
+            yield pd.DataFrame(rows, columns=["proposal_id", "term", *names, "error"])
+
+    kind = proposals.schema["proposal_id"].dataType.simpleString()
+    out = proposals.select("proposal_id", "term", "type_codes").mapInPandas(run, f"proposal_id {kind}, term string, {REFERENCE}, error string")
+    issues = out.where("error is not null").select("proposal_id", F.lit(provider).alias("provider"), F.lit("LOOKUP_FAILED").alias("code"), F.col("error").alias("message"))
+    return out.where("error is null").drop("error"), issues
+
+
 def best_references(references: DataFrame, keys: tuple[str, ...] = ("proposal_id",)) -> DataFrame:
     """The most confident reference of each namespace and id, the first provider on ties (column provider_order)."""
     order = Window.partitionBy(*keys, "namespace", "external_id").orderBy(F.desc("confidence"), "provider_order")

@@ -2,7 +2,8 @@
 
 All rules are native expressions.  Offsets count code points: the matches of a
 pattern and the parts between them alternate, so a match starts after the
-lengths of all that precede it.
+lengths of all that precede it; these are summed in time that is linear in the
+number of matches, and no character of the text is looked up by its place.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlake import vocab
+from termlake.functions.arrays import let, sums_before
 
 # fixed values: the patterns (Unicode classes where \w, \s or \d occur)
 INCHI_KEY = r"\b[A-Z]{14}-[A-Z]{10}-[A-Z]\b"
@@ -32,7 +34,6 @@ ABBREVIATION = r"\([A-Z][A-Z0-9-]{1,10}\)"
 FORMULA = r"(?U)\b(?:[A-Z][a-z]?[0-9]*){2,}+\b"
 TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[-'][A-Za-z0-9]+)*+"
 
-SPAN = "struct<start:int,end:int,text:string>"
 KEYS = ("source_record_id", "text_unit_index", "language")
 CANDIDATE = (
     "text string, start int, end int, types array<string>, roles array<string>, proposed_definition string, confidence double, "
@@ -41,19 +42,16 @@ CANDIDATE = (
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of the leftmost non-overlapping matches."""
+    """array<struct<start, end, text, gap>> of the leftmost non-overlapping matches; gap is the text between a match and the one before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("text"))),
-        ).alias("out"),
-    )
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda hit, gap: F.struct(hit.alias("text"), gap.alias("gap")))
+
+    def placed(x: Column, at: Column) -> Column:
+        start = (at + F.length(x["gap"])).cast("int")
+        return F.struct(start.alias("start"), (start + F.length(x["text"])).alias("end"), x["text"].alias("text"), x["gap"].alias("gap"))
+
+    sizes = lambda p: F.transform(p, lambda x: (F.length(x["gap"]) + F.length(x["text"])).cast("long"))
+    return let(pairs, lambda p: F.zip_with(p, sums_before(sizes(p)), placed))
 
 
 def cas_valid(value: Column) -> Column:
@@ -143,44 +141,37 @@ def extract_rules(units: DataFrame, text_col: str = "normalized", keys: tuple[st
 
 def phrase_spans(text: Column, most: int = 4) -> Column:
     """array<struct<start, end, text, head, n>> of the phrases that end in a head word."""
-    return F.flatten(_phrases(spans(text, TOKEN), text, most))
+    return let(spans(text, TOKEN), lambda tokens: F.flatten(_phrases(tokens, most)))
 
 
-def _phrases(tokens: Column, text: Column, most: int) -> Column:
+def _phrases(tokens: Column, most: int) -> Column:
     heads = list(vocab.HEAD_TYPE)
-    gap = lambda a, b: F.regexp_like(F.substr(text, a["end"] + 1, b["start"] - a["end"]), F.lit(r"^(?U)[\s\x1c-\x1f]+$"))
-    prev = lambda t, i, k: F.get(t, i - k)
-    joins = lambda t, i, k: F.coalesce(
-        ~F.lower(prev(t, i, k)["text"]).isin(*vocab.BOUNDARY_WORDS) & gap(prev(t, i, k), prev(t, i, k - 1)), F.lit(False)
+    prev = lambda i, k: F.get(tokens, i - k)
+    joins = lambda i, k: F.coalesce(
+        ~F.lower(prev(i, k)["text"]).isin(*vocab.BOUNDARY_WORDS) & F.regexp_like(prev(i, k - 1)["gap"], F.lit(r"^(?U)[\s\x1c-\x1f]+$")), F.lit(False)
     )
 
     def ending(x: Column, i: Column) -> Column:
-        ok, out = F.lit(True), []
+        ok, phrase, out = F.lit(True), x["text"], []
         for n in range(2, most + 1):
-            ok = ok & joins(tokens, i, n - 1)
-            first = prev(tokens, i, n - 1)
-            out.append(
-                F.when(
-                    ok,
-                    F.struct(
-                        first["start"].alias("start"), x["end"].alias("end"), F.substr(text, first["start"] + 1, x["end"] - first["start"]).alias("text"),
-                        x["text"].alias("head"), F.lit(n).alias("n"),
-                    ),
-                )
-            )
-        return F.when(F.lower(x["text"]).isin(*heads), F.filter(F.array(*out), lambda s: s.isNotNull())).otherwise(F.filter(F.array(*out), lambda s: F.lit(False)))
+            ok = ok & joins(i, n - 1)
+            phrase = F.concat(prev(i, n - 1)["text"], prev(i, n - 2)["gap"], phrase)
+            found = F.struct(prev(i, n - 1)["start"].alias("start"), x["end"].alias("end"), phrase.alias("text"), x["text"].alias("head"), F.lit(n).alias("n"))
+            out.append(F.when(ok, found))
+        found = F.filter(F.array(*out), lambda s: s.isNotNull())
+        return F.when(F.lower(x["text"]).isin(*heads), found).otherwise(F.slice(F.array(*[F.when(F.lit(False), o) for o in out]), 1, 0))
 
     return F.transform(tokens, ending)
 
 
 def extract_phrases(units: DataFrame, text_col: str = "normalized", keys: tuple[str, ...] = KEYS, most: int = 4) -> DataFrame:
-    """Candidates of nested technical phrases; tokens are found once, in a projection of their own."""
+    """Candidates of nested technical phrases."""
     if most < 2:
         raise ValueError("most must be at least 2")
-    with_tokens = units.select(*keys, F.col(text_col).alias("_text"), spans(F.col(text_col), TOKEN).alias("_tokens"))
+    with_phrases = units.select(*keys, phrase_spans(F.col(text_col), most).alias("_phrases"))
     kinds, roles = vocab.map_column(vocab.HEAD_TYPE), vocab.map_column(vocab.HEAD_ROLE)
     found = F.transform(
-        F.flatten(_phrases(F.col("_tokens"), F.col("_text"), most)),
+        "_phrases",
         lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), kinds[F.lower(s["head"])].alias("type"),
             roles[F.lower(s["head"])].alias("role"), F.least(F.lit(0.88), F.lit(0.64) + F.lit(0.05) * s["n"]).alias("confidence"),
@@ -188,7 +179,7 @@ def extract_phrases(units: DataFrame, text_col: str = "normalized", keys: tuple[
             F.create_map(F.lit("head"), s["head"], F.lit("token_count"), s["n"].cast("string")).alias("metadata"),
         ),
     )
-    return _candidates(with_tokens, found, keys, 1, "technical_phrase_rules")
+    return _candidates(with_phrases, found, keys, 1, "technical_phrase_rules")
 
 
 def model_labels(predictions: DataFrame, extractor: str, label_types: Mapping[str, str], label_roles: Mapping[str, str], seq: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -214,6 +205,22 @@ def model_labels(predictions: DataFrame, extractor: str, label_types: Mapping[st
     )
 
 
+def mention_candidates(mentions: DataFrame, extractor: str, seq: int, text_col: str = "normalized", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Candidates from the mentions (keys, normalized, text, start, end, score or null) of a chemical entity recogniser.
+
+    A mention whose text is not what stands at its place is an error.
+    """
+    stands = F.substr(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
+    wrong = F.raise_error(F.concat(F.lit("a mention does not stand at its place: "), F.col("text"))).cast("string")
+    none = F.lit(None).cast("string")
+    return mentions.select(
+        *keys, F.when(stands, F.col("text")).otherwise(wrong).alias("text"), "start", "end", F.array(F.lit("CHEMICAL_ENTITY")).alias("types"),
+        F.array().cast("array<string>").alias("roles"), none.alias("proposed_definition"), F.coalesce(F.col("score").cast("double"), F.lit(0.9)).alias("confidence"),
+        F.lit(extractor).alias("extractor"), F.lit("1.0").alias("extractor_version"), F.lit("CEM").alias("raw_label"), F.lit(False).alias("needs_review"),
+        _NO_METADATA().alias("metadata"), F.lit(seq).alias("seq"),
+    )
+
+
 def apply_model(units: DataFrame, load: Callable[[], Callable[[str], list[dict]]], text_col: str = "normalized", keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Predictions and failures of an injected model.
 

@@ -42,6 +42,29 @@ def build(units: DataFrame, keys: tuple[str, ...] = ("source_record_id",), text_
     )
 
 
+def requests(units: DataFrame) -> DataFrame:
+    """The texts that are refined at once, from normalised English units: title and abstract of a record as one, other units alone.
+
+    source_record_id, text_unit_index (the first unit's), grouped, text and
+    segments; a single unit is one segment.
+    """
+    rows = units.where(is_english(F.col("language")))
+    together = grouped_units(rows)
+    whole = build(together).select(
+        "source_record_id", F.get("segments", F.lit(0))["unit"].alias("text_unit_index"), F.lit(True).alias("grouped"), F.col("grouped_text").alias("text"), "segments"
+    )
+    one = F.struct(F.col("text_unit_index").alias("unit"), F.lit(0).alias("start"), F.length("normalized").alias("end"))
+    alone = rows.join(together.select("source_record_id", "text_unit_index"), ["source_record_id", "text_unit_index"], "left_anti")
+    return whole.unionByName(alone.select("source_record_id", "text_unit_index", F.lit(False).alias("grouped"), F.col("normalized").alias("text"), F.array(one).alias("segments")))
+
+
+def shifted(candidates: DataFrame, asked: DataFrame) -> DataFrame:
+    """Candidates with the request (request_unit) they belong to and their place in its text."""
+    rows = candidates.join(asked.select("source_record_id", F.col("text_unit_index").alias("request_unit"), "segments"), "source_record_id")
+    rows = rows.withColumn("s", shift(F.col("segments"), F.col("text_unit_index"), F.col("start"), F.col("end"))).where("s is not null")
+    return rows.select(*candidates.columns, "request_unit", F.col("s.start").alias("request_start"), F.col("s.end").alias("request_end"))
+
+
 def shift(segments: Column, unit: Column, start: Column, end: Column) -> Column:
     """A unit's span as struct<start, end> in the grouped text; null if the unit is not in it."""
     at = F.get(F.filter(segments, lambda s: s["unit"] == unit), F.lit(0))["start"]

@@ -6,14 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def occurrences(text: Column, copied: Column) -> Column:
-    """Starts (from 0) of all occurrences, overlapping ones too."""
-    n = F.length(text) - F.length(copied)
-    return F.when(
-        (F.length(copied) > 0) & (n >= 0), F.filter(F.sequence(F.lit(0), n), lambda i: F.substr(text, i + 1, F.length(copied)) == copied)
-    ).otherwise(F.array().cast("array<int>"))
-
-
 def ground(text: Column, copied: Column, start: Column, end: Column) -> Column:
     """struct<start, end>: the hint where it is right, else the occurrence nearest to it (the first without
     a hint); null where the copied text is absent."""

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termlake import vocab
 from termlake.functions.similarity import dot, trigrams
 
 ACTIVE = ("proposed", "accepted")
 TOP_K, FUZZY = 8, 0.25
+DIMENSIONS = 1024
+#: Bytes of a query set or index that is sent to every executor, as counted.
+BROADCAST_BYTES = 64 << 20
 
 
 def exact_signal(proposals: DataFrame, terms: DataFrame) -> DataFrame:
@@ -27,50 +35,98 @@ def identifier_signal(proposals: DataFrame, identifiers: DataFrame, namespaces:
     return found.groupBy("proposal_id", "concept_id").agg(F.max_by("identity_strength", rank[F.col("identity_strength")]).alias("strength"))
 
 
+def _named(rows: DataFrame, text: str) -> DataFrame:
+    """language, two hashes that stand for a text, its grams and their number."""
+    key = [F.xxhash64("language", text).alias("a"), F.hash("language", text).alias("b")]
+    return rows.select("language", *key, trigrams(F.col(text)).alias("g")).withColumn("n", F.size("g")).where("n > 0")
+
+
 def trigram_signal(proposals: DataFrame, terms: DataFrame, threshold: float = FUZZY, most: int = 2 * TOP_K) -> DataFrame:
     """proposal_id, concept_id, trigram: the most similar concepts of a proposal, at least at the threshold.
 
-    An inverted index: equal texts are one row each, grams are joined and shared
-    grams counted.  Each text of n grams keeps its n - ceil(t n) + 1 rarest ones
-    as join keys (a pair at the threshold shares one of them), and sizes bound
-    the pairs; what is found is verified on the gram sets.
+    Shared grams are counted: an inverted index of the asked texts (one row a
+    gram, with the list of texts that have it) is joined to the grams of the
+    known texts, and sizes and counts alone give the similarity; no gram list
+    takes part in a shuffle.  Equal texts are one text, named by 96 hash bits.
+    Sizes rule pairs out before they are counted.  A small index is broadcast
+    (its rows are the asked grams); beyond that the join shuffles.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
     active = terms.where(F.col("status").isin(*ACTIVE)).select("language", F.col("normalized_text").alias("s"))
-    texts = active.union(proposals.select("language", F.col("normalized_term").alias("s"))).distinct().withColumn("g", trigrams(F.col("s"))).withColumn("n", F.size("g")).where("n > 0")
-    cells = texts.select("language", "s", "n", F.explode("g").alias("x"))
-    counts = cells.groupBy("language", "x").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("language", "s").orderBy("df", "x")
-    keys = cells.join(counts, ["language", "x"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    keys = keys.select("language", "s", "n", "x")
-    asked = keys.join(proposals.select("language", F.col("normalized_term").alias("s")).distinct(), ["language", "s"], "left_semi")
-    known = keys.join(active.distinct(), ["language", "s"], "left_semi")
-    a, b = asked.alias("a"), known.alias("b")
-    near = (F.col("b.n") >= threshold * F.col("a.n")) & (F.col("a.n") >= threshold * F.col("b.n"))
-    pairs = a.join(b, (F.col("a.language") == F.col("b.language")) & (F.col("a.x") == F.col("b.x")) & near).select("a.language", F.col("a.s").alias("p"), F.col("b.s").alias("t")).distinct()
-    p_grams = texts.select("language", F.col("s").alias("p"), F.col("g").alias("pg"))
-    t_grams = texts.select("language", F.col("s").alias("t"), F.col("g").alias("tg"))
-    scored = pairs.join(p_grams, ["language", "p"]).join(t_grams, ["language", "t"]).withColumn("c", F.size(F.array_intersect("pg", "tg")))
-    scored = scored.withColumn("trigram", F.col("c").cast("double") / (F.size("pg") + F.size("tg") - F.col("c"))).where(F.col("trigram") >= threshold)
-    by_text = scored.select("language", F.col("p").alias("normalized_term"), F.col("t").alias("normalized_text"), "trigram")
-    concepts = terms.where(F.col("status").isin(*ACTIVE)).select("language", "normalized_text", "concept_id").distinct()
-    found = (
-        proposals.select("proposal_id", "language", "normalized_term").join(by_text, ["language", "normalized_term"]).join(concepts, ["language", "normalized_text"])
-        .groupBy("proposal_id", "concept_id").agg(F.max("trigram").alias("trigram"))
-    )
-    return top(found, "trigram", most)
-
-
-def vector_signal(proposals: DataFrame, embeddings: DataFrame, most: int = 2 * TOP_K) -> DataFrame:
+    asked = _named(proposals.select("language", F.col("normalized_term").alias("s")).distinct(), "s")
+    known = _named(active.distinct(), "s")
+    entry = F.struct(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("n").alias("pn"))
+    index = asked.select("language", F.explode("g").alias("x"), entry.alias("e")).groupBy("language", "x").agg(F.collect_list("e").alias("asked"))
+    cells = known.select("language", F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("n").alias("tn"), F.explode("g").alias("x"))
+    near = lambda e: (e["pn"] >= threshold * F.col("tn")) & (F.col("tn") >= threshold * e["pn"])
+    size = asked.agg(F.sum("n").alias("n")).first().n or 0
+    hits = cells.join(index.hint("broadcast") if 20 * size <= BROADCAST_BYTES else index, ["language", "x"])
+    hits = hits.select("ta", "tb", "tn", F.explode(F.filter("asked", near)).alias("e")).select("ta", "tb", "tn", "e.*")
+    counted = hits.groupBy("pa", "pb", "ta", "tb", "pn", "tn").agg(F.count("*").alias("c"))
+    alike = counted.select("pa", "pb", "ta", "tb", (F.col("c").cast("double") / (F.col("pn") + F.col("tn") - F.col("c"))).alias("trigram")).where(F.col("trigram") >= threshold)
+    p = proposals.select("proposal_id", F.xxhash64("language", "normalized_term").alias("pa"), F.hash("language", "normalized_term").alias("pb"))
+    concepts = terms.where(F.col("status").isin(*ACTIVE)).select("concept_id", F.xxhash64("language", "normalized_text").alias("ta"), F.hash("language", "normalized_text").alias("tb")).distinct()
+    found = alike.join(concepts, ["ta", "tb"]).groupBy("pa", "pb", "concept_id").agg(F.max("trigram").alias("trigram"))
+    return top(found.join(p, ["pa", "pb"]).select("proposal_id", "concept_id", "trigram"), "trigram", most)
+
+
+def vector_signal(
+    proposals: DataFrame, embeddings: DataFrame, most: int = 2 * TOP_K, model_name: str | None = None, model_version: str | None = None, block_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """proposal_id, concept_id, semantic: the nearest concepts by cosine (exact).
 
-    The asked vectors are a stated query set: every stored vector is scored
-    against each, norms once a row, and each task keeps its best before the
-    shuffle (a grouped limit below the window).
+    Only vectors of the named model and version are compared.  The asked vectors
+    are a stated query set: they are counted, dealt into blocks of bounded size, and
+    each block is sent to every stored vector; norms are taken once a row, and
+    each task keeps its best before the shuffle (a grouped limit below the window).
+    An asked vector of another dimension than the stored ones is an error.
+    """
+    for column, value in (("model_name", model_name), ("model_version", model_version)):
+        if value is not None:
+            embeddings = embeddings.where(F.col(column) == value)
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    q = proposals.where("query_embedding is not null").select("proposal_id", F.col("query_embedding").alias("q"), norm("query_embedding").alias("qn"))
+    e = embeddings.select("concept_id", F.col("embedding").alias("e"), norm("embedding").alias("en"))
+    size = q.agg(F.sum(F.size("q") * 8 + 64).alias("bytes")).first().bytes or 0
+    blocks = max(1, -(-size // block_bytes))
+    alike = dot(F.col("q"), F.col("e")) / F.nullif(F.col("qn") * F.col("en"), F.lit(0.0))
+    checked = F.when(F.size("q") == F.size("e"), alike).otherwise(F.raise_error(F.lit("a query vector has another dimension than the stored vectors")))
+    out = None
+    for b in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("proposal_id"), F.lit(blocks)) == b)
+        scored = e.crossJoin(F.broadcast(block)).select("proposal_id", "concept_id", checked.alias("semantic"))
+        best = top(scored.where("semantic is not null"), "semantic", most)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], list]], dimensions: int = DIMENSIONS, text_col: str = "text", batch: int = 64) -> DataFrame:
+    """texts with their embedding (array<float> of unit length) by an injected model.
+
+    load gives the model and is called once a task; the model maps a list of
+    texts to as many vectors.  Another number of vectors, or of dimensions, is an
+    error; a null text has no embedding, a zero vector is left as it is.
     """
-    q = proposals.where("query_embedding is not null").select("proposal_id", F.col("query_embedding").alias("q"), F.sqrt(dot(F.col("query_embedding"), F.col("query_embedding"))).alias("qn"))
-    e = embeddings.select("concept_id", F.col("embedding").alias("e"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("en"))
-    scored = e.crossJoin(q).select("proposal_id", "concept_id", (dot(F.col("q"), F.col("e")) / F.nullif(F.col("qn") * F.col("en"), F.lit(0.0))).alias("semantic"))
-    return top(scored.where("semantic is not null"), "semantic", most)
+    schema = T.StructType([*texts.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            values, known = [None] * len(frame), [i for i, t in enumerate(frame[text_col]) if t is not None]
+            for lo in range(0, len(known), batch):
+                part = known[lo : lo + batch]
+                vectors = model([frame[text_col].iloc[i] for i in part])
+                if len(vectors) != len(part):
+                    raise ValueError(f"the model gave {len(vectors)} vectors for {len(part)} texts")
+                for i, v in zip(part, vectors, strict=True):
+                    v = np.asarray(v, dtype=np.float64)
+                    if v.shape != (dimensions,):
+                        raise ValueError(f"a vector has shape {v.shape} instead of ({dimensions},)")
+                    values[i] = (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
+            yield frame.assign(embedding=pd.Series(values, index=frame.index, dtype=object))
+
+    return texts.mapInPandas(run, schema)
 
 
 def top(scored: DataFrame, score: str, most: int) -> DataFrame:
@@ -129,10 +185,12 @@ def concept_cards(ids: DataFrame, concepts: DataFrame, terms: DataFrame, assignm
 
 
 def vocabulary(types: DataFrame, namespaces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Active types with the code of an active parent, and active namespaces."""
+    """Active types with the code of an active parent, and active namespaces, both by code (tables of a few rows)."""
     active = types.where("active")
     parents = active.select(F.col("id").alias("parent_id"), F.col("code").alias("parent_code"))
-    return active.join(parents, "parent_id", "left").select("code", "label", "description", "parent_code"), namespaces.where("active").select("code", "label", "description", "identity_strength")
+    return active.join(parents, "parent_id", "left").select("code", "label", "description", "parent_code").orderBy("code"), namespaces.where("active").select(
+        "code", "label", "description", "identity_strength"
+    ).orderBy("code")
 
 
 def resolve(proposals: DataFrame, ranked: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -132,13 +132,31 @@ def write_release(tables: Mapping[str, DataFrame], path: str) -> DataFrame:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replaces the table at path: written beside it first, then the folders change names."""
+    """Replaces the table at path: written beside it first, then the folders change names.
+
+    The old table is deleted only when the new one is in place; where a rename
+    fails, the old one is put back and the error is raised.  An old folder that an
+    earlier swap left behind is the last whole table if there is none at path, and
+    rubbish otherwise.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    df.write.mode("overwrite").parquet(f"{path}.new")
     old, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.rename(old, gone)
-    fs.rename(new, old)
+
+    def rename(a, b) -> None:
+        if fs.exists(b) or not fs.rename(a, b):
+            raise OSError(f"{a.toString()} could not be renamed to {b.toString()}")
+
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    had = fs.exists(old)
+    if had:
+        fs.delete(gone, True)
+        rename(old, gone)
+    try:
+        rename(new, old)
+    except Exception:
+        if had and not fs.exists(old):
+            rename(gone, old)
+        raise
     fs.delete(gone, True)

@@ -10,14 +10,14 @@ import argparse
 import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlake.functions.text import term_key
-from termlake.operators import enrich, refine
-from termlake.operators.pairing import map_decisions
+from termlake.operators import enrich
+from termlake.operators.pairing import map_units
 from termlake.operators.reconcile import best_by_span
-from termlake.plans.english import extract_english, ground, normalized_units
+from termlake.plans.english import extract_english, normalized_units, refine
 from termlake.sources import csv_units, jsonl
 
 
@@ -26,32 +26,18 @@ def extract(
 ) -> DataFrame:
     """Writes one JSON line a record below out; processed, rejected and adapter_issues.
 
-    models are tables of candidates by name, refinements and mappings recorded decisions.
+    models are tables of candidates by name, refinements and mappings recorded
+    decisions on the requests of english.refine and pairing.map_units.
     """
     units, issues, counters = csv_units.read_units(spark, path)
-    rows = normalized_units(units)
     candidates, _ = extract_english(units, models)
-    keys = ("source_record_id", "text_unit_index")
-    refined = candidates.where("false")
+    refined, done = candidates.where("false"), candidates.select("source_record_id", "text_unit_index").where("false")
     if refinements is not None:
-        texts = rows.select(*keys, "language", F.col("normalized").alias("text"))
-        good, _ = refine.apply_decisions(texts, refinements, keys)
-        fixed = good.join(texts.select(*keys, "language"), list(keys)).select(
-            *keys, "language", "text", "start", "end", "types", "roles", "proposed_definition", "confidence", F.lit("recorded_refiner").alias("extractor"),
-            F.lit("1.0").alias("extractor_version"), F.lit("REFINED").alias("raw_label"), "needs_review",
-            F.create_map(F.lit("decision_source"), "source", F.lit("reason_code"), "reason_code", F.lit("scope"), "scope_decision").alias("metadata"), F.lit(9).alias("seq"),
-        )
-        refined = ground(fixed, rows)[0].select(*candidates.columns)
+        found, done, _ = refine(normalized_units(units), refinements)
+        refined = found.select(*candidates.columns)
     mapped = None
     if mappings is not None:
-        done = (refinements.select(*keys).distinct() if refinements is not None else candidates.select(*keys).where("false"))
-        best = best_by_span(candidates, refined, done)
-        order = Window.partitionBy("source_record_id").orderBy("text_unit_index", "start", "end", "text")
-        numbered = best.select("source_record_id", (F.row_number().over(order) - 1).alias("source_index"), F.col("text").alias("source_text"))
-        targets = units.groupBy("source_record_id", F.col("language").alias("target_language")).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("text_unit_index", "text"))), lambda u: u["text"]), "\n").alias("text")
-        )
-        mapped = map_decisions(numbered, mappings, targets)[0].withColumnRenamed("source_index", "source_candidate_index")
+        mapped = map_units(normalized_units(units, english=False), best_by_span(candidates, refined, done), mappings)[0]
     jsonl.write_lines(jsonl.extraction_lines(units.select("source_record_id").distinct(), candidates, refined, mapped), out)
     return jsonl.run_summary(counters, issues)
 

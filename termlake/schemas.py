@@ -27,6 +27,7 @@ TABLES: dict[str, str] = {
     "concept_relation": f"id string, source_concept_id string, target_concept_id string, relation_type_id string, confidence decimal(5,4), status string, created_by_run_id string, {_TIMES}",
     "review_decision": "id string, evidence_set_id string, decision string, reviewer string, comment string, created_at timestamp",
 }
+# fixed values: unique keys, references and checks of the tables
 UNIQUE: dict[str, list[tuple[str, ...]]] = {
     "concept_type": [("code",)],
     "term_form": [("code",)],
@@ -92,6 +93,39 @@ def create(spark: SparkSession, path: str) -> None:
         empty(spark, table).write.parquet(f"{path}/{table}")
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes the tables below path, those that others refer to last."""
+    for table in reversed(TABLES):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+# fixed values: bounds of what may be written
+WRITES: dict[str, dict[str, str]] = {
+    "concept": {"english_definition": "english_definition IS NULL OR length(english_definition) <= 10000"},
+    "term": {
+        "text": "length(text) BETWEEN 1 AND 2000",
+        "normalized_text": "length(normalized_text) BETWEEN 1 AND 2000",
+        "language": "length(language) BETWEEN 2 AND 35",
+        "script": "script IS NULL OR length(script) = 4",
+        "term_form_code": "term_form_code IS NULL OR length(term_form_code) <= 80",
+        "confidence": "confidence IS NULL OR confidence BETWEEN 0 AND 1",
+    },
+    "concept_identifier": {
+        "namespace": "length(namespace) BETWEEN 1 AND 60",
+        "external_id": "length(external_id) BETWEEN 1 AND 255",
+        "mapping_type": "mapping_type RLIKE '^(exact|close|broad|narrow|related)$'",
+        "confidence": "confidence BETWEEN 0 AND 1",
+    },
+}
+
+
+def refused(table: str, rows: DataFrame) -> DataFrame:
+    """rows that may not be written to a table, with the sorted names of the columns that are out of bounds."""
+    wrong = [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(column)) for column, rule in WRITES[table].items() if column in rows.columns]
+    return rows.withColumn("out_of_bounds", F.array_sort(F.array_compact(F.array(*wrong)))).where(F.size("out_of_bounds") > 0)
+
+
 def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """table_name, rule and number of rows against it, for the rules that any row breaks."""
     found = []

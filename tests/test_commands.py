@@ -11,8 +11,8 @@ def test_extract_and_enrich(spark, tmp_path):
         "source_record_id string, text_unit_index int, text string, start int, end int, types array<string>, roles array<string>, proposed_definition string, scope_decision string, confidence double, source string, needs_review boolean, reason_code string",
     )
     mapped = spark.createDataFrame(
-        [("t.csv:2", "de", "E0", "Goldlegierung", None, None, "EXACT_EQUIVALENT", "TRANSLATED", 0.9, False, "c")],
-        "source_record_id string, target_language string, source_id string, target_text string, target_start int, target_end int, relation string, target_form_status string, confidence double, needs_review boolean, reason_code string",
+        [("t.csv:2", 0, 1, "E0", "Goldlegierung", None, None, "EXACT_EQUIVALENT", "TRANSLATED", 0.9, False, "c")],
+        "source_record_id string, source_unit int, target_unit int, source_id string, target_text string, target_start int, target_end int, relation string, target_form_status string, confidence double, needs_review boolean, reason_code string",
     )
     summary = commands.extract(spark, str(path), str(tmp_path / "out"), refinements=decisions, mappings=mapped).first()
     assert (summary.processed, summary.rejected, summary.adapter_issues) == (1, 1, 1)

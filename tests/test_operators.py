@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from termlake import schemas, vocab
 from termlake.operators import enrich, evaluate, extract, grouped, pairing, reconcile, refine, resolve, store
-from termlake.plans.english import extract_english
+from termlake.plans.english import extract_english, normalized_units
+from termlake.plans.english import refine as refine_units
 
 
 def units(spark, *texts):
@@ -108,18 +109,197 @@ def test_grounding_and_decisions(spark):
     assert not good.collect() and [r.code for r in issues.collect()] == ["REFINER_FAILED"]
 
 
-def test_map_decisions(spark):
-    c = spark.createDataFrame([("r", 0, "gold"), ("r", 1, "X1")], "source_record_id string, source_index int, source_text string")
-    t = spark.createDataFrame([("r", "de", "Gold mit X1")], "source_record_id string, target_language string, text string")
-    schema = "source_record_id string, target_language string, source_id string, target_text string, target_start int, target_end int, relation string, target_form_status string, confidence double, needs_review boolean, reason_code string"
-    row = lambda i, text, rel="EXACT_EQUIVALENT", lang="de": ("r", lang, i, text, None, None, rel, "UNKNOWN", 0.9, False, "c")
-    got, issues = pairing.map_decisions(c, spark.createDataFrame([row("E0", "Zink"), row("E1", "X1")], schema), t)
-    by = {r.source_index: r for r in got.collect()}
-    assert (by[0].relation, by[0].target_form_status, by[0].reason_code, by[0].needs_review) == ("NO_MATCH", "NOT_PRESENT", "UNGROUNDED_LLM_TARGET_REJECTED", True)
-    assert (by[1].target_start, by[1].target_form_status) == (9, "UNCHANGED") and not issues.collect()
+UNITS = "source_record_id string, text_unit_index int, language string, unit_type string, locator string, text string"
+
+
+def normalised(spark, rows):
+    return normalized_units(spark.createDataFrame(rows, UNITS), english=False)
+
+
+GROUP = [
+    ("r", 0, "en", "title", "title", " Gold  alloy"), ("r", 1, "en", "abstract", "abstract", "A copper coating protects."),
+    ("r", 2, "de", "title", "title", "Goldlegierung"), ("r", 3, "de", "abstract", "abstract", "Eine  Kupferbeschichtung schützt."),
+    ("s", 0, "en", "title", "title", "Zinc film"), ("s", 1, "fr", "title", "title", "Film de zinc"), ("s", 2, "ja", "title", "title", "亜鉛膜"),
+]
+DECISIONS = (
+    "source_record_id string, text_unit_index int, text string, start int, end int, types array<string>, roles array<string>, proposed_definition string, "
+    "scope_decision string, confidence double, source string, needs_review boolean, reason_code string"
+)
+MAPPED = (
+    "source_record_id string, source_unit int, target_unit int, source_id string, target_text string, target_start int, target_end int, relation string, "
+    "target_form_status string, confidence double, needs_review boolean, reason_code string"
+)
+
+
+def candidates_of(units):
+    return extract_english(units.drop("normalized", "off_start", "off_end"))[0]
+
+
+def test_title_and_abstract_are_refined_together(spark):
+    units = normalised(spark, GROUP)
+    english = units.where("language = 'en'")
+    asked = {(r.source_record_id, r.text_unit_index): r for r in grouped.requests(english).collect()}
+    assert {k: r.grouped for k, r in asked.items()} == {("r", 0): True, ("s", 0): False}
+    text = asked["r", 0].text
+    at = text.index("copper coating")
+    shifted = {(r.text, r.request_unit): text[r.request_start : r.request_end] for r in grouped.shifted(candidates_of(units).where("source_record_id = 'r'"), grouped.requests(english)).collect()}
+    assert shifted[("copper coating", 0)] == "copper coating"
+    row = lambda rec, unit, t, a, b: (rec, unit, t, a, b, ["MATERIAL"], [], None, "IN_SCOPE", 0.9, "llm", False, "c")
+    decisions = spark.createDataFrame([row("r", 0, "Gold alloy", None, None), row("r", 0, "copper coating", at, at + 14)], DECISIONS)
+    found, done, issues = refine_units(english, decisions)
+    got = {(r.text, r.text_unit_index, r.start, r.original_start, r.original_end) for r in found.collect()}
+    assert got == {("Gold alloy", 0, 0, 1, 12), ("copper coating", 1, 2, 2, 16)}
+    assert {tuple(r) for r in done.collect()} == {("r", 0), ("r", 1)} and not issues.collect()
+
+
+def test_failures_of_refinement_are_told_apart(spark):
+    english = normalised(spark, GROUP).where("language = 'en'")
+    row = lambda rec, t, confidence=0.9: (rec, 0, t, None, None, ["MATERIAL"], [], None, "IN_SCOPE", confidence, "llm", False, "c")
+    codes = lambda rows: sorted((r.source_record_id, r.code) for r in rows.collect())
+    found, done, issues = refine_units(english, spark.createDataFrame([row("r", "nowhere"), row("s", "nowhere")], DECISIONS))
+    assert not found.collect() and not done.collect() and codes(issues) == [("r", "GROUPED_REFINER_FAILED"), ("s", "REFINER_FAILED")]
+    crossing = "alloy\n[[END SECTION]]"
+    found, done, issues = refine_units(english, spark.createDataFrame([row("r", crossing), row("r", "copper"), row("s", "Zinc", 1.5)], DECISIONS))
+    assert [r.text for r in found.collect()] == ["copper"]
+    assert codes(issues) == [("r", "INVALID_GROUPED_REFINED_SPAN"), ("s", "INVALID_REFINED_SPAN")] and done.count() == 3
+    none = spark.createDataFrame([], DECISIONS)
+    answered = spark.createDataFrame([("r", 0)], "source_record_id string, text_unit_index int")
+    found, done, issues = refine_units(english, none, answered)
+    assert not found.collect() and {tuple(r) for r in done.collect()} == {("r", 0), ("r", 1)}
+
+
+def test_title_and_abstract_are_mapped_together(spark):
+    units = normalised(spark, GROUP)
+    best = candidates_of(units)
+    asked = {(r.source_record_id, r.source_unit, r.target_unit): r for r in pairing.mapping_requests(units).collect()}
+    assert {k: (r.target_language, r.grouped, r.source_units) for k, r in asked.items()} == {
+        ("r", 0, 2): ("de", True, [0, 1]), ("s", 0, 1): ("fr", False, [0]), ("s", 0, 2): ("ja", False, [0]),
+    }
+    assert {k[2] for k in [(r.source_record_id, r.source_unit, r.target_unit) for r in pairing.mapping_requests(units, ["fr"]).collect()]} == {1}
+    text = asked["r", 0, 2].text
+    at = text.index("Kupferbeschichtung")
+    row = lambda rec, target, i, t, a=None, rel="EXACT_EQUIVALENT", status="TRANSLATED": (rec, 0, target, i, t, a, None if a is None else a + len(t), rel, status, 0.9, False, "c")
+    rows = [row("r", 2, "E0", "Goldlegierung"), row("r", 2, "E1", "Kupferbeschichtung", at), row("s", 1, "E0", "Film"), row("s", 2, "E0", "Zink")]
+    got, issues = pairing.map_units(units, best, spark.createDataFrame(rows, MAPPED))
+    by = {(r.source_record_id, r.target_language, r.source_text): r for r in got.collect()}
+    place = lambda r: (r.target_text_unit_index, r.target_start, r.target_original_start, r.target_original_end)
+    assert place(by["r", "de", "Gold alloy"]) == (2, 0, 0, 13) and place(by["r", "de", "copper coating"]) == (3, 5, 6, 24)
+    assert by["r", "de", "copper coating"].source_text_unit_index == 1 and by["s", "fr", "Zinc film"].source_types == ["MATERIAL"]
+    lost = by["s", "ja", "Zinc film"]
+    assert (lost.relation, lost.target_form_status, lost.reason_code, lost.needs_review) == ("NO_MATCH", "NOT_PRESENT", "UNGROUNDED_LLM_TARGET_REJECTED", True)
+    assert len(by) == 4 and not issues.collect()
     assert not pairing.incoherent_mappings(got).collect()
-    got, issues = pairing.map_decisions(c, spark.createDataFrame([row("E0", "Gold"), row("E0", "Gold")], schema), t)
-    assert not got.collect() and [r.code for r in issues.collect()] == ["TARGET_MAPPING_FAILED"]
+
+
+def test_a_failed_mapping_leaves_its_siblings_alone(spark):
+    units = normalised(spark, GROUP)
+    row = lambda rec, target, i, t: (rec, 0, target, i, t, None, None, "EXACT_EQUIVALENT", "TRANSLATED", 0.9, False, "c")
+    rows = [row("r", 2, "E0", "Goldlegierung"), row("r", 2, "E7", "Eine"), row("s", 1, "E0", "Film"), row("s", 2, "E0", "亜"), row("s", 2, "E0", "亜")]
+    got, issues = pairing.map_units(units, candidates_of(units), spark.createDataFrame(rows, MAPPED))
+    assert [(r.source_record_id, r.target_language) for r in got.collect()] == [("s", "fr")]
+    assert sorted((r.source_record_id, r.text_unit_index, r.code, r.message) for r in issues.collect()) == [
+        ("r", 2, "GROUPED_TARGET_MAPPING_FAILED", "missing E1; unknown E7"), ("s", 2, "TARGET_MAPPING_FAILED", "more than one decision for a candidate"),
+    ]
+    rows = [row("r", 2, "E0", "Goldlegierung\n[[END SECTION]]"), row("r", 2, "E1", "Eine")]
+    got, issues = pairing.map_units(units, candidates_of(units), spark.createDataFrame(rows, MAPPED))
+    assert not got.collect() and [r.code for r in issues.collect()] == ["GROUPED_TARGET_MAPPING_FAILED"]
+
+
+def test_spans_of_long_texts(spark):
+    n = 60_000
+    rows = units(spark, "gold alloy é of NaCl at 25 °C " * n)
+    found = extract.extract_phrases(rows).agg(F.count("*").alias("n"), F.max("start").alias("s")).first()
+    assert (found.n, found.s) == (2 * n - 1, 30 * (n - 1))  # from the second on "C gold alloy", too
+    quantity = extract.extract_rules(rows).where("raw_label = 'QUANTITY'").agg(F.count("*").alias("n"), F.max("end").alias("e")).first()
+    assert (quantity.n, quantity.e) == (n, 30 * n - 1)
+
+
+def test_mentions_of_a_recogniser(spark):
+    rows = [("r", 0, "en", "use NaCl now", "NaCl", 4, 8, None), ("r", 0, "en", "use NaCl now", "use", 0, 3, 0.5)]
+    df = spark.createDataFrame(rows, "source_record_id string, text_unit_index int, language string, normalized string, text string, start int, end int, score double")
+    got = extract.mention_candidates(df, "cde", 4).collect()
+    assert [(r.text, r.types, r.confidence, r.raw_label) for r in got] == [("NaCl", ["CHEMICAL_ENTITY"], 0.9, "CEM"), ("use", ["CHEMICAL_ENTITY"], 0.5, "CEM")]
+    with pytest.raises(Exception, match="does not stand"):
+        extract.mention_candidates(df.withColumn("start", F.col("start") + 1), "cde", 4).collect()
+
+
+def test_embedding_hook_and_vector_search(spark):
+    def load():
+        return lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts]
+
+    rows = spark.createDataFrame([("a", "xx"), ("b", None), ("c", "")], "proposal_id string, text string")
+    got = {r.proposal_id: r.embedding for r in resolve.embed(rows, load, 3).collect()}
+    assert got["a"] == pytest.approx([2 / 5**0.5, 1 / 5**0.5, 0]) and got["b"] is None and got["c"] == [0, 1, 0]
+    for bad in (lambda: lambda texts: [[1.0]] * len(texts), lambda: lambda texts: []):
+        with pytest.raises(Exception, match="instead of|0 vectors"):
+            resolve.embed(rows, bad, 3).collect()
+    stored = spark.createDataFrame(
+        [(1, "m", "1", [1.0, 0.0]), (2, "m", "2", [1.0, 0.0]), (3, "n", "1", [1.0, 0.0]), (4, "m", "1", [0.0, 0.0]), (5, "m", "1", [0.0, 1.0])],
+        "concept_id int, model_name string, model_version string, embedding array<float>",
+    )
+    asked = spark.createDataFrame([(f"p{i}", [1.0, float(i)]) for i in range(9)] + [("none", None)], "proposal_id string, query_embedding array<float>")
+    one = resolve.vector_signal(asked, stored, 5, "m", "1").collect()
+    assert {r.concept_id for r in one} == {1, 5} and len(one) == 18
+    assert sorted(one) == sorted(resolve.vector_signal(asked, stored, 5, "m", "1", block_bytes=200).collect())
+    with pytest.raises(Exception, match="dimension"):
+        resolve.vector_signal(spark.createDataFrame([("p", [1.0])], "proposal_id string, query_embedding array<float>"), stored).collect()
+
+
+def test_a_failed_lookup_leaves_the_others_alone(spark):
+    def load():
+        def look(term, types):
+            if term == "bad":
+                raise RuntimeError("timeout")
+            return [{"namespace": "X", "external_id": term, "confidence": 0.5, "needs_review": not types}]
+
+        return look
+
+    p = spark.createDataFrame([("p0", "water", ["COMPOUND"]), ("p1", "bad", None), ("p2", "gold", None)], "proposal_id string, term string, type_codes array<string>")
+    found, issues = enrich.apply_lookup(p, "own", load)
+    assert {(r.proposal_id, r.external_id, r.needs_review) for r in found.collect()} == {("p0", "water", False), ("p2", "gold", True)}
+    assert [tuple(r) for r in issues.collect()] == [("p1", "own", "LOOKUP_FAILED", "timeout")]
+
+
+def test_swap_keeps_the_table_when_a_rename_fails(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.swap(spark.range(4), path)
+    (tmp_path / "t.old").mkdir()
+    (tmp_path / "t.old/left").write_text("x")
+    store.swap(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t.old").exists()
+    (tmp_path / "t.new").mkdir(exist_ok=True)
+    with pytest.raises(Exception, match=r"no such column|missing|cannot be resolved|UNRESOLVED"):
+        store.swap(spark.range(3).select("missing"), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_refused_writes_and_dropped_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("t", "t", "en", None, 0.5), ("", "t", "e", "Latin", 2.0), (None, "x" * 2001, "en", "Latn", None)], "text string, normalized_text string, language string, script string, confidence double")
+    got = [r.out_of_bounds for r in schemas.refused("term", rows).collect()]
+    assert got == [["confidence", "language", "script", "text"], ["normalized_text", "text"]]
+    ids = spark.createDataFrame([("CAS_RN", "1", "exact", 1.0), ("", "", "same", None)], "namespace string, external_id string, mapping_type string, confidence double")
+    assert [r.out_of_bounds for r in schemas.refused("concept_identifier", ids).collect()] == [["confidence", "external_id", "mapping_type", "namespace"]]
+    schemas.create(spark, str(tmp_path / "s"))
+    schemas.drop(spark, str(tmp_path / "s"))
+    assert not any((tmp_path / "s").iterdir())
+
+
+def test_release(spark, tmp_path):
+    rows = lambda table, *given: spark.createDataFrame(given, schemas.schema(table))
+    pad = lambda table, **v: tuple(v.get(f.name) for f in schemas.schema(table))
+    tables = {
+        "concept": rows("concept", pad("concept", id="a", status="accepted"), pad("concept", id="b", status="proposed")),
+        "term": rows("term", pad("term", id="t", concept_id="a", status="accepted"), pad("term", id="u", concept_id="a", status="rejected"), pad("term", id="v", concept_id="b", status="accepted")),
+        "concept_type_assignment": rows("concept_type_assignment", pad("concept_type_assignment", concept_id="a", concept_type_id="1"), pad("concept_type_assignment", concept_id="b", concept_type_id="1")),
+        "concept_identifier": rows("concept_identifier", pad("concept_identifier", id="i", concept_id="b")),
+        "concept_relation": rows("concept_relation", pad("concept_relation", id="x", source_concept_id="a", target_concept_id="b", status="accepted"), pad("concept_relation", id="y", source_concept_id="a", target_concept_id="a", status="accepted")),
+        "evidence_set": rows("evidence_set", pad("evidence_set", id="s", concept_id="a", status="accepted"), pad("evidence_set", id="z", concept_id="a", status="rejected")),
+        "term_evidence": rows("term_evidence", *[pad("term_evidence", id=f"{t}{s}", term_id=t, evidence_set_id=s) for t in "tu" for s in "sz"]),
+    }
+    manifest = store.write_release(tables, str(tmp_path / "out"))
+    assert {r.table_name: r.n_rows for r in manifest.collect()} == {
+        "concept": 1, "term": 1, "concept_type_assignment": 1, "concept_identifier": 0, "concept_relation": 1, "evidence_set": 1, "term_evidence": 1,
+    }
 
 
 def test_resolve(spark):

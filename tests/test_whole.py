@@ -24,7 +24,7 @@ def test_grounding_of_every_document(spark, tmp_path):
     rng = random.Random(5)
     texts = [None, "", "short", "0123456789ab", "0123456789abcd", "é漢" * 300, "aaaa" * 50]
     texts += ["".join(rng.choice("abé") for _ in range(rng.randint(0, 120))) for _ in range(300)]
-    got = {r.doc_id: r for r in queries.WHOLE["ground_exact_span_nearest_all"](spark, documents(spark, tmp_path, texts)).collect()}
+    got = {r.doc_id: r for r in queries.QUERIES["ground_exact_span_nearest"](spark, documents(spark, tmp_path, texts)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         copied = None if t is None else t[10:14]
@@ -41,6 +41,6 @@ def test_grounding_with_any_hint(spark):
 
 def test_normalisation_of_every_document(spark, tmp_path):
     texts = [None, "", "a &amp; b &#233;", "é café", " x\n\ty ", "AT&T &nosuch; &lt;b&gt;", "plain"]
-    got = {r.doc_id: r.normalized for r in queries.WHOLE["source_normalize_all"](spark, documents(spark, tmp_path, texts)).collect()}
+    got = {r.doc_id: r.normalized for r in queries.QUERIES["source_normalize"](spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {i: None if t is None else tx.normalize(t)[0] for i, t in enumerate(texts)}
     assert (got[2], got[3], got[4]) == ("a & b é", "é café", "x y")
