@@ -1,9 +1,14 @@
 """Connected components by alternating large-star and small-star rounds.
 
-All state is DataFrames; after each round the edges are written to the shared
-folder.  Both star operations are an aggregated minimum per node (combined
-before the shuffle) and an equi-join with one row a node on its right side, so a
-node with very many edges is split by adaptive skew-join handling.
+All state is DataFrames; after each star operation the edges are written to the
+shared folder.  A star operation is an aggregated minimum per node (combined
+before the shuffle) and an equi-join with one row a node on its right side.
+The minima are written before they are joined: a small table is broadcast, and
+beyond that both sides of the join are plain shuffles, so that adaptive skew
+handling can split a node with very many edges.
+
+Defined results: nulls are refused by the callers, loops are dropped, repeated
+edges count once, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,21 +16,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Tables
+from llm.common import Tables, broadcast_if_small
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, tables: Tables) -> DataFrame:
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(low, "u")
+    low = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+    joined = both.join(broadcast_if_small(low), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return tables.write(out.where("u <> v").distinct())
 
 
 def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -36,7 +41,9 @@ def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     now = tables.write(edges.select("u", "v").where("u <> v").distinct())
     mark = None
     while True:
-        now = tables.write(_star(_star(now, True), False))
+        first = tables.count
+        now = _star(_star(now, True, tables), False, tables)
+        tables.drop(first, tables.count)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row.n, row.s) == mark:
             break

@@ -22,25 +22,29 @@ exactly:
    representative stands for all of them.
 3. *Buckets.*  The representatives of one anchor are aligned at the anchor and
    the rounds run over their at most ``2 * LENGTH`` columns; the rows come sorted
-   from Spark's shuffle files and are read in sequence.  An anchor with more
-   than ``MOST`` different contexts is split by a longer common core: of each
-   context, windows are dealt by where they start, ``STEP`` starts at a time,
-   to the bucket of the bytes that all of these windows contain.  These buckets
-   are counted first; one of more than ``MOST`` rows is never held by a task:
-   its windows are compared by digest (16 bytes, by bucket and place) in a
-   counted aggregation.
+   from Spark's shuffle files and are read in sequence.
+4. *Refinement.*  An anchor with more than ``MOST`` different contexts is never
+   held by a task.  The windows of these contexts are dealt by where they start,
+   ``STEPS[0]`` starts at a time, to the bucket of the bytes that all of them
+   contain (a longer core).  Rows and cores go through steps 2 and 3 again, as
+   digests that Spark counts; a core that still has more than MOST different rows
+   is refined by the next step.  With one start at a time the core is the
+   window itself and a class of two is a repeat, so this ends, and every bucket
+   that a task holds has at most MOST rows, whatever the collection.
 
 Documents are never joined into one string, so matches never cross them.
 
 Defined results: null text is empty; texts shorter than LENGTH keep all bytes;
 repeated rows repeat each other; a null id stays null; an empty table gives no
-rows.
+rows; long texts are anchored in segments and cut in batches of their own; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +52,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import Tables
+from llm.common import Tables, broadcast_if_small, has_twins
 from llm.shingles import _MIX, _power, mix64, text_buffer
 
 LENGTH = 400
 GRAM = 24
 SEGMENT = 1 << 19
-MOST = 20_000
-#: Window starts dealt to one core when an anchor has more than MOST contexts.
-STEP = 50
+#: Different rows of one bucket that a task may hold.
+MOST = 1_500
+#: Window starts dealt to one core, refinement by refinement; the last must be 1.
+STEPS = (126, 18, 3, 1)
+#: Rows of whole buckets that a task solves together.
 BUCKET_ROWS = 8_000
-BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 4_000_000
 
 
 def _sliding(values: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -132,9 +137,12 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _contexts(length: int, gram: int, step: int, most: int):
-    """(bucket, rid, base, pin, bytes) for the wanted anchors of each document."""
-    before = _before(length, gram)
+def _contexts(length: int, span: int):
+    """(bucket, rid, base, pin, bytes): for each wanted place the bytes of the up to span windows that start there or before.
+
+    The bucket is the digest of the core, the bytes that all of these windows contain.
+    """
+    salt = span.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,24 +151,11 @@ def _contexts(length: int, gram: int, step: int, most: int):
             size = 0
             for i, (rid, wanted) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
                 text = raw[off[i] : off[i + 1]].tobytes()
-                dealt: set[tuple[bytes, int, int]] = set()
-                for x in wanted:
-                    p, h, kinds = x["at"], x["h"].to_bytes(8, "little", signed=True), x["kinds"]
-                    lo, hi = max(0, p - before), min(len(text), p + length)
-                    if kinds <= most:
-                        rows.append((h, rid, lo, p - lo, text[lo:hi]))
-                        size += hi - lo
-                    else:
-                        for c in range(p, p - before - 1, -step):
-                            if c >= 0 and c + length - step <= hi:
-                                a, b = max(lo, c - step + 1), min(hi, c + length)
-                                if b - a >= length:
-                                    core = hashlib.blake2b(text[c : c + length - step], digest_size=12, salt=h).digest()
-                                    if (core, c, a) in dealt:
-                                        continue
-                                    dealt.add((core, c, a))
-                                    rows.append((core, rid, a, c - a, text[a:b]))
-                                    size += b - a
+                for at in wanted:
+                    lo, hi = max(0, at - span + 1), min(len(text), at + length)
+                    core = hashlib.blake2b(text[at : at + length - span + 1], digest_size=16, salt=salt).digest()
+                    rows.append((core, rid, lo, at - lo, text[lo:hi]))
+                    size += hi - lo
                     if size > 4 << 20:
                         yield _context_batch(rows)
                         rows, size = [], 0
@@ -175,22 +170,27 @@ def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "rid", "base", "pin", "bytes"])
 
 
-def _windows(length: int):
-    """(f1, f2, rid, a): digest of every window of contexts, by bucket and place in it, and where the window stands."""
+def _refined(length: int, span: int, step: int):
+    """(rid, h, f1, f2, at): the windows that start at a wanted place or up to span - 1 before it, step starts at a time.
+
+    h is a digest of the core of these windows, f1 and f2 of their bytes and the core's place in them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                digests, rids, ats = [], [], []
-                for bucket, rid, base, pin, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "rid", "base", "pin", "bytes")), strict=True):
-                    for k in range(len(text) - length + 1):
-                        salt = bucket + (pin - k).to_bytes(4, "little", signed=True)
-                        digests.append(hashlib.blake2b(text[k : k + length], digest_size=16, salt=salt).digest())
+            raw, off = text_buffer(batch.column("text"))
+            rids, ats, digests = [], [], []
+            for i, (rid, wanted) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                text = raw[off[i] : off[i + 1]].tobytes()
+                for c in sorted({c for at in wanted for c in range(at, max(at - span, -1), -step)}):
+                    lo, hi = max(0, c - step + 1), min(len(text), c + length)
+                    if hi - lo >= length and c + length - step < len(text):
+                        digests.append(hashlib.blake2b(text[c : c + length - step + 1], digest_size=8).digest())
+                        digests.append(hashlib.blake2b(text[lo:hi], digest_size=16, salt=(c - lo).to_bytes(4, "little")).digest())
                         rids.append(rid)
-                        ats.append(base + k)
-                f = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(rids, pa.int64()), pa.array(ats, pa.int64())], ["f1", "f2", "rid", "a"])
+                        ats.append(c)
+            d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), *[pa.array(d[:, k]) for k in range(3)], pa.array(ats, pa.int32())], ["rid", "h", "f1", "f2", "at"])
 
     return run
 
@@ -219,7 +219,7 @@ def repeated_starts(strings: list[bytes], pins: list[int], group: np.ndarray, le
     """
     m, left = len(strings), max(pins)
     width = max(left - p + len(s) for s, p in zip(strings, pins, strict=True))
-    cells = np.full((width, m), 256, dtype=np.int32)
+    cells = np.full((width, m), 256, dtype=np.uint16)
     for i, (s, p) in enumerate(zip(strings, pins, strict=True)):
         cells[left - p : left - p + len(s), i] = np.frombuffer(s, dtype=np.uint8)
     starts = width - length + 1
@@ -296,13 +296,8 @@ def _buckets(length: int):
     return run
 
 
-def _fit(df: DataFrame, items: str) -> DataFrame:
-    """Hints a broadcast when rows and list items are counted to be within bounds."""
-    row = df.agg(F.count("*").alias("n"), F.sum(F.size(items)).alias("i")).first()
-    return df.hint("broadcast") if row.n <= BROADCAST_ROWS and (row.i or 0) <= BROADCAST_ITEMS else df
-
-
-def _with_lists(source: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+def _with_lists(source: DataFrame, lists: DataFrame, items: str, how: str) -> DataFrame:
+    lists = broadcast_if_small(lists, items)
     on = source.doc_id.eqNullSafe(lists.fetch_id) & (source.mark == lists.fetch_mark)
     return source.join(lists, on, how).drop("fetch_id", "fetch_mark")
 
@@ -311,42 +306,41 @@ def repeated_spans(docs: DataFrame, tables: Tables, length: int = LENGTH, gram:
     """fetch_id, fetch_mark (doc_id and text hash) and spans array<struct<a long, b long>> of removed byte runs, for documents that have any."""
     base = tables.write(docs.mapInArrow(_anchor_rows(length, gram), "rid long, doc_id long, mark long, h array<long>, f1 array<long>, f2 array<long>, at array<int>"))
     names = base.select("rid", F.col("doc_id").alias("fetch_id"), F.col("mark").alias("fetch_mark"))
-    twice = base.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    twins = has_twins(base)
     cells = base.select("rid", F.explode(F.arrays_zip("h", "f1", "f2", "at")).alias("x")).select("rid", "x.h", "x.f1", "x.f2", "x.at")
-    cells = tables.write(cells.join(twice, "h"))
-
-    classes = tables.write(cells.groupBy("h", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")))
-    whole = cells.join(classes.where("n > 1").select("h", "f1", "f2"), ["h", "f1", "f2"], "left_semi").select(
-        "rid", F.greatest(F.col("at") - _before(length, gram), F.lit(0)).cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b")
-    )
-    kinds = classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = classes.join(kinds, "h").groupBy("first.rid").agg(F.collect_list(F.struct("first.at", "h", "kinds")).alias("wanted"))
-    wanted = tables.write(wanted.join(names, "rid"))
-
-    def contexts_of(rows: DataFrame) -> DataFrame:
-        return _with_lists(docs, _fit(rows, "wanted"), "inner").mapInArrow(_contexts(length, gram, STEP, most), "bucket binary, rid long, base long, pin int, bytes binary")
-
-    contexts = contexts_of(wanted)
-    hot = wanted.withColumn("wanted", F.filter("wanted", lambda x: x["kinds"] > most)).where("size(wanted) > 0")
-    if not hot.isEmpty():
-        large = tables.write(contexts_of(hot).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket"))
-        if n := large.count():
-            large = large.hint("broadcast") if n <= BROADCAST_ROWS else large
-            windows = contexts_of(hot).join(large, "bucket", "left_semi").mapInArrow(_windows(length), "f1 long, f2 long, rid long, a long")
-            again = tables.write(windows.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2"))
-            again = again.hint("broadcast") if again.count() <= BROADCAST_ROWS else again
-            equal = windows.join(again, ["f1", "f2"], "left_semi").select("rid", "a", (F.col("a") + length).alias("b"))
-            whole = whole.unionByName(equal)
-            contexts = contexts.join(large, "bucket", "left_anti")
-    parts = contexts.repartition("bucket").sortWithinPartitions("bucket", "rid", "base").mapInArrow(_buckets(length), "rid long, a long, b long")
+    twice = tables.write(cells.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    cells = tables.write(cells.join(broadcast_if_small(twice), "h").select("rid", "h", "f1", "f2", "at"))
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """text, rid and the list of wanted places of every document that has any."""
+        lists = tables.write(wanted.groupBy("rid").agg(F.collect_list("at").alias("wanted")).join(names, "rid"))
+        found = _with_lists(docs, lists, "wanted", "inner").select("text", "rid", "wanted")
+        return found.groupBy("rid").agg(F.min("text").alias("text"), F.min("wanted").alias("wanted")) if twins else found
+
+    repeats, contexts, span = [], [], length - gram + 1
+    for step in (*(x for x in STEPS if x < span), 0):
+        classes = tables.write(cells.groupBy("h", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")))
+        several = tables.write(classes.where("n > 1").select("h", "f1", "f2"))
+        equal = cells.join(broadcast_if_small(several), ["h", "f1", "f2"], "left_semi")
+        repeats.append(equal.select("rid", F.greatest(F.col("at") - (span - 1), F.lit(0)).cast("long").alias("a"), (F.col("at") + length).cast("long").alias("b")))
+        if span == 1:
+            break
+        kinds = tables.write(classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+        wanted = classes.join(broadcast_if_small(kinds), "h").select("first.rid", "first.at", "kinds")
+        contexts.append(fetched(wanted.where(F.col("kinds") <= most)).mapInArrow(_contexts(length, span), "bucket binary, rid long, base long, pin int, bytes binary"))
+        if kinds.where(F.col("kinds") > most).isEmpty():
+            break
+        refined = fetched(wanted.where(F.col("kinds") > most)).mapInArrow(_refined(length, span, step), "rid long, h long, f1 long, f2 long, at int")
+        cells, span = tables.write(refined), step
+    parts = reduce(DataFrame.unionByName, contexts).repartition("bucket").sortWithinPartitions("bucket", "rid", "base").mapInArrow(_buckets(length), "rid long, a long, b long")
 
     by_doc = Window.partitionBy("rid").orderBy("a", "b")
-    spans = whole.unionByName(parts).groupBy("rid", "a").agg(F.max("b").alias("b"))
+    spans = reduce(DataFrame.unionByName, [*repeats, parts])
     seen = spans.withColumn("past", F.max("b").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
     runs = seen.withColumn("run", F.sum(F.when(F.col("a") <= F.col("past"), 0).otherwise(1)).over(by_doc))
     merged = runs.groupBy("rid", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     lists = merged.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")).join(names, "rid")
-    return tables.write(lists.groupBy("fetch_id", "fetch_mark").agg(F.min("spans").alias("spans")))
+    return tables.last(lists.groupBy("fetch_id", "fetch_mark").agg(F.min("spans").alias("spans")) if twins else lists.drop("rid"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,6 +376,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     tables = Tables(docs.sparkSession, "suffix")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     spans = repeated_spans(source, tables, length, gram, most)
-    return _with_lists(source, _fit(spans, "spans"), "left").select("doc_id", "text", "spans").mapInArrow(
+    return _with_lists(source, spans, "spans", "left").select("doc_id", "text", "spans").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
