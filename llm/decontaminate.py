@@ -9,14 +9,21 @@ matter: a passage whose sentences were moved is covered all the same.  A
 document is contaminated by an item when the tiles cover at least
 ``PERCENT`` per cent of the item's words.
 
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, so what is
-sent to the executors has a fixed bound; each block is one pass over the
-documents, without a shuffle.
+The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, counted by
+the same rule as the words that are matched (an item of more words is a block of
+its own), so what is sent to the executors and held by the driver at a time has
+a fixed bound; each block is one pass over the documents without a shuffle, and
+its findings are written before the next block is fetched.
 
 Defined results: null text has no words; items of fewer than SEED_WORDS words
-can't be told from chance and match nothing; repeated rows are judged each; one
-row for each contaminated document and item, none for clean documents; empty
-tables give no rows.
+can't be told from chance and match nothing; repeated rows of documents are
+judged each, repeated rows of the benchmark count once; of equally long tiles
+the one with the least place in document and item is marked first; one row for
+each contaminated document and item, none for clean documents; empty tables give
+no rows; long texts are hashed in numpy as a whole; other columns, whatever
+their names, are left out.  :func:`decontaminated` judges rows and not ids: a
+clean row that shares its id with a contaminated one stays, a contaminated row
+without an id goes.
 """
 
 from __future__ import annotations
@@ -30,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Tables, without_ids
+from llm.common import Tables, without_rows
 from llm.shingles import PUNCTUATION, combine, text_words
 
 SEED_WORDS = 5
 PERCENT = 50
 BLOCK_WORDS = 2_000_000
-SCHEMA = "doc_id long, item_id long, n_covered long, n_item_words long, n_tiles long"
+#: The words of Seeds as a regular expression: runs of letters, digits and non-ASCII characters.
+ITEM_WORD = r"[0-9A-Za-z[^\x00-\x7F]]+"
+SCHEMA = "doc_id long, mark long, item_id long, n_covered long, n_item_words long, n_tiles long"
 
 
 class Seeds:
@@ -125,16 +134,43 @@ def _scan(seeds: Seeds, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            ids = batch.column("doc_id")
+            ids, marks = batch.column("doc_id"), batch.column("mark")
             for at, words in text_words(batch.column("text"), gap=PUNCTUATION):
                 for x, count, tiles in covered(seeds, words, percent):
-                    rows.append((ids[at].as_py(), seeds.ids[x], count, seeds.size[x], tiles))
+                    rows.append((ids[at].as_py(), marks[at].as_py(), seeds.ids[x], count, seeds.size[x], tiles))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return run
 
 
+def _blocks(items: DataFrame) -> Iterator[list]:
+    """The distinct rows of a benchmark in blocks of at most BLOCK_WORDS words, one fetched at a time."""
+    sized = items.distinct().withColumn("n", F.regexp_count("text", F.lit(ITEM_WORD)))
+    words = sized.agg(F.sum("n").alias("n")).first().n or 0
+    if not words:
+        return
+    parts = -(-words // BLOCK_WORDS)
+    place = lambda: F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    while not sized.groupBy(place().alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where((F.col("rows") > 1) & (F.col("n") > BLOCK_WORDS)).isEmpty():
+        parts *= 2
+    for b in range(parts):
+        if block := sized.where(place() == b).select("item_id", "text").collect():
+            yield block
+
+
+def _findings(docs: DataFrame, benchmark: DataFrame, percent: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    tables = Tables(spark, "tiling")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    out = spark.createDataFrame([], SCHEMA)
+    for block in _blocks(items):
+        seeds = Seeds([r.item_id for r in block], [r.text for r in block])
+        out = out.unionByName(tables.write(rows.mapInArrow(_scan(seeds, percent), SCHEMA)))
+    return out
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -145,19 +181,10 @@ def contaminated(
     item_text_col: str = "text",
 ) -> DataFrame:
     """doc_id, item_id, n_covered, n_item_words, n_tiles of every contaminated document and item."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
-    blocks = -(-words // BLOCK_WORDS)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], SCHEMA)
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        out = out.unionByName(rows.mapInArrow(_scan(Seeds([r.item_id for r in block], [r.text for r in block]), percent), SCHEMA))
-    return out
+    return _findings(docs, benchmark, percent, id_col, text_col, item_col, item_text_col).drop("mark")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no benchmark item contaminates; rows without an id stay."""
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).where("doc_id is not null").select("doc_id")
-    return without_ids(docs, id_col, gone, Tables(docs.sparkSession, "tiling"))
+    """The rows of docs that no benchmark item contaminates."""
+    found = _findings(docs, benchmark, PERCENT, id_col, text_col, "item_id", "text")
+    return without_rows(docs, id_col, text_col, found.select("doc_id", "mark").distinct())
