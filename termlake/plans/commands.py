@@ -17,7 +17,7 @@ from termlake.functions.text import term_key
 from termlake.operators import enrich
 from termlake.operators.pairing import map_units
 from termlake.operators.reconcile import best_by_span
-from termlake.plans.english import extract_english, normalized_units, refine
+from termlake.plans.english import check_records, extract_english, normalized_units, refine
 from termlake.sources import csv_units, jsonl
 
 
@@ -35,8 +35,10 @@ def extract(
     if refinements is not None:
         found, done, _ = refine(normalized_units(units), refinements)
         refined = found.select(*candidates.columns)
+        check_records(units, refinements)
     mapped = None
     if mappings is not None:
+        check_records(units, mappings)
         mapped = map_units(normalized_units(units, english=False), best_by_span(candidates, refined, done), mappings)[0]
     jsonl.write_lines(jsonl.extraction_lines(units.select("source_record_id").distinct(), candidates, refined, mapped), out)
     return jsonl.run_summary(counters, issues)

@@ -10,6 +10,7 @@ from termlake.functions import text as tx
 from termlake.operators import enrich, extract, pairing, reconcile, resolve, store
 from termlake.plans.english import ground, normalized_units, refine
 from termlake.plans.inputs import derived, query, table
+from termlake.sources import jsonl
 
 
 def _list(values) -> str:
@@ -360,3 +361,91 @@ def release_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     counts = [out[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n in ("concept", "term", "term_evidence", "concept_relation")]
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+# --- reports and injected callables ---------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY source_record_id ORDER BY start, "end", extractor, text, seq, kind, confidence) - 1 AS n FROM spans)
+SELECT source_record_id, CAST(n AS INT) AS place, start, "end", extractor, 'all' AS part FROM p
+UNION ALL SELECT source_record_id, NULL, start, "end", kind, 'refined' FROM spans WHERE seq % 2 = 0""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction reports as JSON lines, read back: candidates in their order, refined candidates with their types."""
+    rows = derived(spark, sf_dir, "spans").withColumn("types", F.array("kind")).withColumn("text", F.concat_ws("|", "start", "end", "kind"))
+    lines = jsonl.extraction_lines(rows.select("source_record_id").distinct(), rows.drop("kind"), rows.where("seq % 2 = 0").drop("kind"), rows.where("false"))
+    inner = "struct<extraction:struct<source_record_id:string,baseline_candidates:array<struct<start:int,`end`:int,extractor:string>>>>"
+    read = lines.select(F.from_json("value", inner)["extraction"].alias("e")).select("e.source_record_id", F.posexplode("e.baseline_candidates").alias("place", "c"))
+    out = read.select("source_record_id", "place", "c.start", "c.end", "c.extractor", F.lit("all").alias("part"))
+    parts = F.split("text", "[|]")
+    refined = jsonl.refined_terms(lines).select(
+        "source_record_id", F.lit(None).cast("int").alias("place"), parts[0].cast("int").alias("start"), parts[1].cast("int").alias("end"), F.element_at("types", 1).alias("extractor"), F.lit("refined").alias("part")
+    )
+    return out.unionByName(refined)
+
+
+@query("""SELECT p_partkey AS k, p_name || ' é Å é & ộ' AS normalized, CAST(length(p_name) + 20 AS INT) AS last_end, CAST(2 AS INT) AS e_length FROM part""")
+def composed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters with combining marks and entities for them, composed; a composed letter's range is that of its parts."""
+    marks = " e\u0301 A\u030a &#233;  & o\u0323\u0302 "
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", tx.normalize_source(F.concat("p_name", F.lit(marks))).alias("n"))
+    at = F.length("p_name") + 1
+    e = tx.original_span(F.col("n.off_start"), F.col("n.off_end"), at, at + 1)
+    last = F.element_at("n.off_end", -1)
+    return rows.select(F.col("p_partkey").alias("k"), F.col("n.normalized").alias("normalized"), last.alias("last_end"), (e["end"] - e["start"]).alias("e_length"))
+
+
+@query("""SELECT p_partkey AS k, 'LOOKUP_FAILED' AS found, 'no answer for ' || p_name AS message FROM part WHERE left(p_name, 1) = 'b'
+UNION ALL SELECT p_partkey, p_name || '/' || i, NULL FROM part, (VALUES (0), (1)) v(i) WHERE left(p_name, 1) <> 'b' AND (i = 0 OR p_size % 2 = 0)""")
+def injected_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An injected provider that fails on some terms: references of the others, failures as issues."""
+
+    def load():
+        def look(term: str, types: list[str]) -> list[dict]:
+            if term.startswith("b"):
+                raise RuntimeError(f"no answer for {term}")
+            return [{"namespace": "X", "external_id": f"{term}/{i}", "confidence": 0.5} for i in range(1 + ("EVEN" in types))]
+
+        return look
+
+    proposals = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("proposal_id"), F.col("p_name").alias("term"), F.array(F.when(F.col("p_size") % 2 == 0, "EVEN").otherwise("ODD")).alias("type_codes"))
+    found, issues = enrich.apply_lookup(proposals, "own", load)
+    out = found.select(F.col("proposal_id").alias("k"), F.col("external_id").alias("found"), F.lit(None).cast("string").alias("message"))
+    return out.unionByName(issues.select(F.col("proposal_id").alias("k"), F.col("code").alias("found"), "message"))
+
+
+@query("""WITH v AS (SELECT p_partkey AS k, CAST(length(p_name) AS DOUBLE) AS a, CAST(length(p_type) AS DOUBLE) AS b FROM part)
+SELECT k, round(a / sqrt(a * a + b * b + 1), 4) AS x, round(1 / sqrt(a * a + b * b + 1), 4) AS z FROM v""")
+def injected_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of unit length by an injected model."""
+
+    def load():
+        return lambda texts: [[len(t.split("|")[0]), len(t.split("|")[1]), 1.0] for t in texts]
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_name", "p_type").alias("text"))
+    made = resolve.embed(rows, load, 3)
+    part = lambda i: F.round(F.element_at("embedding", i).cast("double"), 4)
+    return made.select(F.col("p_partkey").alias("k"), part(1).alias("x"), part(3).alias("z"))
+
+
+@query("""WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS r, p_name AS t, length(string_split(p_name, ' ')[1]) AS n FROM part)
+SELECT r, left(t, n) AS what, 'CHEMICAL_ENTITY' AS kind, CAST(0.5 AS DOUBLE) AS confidence FROM w WHERE n % 3 <> 0 UNION ALL SELECT r, left(t, n), 'CHEMICAL_ENTITY', 0.9 FROM w WHERE n % 3 <> 0
+UNION ALL SELECT r, 'EXTRACTOR_FAILED', CASE WHEN n % 2 = 0 THEN 'too long' ELSE 'span [0, 9999) is not in the text' END, NULL FROM w WHERE n % 3 = 0""")
+def injected_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An injected model that fails, or gives impossible spans, on some texts: candidates under two adapters, failures as issues."""
+
+    def load():
+        def model(text: str) -> list[dict]:
+            n = len(text.split(" ")[0])
+            if n % 3 == 0 and n % 2 == 0:
+                raise RuntimeError("too long")
+            return [{"start": 0, "end": 9999 if n % 3 == 0 else n, "entity": "B-SOLVENT", "score": 0.5}]
+
+        return model
+
+    units = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("source_record_id"), F.lit(0).alias("text_unit_index"), F.lit("en").alias("language"), F.col("p_name").alias("normalized"))
+    found, issues = extract.apply_model(units, load)
+    labelled = extract.model_labels(found, "m", vocab.REACTION_LABEL_TYPE, vocab.REACTION_LABEL_ROLE, 2)
+    mentions = found.drop("score").withColumn("score", F.lit(None).cast("double")).join(units, list(extract.KEYS))
+    both = labelled.unionByName(extract.mention_candidates(mentions, "cde", 4))
+    out = both.select(F.col("source_record_id").alias("r"), F.col("text").alias("what"), F.element_at("types", 1).alias("kind"), "confidence")
+    return out.unionByName(issues.select(F.col("source_record_id").alias("r"), F.col("code").alias("what"), F.col("message").alias("kind"), F.lit(None).cast("double").alias("confidence")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,19 @@ def extract_english(units: DataFrame, models: Mapping[str, DataFrame] | None = N
     return ground(reconcile(grounded.drop("original_start", "original_end")), rows)[0], issues
 
 
+def model_names(models: Iterable[str] = (), further: str | None = None, reaction_model: str | None = None) -> list[str]:
+    """The models of a plan, each once and in order, the reaction-text model last (and only there)."""
+    given = [*models, *([further] if further else [])]
+    return [*(m for m in dict.fromkeys(given) if m != reaction_model), *([reaction_model] if reaction_model else [])]
+
+
+def check_records(units: DataFrame, results: DataFrame) -> None:
+    """Raises where results name records that units don't have."""
+    lost = results.select("source_record_id").distinct().join(units.select("source_record_id").distinct(), "source_record_id", "left_anti")
+    if found := [r.source_record_id for r in lost.orderBy("source_record_id").limit(5).collect()]:
+        raise ValueError(f"results of records that are not there: {', '.join(map(str, found))}")
+
+
 def refine(units: DataFrame, decisions: DataFrame, answered: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(refined candidates with source offsets, refined units, issues) of recorded decisions on normalised units.
 

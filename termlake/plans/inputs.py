@@ -24,8 +24,9 @@ INPUTS = {
         '-', p_partkey % 10, ' (', upper(substr(p_name, 1, 3)), ') InChI=1S/H2O/h1H2 AAAAAAAAAAAAAA-BBBBBBBBBB-C by ', p_name, ' alloy coating') AS normalized
       FROM {part}""",
     "wide": """SELECT CAST(c_custkey + 2 AS INT) AS row_number, concat('customers:', c_custkey + 2) AS source_record_id,
-      CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE concat('EP-', c_custkey) END AS publication_number, concat('F', c_nationkey) AS family_id,
-      CASE c_custkey % 3 WHEN 0 THEN 'en|DE' WHEN 1 THEN 'en|fr' ELSE 'en' END AS languages,
+      CASE WHEN c_custkey % 11 = 0 THEN ' ' WHEN c_custkey % 23 = 0 THEN repeat('9', 201) ELSE concat('EP-', c_custkey) END AS publication_number, concat('F', c_nationkey) AS family_id,
+      CASE c_custkey % 19 WHEN 0 THEN 'ftp://e.org/x' WHEN 1 THEN 'https://e.org/x' WHEN 2 THEN 'https://' WHEN 3 THEN '' END AS source_uri,
+      CASE WHEN c_custkey % 17 = 0 THEN 'en|no_language_tag| ' ELSE CASE c_custkey % 3 WHEN 0 THEN 'en|DE' WHEN 1 THEN 'en|fr' ELSE 'en' END END AS languages,
       CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_name END AS title_en, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS title_de,
       CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS abstract_zh_hans FROM {customer}""",
     "spans": """SELECT CAST(l_orderkey AS STRING) AS source_record_id, 0 AS text_unit_index, 'en' AS language,

@@ -12,7 +12,7 @@ from termlake.plans import inputs
 from termlake.plans.inputs import derived, query
 from termlake.plans.inputs import table as _table
 from termlake.schemas import violations
-from termlake.sources import csv_units
+from termlake.sources import csv_units, jsonl
 
 QUERIES, SQL = inputs.QUERIES, inputs.SQL
 
@@ -128,10 +128,11 @@ _UNPIVOT = """WITH cells AS (
   SELECT *, unnest([{'l': 'en', 't': title_en, 'k': 'title'}, {'l': 'de', 't': title_de, 'k': 'title'}, {'l': 'zh-Hans', 't': abstract_zh_hans, 'k': 'abstract'}]) AS c,
     unnest([1, 2, 3]) AS i FROM wide),
 kept AS (SELECT * FROM cells WHERE trim(coalesce(c.t, '')) <> ''),"""
+_GOOD = "length(trim(publication_number)) BETWEEN 1 AND 200 AND (coalesce(source_uri, '') = '' OR source_uri LIKE 'https://e%')"
 _COLUMNS = [("title_en", "en", "title"), ("title_de", "de", "title"), ("abstract_zh_hans", "zh-Hans", "abstract")]
 
 
-@query(_UNPIVOT + """ good AS (SELECT * FROM kept WHERE trim(publication_number) <> '')
+@query(_UNPIVOT + f""" good AS (SELECT * FROM kept WHERE {_GOOD})
 SELECT source_record_id, publication_number, CAST(row_number() OVER (PARTITION BY source_record_id ORDER BY i) - 1 AS INT) AS text_unit_index,
   c.l AS language, c.k AS unit_type, c.t AS text FROM good""")
 def unpivot_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,24 +141,27 @@ def unpivot_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("source_record_id", "publication_number", "text_unit_index", "language", "unit_type", "text")
 
 
-@query(_UNPIVOT + """ have AS (SELECT source_record_id, list(DISTINCT c.l) AS h FROM kept GROUP BY 1),
+@query(_UNPIVOT + f""" have AS (SELECT source_record_id, list(DISTINCT c.l) AS h FROM kept GROUP BY 1),
 judged AS (SELECT w.*, h, CASE languages WHEN 'en|DE' THEN ['en', 'de'] WHEN 'en|fr' THEN ['en', 'fr'] ELSE ['en'] END AS d FROM wide w LEFT JOIN have USING (source_record_id))
 SELECT source_record_id, 'MISSING_DECLARED_LANGUAGE' AS code, unnest(list_filter(d, lambda x: NOT list_contains(h, x))) AS detail FROM judged WHERE h IS NOT NULL
 UNION ALL SELECT source_record_id, 'UNDECLARED_AVAILABLE_LANGUAGE', unnest(list_filter(h, lambda x: NOT list_contains(d, x))) FROM judged WHERE h IS NOT NULL
+UNION ALL SELECT source_record_id, 'INVALID_DECLARED_LANGUAGE', 'no_language_tag' FROM judged WHERE h IS NOT NULL AND contains(languages, 'no_language_tag')
 UNION ALL SELECT source_record_id, 'NO_TEXT', 'row rejected' FROM judged WHERE h IS NULL
-UNION ALL SELECT source_record_id, 'CONTRACT_VALIDATION_FAILED', 'row rejected' FROM judged WHERE h IS NOT NULL AND trim(publication_number) = ''""")
+UNION ALL SELECT source_record_id, 'CONTRACT_VALIDATION_FAILED', 'row rejected' FROM judged WHERE h IS NOT NULL AND NOT ({_GOOD})""")
 def language_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language warnings and rejected rows."""
     _, issues, _ = csv_units.to_units(derived(spark, sf_dir, "wide"), _COLUMNS)
     return issues.select("source_record_id", "code", F.col("message").alias("detail"))
 
 
-@query(_UNPIVOT + """ have AS (SELECT DISTINCT source_record_id FROM kept)
-SELECT count(*) AS rows_seen, count(*) FILTER (WHERE h.source_record_id IS NOT NULL AND trim(publication_number) <> '') AS records_emitted,
-  count(*) FILTER (WHERE h.source_record_id IS NULL OR trim(publication_number) = '') AS records_rejected FROM wide w LEFT JOIN have h USING (source_record_id)""")
+@query(_UNPIVOT + f""" have AS (SELECT DISTINCT source_record_id FROM kept)
+SELECT count(*) AS rows_seen, count(*) FILTER (WHERE h.source_record_id IS NOT NULL AND {_GOOD}) AS records_emitted,
+  count(*) FILTER (WHERE h.source_record_id IS NULL OR NOT ({_GOOD})) AS records_rejected,
+  (SELECT count(*) FROM ({SQL["language_warnings"]})) AS adapter_issues FROM wide w LEFT JOIN have h USING (source_record_id)""")
 def adapter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows seen, records emitted and rejected."""
-    return csv_units.to_units(derived(spark, sf_dir, "wide"), _COLUMNS)[2]
+    """Rows seen, records emitted and rejected, issues."""
+    _, issues, counters = csv_units.to_units(derived(spark, sf_dir, "wide"), _COLUMNS)
+    return counters.crossJoin(jsonl.run_summary(counters, issues).select("adapter_issues"))
 
 
 _ABOVE = "CASE k WHEN 'COMPOUND' THEN ['CHEMICAL_ENTITY'] WHEN 'HYDRATE' THEN ['SOLVATE', 'COMPOUND', 'CHEMICAL_ENTITY'] ELSE [] END"

@@ -9,8 +9,13 @@ _INNER = "struct<source_record_id:string,refined_candidates:array<struct<text:st
 
 
 def read_refined_terms(spark: SparkSession, path: str) -> DataFrame:
-    """source_record_id, text, types of the refined candidates of wrapped or bare extraction reports."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    """source_record_id, text, types of the refined candidates of the reports below path."""
+    return refined_terms(spark.read.text(path))
+
+
+def refined_terms(lines: DataFrame) -> DataFrame:
+    """source_record_id, text, types of the refined candidates of wrapped or bare extraction reports (lines of column value)."""
+    lines = lines.where("trim(value) <> ''")
     wrapped = F.from_json("value", f"struct<extraction:{_INNER}>")["extraction"]
     report = F.coalesce(wrapped, F.from_json("value", _INNER))
     return lines.select(report.alias("r")).select("r.source_record_id", F.explode("r.refined_candidates").alias("c")).select(

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from termlake import schemas, vocab
 from termlake.operators import enrich, evaluate, extract, grouped, pairing, reconcile, refine, resolve, store
-from termlake.plans.english import extract_english, normalized_units
+from termlake.plans.english import check_records, extract_english, model_names, normalized_units
 from termlake.plans.english import refine as refine_units
 
 
@@ -205,6 +205,14 @@ def test_a_failed_mapping_leaves_its_siblings_alone(spark):
     assert not got.collect() and [r.code for r in issues.collect()] == ["GROUPED_TARGET_MAPPING_FAILED"]
 
 
+def test_models_of_a_plan_and_records_of_results(spark):
+    assert model_names(["a", "b", "a"], "b") == ["a", "b"] and model_names(["chemu", "a"], reaction_model="chemu") == ["a", "chemu"]
+    rows = normalised(spark, GROUP)
+    check_records(rows, rows.limit(2))
+    with pytest.raises(ValueError, match="zz"):
+        check_records(rows, spark.createDataFrame([("r",), ("zz",)], "source_record_id string"))
+
+
 def test_spans_of_long_texts(spark):
     n = 60_000
     rows = units(spark, "gold alloy é of NaCl at 25 °C " * n)
