@@ -13,17 +13,24 @@ when ``100 * |A & B| >= 80 * |A | B|``.  The work has three parts.
    document consists of such passages.
 2. *Blocks.*  The remaining keys connect documents into candidate clusters
    (connected components, never collected).  Each cluster is dealt into blocks
-   of bounded token count; every pair of blocks is one unit of work.
+   of bounded token and row count; every pair of blocks is one unit of work.
+   Blocks grow with their cluster up to a bound, so a text is sent to 16 units
+   until its cluster has ``16 * BLOCK_TOKENS[1]`` tokens.
 3. *Products.*  For a pair of blocks the incidence rows are multiplied column
    block by column block and overlap counts accumulated; pairs whose sizes
    alone rule out the threshold are masked.  What leaves a task is a spanning
    forest of the links plus each row's number of links, linear in its rows.
 
-Documents with equal shingle sets are one matrix row with a weight.
+Documents with equal shingle sets are one matrix row with a weight.  Tables of
+counts by key are written before they are joined, so that adaptive skew handling
+can split a hot key; those with a row a key grow with the corpus and are never
+broadcast.
 
 Defined results: null or blank text has no shingles and links to nothing; a
 null doc_id is kept and cannot be a component's id while a non-null id is in it;
-repeated rows and repeated ids are separate rows.
+repeated rows and repeated ids are separate rows; of equal sizes and ties
+nothing depends; long texts are hashed in numpy as a whole; an empty table gives
+no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -37,14 +44,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import Tables, broadcast_if_small, groups, without_ids
+from llm.common import WORD, Tables, broadcast_if_small, groups, has_twins, without_rows
 from llm.components import connected_components
-from llm.shingles import distinct, shingle_set, text_words
+from llm.shingles import shingle_set, text_words
 
 PERCENT = 80
 #: Shared keys kept in reserve: at least so many, and this share of a document's shingles.
 RESERVE, RESERVE_SHARE = 32, 0.05
-BLOCK_TOKENS = 100_000
+#: Least and most shingles of a block, and rows.
+BLOCK_TOKENS = (25_000, 1_000_000)
+BLOCK_ROWS = 2_000
 COLUMN_BLOCK = 2048
 
 
@@ -53,54 +62,49 @@ def required(n: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def reserve(n):
+def reserve(n, percent: int = PERCENT):
     """l: how many shared keys a prefix guarantees; never falls as n grows."""
-    return np.minimum(required(n), np.maximum(RESERVE, (RESERVE_SHARE * n).astype(np.int64) + 1))
+    return np.minimum(required(n, percent), np.maximum(RESERVE, (RESERVE_SHARE * n).astype(np.int64) + 1))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(percent: int):
     """One row a document: number of shingles, digest of the set, first shingles by hash."""
-    rid = TaskContext.get().partitionId() << 36
-    for batch in batches:
-        sizes, digests, prefix = [], [], []
-        for _, words in text_words(batch.column("text")):
-            s = shingle_set(words)
-            n = np.int64(len(s))
-            sizes.append(len(s))
-            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            prefix.append(s[: n - required(n) + reserve(n)] if n else s)
-        lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
-        flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(rid, rid + batch.num_rows)),
-                batch.column("doc_id"),
-                batch.column("mark"),
-                pa.array(sizes, pa.int64()),
-                pa.array(digests, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)),
-            ],
-            ["rid", "doc_id", "mark", "n", "digest", "keys"],
-        )
-        rid += batch.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            sizes, digests, prefix = [], [], []
+            for _, words in text_words(batch.column("text")):
+                s = shingle_set(words)
+                n = np.int64(len(s))
+                sizes.append(len(s))
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                prefix.append(s[: n - required(n, percent) + reserve(n, percent)] if n else s)
+            lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
+            flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(rid, rid + batch.num_rows)),
+                    batch.column("doc_id"),
+                    batch.column("mark"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)),
+                ],
+                ["rid", "doc_id", "mark", "n", "digest", "keys"],
+            )
+            rid += batch.num_rows
+
+    return run
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
     """Linking index pairs of the rows' sets; unless the pair is a block with itself, only pairs across the two."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
-    if not same and len(np.unique(side)) == 1:
-        return []
-    if len(sets) <= 6:
-        out = []
-        for i in range(len(sets)):
-            for j in range(i):
-                if (same or side[i] != side[j]) and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]):
-                    both = n[i] + n[j] - len(distinct(np.concatenate((sets[i], sets[j]))))
-                    if 100 * both >= percent * (n[i] + n[j] - both):
-                        out.append((j, i))
-        return out
     left = np.flatnonzero(side == side[0])
     right = left if same else np.flatnonzero(side != side[0])
+    if not len(right):
+        return []
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), n)
     _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
@@ -108,10 +112,13 @@ def _links(sets: list[np.ndarray], side: np.ndarray, same: bool, percent: int) -
     order = np.argsort(column, kind="stable")
     _, column = np.unique(column[order], return_inverse=True)
     row = row[order]
-    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMN_BLOCK):
+    exact = np.float32 if n.max() < 1 << 24 else np.float64
+    overlap = np.zeros((len(left), len(right)), dtype=exact)
+    columns = int(column[-1]) + 1 if len(column) else 0
+    wide = min(COLUMN_BLOCK, columns)
+    for lo in range(0, columns, COLUMN_BLOCK):
         a, b = np.searchsorted(column, (lo, lo + COLUMN_BLOCK))
-        dense = np.zeros((len(sets), COLUMN_BLOCK), dtype=np.float32)
+        dense = np.zeros((len(sets), wide), dtype=exact)
         dense[row[a:b], column[a:b] - lo] = 1
         overlap += dense[left] @ dense[right].T
     i, j = np.nonzero(100 * overlap >= percent * (n[left][:, None] + n[right][None, :] - overlap))
@@ -156,30 +163,30 @@ def _products(percent: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of docs.
-
-    component_id is the least doc_id reachable by links, n_links the number of
-    other rows the row links to.
-    """
-    if percent != PERCENT and not 50 <= percent <= 100:
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, bool]:
+    """For every row doc_id, mark (text hash), n, component_id, n_links and the id and mark that stand for its component; whether rows repeat."""
+    if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     spark: SparkSession = docs.sparkSession
     tables = Tables(spark, "ngram")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    base = tables.write(source.mapInArrow(_prefixes, "rid long, doc_id long, mark long, n long, digest binary, keys array<long>"))
+    base = tables.write(source.mapInArrow(_prefixes(percent), "rid long, doc_id long, mark long, n long, digest binary, keys array<long>"))
+    twins = has_twins(base)
 
     classes = tables.write(
         base.where("n > 0").groupBy("digest").agg(
-            F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.min(F.struct("rid", "doc_id", "mark")).alias("first")
-        ).select("digest", "rid", "doc_id", "weight", F.col("first.doc_id").alias("fetch_id"), F.col("first.mark").alias("mark"))
+            F.count("*").alias("weight"),
+            F.min("doc_id").alias("doc_id"),
+            F.min(F.struct("rid", "doc_id", "mark", "n")).alias("first"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("stays"),
+        ).select("digest", "weight", "doc_id", "stays", "first.rid", "first.n", F.col("first.doc_id").alias("fetch_id"), F.col("first.mark").alias("fetch_mark"))
     )
 
     # keys shared by documents, with their document frequency; then each document's rarest
     rows = base.select("rid", F.explode("keys").alias("h"))
-    frequent = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    frequent = tables.write(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     shared = rows.join(frequent, "h")
-    sizes = base.join(classes.select("rid"), "rid", "left_semi").select("rid", "n")
+    sizes = classes.select("rid", "n")
     least = F.floor((F.col("n") * percent + 99) / 100)
     guaranteed = lambda n: F.least(
         F.floor((n * percent + 99) / 100), F.greatest(F.lit(RESERVE), (n * RESERVE_SHARE).cast("long") + 1)
@@ -188,18 +195,22 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = tables.write(ranked.where(F.col("at") >= guaranteed(least)).select("h", "rid"))
 
     # candidate clusters
-    pivot = keys.groupBy("h").agg(F.min("rid").alias("v"), F.count("*").alias("c")).where("c > 1")
-    edges = keys.join(pivot.select("h", "v"), "h").select(F.col("rid").alias("u"), "v")
+    pivot = tables.write(keys.groupBy("h").agg(F.min("rid").alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v"))
+    edges = keys.join(pivot, "h").select(F.col("rid").alias("u"), "v")
     clusters = connected_components(edges, tables).select(F.col("node").alias("rid"), F.col("root").alias("cluster"))
 
     # blocks: every row goes to each pair of blocks that its own block is in
-    members = clusters.join(sizes, "rid").join(classes.select("rid", "weight", "fetch_id", "mark"), "rid")
-    per = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
-    members = tables.write(members.join(per, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int")))
-    dealt = broadcast_if_small(members, members.count())
+    members = tables.write(clusters.join(classes.select("rid", "n", "weight", "fetch_id", "fetch_mark"), "rid"))
+    tokens = F.sum("n")
+    size = F.least(F.greatest(tokens / 16, F.lit(BLOCK_TOKENS[0])), F.lit(BLOCK_TOKENS[1]))
+    per = tables.write(members.groupBy("cluster").agg(F.ceil(F.greatest(tokens / size, F.count("*") / BLOCK_ROWS)).alias("blocks")))
+    dealt = members.join(broadcast_if_small(per), "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    dealt = broadcast_if_small(tables.write(dealt.drop("n")))
     texts = source.join(
-        dealt, source.doc_id.eqNullSafe(F.col("fetch_id")) & (source.mark == dealt.mark)
+        dealt, source.doc_id.eqNullSafe(F.col("fetch_id")) & (source.mark == F.col("fetch_mark"))
     ).select("cluster", "blocks", "block", "rid", "weight", "text")
+    if twins:
+        texts = texts.groupBy("rid").agg(*[F.min(c).alias(c) for c in texts.columns if c != "rid"])
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select(
         "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rid", "weight", "text"
     )
@@ -208,15 +219,26 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     roots = connected_components(linked.select("u", "v"), tables)
     degree = linked.groupBy(F.col("u").alias("rid")).agg(F.sum("links").alias("links"))
-    named = (
-        classes.select("digest", "rid", "doc_id", "weight")
+    named = tables.write(
+        classes.select("digest", "rid", "doc_id", "weight", "stays")
         .join(roots.withColumnRenamed("node", "rid"), "rid", "left")
         .join(degree, "rid", "left")
-        .select("digest", "doc_id", "weight", F.coalesce("root", "rid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("digest", "doc_id", "stays", F.coalesce("root", "rid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     )
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(ids, "root").select("digest", "component_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
-    return base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left").select(
+    ids = tables.write(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("stays").alias("stays")))
+    found = named.select("digest", "root", "n_links").join(broadcast_if_small(ids), "root")
+    found = tables.write(found.select("digest", "component_id", "n_links", F.col("stays.doc_id").alias("stays_id"), F.col("stays.mark").alias("stays_mark")))
+    every = base.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(broadcast_if_small(found), "digest", "left")
+    return tables.last(every.drop("digest")), twins
+
+
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of docs.
+
+    component_id is the least doc_id reachable by links, n_links the number of
+    other rows the row links to.
+    """
+    return _linked(docs, id_col, text_col, percent)[0].select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -225,10 +247,19 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their link component.
+    """One row of each link component of docs: of those with the least id (null after all others), one.
 
-    Rows that share an id are one document and stay or go together; rows
-    without an id stay.
+    The verdict is taken on rows: of rows that share an id but not their text
+    each is judged by its own text.  Rows without words all stay.
     """
-    gone = ngram_jaccard(docs, id_col, text_col).where("component_id <> doc_id").select("doc_id")
-    return without_ids(docs, id_col, gone, Tables(docs.sparkSession, "ngram"))
+    found, twins = _linked(docs, id_col, text_col, PERCENT)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("stays_id")) & (F.col("mark") == F.col("stays_mark")))
+    gone = Tables(docs.sparkSession, "ngram").write(found.where((F.col("n") > 0) & other).select("doc_id", "mark").distinct())
+    kept = without_rows(docs, id_col, text_col, gone)
+    if not twins:
+        return kept
+    row = F.struct(*[kept[f"`{c}`"] for c in kept.columns]).alias("row")
+    blank = ~F.coalesce(F.rlike(kept[f"`{text_col}`"], F.lit(WORD)), F.lit(False))
+    own = F.when(blank, F.monotonically_increasing_id())
+    rows = kept.select(row, kept[f"`{id_col}`"].alias("id"), F.xxhash64(kept[f"`{text_col}`"]).alias("mark"), own.alias("own"))
+    return rows.dropDuplicates(["id", "mark", "own"]).select("row.*")
