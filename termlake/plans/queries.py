@@ -110,11 +110,14 @@ def source_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("normalized"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS general, p_name AS chemical, replace(p_name, ' ', '') AS formula FROM part")
+@query("""SELECT p_partkey, lower(p_name) || ' (strasse:y)/fi - z ' || chr(39) AS general, p_name || ' (Straße:Y)/ﬁ-z ' || chr(39) AS chemical,
+  replace(p_name, ' ', '') || '(Straße:Y)/ﬁ-z' || chr(39) AS formula, replace(p_name, ' ', '') || '(Straße:Y)/ﬁ-z' || chr(39) AS identifier,
+  lower(p_name) || ' (strasse:y)/fi-z ' || chr(39) AS label FROM part""")
 def term_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of part names under three profiles."""
-    name = F.col("p_name")
-    return _table(spark, sf_dir, "part").select("p_partkey", tx.term_key(name).alias("general"), tx.term_key(name, "chemical_name").alias("chemical"), tx.term_key(name, "formula").alias("formula"))
+    """Keys of part names, with signs and ligatures added, under all profiles."""
+    name = F.concat("p_name", F.lit("  ( Straße : Y ) / ﬁ – z ’"))
+    profiles = {"general": "general", "chemical": "chemical_name", "formula": "formula", "identifier": "identifier", "label": "patent_label"}
+    return _table(spark, sf_dir, "part").select("p_partkey", *[tx.term_key(name, p).alias(c) for c, p in profiles.items()])
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || '-US' WHEN 1 THEN lang || '-Latn' WHEN 2 THEN lang END AS tag FROM documents")
@@ -356,6 +359,12 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.coverage(terms, refs).withColumn("coverage", F.round("coverage", 6))
 
 
+@query("SELECT namespace, CAST(count(DISTINCT proposal_id) AS BIGINT) AS terms FROM refs GROUP BY 1")
+def terms_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms with a reference in each namespace."""
+    return enrich.terms_by_namespace(derived(spark, sf_dir, "refs").withColumn("term", F.col("proposal_id")))
+
+
 @query("""SELECT text, kind, CAST(count(DISTINCT source_record_id) AS INT) AS n_documents, min(source_record_id) AS first_document FROM found_terms GROUP BY 1, 2""")
 def enrich_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct terms with their source documents."""
@@ -395,11 +404,22 @@ def upsert_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("concept_id", "content_hash", (F.col("embedding") != F.col("was")).alias("changed"))
 
 
-@query("SELECT code, label FROM (VALUES " + ", ".join(f"('{c}', '{label}')" for c, label, _ in vocab.CONCEPT_TYPES) + ") v(code, label) UNION ALL VALUES ('OWN', 'Own')")
+def _codes(table: str, rows) -> str:
+    return f"SELECT '{table}' AS table_name, * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}')" for r in rows) + ") v(code, label)"
+
+
+_SEEDS = {"concept_type": vocab.CONCEPT_TYPES, "term_form": vocab.TERM_FORMS, "relation_type": vocab.RELATION_TYPES, "identifier_namespace": vocab.IDENTIFIER_NAMESPACES}
+
+
+@query(" UNION ALL ".join(_codes(n, r) for n, r in _SEEDS.items()) + " UNION ALL VALUES " + ", ".join(f"('{n}', 'OWN', 'Own')" for n in _SEEDS))
 def seed_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing types added and labels refreshed."""
-    have = spark.createDataFrame([("OWN", "Own", None), ("SALT", "old", "COMPOUND")], "code string, label string, parent_code string")
-    return store.seed_into(have, store.seed(spark)["concept_type"], ("label",)).select("code", "label")
+    """Missing codes added to the four vocabulary tables and labels refreshed."""
+    out = None
+    for name, seeds in store.seed(spark).items():
+        have = seeds.limit(1).withColumn("label", F.lit("old")).unionByName(seeds.limit(1).withColumn("code", F.lit("OWN")).withColumn("label", F.lit("Own")))
+        rows = store.seed_into(have, seeds, ("label",)).select(F.lit(name).alias("table_name"), "code", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("""SELECT a.concept_id, a.language AS source_language, a.text AS source_text, b.language AS target_language, b.text AS target_text
