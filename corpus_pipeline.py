@@ -7,6 +7,13 @@ documents go), PII (found spans are masked in the texts) and packing (token
 windows).  A stage's result is written as Parquet in the shared folder and read
 again as the next stage's input, so each stage can be repeated by itself.
 
+Defined results: the verdicts are taken on rows, so a null or repeated doc_id
+neither saves a row nor condemns one.  A null, blank or short text is rejected
+by the first stage; long texts are judged whole.  Of repeated rows, and of copies
+without an id, one stays.  An empty documents or benchmark table gives an empty
+result or no contaminated document.  Columns of documents are kept by all stages
+but the last, whatever their names.
+
 The packed rows are not expressible in SQL (a tokenizer and an online packing
 decide them); the tests hold :func:`run` against a plain version.
 """
@@ -58,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, one after the other."""
     tables = Tables(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = tables.write(stage(spark, docs, sf_dir))
-    return docs
+    *first, (_, last) = STAGES
+    for _, stage in first:
+        docs = tables.last(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)
