@@ -18,9 +18,13 @@ findings that claim the same words, the one with the most aligned words stays.
 
 The templates are a fixed small table (a parameter); each text is handled alone
 in a narrow stage.  Defined results: null text has no words; several windows of
-one template are several rows, overlapping ones are one; offsets are code
-points, end exclusive; a text without license has no row; repeated rows are
-scanned each; an empty table gives no rows.
+one template are several rows, overlapping ones are one; of findings with
+equally many aligned words the shorter template stays; offsets are code points,
+end exclusive; a text without license has no row; a null id stays null; repeated
+rows are scanned each; an empty table gives no rows; long texts are hashed whole
+and only windows around seeds and phrases are aligned; other columns, whatever
+their names, are left out.  Own templates can be read from a table
+(:func:`templates_of`).
 """
 
 from __future__ import annotations
@@ -431,6 +435,18 @@ def _scan(templates: Mapping[str, str], percent: int, identity: Mapping[str, Seq
     return run
 
 
+TEMPLATE_BYTES = 64 << 20
+
+
+def templates_of(table: DataFrame, name_col: str = "license", text_col: str = "text", most: int = TEMPLATE_BYTES) -> dict[str, str]:
+    """Templates by name from a table of license texts, of at most so many bytes as counted; null and blank texts are left out."""
+    rows = table.select(F.col(f"`{name_col}`").cast("string").alias("name"), F.col(f"`{text_col}`").alias("text")).where("name is not null and trim(text) <> ''")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    if size > most:
+        raise ValueError(f"the license texts have {size} bytes; at most {most} are sent to the executors")
+    return {r.name: r.text for r in rows.orderBy("name", "text").collect()}
+
+
 def license_spans(
     docs: DataFrame,
     templates: Mapping[str, str] = TEMPLATES,

@@ -16,7 +16,10 @@ there is no shuffle.  Sequence ids carry the partition id in their upper bits;
 the packed table is written once, so that ids are stable afterwards.
 
 Defined results: null text is empty (its one id is the end mark); a null id
-stays null; repeated rows are packed each; an empty table gives no rows.
+stays null; repeated rows are packed each; of fill levels with equal costs the
+fullest is taken, a new window only where every level costs more; an empty table
+gives no rows; long texts are encoded whole, and a task holds the ids of one text
+and of its open windows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

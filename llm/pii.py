@@ -26,8 +26,11 @@ non-overlapping matches of the kind's pattern, kept or dropped whole.  The
 others are added by the method and never change base spans.
 
 Each text is handled alone in a narrow stage.  Defined results: null text is
-empty; offsets are code points, end exclusive; a null id stays null; repeated
-rows are repeated; other columns are left as they are by :func:`redact`.
+empty, and stays null in :func:`redact`; offsets are code points, end exclusive;
+a null id stays null; repeated rows are repeated; an empty table gives no rows;
+long texts are scanned whole, in time in proportion to their length; spans that
+start at one place are listed in the order of the kinds; other columns, whatever
+their names, are left as they are by :func:`redact` and left out of the report.
 """
 
 from __future__ import annotations

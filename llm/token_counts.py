@@ -6,7 +6,9 @@ returns.  One narrow stage, no shuffle; memory is bounded by a megabyte of text
 a step plus the bounded cache of unit lengths, or by the longest text.
 
 Defined results: a null text is empty (0 bytes, 0 tokens); a null id stays null;
-repeated rows are repeated in the result; an empty table gives no rows.
+repeated rows are repeated in the result; an empty table gives no rows; long
+texts are cut at safe boundaries and counted whole; other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
