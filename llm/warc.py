@@ -2,8 +2,11 @@ r"""WARC archives with an index that is read first.
 
 *Write.*  Records are built and written by Spark: a record's head and payload
 are one text row and the writer ends each row with the two line ends that close
-a WARC record, so each part file is a well-formed uncompressed archive and a
-lost executor's part is written again by Spark's own commit protocol.  Equal
+a WARC record, so each part file is an uncompressed archive and a lost
+executor's part is written again by Spark's own commit protocol.  Every record
+has a record id of its own, a date, a type and a length; the block of a response
+is an HTTP response (head and payload), that of a revisit the HTTP head alone,
+with the profile of identical payload digests.  Equal
 payloads (SHA-1) of at least ``REVISIT_BYTES`` bytes are stored once, in the record
 with the largest page id; the others are revisit records without payload.
 
@@ -20,16 +23,19 @@ mounted folders, S3, GCS, HDFS).
 Defined results: null html is an empty payload; null url is ``-``; line ends in
 a url are percent-coded; a null page id stays null and is never referred to
 unless no row of the group has an id (then all of them are responses); repeated
-rows with the largest id are all responses.
+rows with the largest id are all responses; an empty table gives archives without
+records; long payloads are read alone, whatever their length; other columns of
+pages, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import Tables, broadcast_if_small
@@ -38,13 +44,26 @@ REVISIT_BYTES = 1000
 READ_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
 END = "\r\n\r\n"
+#: Fixed values of the format.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 _NONE = "-"
 INDEX = "path string, offset long, length long, url string, payload_digest string, page_id long, record_type string"
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 
 
-def write_archives(pages: DataFrame, path: str, tables: Tables, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes the pages as WARC records below path."""
+def _uuid(*parts: Column) -> Column:
+    """A name-based uuid of the joined parts, as a WARC identifier."""
+    h = F.md5(F.concat_ws("|", *parts))
+    cut = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), cut[0], F.lit("-"), cut[1], F.lit("-3"), cut[2], F.lit("-8"), cut[3], F.lit("-"), cut[4], F.lit(">"))
+
+
+def write_archives(
+    pages: DataFrame, path: str, tables: Tables, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None
+) -> None:
+    """Writes the pages as WARC records below path; date (now where none is given) is that of the records, as ``2024-01-31T00:00:00Z``."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(html_col, F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
@@ -56,21 +75,34 @@ def write_archives(pages: DataFrame, path: str, tables: Tables, id_col: str = "p
     groups = tables.write(
         rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").select("digest", "keep")
     )
-    joined = rows.join(broadcast_if_small(groups, groups.count()), "digest", "left")
+    again = tables.write(rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("again")))
+    single = groups.join(broadcast_if_small(again.select(F.col("page_id").alias("keep"), "again")), "keep", "left")
+    joined = rows.join(broadcast_if_small(tables.write(single.select("digest", "keep", F.col("again").isNull().alias("named")))), "digest", "left")
+    joined = joined.join(broadcast_if_small(again), "page_id", "left")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
-    name = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit(_NONE)), F.lit(">"))
+    # a page has a record id made of its page id, so that revisits can name it; rows that repeat a page id, or have none, have ids of their own
+    name = lambda x: _uuid(F.lit("page"), x.cast("string"))
+    own = F.when(F.col("page_id").isNotNull() & F.col("again").isNull(), name(F.col("page_id"))).otherwise(
+        _uuid(F.lit("row"), F.coalesce(F.col("page_id").cast("string"), F.lit(_NONE)), F.monotonically_increasing_id().cast("string"))
+    )
+    http = F.concat(F.lit(HTTP_HEAD), F.col("bytes"), F.lit(END))
     record = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), own),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
+        F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
+        F.when(revisit, f"WARC-Profile: {PROFILE}"),
+        F.when(revisit & F.col("named"), F.concat(F.lit("WARC-Refers-To: "), name(F.col("keep")))),
+        F.concat(F.lit("Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit(_NONE))),
+        F.when(revisit, F.concat(F.lit("Refers-To-Page-ID: "), F.col("keep"))),
         F.concat(F.lit("Payload-Length: "), F.col("bytes")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name(F.col("keep")))),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, 0).otherwise(F.col("bytes"))),
+        F.concat(F.lit("Content-Length: "), F.length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))),
     )
-    joined.select(F.concat(record, F.lit(END), F.when(revisit, "").otherwise(F.col("payload"))).alias("value")).write.option("lineSep", END).text(path)
+    joined.select(F.concat(record, F.lit(END), http, F.when(revisit, "").otherwise(F.col("payload"))).alias("value")).write.option("lineSep", END).text(path)
 
 
 def _open(path: str):
@@ -82,8 +114,7 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def _number(name: str) -> int | None:
-    value = name.removeprefix("<urn:page:").removesuffix(">")
+def _number(value: str) -> int | None:
     return None if value == _NONE else int(value)
 
 
@@ -119,7 +150,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())])
     for batch in batches:
         for path in batch.column("path").to_pylist():
-            rows = [(path, at, n, h["WARC-Target-URI"], h["WARC-Payload-Digest"].removeprefix("sha1:"), _number(h["WARC-Record-ID"]), h["WARC-Type"]) for at, n, h in _records(path)]
+            rows = [(path, at, n, h["WARC-Target-URI"], h["WARC-Payload-Digest"].removeprefix("sha1:"), _number(h["Page-ID"]), h["WARC-Type"]) for at, n, h in _records(path)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -136,17 +167,18 @@ def _read(with_payload: bool):
     def flush(path: str, wanted: list[tuple[int, int]]) -> Iterator[tuple]:
         with _open(path) as f:
             f.seek(wanted[0][0])
-            block = f.read(wanted[-1][0] + wanted[-1][1] - wanted[0][0])
+            held = f.read(wanted[-1][0] + wanted[-1][1] - wanted[0][0])
         for at, n in wanted:
-            record = block[at - wanted[0][0] : at - wanted[0][0] + n]
-            head, _, payload = record.partition(END.encode())
+            record = held[at - wanted[0][0] : at - wanted[0][0] + n]
+            head, _, block = record.partition(END.encode())
+            payload = block.partition(END.encode())[2]
             h = _head(head)
             digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["Payload-Length"])
             kind = h["WARC-Type"]
             if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                 raise ValueError(f"{path}: the payload at {at} does not match its digest")
-            refers = _number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
-            yield _number(h["WARC-Record-ID"]), h["WARC-Target-URI"], kind, refers, size, digest, payload.decode() if with_payload and kind == "response" else None
+            refers = _number(h["Refers-To-Page-ID"]) if "Refers-To-Page-ID" in h else None
+            yield _number(h["Page-ID"]), h["WARC-Target-URI"], kind, refers, size, digest, payload.decode() if with_payload and kind == "response" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())])
