@@ -13,21 +13,27 @@ by one of these letters, and no ``<`` of a text is left.
 The loss mask is a list of [start, end) code-point spans of the formatted text,
 one for each assistant text; markers are outside of it.
 
-Turn rows get the offset of their piece from a running sum within the
-conversation; then the turn structs are collected, sorted and joined.
+The turn structs of a conversation are collected and sorted.  Runs of one role
+are merged by array functions: the places where the role changes are filtered
+out of the array of places, and each run is the slice between two of them, joined
+as one block.  Offsets are running sums of piece lengths, folded by array
+aggregation in chunks of ``CHUNK`` pieces, as a fold copies the array it grows.
 
 Defined results: null text or role is empty; turns sort by turn (null first),
 role and text, so ties and repeated rows have one order; a null conv_id is a
-conversation of its own; an empty table gives no rows; other columns are left
-out.
+conversation of its own; an empty table gives no rows; long texts are moved as
+they are; other columns, whatever their names, are left out.  A conversation is
+one output row and so one group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
+#: Pieces of a conversation whose offsets are summed in one fold.
+CHUNK = 256
 _OPEN, _NEXT, _CLOSE = "<turn:", "<next>", "</turn>\n"
 
 
@@ -40,40 +46,56 @@ def _unescape(x: Column) -> Column:
     return F.replace(plain, F.lit("\\b"), F.lit("\\"))
 
 
+def _before(values: Column, first: Column) -> Column:
+    """first plus the sum of the values before each place."""
+    step = lambda a, x: F.struct((a.total + x).alias("total"), F.concat(a.out, F.array(a.total)).alias("out"))
+    return F.aggregate(values, F.struct(first.cast("long").alias("total"), F.array().cast("array<long>").alias("out")), step, lambda a: a.out)
+
+
 def format_chats(
     rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = LOSS_ROLE
 ) -> DataFrame:
     """conv_id, formatted, loss_spans array<struct<start long, end long>> for each conversation."""
-    turns = rows.select(
-        F.col(conv_col).alias("conv_id"),
-        F.col(turn_col).alias("turn"),
-        F.coalesce(role_col, F.lit("")).alias("role"),
-        F.coalesce(text_col, F.lit("")).alias("text"),
+    turn = F.struct(
+        F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")
+    )
+    whole = rows.select(F.col(conv_col).alias("conv_id"), turn.alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("t"))
+    # each array is a column that several expressions name, so that it is built once
+    n = F.size("t")
+    changes = lambda i: (i == 0) | (F.get("t", i).role != F.get("t", i - 1).role)
+    runs = whole.select("conv_id", "t", F.filter(F.sequence(F.lit(0), n - 1), changes).alias("starts"))
+    block = lambda s, k: F.struct(
+        F.get("t", s).role.alias("role"),
+        F.transform(F.slice("t", s + 1, F.coalesce(F.get("starts", k + 1), n) - s), lambda x: _escape(x.text)).alias("texts"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    head = F.when(F.lag("role").over(order) == F.col("role"), _NEXT).otherwise(
-        F.concat(F.lit(_OPEN), F.replace(_escape(F.col("role")), F.lit(">"), F.lit("\\g")), F.lit(">"))
+    blocks = runs.select("conv_id", F.transform("starts", block).alias("blocks"))
+    opened = lambda b: F.concat(F.lit(_OPEN), F.replace(_escape(b.role), F.lit(">"), F.lit("\\g")), F.lit(">"))
+    piece = lambda b, x, k: F.struct(
+        F.when(k == 0, opened(b)).otherwise(_NEXT).alias("head"),
+        x.alias("body"),
+        F.when(k == F.size(b.texts) - 1, _CLOSE).otherwise("").alias("tail"),
+        (b.role == loss_role).alias("loss"),
     )
-    tail = F.when(F.lead("role").over(order) == F.col("role"), "").otherwise(_CLOSE)
-    cut = turns.select("*", head.alias("head"), _escape(F.col("text")).alias("body"), tail.alias("tail"))
-    size = F.length("head") + F.length("body") + F.length("tail")
-    placed = cut.select(
+    pieces = blocks.select("conv_id", F.flatten(F.transform("blocks", lambda b: F.transform(b.texts, lambda x, k: piece(b, x, k)))).alias("pieces"))
+    sized = pieces.select(
         "conv_id",
-        F.struct(
-            F.row_number().over(order).alias("at"),
-            F.concat("head", "body", "tail").alias("piece"),
-            (F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head")).alias("start"),
-            F.length("body").alias("length"),
-            (F.col("role") == loss_role).alias("loss"),
-        ).alias("t"),
+        "pieces",
+        F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.body, p.tail)), "").alias("formatted"),
+        F.transform("pieces", lambda p: (F.length(p.head) + F.length(p.body) + F.length(p.tail)).cast("long")).alias("sizes"),
     )
-    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return whole.select(
+    parts = sized.select(
+        "conv_id", "pieces", "formatted", F.transform(F.sequence(F.lit(0), F.size("sizes") - 1, F.lit(CHUNK)), lambda i: F.slice("sizes", i + 1, F.lit(CHUNK))).alias("parts")
+    )
+    totals = F.transform("parts", lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
+    offsets = F.flatten(F.zip_with("parts", _before(totals, F.lit(0)), _before))
+    span = lambda p, at: F.struct(
+        (at + F.length(p.head)).alias("start"), (at + F.length(p.head) + F.length(p.body)).alias("end"), p.loss.alias("loss")
+    )
+    spans = parts.select("conv_id", "formatted", F.zip_with("pieces", offsets, span).alias("spans"))
+    return spans.select(
         "conv_id",
-        F.array_join(F.transform("t", lambda t: t.piece), "").alias("formatted"),
-        F.transform(
-            F.filter("t", lambda t: t.loss), lambda t: F.struct(t.start.alias("start"), (t.start + t.length).alias("end"))
-        ).alias("loss_spans"),
+        "formatted",
+        F.transform(F.filter("spans", lambda s: s.loss), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("loss_spans"),
     )
 
 
