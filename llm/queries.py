@@ -61,7 +61,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats")
+    )
 
 
 QUERIES: dict[str, Query] = {
@@ -119,13 +121,14 @@ FROM told""",
     "op7_quality_rules": f"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL.format(text="coalesce(text, '')")} AS w,
+    coalesce(lower(regexp_extract(lang, '^[A-Za-z]+')) IN ('', {", ".join(f"'{x}'" for x in quality.LANGUAGES)}), true) AS known_lang,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 windows AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
 counts AS (
-  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  SELECT doc_id, known_lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols,
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
     len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality.STOP_WORDS))}))) AS n_stop_words
@@ -133,7 +136,7 @@ counts AS (
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT ({" OR ".join(f"{r.scale} * {r.measure} {r.op} {r.bound} * {r.base or 1}" for r in quality.METHOD_RULES)}) AS kept
+  NOT base_failed AND NOT ({" OR ".join(f"{'known_lang AND ' * r.spoken}{r.scale} * {r.measure} {r.op} {r.bound} * {r.base or 1}" for r in quality.METHOD_RULES)}) AS kept
 FROM judged""",
     "op9_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
