@@ -110,15 +110,16 @@ def map_units(units: DataFrame, candidates: DataFrame, decisions: DataFrame, lan
     keys = ["source_record_id", "source_unit", "target_unit"]
     asked = mapping_requests(units, languages)
     numbered = numbered_candidates(candidates, asked)
-    d = decisions.withColumn("source_index", F.expr("try_cast(substr(source_id, 2) AS int)")).join(asked.select(*keys), keys, "left_semi")
-    uncovered = coverage_errors(numbered, d, keys)
-    rows = d.join(uncovered, keys, "left_anti").join(numbered, ["source_record_id", "source_unit", "source_index"]).join(asked, keys)
+    d = decisions.withColumn("source_index", F.expr("try_cast(substr(source_id, 2) AS int)")).join(asked.drop("source_units"), keys)
+    of = [*keys, "target_language", "grouped"]
+    uncovered = coverage_errors(numbered, d, of)
+    rows = d.join(uncovered, keys, "left_anti").join(numbered, ["source_record_id", "source_unit", "source_index"])
     rows = rows.withColumn("span", F.when(F.col("target_text").isNotNull(), ground(F.col("text"), F.col("target_text"), F.col("target_start"), F.col("target_end"))))
     rows = rows.withColumn("lost", F.col("target_text").isNotNull() & F.col("span").isNull())
     rows = rows.withColumn("local", local_span(F.col("segments"), F.col("span.start"), F.col("span.end")))
-    crossing = rows.where("span is not null and local is null").groupBy(*keys).agg(F.concat(F.lit("a target crosses sections: "), F.min("target_text")).alias("message"))
+    crossing = rows.where("span is not null and local is null").groupBy(*of).agg(F.concat(F.lit("a target crosses sections: "), F.min("target_text")).alias("message"))
     code = F.when(F.col("grouped"), "GROUPED_TARGET_MAPPING_FAILED").otherwise("TARGET_MAPPING_FAILED")
-    issues = uncovered.unionByName(crossing).join(asked, keys).select(
+    issues = uncovered.unionByName(crossing).select(
         "source_record_id", F.col("target_unit").alias("text_unit_index"), "target_language", code.alias("code"), "message"
     )
     own = units.select("source_record_id", F.col("text_unit_index").alias("target_text_unit_index"), "off_start", "off_end")

@@ -113,7 +113,7 @@ UNITS = "source_record_id string, text_unit_index int, language string, unit_typ
 
 
 def normalised(spark, rows):
-    return normalized_units(spark.createDataFrame(rows, UNITS), english=False)
+    return held(normalized_units(spark.createDataFrame(rows, UNITS), english=False))
 
 
 GROUP = [
@@ -131,8 +131,13 @@ MAPPED = (
 )
 
 
+def held(df):
+    """The rows of a small plan, so that what is built on it does not repeat it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def candidates_of(units):
-    return extract_english(units.drop("normalized", "off_start", "off_end"))[0]
+    return held(extract_english(units.drop("normalized", "off_start", "off_end"))[0])
 
 
 def test_title_and_abstract_are_refined_together(spark):
