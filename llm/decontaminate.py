@@ -43,6 +43,8 @@ from llm.shingles import PUNCTUATION, combine, text_words
 SEED_WORDS = 5
 PERCENT = 50
 BLOCK_WORDS = 2_000_000
+#: Hash places a block, by which the benchmark is dealt into blocks.
+FINE = 64
 #: The words of Seeds as a regular expression: runs of letters, digits and non-ASCII characters.
 ITEM_WORD = r"[0-9A-Za-z[^\x00-\x7F]]+"
 SCHEMA = "doc_id long, mark long, item_id long, n_covered long, n_item_words long, n_tiles long"
@@ -145,18 +147,28 @@ def _scan(seeds: Seeds, percent: int):
 
 
 def _blocks(items: DataFrame) -> Iterator[list]:
-    """The distinct rows of a benchmark in blocks of at most BLOCK_WORDS words, one fetched at a time."""
+    """The distinct rows of a benchmark in blocks of at most BLOCK_WORDS words, one fetched at a time.
+
+    Rows are dealt by hash to FINE places a block, whose words are counted;
+    neighbouring places make a block as long as it stays within the bound.
+    """
     sized = items.distinct().withColumn("n", F.regexp_count("text", F.lit(ITEM_WORD)))
     words = sized.agg(F.sum("n").alias("n")).first().n or 0
-    if not words:
+    places = FINE * -(-words // BLOCK_WORDS)
+    if not places:
         return
-    parts = -(-words // BLOCK_WORDS)
-    place = lambda: F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    while not sized.groupBy(place().alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where((F.col("rows") > 1) & (F.col("n") > BLOCK_WORDS)).isEmpty():
-        parts *= 2
-    for b in range(parts):
-        if block := sized.where(place() == b).select("item_id", "text").collect():
-            yield block
+    while True:
+        place = F.pmod(F.xxhash64("item_id", "text"), F.lit(places))
+        counts = sized.groupBy(place.alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).orderBy("place").collect()
+        if all(c.rows == 1 or c.n <= BLOCK_WORDS for c in counts):
+            break
+        places *= 2
+    first, size = None, 0
+    for c, after in zip(counts, [*counts[1:], None], strict=True):
+        first, size = c.place if first is None else first, size + c.n
+        if after is None or size + after.n > BLOCK_WORDS:
+            yield sized.where(place.between(first, c.place)).select("item_id", "text").collect()
+            first, size = None, 0
 
 
 def _findings(docs: DataFrame, benchmark: DataFrame, percent: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
