@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from llm import chat, common, decontaminate, licenses, ngram_join, packing, pii, quality, queries, suffix_dedup, token_counts, units, warc
+from llm import chat, common, components, decontaminate, licenses, ngram_join, packing, pii, quality, queries, suffix_dedup, token_counts, units, warc
 from llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, gone_id string, w string, row int"
@@ -157,7 +157,9 @@ def test_keep_one(spark, odd_texts):
     assert {r.doc_id for r in kept.collect()} == {i for i, _, c, _ in brute_components(odd_texts) if i == c}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
     root = {}
@@ -444,7 +446,7 @@ def test_license_templates_from_a_table(spark):
     with pytest.raises(ValueError, match="bytes"):
         licenses.templates_of(table, most=10)
     rows = spark.createDataFrame([(None, "x One two, three four five six! y", "a"), (1, "one two", "b"), (None, None, "c")], "doc_id long, text string, license string")
-    assert [tuple(r) for r in licenses.license_spans(rows, templates).collect()] == [(None, "own", 2, 31, 6, 7)]
+    assert [tuple(r) for r in licenses.license_spans(rows, templates).collect()] == [(None, "own", 2, 30, 6, 7)]
 
 
 def test_changed_grants_are_found(spark):
@@ -798,6 +800,47 @@ def test_pipeline(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "pii", "packing"]
 
 
+def plain_verdict(text, lang):
+    """The quality rules, written out."""
+    n, chars, symbols, dup_lines, repeated, failed = brute_quality(text)
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    stop = sum(w.lower() in set(quality.STOP_WORDS) for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    known = lang is None or re.match("[A-Za-z]*", lang)[0].lower() in ("", "en", "de", "fr", "es")
+    return not (failed or chars < 2 * n or 100 * symbols > 15 * n or 100 * dup_lines > 50 * len(lines) or known and (chars > 25 * n or 100 * stop < 2 * n))
+
+
+def test_pipeline_against_a_plain_version(spark, sf_dir):
+    import corpus_pipeline
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    docs = [r for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist() if plain_verdict(r["text"], r["lang"])]
+    docs.sort(key=lambda r: r["doc_id"])
+    docs = [docs[i] for i, _, root, _ in brute_components([r["text"] for r in docs]) if i == root]
+    words = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    items = [w for w in (words(r["text"]) for r in pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()) if len(w) >= 5]
+    clean = []
+    for r in docs:
+        w = words(r["text"])
+        near = [x for x in items if grams(x) & grams(w)]
+        if not any(100 * brute_tiles(w, x, 5)[0] >= 50 * len(x) for x in near):
+            clean.append(r)
+    assert 0 < len(clean) < len(docs)
+    rows = spark.createDataFrame([(r["doc_id"], r["text"]) for r in clean], "doc_id long, text string")
+    model = Tokenizer.from_file(units.tokenizer_path("byte_bpe_50k.json"))
+    want = {r.doc_id: [*model.encode(r.text, add_special_tokens=False).ids, 1] for r in pii.redact(rows).collect()}
+    got = defaultdict(list)
+    for p in corpus_pipeline.run(spark, sf_dir).collect():
+        got[p.doc_id].append(p)
+    assert set(got) == set(want)
+    for d, pieces in got.items():
+        ids = np.array(want[d], dtype="<u4")
+        pieces.sort(key=lambda p: p.start)
+        assert [p.start for p in pieces] == [0, *np.cumsum([p.length for p in pieces])[:-1].tolist()] and sum(p.length for p in pieces) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces)
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     import corpus_pipeline
 
