@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ TOP_K, FUZZY = 8, 0.25
 DIMENSIONS = 1024
 #: Bytes of a query set or index that is sent to every executor, as counted.
 BROADCAST_BYTES = 64 << 20
+#: Grams of a block of asked texts; counters of pairs that a task holds at a time.
+BLOCK_GRAMS, CELLS = 1_000_000, 4_000_000
 
 
 def exact_signal(proposals: DataFrame, terms: DataFrame) -> DataFrame:
@@ -36,39 +39,82 @@ def identifier_signal(proposals: DataFrame, identifiers: DataFrame, namespaces:
 
 
 def _named(rows: DataFrame, text: str) -> DataFrame:
-    """language, two hashes that stand for a text, its grams and their number."""
+    """Two hashes that stand for a text in its language, and its grams with the language before each."""
     key = [F.xxhash64("language", text).alias("a"), F.hash("language", text).alias("b")]
-    return rows.select("language", *key, trigrams(F.col(text)).alias("g")).withColumn("n", F.size("g")).where("n > 0")
-
-
-def trigram_signal(proposals: DataFrame, terms: DataFrame, threshold: float = FUZZY, most: int = 2 * TOP_K) -> DataFrame:
+    named = F.transform(trigrams(F.col(text)), lambda x: F.concat("language", F.lit(":"), x))
+    return rows.select(*key, named.alias("g")).where("size(g) > 0")
+
+
+class _Index:
+    """The asked texts of a block by gram: names, sizes, and for each gram the places of the texts that have it."""
+
+    def __init__(self, rows: list):
+        self.a, self.b = np.array([r.a for r in rows], dtype=np.int64), np.array([r.b for r in rows], dtype=np.int32)
+        self.n = np.array([len(r.g) for r in rows], dtype=np.int64)
+        self.gram: dict[str, int] = {}
+        gram = np.array([self.gram.setdefault(x, len(self.gram)) for r in rows for x in r.g], dtype=np.int64)
+        self.text = np.repeat(np.arange(len(rows)), self.n)[np.argsort(gram, kind="stable")]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(gram, minlength=len(self.gram)))))
+
+    def alike(self, grams: pa.ListArray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, asked text, similarity) of the pairs at the threshold, from the number of grams that they share."""
+        sizes = np.diff(grams.offsets.to_numpy())
+        known = grams.flatten().dictionary_encode()
+        number = np.array([self.gram.get(x, -1) for x in known.dictionary.to_pylist()], dtype=np.int64)
+        gram, row = number[known.indices.to_numpy()], np.repeat(np.arange(len(grams)), sizes)
+        gram, row = gram[gram >= 0], row[gram >= 0]
+        step, out = max(1, CELLS // len(self.n)), []
+        for lo in range(0, len(grams), step):
+            x, y = np.searchsorted(row, (lo, lo + step))
+            many = self.first[gram[x:y] + 1] - self.first[gram[x:y]]
+            at = np.repeat(self.first[gram[x:y]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if y > x else np.zeros(0, dtype=np.int64)
+            rows = min(step, len(grams) - lo)
+            shared = np.bincount(np.repeat(row[x:y] - lo, many) * len(self.n) + self.text[at], minlength=rows * len(self.n)).reshape(rows, -1)
+            score = shared / (sizes[lo : lo + rows, None] + self.n[None, :] - shared)
+            i, j = np.nonzero(score >= threshold)
+            out.append((i + lo, j, score[i, j]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def trigram_signal(proposals: DataFrame, terms: DataFrame, threshold: float = FUZZY, most: int = 2 * TOP_K, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """proposal_id, concept_id, trigram: the most similar concepts of a proposal, at least at the threshold.
 
-    Shared grams are counted: an inverted index of the asked texts (one row a
-    gram, with the list of texts that have it) is joined to the grams of the
-    known texts, and sizes and counts alone give the similarity; no gram list
-    takes part in a shuffle.  Equal texts are one text, named by 96 hash bits.
-    Sizes rule pairs out before they are counted.  A small index is broadcast
-    (its rows are the asked grams); beyond that the join shuffles.
+    Shared grams are counted.  The asked texts are a stated query set: they are
+    dealt into blocks of counted size, and the inverted index of a block is sent
+    to the known texts, where Arrow batches count the grams that each known text
+    shares with every asked one; sizes and counts alone give the similarity, and
+    only pairs at the threshold leave a task.  Equal texts are one text, named by
+    96 hash bits.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    active = terms.where(F.col("status").isin(*ACTIVE)).select("language", F.col("normalized_text").alias("s"))
+    active = terms.where(F.col("status").isin(*ACTIVE))
     asked = _named(proposals.select("language", F.col("normalized_term").alias("s")).distinct(), "s")
-    known = _named(active.distinct(), "s")
-    entry = F.struct(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("n").alias("pn"))
-    index = asked.select("language", F.explode("g").alias("x"), entry.alias("e")).groupBy("language", "x").agg(F.collect_list("e").alias("asked"))
-    cells = known.select("language", F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("n").alias("tn"), F.explode("g").alias("x"))
-    near = lambda e: (e["pn"] >= threshold * F.col("tn")) & (F.col("tn") >= threshold * e["pn"])
-    size = asked.agg(F.sum("n").alias("n")).first().n or 0
-    hits = cells.join(index.hint("broadcast") if 20 * size <= BROADCAST_BYTES else index, ["language", "x"])
-    hits = hits.select("ta", "tb", "tn", F.explode(F.filter("asked", near)).alias("e")).select("ta", "tb", "tn", "e.*")
-    counted = hits.groupBy("pa", "pb", "ta", "tb", "pn", "tn").agg(F.count("*").alias("c"))
-    alike = counted.select("pa", "pb", "ta", "tb", (F.col("c").cast("double") / (F.col("pn") + F.col("tn") - F.col("c"))).alias("trigram")).where(F.col("trigram") >= threshold)
+    known = _named(active.select("language", F.col("normalized_text").alias("s")).distinct(), "s")
+    size = asked.agg(F.sum(F.size("g")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // block_grams))
+
+    def counted(index: _Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i, j, score = index.alike(batch.column("g"), threshold) if len(index.n) else ([], [], [])
+                if len(i):
+                    of = pa.array(i)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(index.a[j]), pa.array(index.b[j]), batch.column("a").take(of), batch.column("b").take(of), pa.array(score)], ["pa", "pb", "ta", "tb", "trigram"]
+                    )
+
+        return run
+
+    alike = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.col("a"), F.lit(blocks)) == block).collect()
+        found = known.mapInArrow(counted(_Index(rows)), "pa long, pb int, ta long, tb int, trigram double")
+        alike = found if alike is None else alike.unionByName(found)
     p = proposals.select("proposal_id", F.xxhash64("language", "normalized_term").alias("pa"), F.hash("language", "normalized_term").alias("pb"))
-    concepts = terms.where(F.col("status").isin(*ACTIVE)).select("concept_id", F.xxhash64("language", "normalized_text").alias("ta"), F.hash("language", "normalized_text").alias("tb")).distinct()
-    found = alike.join(concepts, ["ta", "tb"]).groupBy("pa", "pb", "concept_id").agg(F.max("trigram").alias("trigram"))
-    return top(found.join(p, ["pa", "pb"]).select("proposal_id", "concept_id", "trigram"), "trigram", most)
+    concepts = active.select("concept_id", F.xxhash64("language", "normalized_text").alias("ta"), F.hash("language", "normalized_text").alias("tb")).distinct()
+    best = alike.join(concepts, ["ta", "tb"]).groupBy("pa", "pb", "concept_id").agg(F.max("trigram").alias("trigram"))
+    return top(best.join(p, ["pa", "pb"]).select("proposal_id", "concept_id", "trigram"), "trigram", most)
 
 
 def vector_signal(

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from termlake import schemas, vocab
+from termlake.functions import similarity
 from termlake.operators import enrich, evaluate, extract, grouped, pairing, reconcile, refine, resolve, store
 from termlake.plans.english import check_records, extract_english, model_names, normalized_units
 from termlake.plans.english import refine as refine_units
@@ -258,6 +261,22 @@ def test_embedding_hook_and_vector_search(spark):
         resolve.vector_signal(spark.createDataFrame([("p", [1.0])], "proposal_id string, query_embedding array<float>"), stored).collect()
 
 
+def test_trigrams_of_blocks_equal_pairwise_similarity(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 4)))
+    p = spark.createDataFrame([(f"p{i}", rng.choice(("en", "de")), text()) for i in range(40)] + [("same", "en", "ab abé"), ("null", "en", None)], "proposal_id string, language string, normalized_term string")
+    t = spark.createDataFrame(
+        [(i % 30, rng.choice(("en", "de")), text(), rng.choice(("accepted", "rejected"))) for i in range(90)] + [(1, "en", "ab abé", "accepted")], "concept_id int, language string, normalized_text string, status string"
+    )
+    sim = similarity.trigram_similarity(similarity.trigrams(F.col("normalized_term")), similarity.trigrams(F.col("normalized_text")))
+    pairs = p.join(t.where("status = 'accepted'"), "language").withColumn("trigram", sim).where("trigram >= 0.25").groupBy("proposal_id", "concept_id").agg(F.max("trigram").alias("trigram"))
+    want = {(r.proposal_id, r.concept_id): pytest.approx(r.trigram) for r in pairs.collect()}
+    for grams in (1_000_000, 25):
+        got = {(r.proposal_id, r.concept_id): r.trigram for r in resolve.trigram_signal(p, t, most=99, block_grams=grams).collect()}
+        assert got == want and len(got) > 50
+    assert resolve.trigram_signal(p.where("false"), t).count() == 0 and resolve.trigram_signal(p, t.where("false")).count() == 0
+
+
 def test_a_failed_lookup_leaves_the_others_alone(spark):
     def load():
         def look(term, types):
