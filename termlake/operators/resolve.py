@@ -84,7 +84,8 @@ def trigram_signal(proposals: DataFrame, terms: DataFrame, threshold: float = FU
     to the known texts, where Arrow batches count the grams that each known text
     shares with every asked one; sizes and counts alone give the similarity, and
     only pairs at the threshold leave a task.  Equal texts are one text, named by
-    96 hash bits.
+    96 hash bits.  The driver holds the indexes of all blocks until the query has
+    run, about 20 bytes a gram of the query set.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
