@@ -31,8 +31,11 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -164,38 +167,60 @@ def one_edit(a: str, b: str) -> bool:
     """Whether the words, a not longer than b, differ by exactly one inserted, deleted or replaced letter."""
     if a == b or len(b) - len(a) > 1:
         return False
-    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    half = len(a) // 2
+    at = half if a[:half] == b[:half] else 0
+    while at < len(a) and a[at] == b[at]:
+        at += 1
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
+@lru_cache(maxsize=100_000)
+def _short(word: str) -> list[int]:
+    return grams(word).tolist()
+
+
 class Index:
-    """Positional postings of the words of one block."""
+    """Positional postings of the words of one block: (gram, place) to the numbers of its words, ascending."""
 
     def __init__(self, words: list[str]):
         self.words = words
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.postings: dict[tuple[int, int], list[int]] = {}
         for w, word in enumerate(words):
-            for place, gram in enumerate(grams(word).tolist()):
-                self.postings.setdefault(gram, []).append((w, place))
+            for place, gram in enumerate(self.codes(word)):
+                self.postings.setdefault((gram, place), []).append(w)
+
+    @staticmethod
+    def codes(word: str) -> list[int]:
+        return _short(word) if len(word) < 100 else grams(word).tolist()
+
+    def near(self, query: str, length: int, before: int | None = None) -> Iterator[int]:
+        """Numbers of the words of the length (the query's or one more) that are one edit from the query, those below before only.
 
-    def near(self, query: str, before: int | None = None) -> Iterator[int]:
-        """Numbers of the words one edit from the query (below before): postings merged by a heap, counted, verified."""
-        size = len(query)
+        A word has to be on ``least`` of the query's lists.  So it is on one of those that
+        remain without the ``least - 1`` longest: these are merged by a heap, and what
+        comes out is looked up in the longest ones.
+        """
+        least = length - 2 * Q + 1
         lists = []
-        for place, gram in enumerate(grams(query).tolist()):
-            held = self.postings.get(gram)
-            if held:
-                found = [w for w, p in held if 0 <= p - place <= len(self.words[w]) - size and (before is None or w < before)]
+        for place, gram in enumerate(self.codes(query)):
+            for p in range(place, place + length - len(query) + 1):
+                found = self.postings.get((gram, p))
                 if found:
-                    lists.append(found)
-        last, met = -1, 0
-        for w in [*heapq.merge(*lists), -1]:
-            if w == last:
-                met += 1
-                continue
-            if last >= 0 and met >= len(self.words[last]) - 2 * Q + 1 and one_edit(query, self.words[last]):
-                yield last
-            last, met = w, 1
+                    lists.append(found if before is None else found[: bisect_left(found, before)])
+        lists.sort(key=len)
+        cut = len(lists) - least + 1
+        if cut < 1:
+            return
+        long = lists[cut:]
+        for w, group in groupby(heapq.merge(*lists[:cut]) if cut > 1 else lists[0]):
+            met = sum(1 for _ in group)
+            for held in long:
+                if met >= least:
+                    break
+                at = bisect_left(held, w)
+                met += at < len(held) and held[at] == w
+            if met >= least and one_edit(query, self.words[w]):
+                yield w
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +241,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(words[:known])
         for i, r in enumerate(roles):
             if r:
-                out += [(words[i], ns[i], words[w], ns[w]) for w in index.near(words[i], i if r == 1 else None)]
+                out += [(words[i], ns[i], words[w], ns[w]) for w in index.near(words[i], len(words[i]) + (r == 3), i if r == 1 else None)]
         if len(out) > 50_000:
             yield flush()
             out = []
