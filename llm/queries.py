@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, licenses, ngram_join, packing, pii, quality, spelling, suffix_dedup, token_counts, warc, whitening
+from llm import chat, decontaminate, licenses, ngram_join, packing, pii, quality, spelling, suffix_dedup, token_counts, token_files, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,7 +74,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files_round_trip(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op13_token_id_output": op13_token_id_output,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_spelling_variants": op12_spelling_variants,
     "op4_suffix_dedup": op4_suffix_dedup,
