@@ -3,11 +3,11 @@ r"""Spelling variants: words one edit apart, found by a positional q-gram invert
 *Words.*  Each task counts the runs of letters of its documents and hands on
 one row a distinct word; counts are combined before and after one shuffle.
 
-*Blocks.*  One edit destroys at most ``Q`` of a word's q-grams, so of two words one
-edit apart the ``Q + 1`` rarest grams of each (in one order of all grams, by how
-many words have them) meet in at least one gram, whose places differ by nothing
-or by one.  A block is a gram, a place and a word length: words of that length
-are its index, words of that length or one less are its queries.
+*Blocks.*  A word is cut into three pieces; one edit leaves two of them as they are,
+each at its place or one letter later.  A block is all words of a length that
+have two pieces in common (a long positional gram), as its index, with the
+words of that length or of one letter less as its queries.  So near words meet
+in a block, mostly in one, and few others do.
 
 *Index and count filter.*  Inside a block an inverted index maps each gram to
 postings (word, place).  The postings of a query's grams that lie within the
@@ -15,7 +15,7 @@ place limit are merged by a heap; a word that is met at least as often as one
 edit must leave grams (max length - 2 Q + 1) is kept and verified letter by letter.
 
 A block with more than ``BLOCK_WORDS`` rows is cut into salted parts: each pair of
-parts is a block of its own, in a task of its own, so no group is unbounded.
+parts is a block of its own, so no group is unbounded.
 
 Forms are followed to their roots by pointer jumping; n grows tenfold at every
 step, so five rounds are enough.
@@ -39,10 +39,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import Tables, broadcast_if_small, groups
+from llm.common import Tables, broadcast_if_small
 
 Q = 3
 LEAST_LENGTH = 7
@@ -53,6 +53,8 @@ FACTOR = 10
 TYPO = 31
 #: Words of a block that are indexed in one task.
 BLOCK_WORDS = 2_000
+#: Pairs handed on at a time.
+OUT = 50_000
 #: Bytes of words that a task counts before it hands them on.
 HELD_BYTES = 32 << 20
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -118,49 +120,28 @@ def grams(word: str) -> np.ndarray:
     return codes
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BASE**Q, dtype=np.int64)
-    for batch in batches:
-        for word in batch.column("word").to_pylist():
-            total[np.unique(grams(word))] += 1
-    met = np.flatnonzero(total)
-    if len(met):
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["gram", "n"])
-
-
-def gram_order(words: DataFrame) -> np.ndarray:
-    """The rank of every gram, rarest first; its size is bounded by the alphabet (729,000 numbers)."""
-    rows = words.select("word").mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(BASE**Q, dtype=np.int64)
-    for row in rows:
-        total[row.gram] = row.n
-    rank = np.empty(BASE**Q, dtype=np.int32)
-    rank[np.argsort(total, kind="stable")] = np.arange(BASE**Q, dtype=np.int32)
-    return rank
-
+def _pieces(shorter: Column, later: int) -> list[Column]:
+    """Hashes of the pairs of pieces of a word, cut where a word of the shorter length is cut; later: letters that it has more."""
+    word, size = F.col("word"), F.length("word")
+    one, two = (shorter / 3).cast("int"), (shorter * 2 / 3).cast("int")
+    head = lambda n: F.substring(word, F.lit(1), n)
+    tail = lambda n: F.substring(word, n + later + 1, size)
+    return [
+        F.xxhash64(F.lit(2), shorter, head(two)),
+        F.xxhash64(F.lit(1), shorter, head(one), tail(two)),
+        F.xxhash64(F.lit(0), shorter, tail(one)),
+    ]
 
-def _key(gram: int, place: int, length: int) -> int:
-    """A block's number; where very long words wrap around, blocks only become larger."""
-    return gram | (length & 0x1FFFFF) << 20 | (place & 0x1FFFFF) << 41
-
-
-def _blocks(rank: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, own, at = [], [], []
-            for i, word in enumerate(batch.column("word").to_pylist()):
-                g, size = grams(word), len(word)
-                for place in np.argsort(rank[g], kind="stable")[: Q + 1].tolist():
-                    gram = int(g[place])
-                    keys += (_key(gram, place, size), _key(gram, place, size + 1), _key(gram, place + 1, size + 1))
-                    own += (True, False, False)
-                    at += (i, i, i)
-            each = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(own), batch.column("word").take(each), batch.column("n").take(each)], ["key", "own", "word", "n"]
-            )
 
-    return run
+def blocks(words: DataFrame) -> DataFrame:
+    """(key, role, word, n): the blocks of each word; role 1 indexes and asks among words of its length, 0 is indexed, 3 asks for words one letter longer."""
+    size = F.length("word")
+    longer = F.xxhash64(F.lit("longer"), F.col("k"))
+    same = [F.struct(k.alias("k"), F.lit(1).alias("role")) for k in _pieces(size, 0)]
+    indexed = [F.struct(k.alias("k"), F.lit(0).alias("role")) for k in _pieces(size - 1, 1)]
+    asks = [F.struct(k.alias("k"), F.lit(3).alias("role")) for k in _pieces(size, 0)]
+    rows = words.select("word", "n", F.explode(F.array(*same, *indexed, *asks)).alias("b")).select("b.*", "word", "n")
+    return rows.select(F.when(F.col("role") == 1, F.col("k")).otherwise(longer).alias("key"), "role", "word", "n")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -223,47 +204,58 @@ class Index:
                 yield w
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The near pairs of each block; rows are sorted by block, and in it the index comes first."""
-    out: list[tuple] = []
+def groups_of_two(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal (integer) keys, sorted by them, as tables of at least two rows; only one group is held."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        columns = [table.column(k).to_numpy() for k in keys]
+        ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        starts = np.concatenate([[0], ends])
+        sizes = np.diff(starts)
+        for k in np.flatnonzero(sizes > 1):
+            yield table.slice(int(starts[k]), int(sizes[k]))
+        held = table.slice(int(starts[-1]))
+    if held is not None and held.num_rows > 1:
+        yield held
 
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["word", "n", "other", "other_n"])
 
-    for block in groups(batches, ["key", "left", "right"]):
-        if block.num_rows < 2:
-            continue
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The near pairs of each block; rows are sorted by block, and in it the index comes first."""
+    for block in groups_of_two(batches, ["key", "left", "right"]):
         roles, words, ns = (block.column(c).to_pylist() for c in ("role", "word", "n"))
         # role 0: in the index; 1: index and query; 2: query of the same length; 3: query one letter shorter
         known = sum(r < 2 for r in roles)
         if not known:
             continue
         index = Index(words[:known])
-        for i, r in enumerate(roles):
-            if r:
-                out += [(words[i], ns[i], words[w], ns[w]) for w in index.near(words[i], len(words[i]) + (r == 3), i if r == 1 else None)]
-        if len(out) > 50_000:
-            yield flush()
-            out = []
-    if out:
-        yield flush()
+        out = [
+            (words[i], ns[i], words[w], ns[w])
+            for i, r in enumerate(roles)
+            if r
+            for w in index.near(words[i], len(words[i]) + (r == 3), i if r == 1 else None)
+        ]
+        for lo in range(0, len(out), OUT):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[lo : lo + OUT], strict=True)], ["word", "n", "other", "other_n"])
 
 
 def near_pairs(words: DataFrame, tables: Tables) -> DataFrame:
     """(word, n, other, other_n): every pair of words one edit apart, once and in one direction."""
-    rows = tables.write(words.mapInArrow(_blocks(gram_order(words)), "key long, own boolean, word string, n long"))
-    large = rows.groupBy("key").agg(F.count("*").alias("m"), F.max("own").alias("any_own")).where(f"m > {BLOCK_WORDS}")
-    large = tables.write(large.where("any_own").select("key", F.expr(f"CAST(m div {BLOCK_WORDS} + 1 AS INT)").alias("cut")))
+    rows = blocks(words)
+    large = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("role").alias("least")).where(f"m > {BLOCK_WORDS}")
+    large = tables.write(large.where("least < 2").select("key", F.expr(f"CAST(m div {BLOCK_WORDS} + 1 AS INT)").alias("cut")))
     cut = rows.join(broadcast_if_small(large), "key", "left").withColumn("cut", F.coalesce("cut", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("word"), F.col("cut")).cast("int"))
-    # part h is indexed in the blocks (h, j) and asks in the blocks (i, h); two parts of equal words meet in (i, j) with i < j
-    asks = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda i: F.struct(i.alias("left"), F.col("salt").alias("right"), F.lit(3).alias("role")))
-    indexed = F.transform(
-        F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.col("salt").alias("left"), j.alias("right"), F.when(j == F.col("salt"), 1).otherwise(0).alias("role"))
-    )
-    same = F.when(
-        F.col("salt") > 0, F.transform(F.sequence(F.lit(0), F.col("salt") - 1), lambda i: F.struct(i.alias("left"), F.col("salt").alias("right"), F.lit(2).alias("role")))
-    ).otherwise(F.array())
-    dealt = cut.select("key", "word", "n", F.explode(F.when(F.col("own"), F.concat(indexed, same)).otherwise(asks)).alias("b")).select("key", "b.*", "word", "n")
+    # part h is indexed in the blocks (h, j) and asks in the blocks (i, h); two parts of words of one length meet in (i, j) with i < j
+    parts_of = lambda last, left, right, role: F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(left(p).alias("left"), right(p).alias("right"), role(p).alias("role")))
+    salt, last = F.col("salt"), F.col("cut") - 1
+    indexed = parts_of(last, lambda p: salt, lambda p: p, lambda p: F.when((p == salt) & (F.col("role") == 1), 1).otherwise(0))
+    asks = parts_of(last, lambda p: p, lambda p: salt, lambda p: F.lit(3))
+    before = F.when((F.col("role") == 1) & (salt > 0), parts_of(salt - 1, lambda p: p, lambda p: salt, lambda p: F.lit(2))).otherwise(F.array())
+    dealt = cut.select("key", "word", "n", F.explode(F.when(F.col("role") < 2, F.concat(indexed, before)).otherwise(asks)).alias("b")).select("key", "b.*", "word", "n")
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "left", "right").sortWithinPartitions("key", "left", "right", "role", "word")
     return dealt.mapInArrow(_pairs, "word string, n long, other string, other_n long").distinct()
