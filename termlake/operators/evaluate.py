@@ -53,3 +53,23 @@ def termhood(mentions: DataFrame) -> DataFrame:
     around = inner.groupBy("text").agg(F.sum("freq").alias("outer_freq"), F.count("*").alias("outer_terms"))
     nested = F.when(F.col("outer_terms") > 0, F.col("outer_freq") / F.col("outer_terms")).otherwise(0.0)
     return stats.join(around, "text", "left").select("text", F.col("n").alias("words"), "freq", "records", (F.log2(F.col("n") + 1) * (F.col("freq") - nested)).alias("c_value"))
+
+
+def pairwise_f1(members: DataFrame, gold: str = "gold", found: str = "found") -> DataFrame:
+    """tp, found_pairs, gold_pairs, precision, recall, f1 over all pairs of items that a cluster joins, from counts alone.
+
+    Each row is an item with its gold and its found cluster.  No pair is made: the
+    pairs of a cluster of n items are n (n - 1) / 2, those of both clusterings the same over the cells of the
+    contingency table, whose counts are combined before the shuffle.  An item without a cluster
+    (null) is alone in it.  Ratios without a denominator are null.
+    """
+    cells = members.groupBy(F.col(gold).alias("g"), F.col(found).alias("f")).agg(F.count("*").alias("n"))
+    # rows, columns and cells of the table in one pass over the cells
+    known = cells.groupingSets([["g"], ["f"], ["g", "f"]], "g", "f").agg(F.sum("n").alias("n"), F.grouping_id().alias("kind"))
+    known = known.where("(kind in (2) or g is not null) and (kind in (1) or f is not null)")
+    pairs = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n").cast("decimal(38,0)") * (F.col("n") - 1) / 2)), F.lit(0)).cast("long")
+    sums = known.agg(pairs(0).alias("tp"), pairs(2).alias("found_pairs"), pairs(1).alias("gold_pairs"))
+    p, r = F.col("tp") / F.nullif(F.col("found_pairs"), F.lit(0)), F.col("tp") / F.nullif(F.col("gold_pairs"), F.lit(0))
+    rated = sums.withColumn("precision", p.cast("double")).withColumn("recall", r.cast("double"))
+    both = F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0))
+    return rated.select("tp", "found_pairs", "gold_pairs", "precision", "recall", (2 * F.col("precision") * F.col("recall") / both).alias("f1"))

@@ -483,4 +483,4 @@ def brier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.brier(rows).select(F.round("brier", 6).alias("brier"))
 
 
-from termlake.plans import contract_queries  # noqa: E402,F401  registers its queries
+from termlake.plans import concept_queries, contract_queries  # noqa: E402,F401  register their queries

@@ -23,7 +23,7 @@ def canon(rows):
     return sorted([tuple(map(cell, r)) for r in rows], key=repr)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [name for name in QUERIES if name in SQL])
 def test_queries_equal_their_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
