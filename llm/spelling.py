@@ -34,7 +34,6 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -58,11 +57,6 @@ OUT = 50_000
 #: Bytes of words that a task counts before it hands them on.
 HELD_BYTES = 32 << 20
 _UPPER = {c: c + 32 for c in range(65, 91)}
-#: The letters that a lower-cased run can have: a to z and U+00C0 to U+00FF.
-LETTERS = [*range(97, 123), *range(0xC0, 0x100)]
-BASE = len(LETTERS)
-_CODE = np.zeros(256, dtype=np.int64)
-_CODE[LETTERS] = np.arange(BASE)
 
 
 def typed(doc: str, run: str) -> str:
@@ -110,14 +104,9 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def grams(word: str) -> np.ndarray:
-    """The codes of a word's q-grams, in order."""
-    c = _CODE[np.frombuffer(word.encode("latin-1"), dtype=np.uint8)]
-    n = len(c) - Q + 1
-    codes = np.zeros(n, dtype=np.int64)
-    for k in range(Q):
-        codes = codes * BASE + c[k : n + k]
-    return codes
+def grams(word: str) -> list[str]:
+    """A word's q-grams, in order of their places."""
+    return [word[i : i + Q] for i in range(len(word) - Q + 1)]
 
 
 def _pieces(shorter: Column, later: int) -> list[Column]:
@@ -155,24 +144,15 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-@lru_cache(maxsize=100_000)
-def _short(word: str) -> list[int]:
-    return grams(word).tolist()
-
-
 class Index:
     """Positional postings of the words of one block: (gram, place) to the numbers of its words, ascending."""
 
     def __init__(self, words: list[str]):
         self.words = words
-        self.postings: dict[tuple[int, int], list[int]] = {}
+        self.postings: dict[tuple[int, str], list[int]] = {}
         for w, word in enumerate(words):
-            for place, gram in enumerate(self.codes(word)):
-                self.postings.setdefault((gram, place), []).append(w)
-
-    @staticmethod
-    def codes(word: str) -> list[int]:
-        return _short(word) if len(word) < 100 else grams(word).tolist()
+            for at in enumerate(grams(word)):
+                self.postings.setdefault(at, []).append(w)
 
     def near(self, query: str, length: int, before: int | None = None) -> Iterator[int]:
         """Numbers of the words of the length (the query's or one more) that are one edit from the query, those below before only.
@@ -183,11 +163,14 @@ class Index:
         """
         least = length - 2 * Q + 1
         lists = []
-        for place, gram in enumerate(self.codes(query)):
+        postings = self.postings
+        for place, gram in enumerate(grams(query)):
             for p in range(place, place + length - len(query) + 1):
-                found = self.postings.get((gram, p))
+                found = postings.get((p, gram))
+                if found and before is not None:
+                    found = found[: bisect_left(found, before)]
                 if found:
-                    lists.append(found if before is None else found[: bisect_left(found, before)])
+                    lists.append(found)
         lists.sort(key=len)
         cut = len(lists) - least + 1
         if cut < 1:
@@ -204,43 +187,55 @@ class Index:
                 yield w
 
 
-def groups_of_two(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal (integer) keys, sorted by them, as tables of at least two rows; only one group is held."""
-    held: pa.Table | None = None
+def _groups_of_two(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[list]]:
+    """The columns, as lists, of consecutive rows with equal (integer) keys, at least two; only one group is held beside a batch."""
+    last, held = None, [[] for _ in columns]
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        columns = [table.column(k).to_numpy() for k in keys]
-        ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        starts = np.concatenate([[0], ends])
-        sizes = np.diff(starts)
-        for k in np.flatnonzero(sizes > 1):
-            yield table.slice(int(starts[k]), int(sizes[k]))
-        held = table.slice(int(starts[-1]))
-    if held is not None and held.num_rows > 1:
+        ks = [batch.column(k).to_numpy() for k in keys]
+        values = [batch.column(c).to_pylist() for c in columns]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in ks], axis=0)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        first = [int(k[0]) for k in ks]
+        if first == last:
+            for h, v in zip(held, values, strict=True):
+                h += v[: edges[1]]
+            edges = edges[1:]
+        if len(edges) > 1:
+            if len(held[0]) > 1:
+                yield held
+            for lo, hi in zip(edges[:-2], edges[1:-1], strict=True):
+                if hi - lo > 1:
+                    yield [v[lo:hi] for v in values]
+            held = [v[edges[-2] :] for v in values]
+        last = [int(k[-1]) for k in ks]
+    if len(held[0]) > 1:
         yield held
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The near pairs of each block; rows are sorted by block, and in it the index comes first."""
-    for block in groups_of_two(batches, ["key", "left", "right"]):
-        roles, words, ns = (block.column(c).to_pylist() for c in ("role", "word", "n"))
+    out: list[tuple] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(out), OUT):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[lo : lo + OUT], strict=True)], ["word", "n", "other", "other_n"])
+        out.clear()
+
+    for roles, words, ns in _groups_of_two(batches, ["key", "left", "right"], ["role", "word", "n"]):
         # role 0: in the index; 1: index and query; 2: query of the same length; 3: query one letter shorter
         known = sum(r < 2 for r in roles)
-        if not known:
+        if not known or not roles[-1]:
             continue
         index = Index(words[:known])
-        out = [
-            (words[i], ns[i], words[w], ns[w])
-            for i, r in enumerate(roles)
-            if r
-            for w in index.near(words[i], len(words[i]) + (r == 3), i if r == 1 else None)
-        ]
-        for lo in range(0, len(out), OUT):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out[lo : lo + OUT], strict=True)], ["word", "n", "other", "other_n"])
+        for i, r in enumerate(roles):
+            if r:
+                for w in index.near(words[i], len(words[i]) + (r == 3), i if r == 1 else None):
+                    out.append((words[i], ns[i], words[w], ns[w]))
+        if len(out) >= OUT:
+            yield from flush()
+    yield from flush()
 
 
 def near_pairs(words: DataFrame, tables: Tables) -> DataFrame:
