@@ -42,6 +42,10 @@ _LEARN = 12
 _MIX = 1 << 15
 _EDGE = 2047
 
+def _where(truth: np.ndarray) -> np.ndarray:
+    return truth.nonzero()[0]
+
+
 _K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _D = np.arange(-_EDGE, _EDGE + 1)
 #: Logistic function of d / 256 in 12 bits, and its inverse.
@@ -50,9 +54,20 @@ STRETCH = np.array([min(max(round(256 * math.log((p + 0.5) / (4095.5 - p))), -_E
 _J = np.arange(16)
 #: What a nibble's distribution moves to: nearly all mass on the nibble seen, some on every other.
 _TARGET = np.where(_J[None, :] <= _J[:, None], _J * _GAP, _ONE - (16 - _J) * _GAP).astype(np.int16)
+_BYTES = np.uint64(0x0101010101010101)
+#: A distribution of 16 cumulated counts as one item, so that numpy moves whole rows.
+_ROW = np.dtype("V32")
 _FLAT = (_J * (_ONE // 16)).astype(np.int16)
 
 
+def _share(rows: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of a nibble's part of each row's range; the last one ends at 2^15, which int16 wraps to below zero."""
+    flat, at = rows.reshape(-1), np.arange(0, rows.size, 16) + value
+    start = flat.take(at)
+    size = np.where(value < 15, flat.take(at + 1, mode="clip"), np.int16(-_ONE)) - start
+    return start.astype(np.uint32), size.view(np.uint16).astype(np.uint32)
+
+
 class _Writer:
     """Range encoders of many lanes; a lane's words are in out[lane, : at[lane]]."""
 
@@ -76,12 +91,12 @@ class _Writer:
     def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
         before = self.low[lanes]
         r = self.range[lanes] >> np.uint32(_BITS)
-        low = before + start.astype(np.uint32) * r
-        width = size.astype(np.uint32) * r
-        carry = np.flatnonzero(low < before)
+        low = before + start * r
+        width = size * r
+        carry = _where(low < before)
         if len(carry):
             self._carry(carry if isinstance(lanes, slice) else lanes[carry])
-        small = np.flatnonzero(width < 0x10000)
+        small = _where(width < 0x10000)
         if len(small):
             which = small if isinstance(lanes, slice) else lanes[small]
             self.out[which, self.at[which]] = low[small] >> np.uint32(16)
@@ -92,16 +107,13 @@ class _Writer:
         self.range[lanes] = width
 
     def flag(self, lanes, p: np.ndarray, value: np.ndarray) -> np.ndarray:
-        self.put(lanes, np.where(value, 0, p), np.where(value, p, _ONE - p))
+        p = p.astype(np.uint32)
+        self.put(lanes, np.where(value, np.uint32(0), p), np.where(value, p, np.uint32(_ONE) - p))
         return value
 
     def nibble(self, lanes, rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-        flat, at = rows.ravel(), np.arange(0, rows.size, 16) + value
-        start = flat[at].astype(np.int32)
-        end = np.full(len(at), _ONE, np.int32)
-        inner = np.flatnonzero(value < 15)
-        end[inner] = flat[at[inner] + 1]
-        self.put(lanes, start, end - start)
+        start, size = _share(rows, value)
+        self.put(lanes, start, size)
         return value
 
     def end(self) -> list[np.ndarray]:
@@ -127,7 +139,7 @@ class _Reader:
         pass
 
     def _take(self, lanes, code: np.ndarray, width: np.ndarray) -> None:
-        small = np.flatnonzero(width < 0x10000)
+        small = _where(width < 0x10000)
         if len(small):
             which = small if isinstance(lanes, slice) else lanes[small]
             at = self.at[which]
@@ -140,22 +152,21 @@ class _Reader:
     def flag(self, lanes, p: np.ndarray, value: None) -> np.ndarray:
         r = self.range[lanes] >> np.uint32(_BITS)
         code = self.code[lanes]
+        whole = r << np.uint32(_BITS)
         bound = p.astype(np.uint32) * r
         hit = code < bound
-        self._take(lanes, np.where(hit, code, code - bound), np.where(hit, bound, (_ONE - p).astype(np.uint32) * r))
+        self._take(lanes, np.where(hit, code, code - bound), np.where(hit, bound, whole - bound))
         return hit
 
     def nibble(self, lanes, rows: np.ndarray, value: None) -> np.ndarray:
         r = self.range[lanes] >> np.uint32(_BITS)
         code = self.code[lanes]
         target = np.minimum(code // r, np.uint32(_ONE - 1)).astype(np.int16)
-        value = (rows <= target[:, None]).sum(axis=1) - 1
-        flat, at = rows.ravel(), np.arange(0, rows.size, 16) + value
-        start = flat[at].astype(np.int32)
-        end = np.full(len(at), _ONE, np.int32)
-        inner = np.flatnonzero(value < 15)
-        end[inner] = flat[at[inner] + 1]
-        self._take(lanes, code - start.astype(np.uint32) * r, (end - start).astype(np.uint32) * r)
+        # sixteen truth bytes a row, added up in two machine words
+        below = (rows <= target[:, None]).view(np.uint64)
+        value = (((below[:, 0] + below[:, 1]) * _BYTES) >> np.uint64(56)).astype(np.int64) - 1
+        start, size = _share(rows, value)
+        self._take(lanes, code - start * r, size * r)
         return value
 
 
@@ -168,7 +179,7 @@ class _Contexts:
 
     def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self.slot = self.base[: len(key)] + (key >> np.uint32(32 - _SLOTS))
-        self.now = self.held[self.slot]
+        self.now = self.held.take(self.slot)
         self.guess, self.trust = self.now >> np.uint32(4), self.now & np.uint32(15)
         return self.guess, self.trust
 
@@ -193,7 +204,7 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, nibbles: int, ids: np.nd
     sizes = [min(16**k, _NODES) for k in range(nibbles)]
     bases = np.concatenate([[0], np.cumsum(sizes)])
     nodes = int(bases[-1])
-    order0 = np.tile(_FLAT, (lanes * nodes, 1))
+    order0 = np.tile(_FLAT, lanes * nodes).view(_ROW)
     lane_node = np.arange(lanes, dtype=np.int64) * nodes
     last, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
@@ -209,10 +220,10 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, nibbles: int, ids: np.nd
         now = None if ids is None else ids[step, :n]
         i2 = at16[:n] + trust2
         i1 = at32[:n] + trust1 + ((guess1 == guess2) << 4)
-        p2, p1 = sure2[i2], sure1[i1]
-        s2, s1 = STRETCH[p2 >> 4], STRETCH[p1 >> 4]
+        p2, p1 = sure2.take(i2), sure1.take(i1)
+        s2, s1 = STRETCH.take(p2 >> 4), STRETCH.take(p1 >> 4)
         w2, w1 = weight2[:n], weight1[:n]
-        p = SQUASH[np.clip((w2 * s2 + w1 * s1) >> 16, -_EDGE, _EDGE) + _EDGE]
+        p = SQUASH.take(np.minimum(np.maximum((w2 * s2 + w1 * s1) >> 16, -_EDGE), _EDGE) + _EDGE)
         hit = coder.flag(all_lanes, p << (_BITS - 12), None if now is None else guess2 == now)
         error = ((hit.astype(np.int32) << 12) - p) * _LEARN
         w2 += s2 * error >> 16
@@ -221,27 +232,27 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, nibbles: int, ids: np.nd
         sure2[i2] = p2 + (goal - p2 >> 5)
         sure1[i1] = p1 + (goal - p1 >> 5)
         found = np.where(hit, guess2, np.uint32(0))
-        missed = np.flatnonzero(~hit)
+        missed = _where(~hit)
         if len(missed):
             asked = missed[(guess1[missed] != guess2[missed]) & (trust1[missed] > 0)]
             if len(asked):
                 i = at16[asked] + trust1[asked]
                 p = other[i]
-                hit1 = coder.flag(asked, np.clip(p >> 1, 32, _ONE - 32), None if now is None else guess1[asked] == now[asked])
+                hit1 = coder.flag(asked, np.minimum(np.maximum(p >> 1, 32), _ONE - 32), None if now is None else guess1[asked] == now[asked])
                 other[i] = p + (hit1.astype(np.int32) * 65535 - p >> 5)
                 right = asked[hit1]
                 found[right] = guess1[right]
                 hit[right] = True
-                missed = np.flatnonzero(~hit)
+                missed = _where(~hit)
         if len(missed):
             prefix = np.zeros(len(missed), np.int64)
             left = None if now is None else now[missed].astype(np.int64)
             for k in range(nibbles):
                 at = lane_node[missed] + bases[k] + (prefix & (sizes[k] - 1))
-                rows = order0[at]
+                rows = order0.take(at).view(np.int16).reshape(-1, 16)
                 value = coder.nibble(missed, rows, None if left is None else left >> 4 * (nibbles - 1 - k) & 15)
-                rows += _TARGET[value] - rows >> _RATE
-                order0[at] = rows
+                rows += _TARGET.take(value, axis=0) - rows >> _RATE
+                order0[at] = rows.reshape(-1).view(_ROW)
                 prefix = prefix << 4 | value
             found[missed] = prefix
         two.learn(found)
