@@ -17,30 +17,42 @@ from termlake.functions.text import term_key
 from termlake.operators import enrich
 from termlake.operators.pairing import map_units
 from termlake.operators.reconcile import best_by_span
-from termlake.plans.english import check_records, extract_english, normalized_units, refine
+from termlake.plans.english import check_records, extract_english, model_names, normalized_units, refine
 from termlake.sources import csv_units, jsonl
 
 
 def extract(
-    spark: SparkSession, path: str, out: str, models: dict[str, DataFrame] | None = None, refinements: DataFrame | None = None, mappings: DataFrame | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    out: str,
+    models: dict[str, DataFrame] | None = None,
+    refinements: DataFrame | None = None,
+    mappings: DataFrame | None = None,
+    failures: DataFrame | None = None,
+    answered: DataFrame | None = None,
+    languages: list[str] | None = None,
 ) -> DataFrame:
     """Writes one JSON line a record below out; processed, rejected and adapter_issues.
 
     models are tables of candidates by name, refinements and mappings recorded
-    decisions on the requests of english.refine and pairing.map_units.
+    decisions on the requests of english.refine and pairing.map_units; failures are
+    the texts that a model failed on, answered the requests that were answered by no
+    decision at all; languages bounds the mapping.  What went wrong is told in each
+    record's issues.
     """
     units, issues, counters = csv_units.read_units(spark, path)
-    candidates, _ = extract_english(units, models)
+    candidates, told = extract_english(units, {name: (models or {})[name] for name in model_names(models or {})}, failures)
     refined, done = candidates.where("false"), candidates.select("source_record_id", "text_unit_index").where("false")
     if refinements is not None:
-        found, done, _ = refine(normalized_units(units), refinements)
-        refined = found.select(*candidates.columns)
+        found, done, more = refine(normalized_units(units), refinements, answered)
+        refined, told = found.select(*candidates.columns), told.unionByName(more.select(*told.columns))
         check_records(units, refinements)
-    mapped = None
+    mapped = map_issues = None
     if mappings is not None:
         check_records(units, mappings)
-        mapped = map_units(normalized_units(units, english=False), best_by_span(candidates, refined, done), mappings)[0]
-    jsonl.write_lines(jsonl.extraction_lines(units.select("source_record_id").distinct(), candidates, refined, mapped), out)
+        mapped, map_issues = map_units(normalized_units(units, english=False), best_by_span(candidates, refined, done), mappings, languages)
+    lines = jsonl.extraction_lines(units.select("source_record_id").distinct(), candidates, refined, mapped, done, told, map_issues)
+    jsonl.write_lines(lines, out)
     return jsonl.run_summary(counters, issues)
 
 
@@ -80,6 +92,10 @@ def main(argv: list[str] | None = None) -> int:
     one = jobs.add_parser("extract")
     one.add_argument("input")
     one.add_argument("output")
+    one.add_argument("--model", action="append", default=[], metavar="NAME=PATH", help="a Parquet table of a model's candidates")
+    for name in ("refinements", "mappings", "failures", "answered"):
+        one.add_argument(f"--{name}", help="a Parquet table")
+    one.add_argument("--pair-languages", nargs="*")
     two = jobs.add_parser("enrich")
     for name in ("input", "snapshots", "output"):
         two.add_argument(name)
@@ -87,7 +103,9 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(PurePosixPath(args.output).name).getOrCreate()
     if args.job == "extract":
-        print(json.dumps(extract(spark, args.input, args.output).first().asDict()))
+        tables = {n: spark.read.parquet(p) for n in ("refinements", "mappings", "failures", "answered") if (p := getattr(args, n))}
+        models = {n: spark.read.parquet(p) for n, _, p in (m.partition("=") for m in args.model)}
+        print(json.dumps(extract(spark, args.input, args.output, models, languages=args.pair_languages, **tables).first().asDict()))
     else:
         print(enrich_report(spark, args.input, args.snapshots, args.output, args.documents).first().value)
     return 0

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termlake.functions.text import language_tag
 
@@ -23,16 +27,50 @@ def _strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
 
 
-def read_csv(spark: SparkSession, path: str, source_name: str | None = None) -> DataFrame:
-    """The records of one CSV file as strings, with row_number (from 2) and source_record_id.
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each record's ordinal in its file, from 2: a file is read by one task, from its start to its end."""
+    file, count = None, 0
+    for batch in batches:
+        files = batch.column("_file").to_pylist()
+        numbers = []
+        for f in files:
+            file, count = (f, count + 1) if f == file else (f, 2)
+            numbers.append(count)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "row_number"])
+
+
+def _plain(path: Column) -> Column:
+    """A file's path without percent codes."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files below path by their first line; files without a line are left out."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(_plain(F.col("_metadata.file_path")).alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    out: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect():
+        out.setdefault(row.head.removeprefix("\ufeff").rstrip("\r"), []).append(row.file)
+    return {head: sorted(files) for head, files in sorted(out.items())}
+
+
+def read_csv(spark: SparkSession, path: str | list[str], source_name: str | None = None) -> DataFrame:
+    """The records of CSV files (one, several or all of a folder) as strings, with row_number (long, from 2 in each file) and source_record_id.
 
-    One file a call: quoted line breaks keep a file in one task, so the task's
-    row counter is the record's ordinal.
+    Files with different headers are read by header and joined by column name;
+    columns that a file lacks are null.  A header is one line.  Quoted line breaks
+    keep a file in one task; records are numbered while they pass, without a shuffle.
     """
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    name = F.lit(source_name) if source_name else F.element_at(F.split(F.input_file_name(), "/"), -1)
-    numbered = rows.withColumn("row_number", (F.monotonically_increasing_id() + 2).cast("int"))
-    return numbered.withColumn("source_record_id", F.concat_ws(":", name, "row_number"))
+    options = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    groups = list(headers(spark, path).values())
+    parts = [options.csv(files) for files in groups] if len(groups) > 1 else [options.csv(path)]
+    out = None
+    for rows in parts:
+        kept = rows.withColumn("_file", F.col("_metadata.file_path"))
+        schema = T.StructType([*kept.schema.fields, T.StructField("row_number", T.LongType())])
+        numbered = kept.mapInArrow(_numbered, schema)
+        out = numbered if out is None else out.unionByName(numbered, allowMissingColumns=True)
+    name = F.lit(source_name) if source_name else F.element_at(F.split(_plain(F.col("_file")), "/"), -1)
+    return out.withColumn("source_record_id", F.concat_ws(":", name, "row_number")).drop("_file")
 
 
 def text_columns(spark: SparkSession, columns: list[str]) -> tuple[list[tuple[str, str, str]], list[str]]:
@@ -117,17 +155,17 @@ def to_units(rows: DataFrame, found: list[tuple[str, str, str]]) -> tuple[DataFr
     return units, issues, counters
 
 
-def read_units(spark: SparkSession, path: str, source_name: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(text units, issues with those of the header, counters) of one CSV file."""
+def read_units(spark: SparkSession, path: str | list[str], source_name: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(text units, issues with those of the header, counters) of CSV files (see :func:`read_csv`)."""
     rows = read_csv(spark, path, source_name)
     found, bad = text_columns(spark, [c for c in rows.columns if c not in ("row_number", "source_record_id")])
     units, issues, counters = to_units(rows, found)
-    header = spark.createDataFrame([(None, None, "INVALID_LANGUAGE_COLUMN", c) for c in bad], "row_number int, source_record_id string, code string, message string")
+    header = spark.createDataFrame([(None, None, "INVALID_LANGUAGE_COLUMN", c) for c in bad], "row_number long, source_record_id string, code string, message string")
     return units, header.unionByName(issues), counters
 
 
-def documents(spark: SparkSession, path: str, source_name: str | None = None) -> DataFrame:
-    """source_record_id, publication_number, family_id of a CSV file, for use as a lookup table."""
+def documents(spark: SparkSession, path: str | list[str], source_name: str | None = None) -> DataFrame:
+    """source_record_id, publication_number, family_id of CSV files, for use as a lookup table."""
     rows = read_csv(spark, path, source_name)
     family = F.col("family_id") if "family_id" in rows.columns else F.lit(None).cast("string")
     return rows.select("source_record_id", "publication_number", F.nullif(family, F.lit("")).alias("family_id"))

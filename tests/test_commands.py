@@ -30,3 +30,21 @@ def test_extract_and_enrich(spark, tmp_path):
     assert report == {"unique_terms": 1, "terms_with_external_references": 1, "coverage": 1.0, "terms_by_namespace": {"WIKIDATA": 1}}
     row = json.loads(spark.read.text(str(tmp_path / "rich")).first().value)
     assert row["term"] == "gold alloy" and row["references"][0]["external_id"] == "Q9" and row["source_documents"][0]["publication_number"] == "EP-1"
+
+
+def test_issues_reach_the_lines(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("publication_number,title_en,title_de\nEP-1,gold alloy,x\nEP-2,pure water,y\nEP-3,cold resin,z\n", encoding="utf-8")
+    decision = lambda r, text: (r, 0, text, 0, 9, ["MATERIAL"], [], "n/a", "IN_SCOPE", 0.9, "llm", False, "c")
+    decisions = spark.createDataFrame(
+        [decision("t.csv:2", "gold alloy"), decision("t.csv:3", "invented")],
+        "source_record_id string, text_unit_index int, text string, start int, end int, types array<string>, roles array<string>, proposed_definition string, scope_decision string, confidence double, source string, needs_review boolean, reason_code string",
+    )
+    failures = spark.createDataFrame([("t.csv:4", 0, "EXTRACTOR_FAILED", "boom")], "source_record_id string, text_unit_index int, code string, message string")
+    answered = spark.createDataFrame([("t.csv:4", 0)], "source_record_id string, text_unit_index int")
+    commands.extract(spark, str(path), str(tmp_path / "out"), refinements=decisions, failures=failures, answered=answered)
+    lines = {r["source_record_id"]: r for r in (json.loads(x.value) for x in spark.read.text(str(tmp_path / "out")).collect())}
+    assert lines["t.csv:2"]["refined_text_unit_indices"] == [0] and lines["t.csv:2"]["issues"] == []
+    assert lines["t.csv:3"]["refined_text_unit_indices"] == [] and [i["code"] for i in lines["t.csv:3"]["issues"]] == ["REFINER_FAILED"]
+    assert lines["t.csv:4"]["refined_text_unit_indices"] == [0] and lines["t.csv:4"]["refined_candidates"] == []
+    assert [(i["code"], i["message"]) for i in lines["t.csv:4"]["issues"]] == [("EXTRACTOR_FAILED", "boom")]

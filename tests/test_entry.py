@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from termlake.plans import english
 from termlake.plans.queries import QUERIES, SQL
 from termlake.streaming import extract_stream
 
@@ -45,3 +46,16 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = extract_stream.mentions(spark.read.schema(extract_stream.UNIT).json(str(tmp_path / "in")))
     stream = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert canon(stream.select(*batch.columns).collect()) == canon(batch.collect())
+
+
+def test_stream_equals_the_batch_plan(spark, tmp_path):
+    texts = ["Compound&nbsp;7 at 20&nbsp;&deg;C   and  NaCl", "porous gold alloy coating", None, "Übergröße"]
+    rows = [{"source_record_id": f"r{i}", "text_unit_index": i, "language": "de" if i == 3 else "en", "text": t} for i, t in enumerate(texts)]
+    (tmp_path / "in").mkdir()
+    for i, r in enumerate(rows):
+        (tmp_path / f"in/{i}.json").write_text(json.dumps(r) + "\n", encoding="utf-8")
+    extract_stream.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    units = spark.createDataFrame([(r["source_record_id"], r["text_unit_index"], r["language"], r["text"]) for r in rows], extract_stream.UNIT)
+    want = english.extract_english(units)[0].select("source_record_id", "start", "end", "original_start", "original_end", "text")
+    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    assert canon(got.collect()) == canon(want.collect()) and want.where("source_record_id = 'r0'").count() == 3

@@ -50,3 +50,29 @@ def test_report_lines(spark, tmp_path):
     c = spark.createDataFrame([("r", 0, "é")], "source_record_id string, text_unit_index int, text string")
     line = jsonl.extraction_lines(c.select("source_record_id"), c, c.where("false")).first().value
     assert json.loads(line) == {"source_record_id": "r", "baseline_candidates": [{"text_unit_index": 0, "text": "é"}], "refined_candidates": []} and "é" in line
+
+
+def test_a_folder_of_files_with_different_headers(spark, tmp_path):
+    for k in range(40):
+        head, row = ("publication_number,title_en,title_de", "{},x {},y") if k % 2 else ("title_fr,publication_number,family_id,title_en", "z,{},F,\"a\nb {}\"")
+        lines = [head, *(row.format(f"P{k}-{i}", i) for i in range(k % 5))]
+        write(tmp_path / f"f {k:02}+.csv", "\n".join(lines) + "\n")
+    write(tmp_path / "empty.csv", "")
+    rows = csv_units.read_csv(spark, str(tmp_path)).collect()
+    assert {(r.source_record_id, r.publication_number) for r in rows} == {(f"f {k:02}+.csv:{i + 2}", f"P{k}-{i}") for k in range(40) for i in range(k % 5)}
+    assert {(r.title_fr, r.title_de) for r in rows} == {("z", None), (None, "y")}
+    units, issues, counters = csv_units.read_units(spark, str(tmp_path))
+    assert tuple(counters.first()) == (80, 80, 0) and units.count() == 160
+
+
+def test_lines_tell_issues_and_refined_units(spark):
+    c = spark.createDataFrame([("r", 0, "é")], "source_record_id string, text_unit_index int, text string")
+    issues = spark.createDataFrame([("r", 2, "B", "m"), ("r", 1, "A", "n")], "source_record_id string, text_unit_index int, code string, message string")
+    records = spark.createDataFrame([("r",), ("s",)], "source_record_id string")
+    lines = [json.loads(x.value) for x in jsonl.extraction_lines(records, c, c.where("false"), c.where("false"), c, issues, issues.limit(1)).collect()]
+    by = {x["extraction"]["source_record_id"]: x for x in lines}
+    assert by["r"]["extraction"]["refined_text_unit_indices"] == [0] and [i["code"] for i in by["r"]["extraction"]["issues"]] == ["A", "B"]
+    assert by["r"]["mapping"]["issues"] and by["s"] == {
+        "extraction": {"source_record_id": "s", "baseline_candidates": [], "refined_candidates": [], "refined_text_unit_indices": [], "issues": []},
+        "mapping": {"mappings": [], "issues": []},
+    }
