@@ -240,6 +240,22 @@ def vocabulary(types: DataFrame, namespaces: DataFrame) -> tuple[DataFrame, Data
     ).orderBy("code")
 
 
+def resolver_payloads(proposals: DataFrame, cards: DataFrame, types: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """proposal_id and the JSON a resolver is asked with: the proposal, its candidate cards in rank order, vocabulary and non-merge rules.
+
+    cards has proposal_id, rank and further columns; proposals without cards are
+    not asked.  The vocabulary (tables of a few rows) is one value that all rows share.
+    """
+    t, n = vocabulary(types, namespaces)
+    listed = lambda df, order: df.agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order]))).alias("v"))
+    shared = listed(t, ["code"]).select(F.col("v").alias("types")).join(listed(n, ["code"]).select(F.col("v").alias("identifier_namespaces")))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", *[c for c in cards.columns if c not in ("proposal_id", "rank")])))
+    asked = proposals.join(cards.groupBy("proposal_id").agg(ranked.alias("candidates")), "proposal_id").join(F.broadcast(shared))
+    rules = F.array(*map(F.lit, vocab.NON_MERGE_RULES)).alias("non_merge_rules")
+    body = F.struct(F.struct(*proposals.columns).alias("proposal"), "candidates", F.struct("types", "identifier_namespaces", rules).alias("vocabulary"))
+    return asked.select("proposal_id", F.to_json(body).alias("payload"))
+
+
 def resolve(proposals: DataFrame, ranked: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolutions, rejected decisions): a new concept where nothing was retrieved, else the recorded decision if it is coherent."""
     have = ranked.groupBy("proposal_id").agg(F.collect_set("concept_id").alias("candidates"))

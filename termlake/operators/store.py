@@ -60,16 +60,27 @@ def upsert_embeddings(embeddings: DataFrame, embedded: DataFrame, dimensions: in
     return upsert(embeddings, checked.select(*keys, "content_hash", "embedding"), keys)
 
 
+#: Columns that a new seeding overwrites in rows that are there: those of types only; other tables keep what curators wrote.
+REFRESHED: dict[str, tuple[str, ...]] = {"concept_type": ("label", "description")}
+
+
 def seed(spark: SparkSession) -> dict[str, DataFrame]:
     """code, label and the further columns of the four vocabulary tables."""
+    types = [(code, label, vocab.TYPE_DESCRIPTIONS[code], parent) for code, label, parent in vocab.CONCEPT_TYPES]
+    names = [(code, label, vocab.NAMESPACE_DESCRIPTIONS[code], strength) for code, label, strength in vocab.IDENTIFIER_NAMESPACES]
     return {
-        "concept_type": spark.createDataFrame(vocab.CONCEPT_TYPES, "code string, label string, parent_code string"),
+        "concept_type": spark.createDataFrame(types, "code string, label string, description string, parent_code string"),
         "term_form": spark.createDataFrame(vocab.TERM_FORMS, "code string, label string"),
         "relation_type": spark.createDataFrame(vocab.RELATION_TYPES, "code string, label string, symmetric boolean"),
-        "identifier_namespace": spark.createDataFrame(vocab.IDENTIFIER_NAMESPACES, "code string, label string, identity_strength string"),
+        "identifier_namespace": spark.createDataFrame(names, "code string, label string, description string, identity_strength string"),
     }
 
 
+def seed_tables(existing: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The vocabulary tables with missing codes added, and labels and descriptions of known types refreshed."""
+    return {name: seed_into(table, seed(table.sparkSession)[name].select(*table.columns), REFRESHED.get(name, ())) for name, table in existing.items()}
+
+
 def seed_into(existing: DataFrame, seeds: DataFrame, refresh: tuple[str, ...] = ()) -> DataFrame:
     """existing with missing codes added; the columns in refresh take the seed's values (labels of types)."""
     new = seeds.join(existing.select("code"), "code", "left_anti")

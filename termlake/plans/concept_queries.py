@@ -14,7 +14,7 @@ inputs.INPUTS |= {
       ELSE o_orderkey - 1 - o_custkey % 3 END AS successor, CAST(o_custkey AS BIGINT) AS seq FROM {orders} WHERE o_orderkey % 97 IN (5, 6) OR o_orderkey % 50 > 2""",
     "line_terms": """SELECT DISTINCT concat(l_orderkey, '-', l_linenumber) AS term, l_orderkey AS concept FROM {lineitem}""",
     "splits": """SELECT l_orderkey - CASE l_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 7 END AS concept, concat(l_orderkey, '-', l_linenumber) AS term,
-      min(l_orderkey - 20 - l_partkey % 4) AS successor, CAST(1 AS BIGINT) AS seq FROM {lineitem} WHERE l_linenumber % 3 = 0 GROUP BY 1, 2""",
+      min(l_orderkey - 20 - l_partkey % 4) AS successor, CAST(1 AS BIGINT) AS seq FROM {lineitem} WHERE l_linenumber % 3 = 0 AND l_orderkey % 9 = 4 GROUP BY 1, 2""",
     "publications": """SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS english, CASE WHEN o_orderkey % 7 < 4 THEN concat(o_custkey, o_orderstatus, o_orderpriority) END AS publication,
       CASE WHEN o_orderkey % 7 > 1 THEN concat(o_custkey, o_orderstatus) END AS application, CAST(o_custkey AS STRING) AS family_priority,
       concat(CAST(o_orderdate AS STRING), o_orderstatus) AS applicant_date FROM {orders}""",

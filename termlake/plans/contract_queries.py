@@ -9,6 +9,7 @@ from termlake import schemas, vocab
 from termlake.functions import text as tx
 from termlake.operators import enrich, extract, pairing, reconcile, resolve, store
 from termlake.plans.english import ground, normalized_units, refine
+from termlake.plans import inputs
 from termlake.plans.inputs import derived, query, table
 from termlake.sources import jsonl
 
@@ -309,13 +310,43 @@ def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGE_ROWS = ", ".join(f"('{c}', '{label}', {f"'{p}'" if p else 'NULL'})" for c, label, p in vocab.CONCEPT_TYPES)
 
 
-@query(f"""WITH t(code, label, parent) AS (VALUES {_EDGE_ROWS}), a AS (SELECT *, row_number() OVER (ORDER BY code) AS n FROM t), on_ AS (SELECT * FROM a WHERE n % 6 <> 0)
-SELECT o.code, o.label, p.code AS parent_code FROM on_ o LEFT JOIN on_ p ON p.code = o.parent""")
+inputs.INPUTS |= {
+    "store_types": """SELECT CAST(p_partkey AS STRING) AS id, concat(p_brand, '-', p_partkey) AS code, p_name AS label, concat('all of ', p_type) AS description,
+      CASE WHEN p_size % 4 > 0 THEN CAST(p_partkey - p_size % 4 AS STRING) END AS parent_id, p_size % 6 > 0 AS active FROM {part}""",
+    "nation_types": """SELECT CAST(n_nationkey AS STRING) AS id, concat('T_', n_nationkey) AS code, n_name AS label, concat('of ', n_name) AS description,
+      CASE WHEN n_nationkey % 4 > 0 THEN CAST(n_nationkey - n_nationkey % 4 AS STRING) END AS parent_id, n_nationkey % 6 > 0 AS active FROM {nation}""",
+    "region_namespaces": """SELECT concat('NS_', r_regionkey) AS code, r_name AS label, concat('numbers of ', r_name) AS description, 'strong' AS identity_strength,
+      r_regionkey % 5 > 0 AS active FROM {region}""",
+    "store_namespaces": """SELECT concat('NS_', s_suppkey) AS code, s_name AS label, concat('numbers of ', s_name) AS description,
+      CASE s_suppkey % 3 WHEN 0 THEN 'authoritative' WHEN 1 THEN 'strong' ELSE 'supporting' END AS identity_strength, s_nationkey % 5 > 0 AS active FROM {supplier}""",
+}
+
+
+@query("""WITH on_ AS (SELECT * FROM store_types WHERE active)
+SELECT 'type' AS kind, o.code, o.label, o.description, p.code AS parent_or_strength FROM on_ o LEFT JOIN on_ p ON p.id = o.parent_id
+UNION ALL SELECT 'namespace', code, label, description, identity_strength FROM store_namespaces WHERE active""")
 def vocabulary_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active types, with the code of an active parent."""
-    types = spark.createDataFrame([(c, c, label, "", p, (i + 1) % 6 != 0) for i, (c, label, p) in enumerate(sorted(vocab.CONCEPT_TYPES))], "id string, code string, label string, description string, parent_id string, active boolean")
-    names = spark.createDataFrame([], "code string, label string, description string, identity_strength string, active boolean")
-    return resolve.vocabulary(types, names)[0].select("code", "label", "parent_code")
+    """Active types of a store, with the code of an active parent, and its active namespaces."""
+    types, names = resolve.vocabulary(derived(spark, sf_dir, "store_types"), derived(spark, sf_dir, "store_namespaces"))
+    row = lambda df, kind, last: df.select(F.lit(kind).alias("kind"), "code", "label", "description", F.col(last).alias("parent_or_strength"))
+    return row(types, "type", "parent_code").unionByName(row(names, "namespace", "identity_strength"))
+
+
+@query("""WITH on_ AS (SELECT * FROM nation_types WHERE active), spaces AS (SELECT count(*) AS n FROM region_namespaces WHERE active)
+SELECT o_orderkey AS proposal_id, count(*) AS candidates, min(l_linenumber) AS first_rank, (SELECT count(*) FROM on_) AS types, (SELECT n FROM spaces) AS namespaces, CAST(7 AS INT) AS rules
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def resolver_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to a resolver, read back: each has its candidates in rank order, the active vocabulary and the non-merge rules."""
+    proposals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("proposal_id"), F.col("o_orderpriority").alias("term"))
+    cards = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("proposal_id"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("concept_id"))
+    asked = resolve.resolver_payloads(proposals, cards, derived(spark, sf_dir, "nation_types"), derived(spark, sf_dir, "region_namespaces"))
+    inner = "struct<proposal:struct<proposal_id:bigint>,candidates:array<struct<rank:int>>,vocabulary:struct<types:array<struct<code:string>>,identifier_namespaces:array<struct<code:string>>,non_merge_rules:array<string>>>"
+    read = asked.select(F.from_json("payload", inner).alias("p"))
+    size = lambda c: F.size(c).cast("long")
+    return read.select(
+        "p.proposal.proposal_id", size("p.candidates").alias("candidates"), F.element_at("p.candidates", 1)["rank"].alias("first_rank"), size("p.vocabulary.types").alias("types"),
+        size("p.vocabulary.identifier_namespaces").alias("namespaces"), F.size("p.vocabulary.non_merge_rules").alias("rules"),
+    )
 
 
 @query(f"""WITH RECURSIVE t(code, label, parent) AS (VALUES {_EDGE_ROWS}), up(code, top) AS (SELECT code, code FROM t WHERE parent IS NULL UNION ALL SELECT t.code, up.top FROM t JOIN up ON up.code = t.parent),

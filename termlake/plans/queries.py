@@ -188,16 +188,18 @@ def reconcile_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("source_record_id", "start", "end", F.array_join("types", ",").alias("types"), F.round("confidence", 6).alias("confidence"), "extractor", "needs_review")
 
 
-_EDGES = ", ".join(f"('{c}', {f"'{p}'" if p else 'NULL'})" for c, _, p in vocab.CONCEPT_TYPES)
+_EDGES = ", ".join(f"('{c}', '{label}', {f"'{p}'" if p else 'NULL'})" for c, label, p in vocab.CONCEPT_TYPES)
+_CODES = "[" + ", ".join(f"'{c}'" for c, _, _ in vocab.CONCEPT_TYPES) + "]"
 
 
-@query(f"""WITH RECURSIVE t(code, parent) AS (VALUES {_EDGES}), up(code, above, depth) AS (
+@query(f"""WITH RECURSIVE t(code, label, parent) AS (VALUES {_EDGES}), up(code, above, depth) AS (
   SELECT code, parent, 1 FROM t WHERE parent IS NOT NULL UNION ALL SELECT u.code, t.parent, depth + 1 FROM up u JOIN t ON t.code = u.above WHERE t.parent IS NOT NULL)
-SELECT code, above, depth FROM up""")
+SELECT p_partkey AS concept_id, code, above, depth FROM (SELECT p_partkey, {_CODES}[1 + p_size % {len(vocab.CONCEPT_TYPES)}] AS code FROM part) JOIN up USING (code)""")
 def type_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All types above each type with their distance."""
-    types = store.seed(spark)["concept_type"].select("code")
-    return types.select("code", F.posexplode(vocab.ancestor_map()[F.col("code")]).alias("i", "above")).select("code", "above", (F.col("i") + 1).alias("depth"))
+    """All types above each concept's type with their distance."""
+    codes = F.array(*[F.lit(c) for c, _, _ in vocab.CONCEPT_TYPES])
+    types = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.element_at(codes, 1 + F.col("p_size") % len(vocab.CONCEPT_TYPES)).alias("code"))
+    return types.select("concept_id", "code", F.posexplode(vocab.ancestor_map()[F.col("code")]).alias("i", "above")).select("concept_id", "code", "above", (F.col("i") + 1).alias("depth"))
 
 
 @query("""SELECT source_record_id, start, "end", kind, confidence, seq FROM (
@@ -404,22 +406,43 @@ def upsert_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("concept_id", "content_hash", (F.col("embedding") != F.col("was")).alias("changed"))
 
 
-def _codes(table: str, rows) -> str:
-    return f"SELECT '{table}' AS table_name, * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}')" for r in rows) + ") v(code, label)"
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
 
 
-_SEEDS = {"concept_type": vocab.CONCEPT_TYPES, "term_form": vocab.TERM_FORMS, "relation_type": vocab.RELATION_TYPES, "identifier_namespace": vocab.IDENTIFIER_NAMESPACES}
+_SEEDS = {
+    "concept_type": [(c, label, vocab.TYPE_DESCRIPTIONS[c]) for c, label, _ in vocab.CONCEPT_TYPES],
+    "term_form": [(*r, None) for r in vocab.TERM_FORMS],
+    "relation_type": [(c, label, None) for c, label, _ in vocab.RELATION_TYPES],
+    "identifier_namespace": [(c, label, vocab.NAMESPACE_DESCRIPTIONS[c]) for c, label, _ in vocab.IDENTIFIER_NAMESPACES],
+}
+_SEED_ROWS = ", ".join(f"('{n}', {', '.join('NULL' if v is None else _quoted(v) for v in r)})" for n, rows in _SEEDS.items() for r in rows)
+# store tables as curators left them: some seeded codes with words of their own, and codes that no seed has
+inputs.INPUTS["store_codes"] = (
+    """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'concept_type' WHEN 1 THEN 'term_form' WHEN 2 THEN 'relation_type' ELSE 'identifier_namespace' END AS table_name,
+      CASE s_suppkey WHEN 0 THEN 'SALT' WHEN 4 THEN 'POLYMER' WHEN 1 THEN 'ACRONYM' WHEN 2 THEN 'PART_OF' WHEN 3 THEN 'IATE' ELSE concat('OWN_', s_suppkey) END AS code,
+      s_name AS label, concat('kept by ', s_name) AS description FROM {supplier}"""
+)
 
 
-@query(" UNION ALL ".join(_codes(n, r) for n, r in _SEEDS.items()) + " UNION ALL VALUES " + ", ".join(f"('{n}', 'OWN', 'Own')" for n in _SEEDS))
+@query(f"""WITH s(table_name, code, label, description) AS (VALUES {_SEED_ROWS}), e AS (SELECT * FROM store_codes)
+SELECT coalesce(e.table_name, s.table_name) AS table_name, coalesce(e.code, s.code) AS code,
+  CASE WHEN s.table_name = 'concept_type' OR e.code IS NULL THEN s.label ELSE e.label END AS label,
+  CASE WHEN s.table_name = 'concept_type' OR e.code IS NULL THEN s.description ELSE e.description END AS description
+FROM e FULL JOIN s ON s.table_name = e.table_name AND s.code = e.code""")
 def seed_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing codes added to the four vocabulary tables and labels refreshed."""
+    """Store tables with missing codes added; labels and descriptions of known concept types, and of nothing else, refreshed."""
+    rows = derived(spark, sf_dir, "store_codes")
+    described = {"concept_type": True, "term_form": False, "relation_type": False, "identifier_namespace": True}
+    none = F.lit(None).cast("string").alias("description")
+    have = {n: rows.where(F.col("table_name") == n).select("code", "label", *(["description"] if d else [])) for n, d in described.items()}
+    kept = rows.select(F.col("table_name"), F.col("code"), F.col("description").alias("own"))
     out = None
-    for name, seeds in store.seed(spark).items():
-        have = seeds.limit(1).withColumn("label", F.lit("old")).unionByName(seeds.limit(1).withColumn("code", F.lit("OWN")).withColumn("label", F.lit("Own")))
-        rows = store.seed_into(have, seeds, ("label",)).select(F.lit(name).alias("table_name"), "code", "label")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    for name, table in store.seed_tables(have).items():
+        part = table.select(F.lit(name).alias("table_name"), "code", "label", "description" if described[name] else none)
+        out = part if out is None else out.unionByName(part)
+    # the two tables without descriptions keep those of the input
+    return out.join(kept, ["table_name", "code"], "left").select("table_name", "code", "label", F.coalesce("description", "own").alias("description"))
 
 
 @query("""SELECT a.concept_id, a.language AS source_language, a.text AS source_text, b.language AS target_language, b.text AS target_text

@@ -96,6 +96,74 @@ IDENTIFIER_NAMESPACES: tuple[tuple[str, str, str], ...] = (
 STRENGTH_RANK = {"supporting": 1, "strong": 2, "authoritative": 3}
 STRENGTH_WEIGHT = {"authoritative": 2.0, "strong": 1.5, "supporting": 0.35}
 
+# what each type and namespace holds, for people and prompts
+TYPE_DESCRIPTIONS: dict[str, str] = {
+    "CHEMICAL_ENTITY": "Anything of definite chemical identity that no narrower type describes.",
+    "ELEMENT": "One of the chemical elements, or atoms of it.",
+    "COMPOUND": "A substance of one molecular or formula identity.",
+    "SALT": "A compound of ions, told apart from its free acid or base.",
+    "SOLVATE": "A compound that holds solvent in its crystal.",
+    "HYDRATE": "A solvate whose solvent is water.",
+    "POLYMER": "A substance of repeating units, by name or by monomer.",
+    "CHEMICAL_CLASS": "A family of substances named by what they have in common.",
+    "FUNCTIONAL_GROUP": "A part of a molecule that reacts as a whole.",
+    "MARKUSH_CLASS": "A set of structures that a patent spans by variable groups.",
+    "MATERIAL": "Matter named by its use or make-up and not by one identity.",
+    "MIXTURE_OR_COMPOSITION": "Several substances put together on purpose.",
+    "PROCESS": "A treatment of matter that no narrower process type describes.",
+    "CHEMICAL_REACTION": "A change of substances into others.",
+    "SYNTHESIS_PROCESS": "A way to make a wanted substance.",
+    "SEPARATION_PROCESS": "A way to part, purify or recover substances.",
+    "MANUFACTURING_PROCESS": "A way to shape or finish a material or a good made of it.",
+    "PROPERTY": "A quality of matter that no narrower property type describes.",
+    "CHEMICAL_PROPERTY": "A quality that shows in reactions.",
+    "PHYSICAL_PROPERTY": "A quality that shows without a reaction.",
+    "PERFORMANCE_PROPERTY": "How well a substance or material does its task.",
+    "MEASUREMENT": "A quantity with its number and unit.",
+    "EQUIPMENT": "Apparatus made for work with substances or materials.",
+    "APPLICATION": "A purpose that needs the substance or material.",
+    "OTHER_TECHNICAL_CONCEPT": "A concept of the field that no other type takes.",
+}
+NAMESPACE_DESCRIPTIONS: dict[str, str] = {
+    "CHEBI": "Entry of the ontology of chemical entities of biological interest.",
+    "PUBCHEM_CID": "Number of a compound record in PubChem.",
+    "INCHI": "Standard structure string that tells layers of a compound apart.",
+    "INCHIKEY": "Hash of 27 characters made of an InChI.",
+    "CANONICAL_SMILES": "Line notation of the connections, without stereochemistry.",
+    "ISOMERIC_SMILES": "Line notation with stereochemistry and isotopes.",
+    "MOLECULAR_FORMULA": "Counts of atoms; many compounds share one.",
+    "WIKIDATA": "Item of the open knowledge base.",
+    "WIKIPEDIA_EN": "Page of the English encyclopedia.",
+    "IATE": "Entry of the terminology base of the European Union.",
+    "CAS_RN": "Registry number with a check digit; the registry is licensed.",
+}
+
+# what belongs to the terminology; the version is a fixed value
+SCOPE_POLICY_VERSION = "1.0"
+IN_SCOPE = (
+    "Substances of any kind, their classes, structures, formulas, groups and polymers.",
+    "Materials and mixtures that are defined by what they are made of or do chemically.",
+    "Reactions, and processes that make, change, part or finish substances or materials.",
+    "Properties, measurements, apparatus and uses whose chemical side is essential to them.",
+)
+OUT_OF_SCOPE = (
+    "Words of patent drafting, and general terms of other trades.",
+    "Apparatus that is only mentioned beside chemistry and not made for it.",
+    "Goods and purposes whose name says nothing of substance or material.",
+    "Vague words that mean something only in their sentence.",
+)
+
+# pairs that are never one concept, however alike their names are
+NON_MERGE_RULES = (
+    "A compound stays apart from its salts, solvates, hydrates and formulations.",
+    "Isomers of any kind, isotopic variants and crystal forms stay apart.",
+    "A class, also a Markush class, stays apart from its members.",
+    "A pure substance stays apart from mixtures, compositions, materials and processes.",
+    "A molecular formula may belong to several isomers, so it only supports an identity.",
+    "Likeness of names or vectors finds candidates and proves nothing.",
+    "Where the context leaves several meanings the answer is AMBIGUOUS and goes to review.",
+)
+
 # fixed values: chemical element symbols by atomic number
 ELEMENTS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr "
@@ -171,4 +239,9 @@ def root_map() -> Column:
 
 def render_types() -> str:
     """The types as lines for a prompt."""
-    return "\n".join(f"- {code}: {label}" + (f" (a kind of {parent})" if parent else "") for code, label, parent in CONCEPT_TYPES)
+    return "\n".join(f"- {code}: {label}" + (f" (a kind of {parent})" if parent else "") + f". {TYPE_DESCRIPTIONS[code]}" for code, label, parent in CONCEPT_TYPES)
+
+
+def render_scope() -> str:
+    """The scope policy as lines for a prompt."""
+    return "\n".join([f"Scope {SCOPE_POLICY_VERSION}. Include:", *(f"- {x}" for x in IN_SCOPE), "Exclude:", *(f"- {x}" for x in OUT_OF_SCOPE)])
