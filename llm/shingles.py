@@ -9,12 +9,15 @@ sequence; a text without words has none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SHINGLE_WORDS = 5
 CHUNK_BYTES = 1 << 20
+#: Words longer than this are hashed by a digest.
+DIGEST_BYTES = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,11 +72,19 @@ def word_spans(raw: np.ndarray, cuts: np.ndarray, gap: np.ndarray = _IS_SPACE) -
 
 
 def hash_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from prefix sums."""
+    """A 64-bit hash of the bytes of each span, from prefix sums; of long spans from a digest.
+
+    A polynomial modulo 2**64 cannot tell some words of 1,024 letters and more apart
+    (Thue-Morse words and their complements), whatever its base; shorter words don't collide so.
+    """
     n = len(raw)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_MIX[raw] * _power("f", n), out=prefix[1:])
-    return mix64((prefix[end] - prefix[start]) * _power("i", n + 1)[start] + (end - start).astype(np.uint64) * _STEP)
+    size = end - start
+    out = mix64((prefix[end] - prefix[start]) * _power("i", n + 1)[start] + size.astype(np.uint64) * _STEP)
+    for i in np.flatnonzero(size > DIGEST_BYTES).tolist():
+        out[i] = int.from_bytes(blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def combine(words: np.ndarray, k: int) -> np.ndarray:

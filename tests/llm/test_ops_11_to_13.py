@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from llm import queries, spelling, token_coding, token_files, whitening
+from llm import ngram_join, queries, spelling, token_coding, token_files, whitening
 from llm.units import load, tokenizer_path
 
 # --- whitening -----------------------------------------------------------------------------------
@@ -232,3 +232,13 @@ def plain_forms_fast(docs):
         return w if form[w] is None else root(form[w])
 
     return {w: (n, len(near[w]), form[w], words.get(form[w]), root(w)) for w, n in words.items()}
+
+
+def test_long_words_that_a_polynomial_takes_for_equal_stay_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.ngram_jaccard(docs).collect()}
+    assert got == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
