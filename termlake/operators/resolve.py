@@ -13,14 +13,15 @@ from pyspark.sql import types as T
 
 from termlake import vocab
 from termlake.functions.similarity import dot, trigrams
+from termlake.staging import Rounds
 
 ACTIVE = ("proposed", "accepted")
 TOP_K, FUZZY = 8, 0.25
 DIMENSIONS = 1024
 #: Bytes of a query set or index that is sent to every executor, as counted.
 BROADCAST_BYTES = 64 << 20
-#: Grams of a block of asked texts; counters of pairs that a task holds at a time.
-BLOCK_GRAMS, CELLS = 1_000_000, 4_000_000
+#: Known texts of a gram beyond which its list is cut into parts.
+HOT_LIST = 20_000
 
 
 def exact_signal(proposals: DataFrame, terms: DataFrame) -> DataFrame:
@@ -45,73 +46,55 @@ def _named(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(*key, named.alias("g")).where("size(g) > 0")
 
 
-class _Index:
-    """The asked texts of a block by gram: names, sizes, and for each gram the places of the texts that have it."""
-
-    def __init__(self, rows: list):
-        self.a, self.b = np.array([r.a for r in rows], dtype=np.int64), np.array([r.b for r in rows], dtype=np.int32)
-        self.n = np.array([len(r.g) for r in rows], dtype=np.int64)
-        self.gram: dict[str, int] = {}
-        gram = np.array([self.gram.setdefault(x, len(self.gram)) for r in rows for x in r.g], dtype=np.int64)
-        self.text = np.repeat(np.arange(len(rows)), self.n)[np.argsort(gram, kind="stable")]
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(gram, minlength=len(self.gram)))))
-
-    def alike(self, grams: pa.ListArray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, asked text, similarity) of the pairs at the threshold, from the number of grams that they share."""
-        sizes = np.diff(grams.offsets.to_numpy())
-        known = grams.flatten().dictionary_encode()
-        number = np.array([self.gram.get(x, -1) for x in known.dictionary.to_pylist()], dtype=np.int64)
-        gram, row = number[known.indices.to_numpy()], np.repeat(np.arange(len(grams)), sizes)
-        gram, row = gram[gram >= 0], row[gram >= 0]
-        step, out = max(1, CELLS // len(self.n)), []
-        for lo in range(0, len(grams), step):
-            x, y = np.searchsorted(row, (lo, lo + step))
-            many = self.first[gram[x:y] + 1] - self.first[gram[x:y]]
-            at = np.repeat(self.first[gram[x:y]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if y > x else np.zeros(0, dtype=np.int64)
-            rows = min(step, len(grams) - lo)
-            shared = np.bincount(np.repeat(row[x:y] - lo, many) * len(self.n) + self.text[at], minlength=rows * len(self.n)).reshape(rows, -1)
-            score = shared / (sizes[lo : lo + rows, None] + self.n[None, :] - shared)
-            i, j = np.nonzero(score >= threshold)
-            out.append((i + lo, j, score[i, j]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-
-
-def trigram_signal(proposals: DataFrame, terms: DataFrame, threshold: float = FUZZY, most: int = 2 * TOP_K, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def gram_prefixes(texts: DataFrame, frequency: DataFrame, threshold: float, rounds: Rounds) -> DataFrame:
+    """(gram, n, a, b, size): the rarest grams of each text, so many that two texts at the threshold share one of them.
+
+    Texts that share at least ``threshold`` of their grams' union share ``ceil(threshold * size)``
+    grams of either one; so all but that many, and one more, of its grams in one common
+    order are enough.  The order is by how many known texts have a gram (n), so the
+    most frequent grams, whose lists would be longest, are mostly left out.
+    """
+    grams = texts.select("a", "b", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    ranked = grams.join(frequency, "gram", "left").groupBy("a", "b", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g"))
+    kept = F.slice("g", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))
+    return rounds.write(ranked.select("a", "b", "size", F.explode(kept).alias("x")).select("x.gram", "x.n", "a", "b", "size").where("n > 0"))
+
+
+def similar_texts(asked: DataFrame, known: DataFrame, threshold: float, rounds: Rounds, hot_list: int = HOT_LIST) -> DataFrame:
+    """(pa, pb, ta, tb, trigram) of the pairs of asked and known texts (a, b, g) at the threshold.
+
+    The known texts' rarest grams are an index, a written table; the asked texts' rarest
+    grams are joined with it on the gram, under the bound of sizes, and only pairs that
+    meet are compared gram by gram.  Lists of more than ``hot_list`` texts are cut into
+    salted parts, so no gram is one task's work.
+    """
+    asked, known = rounds.write(asked), rounds.write(known)
+    frequency = rounds.write(known.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+    cuts = F.expr(f"CAST(n div {hot_list} + 1 AS INT)")
+    index = gram_prefixes(known, frequency, threshold, rounds).withColumn("part", F.pmod("a", cuts))
+    query = gram_prefixes(asked, frequency, threshold, rounds).withColumn("part", F.explode(F.sequence(F.lit(0), cuts - 1).cast("array<bigint>")))
+    q = query.select("gram", "part", F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("size").alias("ps"))
+    k = index.select("gram", F.col("part").cast("bigint").alias("part"), F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("size").alias("ts"))
+    bound = (F.col("ts") >= threshold * F.col("ps") - 1e-9) & (F.col("ps") >= threshold * F.col("ts") - 1e-9)
+    pairs = rounds.write(q.join(k, ["gram", "part"]).where(bound).select("pa", "pb", "ta", "tb").distinct())
+    whole = pairs.join(asked.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("g").alias("pg")), ["pa", "pb"])
+    whole = whole.join(known.select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("g").alias("tg")), ["ta", "tb"])
+    shared = F.size(F.array_intersect("pg", "tg"))
+    return whole.select("pa", "pb", "ta", "tb", (shared / (F.size("pg") + F.size("tg") - shared)).alias("trigram")).where(F.col("trigram") >= threshold)
+
+
+def trigram_signal(proposals: DataFrame, terms: DataFrame, threshold: float = FUZZY, most: int = 2 * TOP_K, hot_list: int = HOT_LIST) -> DataFrame:
     """proposal_id, concept_id, trigram: the most similar concepts of a proposal, at least at the threshold.
 
-    Shared grams are counted.  The asked texts are a stated query set: they are
-    dealt into blocks of counted size, and the inverted index of a block is sent
-    to the known texts, where Arrow batches count the grams that each known text
-    shares with every asked one; sizes and counts alone give the similarity, and
-    only pairs at the threshold leave a task.  Equal texts are one text, named by
-    96 hash bits.  The driver holds the indexes of all blocks until the query has
-    run, about 20 bytes a gram of the query set.
+    Equal texts are one text, named by 96 hash bits (see :func:`similar_texts`).
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
+    rounds = Rounds(proposals.sparkSession, "trigrams")
     active = terms.where(F.col("status").isin(*ACTIVE))
     asked = _named(proposals.select("language", F.col("normalized_term").alias("s")).distinct(), "s")
     known = _named(active.select("language", F.col("normalized_text").alias("s")).distinct(), "s")
-    size = asked.agg(F.sum(F.size("g")).alias("n")).first().n or 0
-    blocks = max(1, -(-size // block_grams))
-
-    def counted(index: _Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                i, j, score = index.alike(batch.column("g"), threshold) if len(index.n) else ([], [], [])
-                if len(i):
-                    of = pa.array(i)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(index.a[j]), pa.array(index.b[j]), batch.column("a").take(of), batch.column("b").take(of), pa.array(score)], ["pa", "pb", "ta", "tb", "trigram"]
-                    )
-
-        return run
-
-    alike = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.col("a"), F.lit(blocks)) == block).collect()
-        found = known.mapInArrow(counted(_Index(rows)), "pa long, pb int, ta long, tb int, trigram double")
-        alike = found if alike is None else alike.unionByName(found)
+    alike = rounds.last(similar_texts(asked, known, threshold, rounds, hot_list))
     p = proposals.select("proposal_id", F.xxhash64("language", "normalized_term").alias("pa"), F.hash("language", "normalized_term").alias("pb"))
     concepts = active.select("concept_id", F.xxhash64("language", "normalized_text").alias("ta"), F.hash("language", "normalized_text").alias("tb")).distinct()
     best = alike.join(concepts, ["ta", "tb"]).groupBy("pa", "pb", "concept_id").agg(F.max("trigram").alias("trigram"))

@@ -272,7 +272,7 @@ def test_trigrams_of_blocks_equal_pairwise_similarity(spark):
     pairs = p.join(t.where("status = 'accepted'"), "language").withColumn("trigram", sim).where("trigram >= 0.25").groupBy("proposal_id", "concept_id").agg(F.max("trigram").alias("trigram"))
     want = {(r.proposal_id, r.concept_id): pytest.approx(r.trigram) for r in pairs.collect()}
     for grams in (1_000_000, 25):
-        got = {(r.proposal_id, r.concept_id): r.trigram for r in resolve.trigram_signal(p, t, most=99, block_grams=grams).collect()}
+        got = {(r.proposal_id, r.concept_id): r.trigram for r in resolve.trigram_signal(p, t, most=99, hot_list=grams).collect()}
         assert got == want and len(got) > 50
     assert resolve.trigram_signal(p.where("false"), t).count() == 0 and resolve.trigram_signal(p, t.where("false")).count() == 0
 
