@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.operators import align, boilerplate, boundaries, cluster, evaluate, lineage, matching
+from termlake.operators import align, boilerplate, boundaries, changes, cluster, evaluate, lineage, matching, resolve, vector_index
 from termlake.plans import inputs
 from termlake.plans.inputs import derived, query, table
+from termlake.staging import Rounds
 
 inputs.INPUTS |= {
     "merges": """SELECT o_orderkey AS concept, CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey + 1 WHEN o_orderkey % 97 = 6 THEN o_orderkey - 1
@@ -111,3 +112,25 @@ def cluster_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairwise precision, recall and F1 of one clustering of all parts against another."""
     told = evaluate.pairwise_f1(derived(spark, sf_dir, "part_clusters"))
     return told.select("tp", "found_pairs", "gold_pairs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'added' ELSE 'changed' END AS status FROM documents WHERE doc_id % 13 = 0 OR doc_id % 17 = 0
+UNION ALL SELECT -1 - doc_id, 'gone' FROM documents WHERE doc_id % 19 = 0""")
+def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were added, changed or dropped since an older snapshot, from the buckets whose checksums differ."""
+    new = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    old = new.where("doc_id % 13 <> 0").withColumn("lang", F.when(F.col("doc_id") % 17 == 0, F.concat("lang", F.lit("-x"))).otherwise(F.col("lang")))
+    old = old.unionByName(new.where("doc_id % 19 = 0").withColumn("doc_id", -1 - F.col("doc_id")))
+    rounds = Rounds(spark, "snapshots")
+    changes.write_snapshot(old, ["doc_id"], f"{rounds.base}/old", 16)
+    changes.write_snapshot(new, ["doc_id"], f"{rounds.base}/new", 16)
+    return changes.changed_rows(spark, f"{rounds.base}/old", f"{rounds.base}/new", ["doc_id"])
+
+
+@query("SELECT vec_id % 50 = 0 AS asked, true AS enough FROM embeddings WHERE vec_id % 50 = 0 LIMIT 1")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the partitioned index finds at least nine tenths of the exact sixteen nearest vectors of the asked ones (ids divisible by 50)."""
+    stored, asked = derived(spark, sf_dir, "vectors"), derived(spark, sf_dir, "asked_vectors")
+    index = vector_index.build(stored)
+    found = vector_index.search(index, asked, 16, index.probes(0.97))
+    return vector_index.recall(found, resolve.vector_signal(asked, stored)).select((F.col("asked") > 0).alias("asked"), (F.col("recall") >= 0.9).alias("enough"))

@@ -4,10 +4,11 @@ import random
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termlake.operators import align, boilerplate, boundaries, cluster, evaluate, lineage, matching
+from termlake.operators import align, boilerplate, boundaries, changes, cluster, evaluate, lineage, matching, resolve, vector_index
 from termlake.staging import Rounds, rank_in_groups
 
 # --- passage alignment ---------------------------------------------------------------------------
@@ -252,3 +253,50 @@ def test_pairwise_f1_equals_pairs(spark):
     assert (r.tp, r.found_pairs, r.gold_pairs) == (tp, fp, gp) and abs(r.f1 - 2 * tp / (fp + gp)) < 1e-9
     empty = evaluate.pairwise_f1(spark.createDataFrame([], "gold int, found string")).first()
     assert (empty.tp, empty.f1) == (0, None)
+
+
+# --- snapshots and vectors -----------------------------------------------------------------------
+
+
+def test_changes_read_only_differing_buckets(spark, tmp_path):
+    rows = [(i, None if i % 10 == 0 else f"t{i}", i % 3) for i in range(400)] + [(None, "n", 1), (7, "t7", 1)]
+    old = spark.createDataFrame(rows, "id long, text string, k int")
+    new = old.where("id is null or id not in (3, 4)").withColumn("text", F.when(F.col("id") == 9, "other").otherwise(F.col("text")))
+    new = new.unionByName(spark.createDataFrame([(1000, None, 2), (7, "t7", 1)], "id long, text string, k int")).select("k", "id", "text")
+    paths = [str(tmp_path / n) for n in ("old", "new", "same")]
+    for df, path in zip((old.repartition(5), new, old.repartition(3)), paths, strict=True):
+        changes.write_snapshot(df, ["id"], path, 64)
+    assert changes.differing_buckets(spark, paths[0], paths[2]) == []
+    assert changes.changed_rows(spark, paths[0], paths[2], ["id"]).count() == 0
+    buckets = changes.differing_buckets(spark, paths[0], paths[1])
+    assert 0 < len(buckets) <= 5
+    told = changes.changed_rows(spark, paths[0], paths[1], ["id"])
+    assert {(r.id, r.status) for r in told.collect()} == {(3, "gone"), (4, "gone"), (9, "changed"), (1000, "added"), (7, "changed")}
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan or "_bucket#" in plan and "IN (" in plan
+    with pytest.raises(ValueError, match="different columns"):
+        changes.write_snapshot(old.drop("k"), ["id"], str(tmp_path / "other"), 64)
+        changes.changed_rows(spark, paths[0], str(tmp_path / "other"), ["id"])
+
+
+def test_duplicates_by_content(spark):
+    rows = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (4, None), (5, None), (None, "x"), (6, "")], "id long, text string")
+    assert {tuple(r) for r in changes.duplicates(rows, "id", ["text"]).collect()} == {(3, 1), (1, 1), (4, 4), (5, 4)}
+
+
+def test_vector_index_finds_most_of_the_exact_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] + 0.4 * rng.normal(size=16)).tolist()) for i in range(3000)]
+    rows += [(90_000, None), (90_001, [0.0] * 16), (90_002, [1.0]), (None, [1.0] * 16), (90_003, [float("nan")] * 16)]
+    stored = spark.createDataFrame(rows, "concept_id long, embedding array<float>")
+    asked = spark.createDataFrame([(f"p{i}", v) for i, v in rows[:3000:50]] + [("none", None)], "proposal_id string, query_embedding array<float>")
+    index = vector_index.build(stored, sample=1500)
+    assert index.rows.count() == 3000
+    exact = resolve.vector_signal(asked, stored.where("concept_id < 90000"))
+    found = vector_index.search(index, asked, 16, index.probes(0.95))
+    told = vector_index.recall(found, exact).first()
+    assert told.asked == 60 and told.recall >= 0.9 and index.probes(0.95) < len(index.centres)
+    whole = vector_index.search(index, asked, 16, len(index.centres))
+    assert vector_index.recall(whole, exact).first().recall == 1.0
+    assert vector_index.build(stored.where("concept_id >= 90000 and embedding is null")) is None
