@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termlake.operators import align, boilerplate, boundaries, changes, cluster, evaluate, lineage, matching, resolve, vector_index
 from termlake.plans import inputs
 from termlake.plans.inputs import derived, query, table
+from termlake.sources import vocabulary_export
 from termlake.staging import Rounds
 
 inputs.INPUTS |= {
@@ -134,3 +135,21 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = vector_index.build(stored)
     found = vector_index.search(index, asked, 16, index.probes(0.97))
     return vector_index.recall(found, resolve.vector_signal(asked, stored)).select((F.col("asked") > 0).alias("asked"), (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY concept_id, language ORDER BY is_preferred DESC, text) AS r FROM terms)
+SELECT CAST(concept_id AS VARCHAR) AS concept_id, CASE WHEN is_preferred AND r = 1 THEN 'prefLabel' ELSE 'altLabel' END AS kind, language, text AS value FROM l
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), CASE WHEN o_orderstatus = 'F' THEN 'narrower' ELSE 'related' END, NULL, CAST(o_orderkey AS VARCHAR) FROM orders""")
+def vocabulary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and relations of a terminology exported as N-Triples by the data source, read back."""
+    t = lambda name: table(spark, sf_dir, name)
+    terms = derived(spark, sf_dir, "terms")
+    relations = t("orders").select(
+        F.col("o_custkey").alias("source_concept_id"), F.when(F.col("o_orderstatus") == "F", "BROADER_THAN").otherwise("SALT_OF").alias("relation_type"), F.col("o_orderkey").alias("target_concept_id")
+    )
+    identifiers = t("supplier").select(F.col("s_suppkey").alias("concept_id"), F.concat(F.lit("https://example.org/"), "s_suppkey").alias("uri"), F.lit("exact").alias("mapping_type"))
+    concepts = terms.select(F.col("concept_id").alias("id")).unionByName(relations.select(F.col("source_concept_id").alias("id")))
+    path = f"{Rounds(spark, 'export').base}/skos"
+    vocabulary_export.export(vocabulary_export.concept_rows(concepts, terms, relations, identifiers), path)
+    labels, links = vocabulary_export.read_skos(spark, path)
+    return labels.select("concept_id", "kind", "language", F.col("text").alias("value")).unionByName(links.select("concept_id", "kind", F.lit(None).cast("string").alias("language"), F.col("target").alias("value")))
