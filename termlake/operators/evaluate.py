@@ -73,3 +73,77 @@ def pairwise_f1(members: DataFrame, gold: str = "gold", found: str = "found") ->
     rated = sums.withColumn("precision", p.cast("double")).withColumn("recall", r.cast("double"))
     both = F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0))
     return rated.select("tp", "found_pairs", "gold_pairs", "precision", "recall", (2 * F.col("precision") * F.col("recall") / both).alias("f1"))
+
+
+def nc_value(mentions: DataFrame, top_terms: int = 100, share: float = 0.2) -> DataFrame:
+    """text, words, freq, records, families, c_value, nc_value of (source_record_id, family_id, text, context).
+
+    The words (context, an array) that stand beside the top_terms terms of the highest
+    C-value are evidence of a term: a word weighs the share of these terms it stands
+    beside, and a term gains the weights of the words beside its mentions, as often as they stand
+    there.  families is the number of publication families that a term recurs in.  A null context
+    is empty; a null family is none.  The weights, words beside a bounded number of
+    terms, are joined as they are counted; nothing is collected.
+    """
+    stats = termhood(mentions)
+    best = stats.orderBy(F.round("c_value", 9).desc(), "text").limit(top_terms).select("text")
+    beside = mentions.select("text", F.explode("context").alias("word")).groupBy("text", "word").agg(F.count("*").alias("times"))
+    size = best.agg(F.count("*").alias("size"))
+    weights = beside.join(F.broadcast(best), "text").groupBy("word").agg(F.count("*").alias("terms")).join(F.broadcast(size)).select("word", (F.col("terms") / F.col("size")).alias("weight"))
+    gained = beside.join(weights, "word").groupBy("text").agg(F.sum(F.col("times") * F.col("weight")).alias("gained"))
+    families = mentions.groupBy("text").agg(F.count_distinct("family_id").alias("families"))
+    nc = (1 - share) * F.col("c_value") + share * F.coalesce("gained", F.lit(0.0))
+    return stats.join(families, "text").join(gained, "text", "left").select("text", "words", "freq", "records", "families", "c_value", nc.alias("nc_value"))
+
+
+def log_likelihood(domain: DataFrame, general: DataFrame) -> DataFrame:
+    """text, domain_freq, general_freq, log_likelihood of mentions (text) in two corpora: how surely the frequencies differ.
+
+    The value is positive where a text is more frequent in the domain than in general, negative where it is less so;
+    a corpus without mentions gives nulls.
+    """
+    side = lambda df, name: df.groupBy("text").agg(F.count("*").alias(name))
+    both = side(domain, "a").join(side(general, "b"), "text", "full_outer").na.fill(0, ["a", "b"])
+    totals = F.broadcast(both.agg(F.sum("a").alias("c"), F.sum("b").alias("d")))
+    part = lambda n, whole: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) * (F.col("c") + F.col("d")) / (F.nullif(F.col(whole), F.lit(0)) * (F.col("a") + F.col("b"))))).otherwise(0.0)
+    more = F.col("a") * F.col("d") >= F.col("b") * F.col("c")
+    value = 2 * (part("a", "c") + part("b", "d"))
+    known = (F.col("c") > 0) & (F.col("d") > 0)
+    return both.join(totals).select("text", F.col("a").alias("domain_freq"), F.col("b").alias("general_freq"), F.when(known, F.when(more, value).otherwise(-value)).alias("log_likelihood"))
+
+
+def review_queue(items: DataFrame, most: int, weights: dict[str, float], penalty: float = 0.1, depth: int = 8) -> DataFrame:
+    """The most urgent items for review, with rank and priority: uncertainty, impact and novelty, spread over groups.
+
+    items has item, group and the columns of weights, from 0 to 1 (null is 0).  An item's priority is the weighted
+    sum of its scores, less the penalty for every item of its group with a higher sum.
+
+    Threshold algorithm: the best ``depth * most`` items of each score's own sorted
+    list are read; an item outside of all of these heads has at most the weighted sum of the last
+    scores of the heads.  If the last of the chosen items is at least that high, the
+    heads hold the whole answer; else they are deepened eightfold and read again.  Heads are top-k
+    scans, so no sort of all items is made unless the heads come to hold them.
+    """
+    if not weights or min(weights.values()) < 0 or penalty < 0:
+        raise ValueError("weights and penalty must not be negative")
+    score = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rows = items.where("item is not null").select("item", "group", *[score(c).alias(c) for c in weights])
+    total = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+    while True:
+        size = depth * most
+        heads = [rows.orderBy(F.desc(c), "item").limit(size) for c in weights]
+        last = [h.agg(F.min(c).alias("low"), F.count("*").alias("n")).first() for c, h in zip(weights, heads, strict=True)]
+        seen = heads[0]
+        for h in heads[1:]:
+            seen = seen.unionByName(h)
+        placed = seen.distinct().withColumn("total", total)
+        # an item's better ones of its group are all in the heads, if it is above what the heads leave out
+        before = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("total"), "item")) - 1
+        ranked = placed.withColumn("priority", F.col("total") - penalty * before)
+        chosen = ranked.orderBy(F.desc("priority"), "item").limit(most)
+        bound = sum((w * r.low for w, r in zip(weights.values(), last, strict=True)), 0.0) if last[0].n >= size else float("-inf")
+        found = chosen.agg(F.min("priority").alias("low"), F.count("*").alias("n")).first()
+        if bound == float("-inf") or (found.n == most and found.low > bound):
+            order = Window.orderBy(F.desc("priority"), "item")
+            return chosen.withColumn("rank", F.row_number().over(order)).select("rank", "item", "group", "priority")
+        depth *= 8

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.operators import align, boilerplate, boundaries, changes, cluster, evaluate, lineage, matching, resolve, vector_index
-from termlake.plans import inputs
+from termlake.operators import align, boilerplate, boundaries, changes, cluster, enrich, evaluate, lineage, matching, resolve, vector_index
+from termlake.plans import commands, inputs
 from termlake.plans.inputs import derived, query, table
-from termlake.sources import vocabulary_export
+from termlake.sources import csv_units, vocabulary_export
 from termlake.staging import Rounds
 
 inputs.INPUTS |= {
@@ -21,6 +21,11 @@ inputs.INPUTS |= {
       CASE WHEN o_orderkey % 7 > 1 THEN concat(o_custkey, o_orderstatus) END AS application, CAST(o_custkey AS STRING) AS family_priority,
       concat(CAST(o_orderdate AS STRING), o_orderstatus) AS applicant_date FROM {orders}""",
     "line_spans": """SELECT l_orderkey AS unit, l_partkey % 40 AS start, l_partkey % 40 + CAST(l_quantity AS BIGINT) % 15 AS "end" FROM {lineitem}""",
+    "term_mentions": """SELECT CAST(l_orderkey AS STRING) AS source_record_id, CAST(l_suppkey % 7 AS STRING) AS family_id, l_returnflag = 'R' AS domain,
+      CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(lower(p_type), ' ', p_name) ELSE substr(p_name, instr(p_name, ' ') + 1) END AS text, p_brand AS near, l_linestatus AS far
+      FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    "review_items": """SELECT o_orderkey AS item, o_custkey AS group_id, CAST(o_orderkey * 37 % 101 AS DOUBLE) / 101 AS uncertainty,
+      CAST(o_orderkey * 53 % 211 AS DOUBLE) / 211 AS impact, CAST(o_orderkey * 71 % 307 AS DOUBLE) / 307 AS novelty FROM {orders}""",
     "part_clusters": """SELECT p_partkey AS item, CASE WHEN p_size % 9 > 0 THEN p_brand END AS gold, CASE WHEN p_size % 7 > 0 THEN concat(p_brand, p_size % 3) END AS found FROM {part}""",
 }
 
@@ -153,3 +158,72 @@ def vocabulary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary_export.export(vocabulary_export.concept_rows(concepts, terms, relations, identifiers), path)
     labels, links = vocabulary_export.read_skos(spark, path)
     return labels.select("concept_id", "kind", "language", F.col("text").alias("value")).unionByName(links.select("concept_id", "kind", F.lit(None).cast("string").alias("language"), F.col("target").alias("value")))
+
+
+@query("""WITH s AS (SELECT text, count(*) AS freq, count(DISTINCT source_record_id) AS records, count(DISTINCT family_id) AS families, len(string_split(text, ' ')) AS words FROM term_mentions GROUP BY 1),
+o AS (SELECT a.text, sum(b.freq) / count(*) AS nested FROM s a JOIN s b ON a.text <> b.text AND contains(' ' || b.text || ' ', ' ' || a.text || ' ') GROUP BY 1),
+c AS (SELECT s.*, log2(words + 1) * (freq - coalesce(nested, 0)) AS c_value FROM s LEFT JOIN o USING (text)),
+t AS (SELECT text FROM c ORDER BY round(c_value, 9) DESC, text LIMIT 40),
+b AS (SELECT text, word, count(*) AS times FROM (SELECT text, near AS word FROM term_mentions UNION ALL SELECT text, far FROM term_mentions) GROUP BY 1, 2),
+w AS (SELECT word, count(*) / (SELECT count(*) FROM t) AS weight FROM b JOIN t USING (text) GROUP BY 1),
+g AS (SELECT text, sum(times * weight) AS gained FROM b JOIN w USING (word) GROUP BY 1),
+f AS (SELECT text, count(*) FILTER (domain) AS a, count(*) FILTER (NOT domain) AS b FROM term_mentions GROUP BY 1),
+n AS (SELECT sum(a) AS c, sum(b) AS d FROM f),
+l AS (SELECT text, (CASE WHEN a * d >= b * c THEN 2 ELSE -2 END) * (CASE WHEN a > 0 THEN a * ln(a * (c + d) / (c * (a + b))) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b * (c + d) / (d * (a + b))) ELSE 0 END) AS ll FROM f, n)
+SELECT text, CAST(words AS INT) AS words, freq, records, families, round(c_value, 6) AS c_value, round(0.8 * c_value + 0.2 * coalesce(gained, 0), 6) AS nc_value, round(ll, 6) AS log_likelihood
+FROM c LEFT JOIN g USING (text) JOIN l USING (text)""")
+def domain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency, recurrence over families, C-value, NC-value and log-likelihood against general mentions of every term."""
+    rows = derived(spark, sf_dir, "term_mentions").withColumn("context", F.array("near", "far"))
+    known = evaluate.nc_value(rows, 40)
+    surely = evaluate.log_likelihood(rows.where("domain"), rows.where("not domain"))
+    value = lambda c: F.round(c, 6).alias(c)
+    return known.join(surely, "text").select("text", "words", "freq", "records", "families", value("c_value"), value("nc_value"), value("log_likelihood"))
+
+
+@query("""WITH t AS (SELECT *, CAST(0.5 AS DOUBLE) * uncertainty + CAST(0.3 AS DOUBLE) * impact + CAST(0.2 AS DOUBLE) * novelty AS total FROM review_items),
+p AS (SELECT *, total - CAST(0.05 AS DOUBLE) * (row_number() OVER (PARTITION BY group_id ORDER BY total DESC, item) - 1) AS priority FROM t)
+SELECT CAST(row_number() OVER (ORDER BY priority DESC, item) AS INT) AS rank, item, group_id, round(priority, 6) AS priority FROM p ORDER BY priority DESC, item LIMIT 25""")
+def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 items to review first (the feature is a top list), from the heads of three sorted lists."""
+    items = derived(spark, sf_dir, "review_items").withColumnRenamed("group_id", "group")
+    queue = evaluate.review_queue(items, 25, {"uncertainty": 0.5, "impact": 0.3, "novelty": 0.2}, 0.05)
+    return queue.select("rank", "item", F.col("group").alias("group_id"), F.round("priority", 6).alias("priority"))
+
+
+@query("""SELECT concat('EP-', c_custkey) AS publication_number, concat('F', c_nationkey) AS family_id, 'en' AS language, concat(c_name, ', "', c_mktsegment, '"', chr(10), 'x') AS text, true AS numbered FROM customer
+UNION ALL SELECT concat('EP-', c_custkey), concat('F', c_nationkey), 'de-DE', c_mktsegment, true FROM customer WHERE c_custkey % 3 > 0""")
+def csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as a folder of CSV files with quoted commas and line breaks, and read back as text units numbered from 2 in each file."""
+    title = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nx'))
+    rows = table(spark, sf_dir, "customer").repartition(5, "c_custkey").select(
+        F.concat(F.lit("EP-"), "c_custkey").alias("publication_number"), F.concat(F.lit("F"), "c_nationkey").alias("family_id"),
+        title.alias("title_en"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("title_de_de"), F.lit("z").alias("title_not_a_tag"),
+    )
+    path = f"{Rounds(spark, 'csv').base}/titles"
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    units, _, _ = csv_units.read_units(spark, path)
+    numbers = csv_units.documents(spark, path).select(F.split_part("source_record_id", F.lit(":"), F.lit(1)).alias("file"), F.split_part("source_record_id", F.lit(":"), F.lit(2)).cast("long").alias("k"))
+    whole = numbers.groupBy("file").agg(((F.min("k") == 2) & (F.max("k") == F.count("*") + 1) & (F.countDistinct("k") == F.count("*"))).alias("numbered"))
+    named = units.withColumn("file", F.split_part("source_record_id", F.lit(":"), F.lit(1))).join(whole, "file")
+    return named.select("publication_number", "family_id", "language", "text", "numbered")
+
+
+@query("""WITH t AS (SELECT text, kind, list_sort(list(DISTINCT source_record_id)) AS docs FROM found_terms GROUP BY 1, 2),
+r AS (SELECT p_name AS term, max(p_retailprice) AS best, count(*) AS n FROM part GROUP BY 1)
+SELECT t.text AS term, kind, len(docs) AS documents, docs[1] AS first_document, coalesce(n, 0) AS n_references FROM t LEFT JOIN r ON term = t.text""")
+def enrichment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched terms as JSON lines, read back: types, references in order and source documents sorted by id."""
+    found = derived(spark, sf_dir, "found_terms")
+    terms = enrich.distinct_terms(found.select("source_record_id", "text", F.array("kind").alias("types")))
+    docs = found.select("source_record_id", F.lit("P").alias("publication_number"), F.lit("F").alias("family_id")).distinct()
+    named = enrich.with_documents(terms, docs).withColumn("proposal_id", F.concat_ws("|", "text", F.element_at("types", 1)))
+    none = F.lit(None).cast("string")
+    refs = table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("text"), F.lit("IATE").alias("namespace"), F.col("p_partkey").cast("string").alias("external_id"), none.alias("label"), none.alias("canonical_url"), none.alias("description"),
+        F.lit("EXACT").alias("mapping_type"), F.lit(0.9).alias("confidence"), F.lit(False).alias("needs_review"),
+    )
+    lines = commands.enrichment_lines(named, named.select("proposal_id", "text").join(refs, "text").drop("text"))
+    inner = "struct<term:string,type_codes:array<string>,references:array<struct<external_id:string>>,source_documents:array<struct<source_record_id:string>>>"
+    r = lines.select(F.from_json("value", inner).alias("r")).select("r.*")
+    return r.select("term", F.element_at("type_codes", 1).alias("kind"), F.size("source_documents").cast("long").alias("documents"), F.element_at("source_documents", 1)["source_record_id"].alias("first_document"), F.size("references").cast("long").alias("n_references"))

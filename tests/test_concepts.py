@@ -300,3 +300,38 @@ def test_vector_index_finds_most_of_the_exact_neighbours(spark):
     whole = vector_index.search(index, asked, 16, len(index.centres))
     assert vector_index.recall(whole, exact).first().recall == 1.0
     assert vector_index.build(stored.where("concept_id >= 90000 and embedding is null")) is None
+
+
+# --- terms and reviews ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.2])
+def test_review_queue_equals_sorting_everything(spark, penalty):
+    rng = random.Random(11)
+    rows = [(i, rng.choice("abc"), rng.choice([None, rng.random()]), rng.random() ** 3, rng.random()) for i in range(900)] + [(None, "a", 1.0, 1.0, 1.0)]
+    items = spark.createDataFrame(rows, "item long, group string, uncertainty double, impact double, novelty double")
+    weights = {"uncertainty": 0.5, "impact": 0.3, "novelty": 0.2}
+    total = {r[0]: sum(w * (v or 0.0) for w, v in zip(weights.values(), r[2:], strict=True)) for r in rows if r[0] is not None}
+    place = Counter()
+    priority = {}
+    for i in sorted(total, key=lambda i: (-total[i], i)):
+        group = rows[i][1]
+        priority[i] = total[i] - penalty * place[group]
+        place[group] += 1
+    want = sorted(priority, key=lambda i: (-round(priority[i], 12), i))[:12]
+    for depth in (1, 8, 100):
+        got = evaluate.review_queue(items, 12, weights, penalty, depth).orderBy("rank").collect()
+        assert [r.item for r in got] == want and [r.priority for r in got] == pytest.approx([priority[i] for i in want])
+    assert evaluate.review_queue(items.limit(0), 5, weights).count() == 0
+
+
+def test_nc_value_and_log_likelihood(spark):
+    rows = [("r1", "f1", "gold alloy", ["hard"]), ("r1", "f1", "gold alloy", ["hard", "new"]), ("r2", None, "alloy", ["new"]), ("r3", "f2", "blue sky", None)]
+    mentions = spark.createDataFrame(rows, "source_record_id string, family_id string, text string, context array<string>")
+    got = {r.text: (r.freq, r.families, round(r.c_value, 4), round(r.nc_value, 4)) for r in evaluate.nc_value(mentions, 1).collect()}
+    c = round(2 * float(np.log2(3)), 4)
+    # the best term is gold alloy: hard and new weigh 1
+    assert got == {"gold alloy": (2, 1, c, round(0.8 * 2 * float(np.log2(3)) + 0.2 * 3, 4)), "alloy": (1, 0, -1.0, -0.6), "blue sky": (1, 1, round(float(np.log2(3)), 4), round(0.8 * float(np.log2(3)), 4))}
+    ll = {r.text: r.log_likelihood for r in evaluate.log_likelihood(mentions, spark.createDataFrame([("alloy",)] * 5 + [("sky",)], "text string")).collect()}
+    assert ll["gold alloy"] > 0 > ll["alloy"] and ll["sky"] < 0
+    assert [r.log_likelihood for r in evaluate.log_likelihood(mentions.limit(0), mentions.select("text")).collect()] == [None] * 3
