@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlake import schemas
 from termlake.operators import align, boilerplate, boundaries, changes, cluster, enrich, evaluate, lineage, matching, resolve, vector_index
 from termlake.plans import commands, inputs
 from termlake.plans.inputs import derived, query, table
@@ -227,3 +228,27 @@ def enrichment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = "struct<term:string,type_codes:array<string>,references:array<struct<external_id:string>>,source_documents:array<struct<source_record_id:string>>>"
     r = lines.select(F.from_json("value", inner).alias("r")).select("r.*")
     return r.select("term", F.element_at("type_codes", 1).alias("kind"), F.size("source_documents").cast("long").alias("documents"), F.element_at("source_documents", 1)["source_record_id"].alias("first_document"), F.size("references").cast("long").alias("n_references"))
+
+
+@query("""WITH gone AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 7 = 0), terms_gone AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT id FROM gone)),
+sets_gone AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey * 3 IN (SELECT id FROM gone))
+SELECT 'concept' AS table_name, 'left' AS what, count(*) AS n FROM customer WHERE c_custkey % 7 <> 0
+UNION ALL SELECT 'term', 'left', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT id FROM terms_gone)
+UNION ALL SELECT 'evidence_set', 'left', count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM sets_gone)
+UNION ALL SELECT 'term_evidence', 'left', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM terms_gone) AND l_suppkey NOT IN (SELECT id FROM sets_gone)
+UNION ALL SELECT 'concept', 'superseded_by_id', count(*) FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 10 = 1 AND (c_custkey + 1) % 7 = 0""")
+def cascading_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows left after concepts are deleted with all that hangs on them, and references that forbid the deletion."""
+    t = lambda name: table(spark, sf_dir, name)
+    concepts = t("customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 == 1, F.col("c_custkey") + 1).alias("superseded_by_id"))
+    tables = {
+        "concept": concepts,
+        "term": t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("concept_id")),
+        "evidence_set": t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 3).alias("concept_id")),
+        "term_evidence": t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("term_id"), F.col("l_suppkey").alias("evidence_set_id")),
+    }
+    left, blocked = schemas.delete(tables, "concept", concepts.where("id % 7 = 0").select("id"))
+    out = blocked.select("table_name", F.col("column").alias("what"), "n")
+    for name in tables:
+        out = out.unionByName(left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), F.lit("left").alias("what"), "n"))
+    return out

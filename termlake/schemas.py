@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termlake.staging import Rounds
+
 _TIMES = "created_at timestamp, updated_at timestamp"
 # fixed values: columns of the fourteen tables
 TABLES: dict[str, str] = {
@@ -59,6 +61,12 @@ REFERENCES: list[tuple[str, str, str]] = [
     ("concept_relation", "relation_type_id", "relation_type"),
     ("review_decision", "evidence_set_id", "evidence_set"),
 ]
+# fixed values: what becomes of rows that refer to a deleted one (others forbid the deletion)
+CASCADE = {
+    "concept_type_assignment.concept_id", "term.concept_id", "concept_identifier.concept_id", "concept_embedding.concept_id", "evidence_set.concept_id",
+    "term_evidence.evidence_set_id", "term_evidence.term_id", "concept_relation.source_concept_id", "concept_relation.target_concept_id", "review_decision.evidence_set_id",
+}
+SET_NULL = {"concept.created_by_run_id", "term.created_by_run_id", "evidence_set.created_by_run_id", "concept_relation.evidence_set_id"}
 _STATUS = "status IN ('proposed', 'accepted', 'rejected', 'deprecated')"
 _CONFIDENCE = "confidence BETWEEN 0 AND 1"
 CHECKS: dict[str, list[str]] = {
@@ -116,6 +124,7 @@ WRITES: dict[str, dict[str, str]] = {
         "external_id": "length(external_id) BETWEEN 1 AND 255",
         "mapping_type": "mapping_type RLIKE '^(exact|close|broad|narrow|related)$'",
         "confidence": "confidence BETWEEN 0 AND 1",
+        "source_uri": r"source_uri IS NULL OR source_uri RLIKE '^https?://[^\\s/?#]+[^\\s]*$'",
     },
 }
 
@@ -147,6 +156,47 @@ def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found).where("n > 0")
 
 
+def delete(tables: Mapping[str, DataFrame], table: str, ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables without the rows of a table that ids, column id, names; what forbids the deletion).
+
+    Rows that refer to deleted ones go with them, or lose the reference, or forbid the deletion: then the second
+    result has table_name, column and the number of such rows, and the deletion must not be written.  Tables come
+    with those they refer to before them; each reference is one semi or anti join on a written id set.
+    """
+    rounds = Rounds(ids.sparkSession, "delete")
+    gone: dict[str, DataFrame] = {table: rounds.write(ids.select("id").where("id is not null").distinct())}
+    out, blocked = dict(tables), []
+    for name in TABLES:
+        if name not in tables:
+            continue
+        rows, lost = tables[name], [gone[name]] if name in gone else []
+        links = [(c, target) for n, c, target in REFERENCES if n == name and c in rows.columns]
+        links += [(full.partition(".")[2], target) for full, target in (("term.created_by_run_id", "pipeline_run"), ("evidence_set.created_by_run_id", "pipeline_run"), ("concept_relation.evidence_set_id", "evidence_set")) if full.startswith(name + ".") and full.partition(".")[2] in rows.columns]
+        rows = rows.withColumn("_gone", F.lit(False))
+        for column, target in [("id", name) for _ in lost] + [x for x in links if x[1] in gone and x[1] != name]:
+            known = gone[target].select(F.col("id").alias("_id"), F.lit(True).alias("_hit"))
+            rows = rows.join(known, F.col(column) == F.col("_id"), "left")
+            hit, full = F.coalesce("_hit", F.lit(False)), f"{name}.{column}"
+            if column == "id" or full in CASCADE:
+                rows = rows.withColumn("_gone", F.col("_gone") | hit)
+            elif full in SET_NULL:
+                rows = rows.withColumn(column, F.when(~hit, F.col(column)))
+            else:
+                blocked.append(rows.where(hit & ~F.col("_gone")).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), F.lit(column).alias("column"), "n"))
+            rows = rows.drop("_id", "_hit")
+        if "id" in rows.columns and name not in gone:
+            fallen = rounds.write(rows.where("_gone").select("id"))
+            gone[name] = fallen
+        for column, target in links:
+            # a reference within the table (a parent, a successor) forbids the deletion unless its row goes too
+            if target == name and name in gone:
+                held = rows.where("not _gone").join(gone[name].select(F.col("id").alias("_id")), F.col(column) == F.col("_id"), "left_semi")
+                blocked.append(held.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), F.lit(column).alias("column"), "n"))
+        out[name] = rows.where("not _gone").drop("_gone")
+    none = ids.sparkSession.createDataFrame([], "table_name string, column string, n long")
+    return out, reduce(DataFrame.unionByName, blocked, none).where("n > 0")
+
+
 def evidence_errors(sets: DataFrame) -> DataFrame:
     """Evidence sets (family_id, terms array<struct<family_id, target_form_status>>) without terms, with a term of another family, or with a form that is not present."""
     wrong = (
