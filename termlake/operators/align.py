@@ -252,7 +252,10 @@ def align_sections(sections: DataFrame, keys: list[str], left: str = "left_units
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(each) for k in keys] + columns, [*keys, *names])
 
     schema = ", ".join(f"`{k}` {t}" for k, t in at.items()) + ", " + BEAD
-    return sections.select(*keys, F.col(left).alias("_left"), F.col(right).alias("_right")).mapInArrow(run, schema)
+    # an alignment takes far longer than moving its row, and a scan may be one task
+    parts = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sections.select(*keys, F.col(left).alias("_left"), F.col(right).alias("_right")).repartition(parts, *keys)
+    return rows.mapInArrow(run, schema)
 
 
 def map_sections(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

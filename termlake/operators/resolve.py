@@ -40,9 +40,9 @@ def identifier_signal(proposals: DataFrame, identifiers: DataFrame, namespaces:
 
 
 def _named(rows: DataFrame, text: str) -> DataFrame:
-    """Two hashes that stand for a text in its language, and its grams with the language before each."""
+    """Two hashes that stand for a text in its language, and the 64-bit hashes of its grams in that language."""
     key = [F.xxhash64("language", text).alias("a"), F.hash("language", text).alias("b")]
-    named = F.transform(trigrams(F.col(text)), lambda x: F.concat("language", F.lit(":"), x))
+    named = F.transform(trigrams(F.col(text)), lambda x: F.xxhash64("language", x))
     return rows.select(*key, named.alias("g")).where("size(g) > 0")
 
 
