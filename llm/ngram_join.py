@@ -7,19 +7,27 @@ when ``100 * |A & B| >= 80 * |A | B|``.  The work has three parts.
    shingles can only link to one that shares at least ``o = ceil(0.8 n)`` of
    them, so two linking documents share at least ``l`` shingles of their first
    ``n - o + l``.  Of these the document frequency over the whole corpus is
-   counted, and each document leaves out its ``l - 1`` most frequent ones: the
-   rarest of l shared shingles is left in either document.  A passage that
-   millions of documents share is thus never a join key unless nearly the whole
-   document consists of such passages.
-2. *Blocks.*  The remaining keys connect documents into candidate clusters
+   counted, and each document leaves out its ``l - SHARED`` most frequent ones:
+   the SHARED rarest of l shared shingles are left in either document.  A
+   passage that millions of documents share is thus never a join key unless
+   nearly the whole document consists of such passages.
+2. *Counted pairs.*  Of the remaining keys those with at most ``LIST`` documents
+   are multiplied: keys with the same documents are one list with a weight, the
+   weights are summed by pair, and a pair that shares fewer keys than is
+   guaranteed (less those of its keys that have longer lists) is dropped.  Only
+   documents that have the guaranteed number of keys with longer lists are
+   connected by single keys.
+3. *Blocks.*  The pairs left connect documents into candidate clusters
    (connected components, never collected).  Each cluster is dealt into blocks
    of bounded token and row count; every pair of blocks is one unit of work.
    Blocks grow with their cluster up to a bound, so a text is sent to 16 units
    until its cluster has ``16 * BLOCK_TOKENS[1]`` tokens.
-3. *Products.*  For a pair of blocks the incidence rows are multiplied column
-   block by column block and overlap counts accumulated; pairs whose sizes
-   alone rule out the threshold are masked.  What leaves a task is a spanning
-   forest of the links plus each row's number of links, linear in its rows.
+4. *Products.*  For a pair of blocks the incidence rows are multiplied column
+   block by column block and overlap counts accumulated.  A pair is discarded
+   where the sizes alone, or the overlap so far and what is left of the smaller
+   row, rule out the threshold; rows without pairs leave the product.  What
+   leaves a task is a spanning forest of the links plus each row's number of
+   links, linear in its rows.
 
 Documents with equal shingle sets are one matrix row with a weight.  Tables of
 counts by key are written before they are joined, so that adaptive skew handling
@@ -51,6 +59,8 @@ from llm.shingles import shingle_set, text_words
 PERCENT = 80
 #: Shared keys kept in reserve: at least so many, and this share of a document's shingles.
 RESERVE, RESERVE_SHARE = 32, 0.05
+#: Keys that two linking documents are left with (fewer in short ones), and documents up to which a key's pairs are counted.
+SHARED, LIST = 8, 64
 #: Least and most shingles of a block, and rows.
 BLOCK_TOKENS = (25_000, 1_000_000)
 BLOCK_ROWS = 2_000
@@ -113,14 +123,25 @@ def _links(sets: list[np.ndarray], side: np.ndarray, same: bool, percent: int) -
     _, column = np.unique(column[order], return_inverse=True)
     row = row[order]
     exact = np.float32 if n.max() < 1 << 24 else np.float64
-    overlap = np.zeros((len(left), len(right)), dtype=exact)
     columns = int(column[-1]) + 1 if len(column) else 0
     wide = min(COLUMN_BLOCK, columns)
+    overlap = np.zeros((len(left), len(right)), dtype=exact)
+    remaining = np.bincount(row, minlength=len(n)).astype(exact)
     for lo in range(0, columns, COLUMN_BLOCK):
+        # pairs that even all of the smaller row's remaining columns cannot bring to the threshold are discarded
+        most = overlap + np.minimum(remaining[left][:, None], remaining[right][None, :])
+        alive = 100 * most >= percent * (n[left][:, None] + n[right][None, :] - most)
+        if same:
+            alive &= left[:, None] < right[None, :]
+        if not alive.any():
+            return []
+        rows, cols = alive.any(axis=1), alive.any(axis=0)
+        left, right, overlap = left[rows], right[cols], overlap[np.ix_(rows, cols)]
         a, b = np.searchsorted(column, (lo, lo + COLUMN_BLOCK))
         dense = np.zeros((len(sets), wide), dtype=exact)
         dense[row[a:b], column[a:b] - lo] = 1
         overlap += dense[left] @ dense[right].T
+        remaining -= np.bincount(row[a:b], minlength=len(n)).astype(exact)
     i, j = np.nonzero(100 * overlap >= percent * (n[left][:, None] + n[right][None, :] - overlap))
     i, j = left[i], right[j]
     keep = i < j if same else n[i] > 0
@@ -163,6 +184,30 @@ def _products(percent: int):
     return run
 
 
+def _candidates(keys: DataFrame, tables: Tables) -> DataFrame:
+    """(u, v) edges from a written table of h, rid, least: of pairs that share enough keys, and of keys with long lists."""
+    lists = tables.write(keys.groupBy("h").agg(F.min("rid").alias("v"), F.count("*").alias("c")).where("c > 1"))
+    met = keys.join(lists, "h")
+    # keys with the same documents are one list; the weights of its pairs are summed
+    same = met.where(F.col("c") <= LIST).groupBy("h").agg(F.sort_array(F.collect_list("rid")).alias("rids")).groupBy("rids").agg(F.count("*").alias("c"))
+    first = same.select("rids", "c", F.posexplode("rids").alias("at", "v"))
+    pairs = first.select("v", "c", F.explode(F.slice("rids", F.col("at") + 2, F.size("rids"))).alias("u"))
+    counted = tables.write(pairs.groupBy("u", "v").agg(F.sum("c").alias("shared")))
+    long = tables.write(met.where(F.col("c") > LIST).groupBy("rid").agg(F.count("*").alias("long"), F.max("least").alias("least")))
+    short = broadcast_if_small(tables.write(keys.where(F.col("least") < SHARED).groupBy("rid").agg(F.max("least").alias("least"))))
+    others = broadcast_if_small(long.select("rid", "long"))
+    for end in ("u", "v"):
+        counted = counted.join(short.select(F.col("rid").alias(end), F.col("least").alias(f"{end}_least")), end, "left")
+        counted = counted.join(others.select(F.col("rid").alias(end), F.col("long").alias(f"{end}_long")), end, "left")
+    other = F.least(F.coalesce("u_long", F.lit(0)), F.coalesce("v_long", F.lit(0)))
+    bound = F.greatest(F.coalesce("u_least", F.lit(SHARED)), F.coalesce("v_least", F.lit(SHARED)))
+    enough = counted.where(F.col("shared") >= bound - other).select("u", "v")
+    heavy = broadcast_if_small(tables.write(long.where("long >= least").select("rid")))
+    chained = met.where(F.col("c") > LIST).join(heavy, "rid").select("h", "rid")
+    pivot = tables.write(chained.groupBy("h").agg(F.min("rid").alias("v")))
+    return enough.unionByName(chained.join(pivot, "h").select(F.col("rid").alias("u"), "v"))
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, bool]:
     """For every row doc_id, mark (text hash), n, component_id, n_links and the id and mark that stand for its component; whether rows repeat."""
     if not 50 <= percent <= 100:
@@ -191,12 +236,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[
     guaranteed = lambda n: F.least(
         F.floor((n * percent + 99) / 100), F.greatest(F.lit(RESERVE), (n * RESERVE_SHARE).cast("long") + 1)
     )
-    ranked = shared.join(sizes, "rid").withColumn("at", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("df"), "h")))
-    keys = tables.write(ranked.where(F.col("at") >= guaranteed(least)).select("h", "rid"))
-
-    # candidate clusters
-    pivot = tables.write(keys.groupBy("h").agg(F.min("rid").alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v"))
-    edges = keys.join(pivot, "h").select(F.col("rid").alias("u"), "v")
+    ranked = shared.join(sizes, "rid").select(
+        "h", "rid", guaranteed(least).alias("g"), F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("df"), "h")).alias("at")
+    )
+    keys = tables.write(ranked.where(F.col("at") > F.col("g") - SHARED).select("h", "rid", F.least("g", F.lit(SHARED)).alias("least")))
+    edges = _candidates(keys, tables)
     clusters = connected_components(edges, tables).select(F.col("node").alias("rid"), F.col("root").alias("cluster"))
 
     # blocks: every row goes to each pair of blocks that its own block is in

@@ -107,6 +107,27 @@ def test_ngram_join_at_other_thresholds(spark, percent):
         ngram_join.ngram_jaccard(docs_of(spark, texts), percent=40)
 
 
+@pytest.mark.parametrize(("shared", "most"), [(8, 2), (3, 4), (1, 1), (8, 6)])
+def test_ngram_join_with_long_lists(spark, monkeypatch, shared, most):
+    monkeypatch.setattr(ngram_join, "SHARED", shared)
+    monkeypatch.setattr(ngram_join, "LIST", most)
+    texts = borderline_texts(shared + most, 3)
+    assert sorted(map(tuple, ngram_join.ngram_jaccard(docs_of(spark, texts)).collect())) == brute_components(texts)
+
+
+def test_texts_of_shared_sentences_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(3)
+    pool = [" ".join(words_of(rng, 10, 5000)) for _ in range(500)]
+    texts = [" ".join([*rng.sample(pool, 20), *(f"own{i}x{k}" for k in range(100))]) for i in range(1000)]
+    texts[10] = texts[3] + " and more"
+    seen = []
+    search = ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda e, t: seen.append(e.count()) or search(e, t))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.ngram_jaccard(docs_of(spark, texts)).collect()}
+    assert {d: v for d, v in got.items() if v != (d, 0)} == {3: (3, 1), 10: (3, 1)}
+    assert seen[0] < len(texts) / 10
+
+
 def test_every_link_comes_from_the_product():
     rng = np.random.default_rng(1)
     for _ in range(50):
