@@ -8,9 +8,9 @@ counts are kept in a level array of one integer a level, so a placement looks
 at a window's number of levels and not at the windows.  The pieces of open
 windows are held back until their window is full.
 
-When a task's rows end, the open windows are emptied into each other: their
-pieces are cut to fill whole windows, and what is left (less than one window)
-is cut into sequences whose lengths are powers of two, which need no padding.
+When a task's rows end, the fullest open windows keep what they hold and are
+filled, in order of their levels, with pieces cut from the emptiest; the last
+window is cut into sequences whose lengths are powers of two, which need no padding.
 Memory is bounded by the open windows of one task; no row leaves its task, so
 there is no shuffle.  Sequence ids carry the partition id in their upper bits;
 the packed table is written once, so that ids are stable afterwards.
@@ -51,6 +51,8 @@ class Packer:
         self.level = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
         self.next = first_sequence
+        #: Tokens that were taken out of the window the level array had chosen.
+        self.moved = 0
         self.out: list[tuple] = []
 
     def _emit(self, pieces: list, sequence: int | None = None) -> None:
@@ -95,25 +97,38 @@ class Packer:
             self.open.setdefault(best + size, []).append(pieces)
 
     def close(self) -> None:
-        """Cuts the pieces of the open windows into full ones and powers of two."""
-        rest = [p for h in sorted(self.open, reverse=True) for pieces in self.open[h] for p in pieces]
-        left = sum(p[3] for p in rest)
-        now: list = []
-        want = room = self._size(left)
-        for doc, ids, start, length, total in rest:
-            while length:
-                take = min(room, length)
-                now.append((doc, ids, start, take, total))
-                start, length, room = start + take, length - take, room - take
-                if not room:
-                    self._emit(now)
-                    left -= want
-                    now, want = [], self._size(left)
-                    room = want
+        """Fills the fullest open windows with pieces cut from the emptiest; the last becomes powers of two."""
+        windows = [[h, pieces] for h in sorted(self.open, reverse=True) for pieces in self.open[h]]
         self.open, self.level[:] = {}, 0
-
-    def _size(self, left: int) -> int:
-        return self.window if left >= self.window else 1 << (left.bit_length() - 1) if left else 0
+        first, last = 0, len(windows) - 1
+        while first < last:
+            room, pieces = self.window - windows[first][0], windows[first][1]
+            while room and first < last:
+                self.moved += (part := self._cut(windows[last], room, pieces))
+                room -= part
+                if not windows[last][0]:
+                    last -= 1
+            if room:
+                break
+            self._emit(pieces)
+            first += 1
+        if first == last:
+            rest = [sum(p[3] for p in windows[first][1]), windows[first][1]]
+            while rest[0]:
+                pieces = []
+                want = min(self.window, 1 << (rest[0].bit_length() - 1))
+                while want:
+                    want -= self._cut(rest, want, pieces)
+                self._emit(pieces)
+
+    def _cut(self, window: list, room: int, pieces: list) -> int:
+        """Moves the first piece of a window, or as much of it as there is room for, to pieces; the tokens moved."""
+        doc, ids, start, length, total = window[1][0]
+        take = min(room, length)
+        pieces.append((doc, ids, start, take, total))
+        window[0] -= take
+        window[1][:1] = [(doc, ids, start + take, length - take, total)] if take < length else []
+        return take
 
 
 class _Tail:
