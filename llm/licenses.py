@@ -11,10 +11,15 @@ template's words that are aligned; a window of at least ``PERCENT`` per cent is
 finding.
 
 Phrases that tell a license from its siblings (``IDENTITY``: name, version, NC
-or SA) must stand in the text as they are.  A template with such phrases is
-pinned where the first of them stands, and aligned to the left and to the right
-of it; a version number that goes on (2.1 for 2) is another version.  Of the
-findings that claim the same words, the one with the most aligned words stays.
+or SA) pin a template where the first of them stands, and it is aligned to the
+left and to the right of it; a version number that goes on (2.1 for 2) is
+another version.  Templates with phrases and at least ``LONG`` words are also
+found by their seeds, where a window has at least ``SEED_PERCENT`` of them: there
+fewer than half of a phrase's words may have been replaced, each by one word
+that is in no phrase and no number, as a name or version of a sibling would be.
+Short grants are names (also with "Licence", and SPDX lines) that stand as they
+are.  Of the findings that claim the same words, the one with the most aligned
+words stays.
 
 The templates are a fixed small table (a parameter); each text is handled alone
 in a narrow stage.  Defined results: null text has no words; several windows of
@@ -45,6 +50,8 @@ from llm.shingles import PUNCTUATION, combine, text_word_spans, text_words
 
 SEED_WORDS = 3
 SHORT = 10
+#: Words from which a template with phrases is also found by seeds, and the share of them that a window needs.
+LONG, SEED_PERCENT = 20, 15
 PERCENT = 80
 SCHEMA = "doc_id long, license string, start long, end long, n_aligned long, n_template_words long"
 
@@ -221,8 +228,10 @@ def _entries(templates: Mapping[str, str], identity: Mapping[str, Sequence[str]]
     """(license, template, phrases) of the templates and of the short grants."""
     out = [(name, text, tuple(identity.get(name, ()))) for name, text in templates.items()]
     for name, given in names.items():
-        for x in dict.fromkeys(given):
+        for x in dict.fromkeys([*given, *(x.replace("License", "Licence") for x in given)]):
             out += [(name, f"{form} {x}", (x,)) for form in ("Released under the", "Licensed under")]
+        line = f"SPDX License Identifier {name}"
+        out.append((name, line, (line,)))
     return out
 
 
@@ -316,6 +325,9 @@ class Scanner:
         for w in starts:
             self.pinned[int(combine(w, 2)[0] & np.uint64(0xFFFF))] = True
         self.sets = [np.unique(w) for w in self.words]
+        #: Words that tell siblings apart: those of all phrases, and numbers.
+        self.telling = {int(w) for x in hashed.values() for w in x} | self.numbers
+        plain += [t for t in range(len(entries)) if self.phrases[t] and len(self.words[t]) >= LONG]
         self.seeds = []
         for k in (SEED_WORDS - 1, SEED_WORDS):
             owners = [t for t in plain if (len(self.words[t]) < SHORT) == (k < SEED_WORDS)]
@@ -329,7 +341,7 @@ class Scanner:
 
     def find(self, words: np.ndarray, joined: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(template, first word, end word, words aligned) of each finding; joined tells whether one character parts a word from the next."""
-        found = [*self._seeded(words), *self._pinned(words, joined)]
+        found = [*self._seeded(words, joined), *self._pinned(words, joined)]
         found.sort(key=lambda x: (-len(x[1]), len(self.words[x[0]]), x[0]))
         taken: set[int] = set()
         out = []
@@ -376,7 +388,23 @@ class Scanner:
                 return []
         return pairs
 
-    def _seeded(self, words: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], Iterable[int]]]:
+    def _told(self, words: np.ndarray, joined: np.ndarray, t: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether each phrase is aligned, or but for fewer than half of its words, that foreign words replace one by one."""
+        where = {j: i for i, j in pairs}
+        for q, m in self.phrases[t]:
+            known = [(where[j], j) for j in range(q, q + m) if j in where]
+            if 2 * len(known) <= m or len({i - j for i, j in known}) > 1:
+                return False
+            shift = known[0][0] - known[0][1]
+            if q + shift < 0 or q + m + shift > len(words):
+                return False
+            if any(int(words[j + shift]) in self.telling for j in range(q, q + m) if j not in where):
+                return False
+            if self._goes_on(words, joined, q + m + shift):
+                return False
+        return True
+
+    def _seeded(self, words: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], Iterable[int]]]:
         for k, h, owners, seen in self.seeds:
             if len(words) < k:
                 continue
@@ -390,7 +418,14 @@ class Scanner:
             pos = np.repeat(at, hi - lo)
             owner = np.concatenate([owners[a:b] for a, b in zip(lo, hi, strict=True)])
             for t in np.unique(owner).tolist():
-                yield from self._windows(words, t, len(self.words[t]), pos[owner == t])
+                seeds, n = pos[owner == t], len(self.words[t])
+                if not self.phrases[t]:
+                    yield from self._windows(words, t, n, seeds)
+                    continue
+                many = np.searchsorted(seeds, seeds + n) - np.arange(len(seeds)) >= SEED_PERCENT * n / 100
+                for found in self._windows(words, t, n, seeds[many]):
+                    if self._told(words, joined, t, found[1]):
+                        yield found
 
     def _windows(self, words: np.ndarray, t: int, n: int, seeds: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], Iterable[int]]]:
         """Windows of about two template lengths over the seeds, left to right, none overlapping a finding."""

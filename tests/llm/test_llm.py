@@ -13,6 +13,7 @@ import pytest
 
 from llm import chat, common, components, decontaminate, licenses, ngram_join, packing, pii, quality, queries, suffix_dedup, token_counts, units, warc
 from llm.components import connected_components
+from llm.shingles import PUNCTUATION, text_word_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, gone_id string, w string, row int"
 
@@ -482,6 +483,39 @@ def test_changed_grants_are_found(spark):
     assert sum(found) >= 0.9 * len(names), [n for n, f in zip(names, found, strict=True) if not f]
 
 
+def scanned(scanner, text):
+    for _, words, start, end in text_word_spans(pa.array([text], pa.large_string()), gap=PUNCTUATION):
+        return {scanner.names[t] for t, *_ in scanner.find(words, start[1:] - end[:-1] == 1)}
+
+
+def test_shipped_grants_with_any_words_changed_against_whole_alignment():
+    rng = random.Random(5)
+    scanner = licenses.Scanner(tuple(licenses._entries(licenses.TEMPLATES, licenses.IDENTITY, licenses.NAMES)), licenses.PERCENT)
+    for share in (0.05, 0.1):
+        found = []
+        for name, text in licenses.TEMPLATES.items():
+            words = licenses._hashed([text])[0].tolist()
+            if not 20 <= len(words) <= 400:
+                continue
+            for _ in range(10):
+                changed = "before it " + re.sub(r"\w+", lambda m: m[0] if rng.random() >= share else f"zq{rng.randrange(10**6)}", text) + " and after it"
+                if 100 * len(licenses.align(licenses._hashed([changed])[0].tolist(), words)) >= 80 * len(words):
+                    found.append(name in scanned(scanner, changed))
+        assert sum(found) >= 0.9 * len(found) > 100
+
+
+def test_license_lines_and_spellings_and_siblings_of_changed_grants():
+    scanner = licenses.Scanner(tuple(licenses._entries(licenses.TEMPLATES, licenses.IDENTITY, licenses.NAMES)), licenses.PERCENT)
+    assert scanned(scanner, "// SPDX-License-Identifier: GPL-2.0-only\nint x;") == {"gpl-2.0"}
+    assert scanned(scanner, "SPDX-License-Identifier: MIT-0") == {"mit-0"}
+    assert scanned(scanner, "licensed under the Apache Licence, Version 2.0") == {"apache-2.0"}
+    header = licenses.TEMPLATES["gpl-2.0-header"]
+    assert scanned(scanner, header.replace("either version 2", "either version 7")) == {"gpl"}
+    assert scanned(scanner, header.replace("GNU General", "GNU Sample General")) <= {"gpl"}
+    assert scanned(scanner, header.replace("General", "Gneeral")) == {"gpl-2.0-header"}
+    assert scanned(scanner, header.replace("GNU General", "GNU Affero General")) == {"agpl"}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
@@ -588,6 +622,23 @@ def test_sum_of_squares_choice():
     assert sum(x[2] for x in p.out) == 19 and not p.level.any()
 
 
+def test_most_tokens_stay_where_the_level_array_put_them():
+    rng = random.Random(8)
+    sizes = [rng.randint(1, 2047) if rng.random() < 0.5 else rng.randint(1, 300) for _ in range(1000)]
+    p = packing.Packer(2048, 0)
+    for i, n in enumerate(sizes):
+        p.add(i, bytes(4 * n))
+    p.close()
+    fill, pieces = defaultdict(int), defaultdict(int)
+    for doc, _, length, _, _, sequence, offset in p.out:
+        assert offset == fill[sequence]
+        fill[sequence] += length
+        pieces[doc] += length
+    assert [pieces[i] for i in range(1000)] == sizes
+    assert all(n == 2048 or n & (n - 1) == 0 for n in fill.values()) and sum(n < 2048 for n in fill.values()) <= 11
+    assert p.moved <= 0.2 * sum(sizes)
+
+
 def test_pii_odd_tables(spark):
     docs = docs_of(spark, ["x"])
     assert pii.pii_report(docs.where("false")).count() == 0 and pii.redact(docs.where("false")).columns == docs.columns
