@@ -16,7 +16,8 @@ left and to the right of it; a version number that goes on (2.1 for 2) is
 another version.  Templates with phrases and at least ``LONG`` words are also
 found by their seeds, where a window has at least ``SEED_PERCENT`` of them: there
 fewer than half of a phrase's words may have been replaced, each by one word
-that is in no phrase and no number, as a name or version of a sibling would be.
+that is in no phrase and no number, as a name or version of a sibling would be
+(a foreign word just where siblings differ gives the sibling that aligns best).
 Short grants are names (also with "Licence", and SPDX lines) that stand as they
 are.  Of the findings that claim the same words, the one with the most aligned
 words stays.

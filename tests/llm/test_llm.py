@@ -511,7 +511,8 @@ def test_license_lines_and_spellings_and_siblings_of_changed_grants():
     assert scanned(scanner, "licensed under the Apache Licence, Version 2.0") == {"apache-2.0"}
     header = licenses.TEMPLATES["gpl-2.0-header"]
     assert scanned(scanner, header.replace("either version 2", "either version 7")) == {"gpl"}
-    assert scanned(scanner, header.replace("GNU General", "GNU Sample General")) <= {"gpl"}
+    # a foreign word where siblings differ: the sibling that aligns best
+    assert scanned(scanner, header.replace("GNU General", "GNU Sample General")) == {"lgpl-2.0-header"}
     assert scanned(scanner, header.replace("General", "Gneeral")) == {"gpl-2.0-header"}
     assert scanned(scanner, header.replace("GNU General", "GNU Affero General")) == {"agpl"}
 
