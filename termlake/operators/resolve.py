@@ -7,21 +7,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlake import vocab
-from termlake.functions.similarity import dot, trigrams
+from termlake.functions.similarity import trigrams
 from termlake.staging import Rounds
 
 ACTIVE = ("proposed", "accepted")
 TOP_K, FUZZY = 8, 0.25
 DIMENSIONS = 1024
-#: Bytes of a query set or index that is sent to every executor, as counted.
-BROADCAST_BYTES = 64 << 20
-#: Known texts of a gram beyond which its list is cut into parts.
-HOT_LIST = 20_000
+#: Bytes of a block of asked and of stored vectors, as doubles, and values of a product of them.
+QUERY_BYTES, STORED_BYTES, BLOCK_VALUES = 4 << 20, 32 << 20, 4 << 20
+DIMENSION_ERROR = "a query vector has another dimension than the stored vectors"
+#: Known and asked texts of a block, so the most texts of a gram's list.
+HOT_LIST, ASKED_TEXTS = 20_000, 2_000
 
 
 def exact_signal(proposals: DataFrame, terms: DataFrame) -> DataFrame:
@@ -31,12 +33,21 @@ def exact_signal(proposals: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def identifier_signal(proposals: DataFrame, identifiers: DataFrame, namespaces: DataFrame) -> DataFrame:
-    """proposal_id, concept_id, strength: the strongest shared identifier."""
-    asked = proposals.select("proposal_id", F.explode("identifiers").alias("i")).select("proposal_id", F.col("i.namespace").alias("code"), F.col("i.value").alias("external_id"))
-    known = identifiers.join(namespaces.select(F.col("id").alias("namespace_id"), "code", "identity_strength"), "namespace_id")
+    """proposal_id, concept_id, strength: the strongest shared identifier.
+
+    Proposals that ask for the same identifiers have the same answer, which is made once, and
+    identifiers that a concept has repeatedly count once; so only the answers grow with the proposals.
+    """
+    pair = lambda i: F.struct(i["namespace"].alias("code"), i["value"].alias("external_id"))
+    # one row a proposal, however often it is repeated
+    asked = proposals.groupBy("proposal_id").agg(F.flatten(F.collect_list(F.transform("identifiers", pair))).alias("asked"))
+    asked = asked.select("proposal_id", F.array_sort(F.array_distinct("asked")).alias("asked"))
+    each = asked.select("asked").distinct().select("asked", F.explode("asked").alias("i")).select("asked", "i.*")
+    known = identifiers.select("namespace_id", "external_id", "concept_id").distinct()
+    known = known.join(namespaces.select(F.col("id").alias("namespace_id"), "code", "identity_strength"), "namespace_id").drop("namespace_id")
     rank = vocab.map_column(vocab.STRENGTH_RANK)
-    found = asked.join(known, ["code", "external_id"])
-    return found.groupBy("proposal_id", "concept_id").agg(F.max_by("identity_strength", rank[F.col("identity_strength")]).alias("strength"))
+    found = each.join(known, ["code", "external_id"]).groupBy("asked", "concept_id").agg(F.max_by("identity_strength", rank[F.col("identity_strength")]).alias("strength"))
+    return asked.join(found, "asked").select("proposal_id", "concept_id", "strength")
 
 
 def _named(rows: DataFrame, text: str) -> DataFrame:
@@ -46,47 +57,58 @@ def _named(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(*key, named.alias("g")).where("size(g) > 0")
 
 
-def gram_prefixes(texts: DataFrame, frequency: DataFrame, threshold: float, rounds: Rounds) -> DataFrame:
-    """(gram, n, a, b, size): the rarest grams of each text, so many that two texts at the threshold share one of them.
-
-    Texts that share at least ``threshold`` of their grams' union share ``ceil(threshold * size)``
-    grams of either one; so all but that many, and one more, of its grams in one common
-    order are enough.  The order is by how many known texts have a gram (n), so the
-    most frequent grams, whose lists would be longest, are mostly left out.
-    """
-    grams = texts.select("a", "b", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    ranked = grams.join(frequency, "gram", "left").groupBy("a", "b", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g"))
-    kept = F.slice("g", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))
-    return rounds.write(ranked.select("a", "b", "size", F.explode(kept).alias("x")).select("x.gram", "x.n", "a", "b", "size").where("n > 0"))
+def _alike(asked: pa.Table, known: pa.Table, threshold: float) -> pa.Table:
+    """pa, pb, ta, tb, trigram of the pairs of asked and known texts at the threshold, by the known texts' lists of grams."""
+    at = pa.array([], pa.int64())
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if asked.num_rows and known.num_rows:
+        lists = known.column("g").combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        grams, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(grams, kind="stable")
+        owner = owner[order]
+        names, begin = np.unique(grams[order], return_index=True)
+        end = np.append(begin[1:], len(owner))
+        for row, chunk in enumerate(x for c in asked.column("g").chunks for x in c):
+            mine = np.asarray(chunk.values)
+            where = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+            where = where[names[where] == mine]
+            if len(where):
+                shared = np.bincount(np.concatenate([owner[begin[w] : end[w]] for w in where]), minlength=len(sizes))
+                share = shared / (len(mine) + sizes - shared)
+                good = np.flatnonzero(share >= threshold)
+                out.append((np.full(len(good), row), good, share[good]))
+    if out:
+        of, at, share = (np.concatenate(x) for x in zip(*out, strict=True))
+    else:
+        of, share = at, pa.array([], pa.float64())
+    of, at = pa.array(of), pa.array(at)
+    return pa.table([asked.column("a").take(of), asked.column("b").take(of), known.column("a").take(at), known.column("b").take(at), pa.array(share)], ["pa", "pb", "ta", "tb", "trigram"])
 
 
 def similar_texts(asked: DataFrame, known: DataFrame, threshold: float, rounds: Rounds, hot_list: int = HOT_LIST) -> DataFrame:
     """(pa, pb, ta, tb, trigram) of the pairs of asked and known texts (a, b, g) at the threshold.
 
-    The known texts' rarest grams are an index, a written table; the asked texts' rarest
-    grams are joined with it on the gram, under the bound of sizes, and only pairs that
-    meet are compared gram by gram.  Lists of more than ``hot_list`` texts are cut into
-    salted parts, so no gram is one task's work.
+    Both sides are different texts, counted and dealt into blocks; each pair of blocks is one group.  In
+    it the known texts' grams are lists of texts, and the lists of an asked text's grams are counted together, so a
+    pair costs what its grams have in common and no candidate is shuffled.  A block has about ``hot_list`` known texts,
+    so no list is longer.
     """
     asked, known = rounds.write(asked), rounds.write(known)
-    frequency = rounds.write(known.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
-    cuts = F.expr(f"CAST(n div {hot_list} + 1 AS INT)")
-    index = gram_prefixes(known, frequency, threshold, rounds).withColumn("part", F.pmod("a", cuts))
-    query = gram_prefixes(asked, frequency, threshold, rounds).withColumn("part", F.explode(F.sequence(F.lit(0), cuts - 1).cast("array<bigint>")))
-    q = query.select("gram", "part", F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("size").alias("ps"))
-    k = index.select("gram", F.col("part").cast("bigint").alias("part"), F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("size").alias("ts"))
-    bound = (F.col("ts") >= threshold * F.col("ps") - 1e-9) & (F.col("ps") >= threshold * F.col("ts") - 1e-9)
-    pairs = rounds.write(q.join(k, ["gram", "part"]).where(bound).select("pa", "pb", "ta", "tb").distinct())
-    whole = pairs.join(asked.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("g").alias("pg")), ["pa", "pb"])
-    whole = whole.join(known.select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("g").alias("tg")), ["ta", "tb"])
-    shared = F.size(F.array_intersect("pg", "tg"))
-    return whole.select("pa", "pb", "ta", "tb", (shared / (F.size("pg") + F.size("tg") - shared)).alias("trigram")).where(F.col("trigram") >= threshold)
+    asks, parts = max(1, -(-asked.count() // ASKED_TEXTS)), max(1, -(-known.count() // hot_list))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("ask", F.pmod("a", F.lit(asks)).cast("int")).withColumn("part", spread(parts))
+    k = known.withColumn("part", F.pmod("a", F.lit(parts)).cast("int")).withColumn("ask", spread(asks))
+    return q.groupBy("ask", "part").cogroup(k.groupBy("ask", "part")).applyInArrow(lambda x, y: _alike(x, y, threshold), "pa long, pb int, ta long, tb int, trigram double")
 
 
 def trigram_signal(proposals: DataFrame, terms: DataFrame, threshold: float = FUZZY, most: int = 2 * TOP_K, hot_list: int = HOT_LIST) -> DataFrame:
     """proposal_id, concept_id, trigram: the most similar concepts of a proposal, at least at the threshold.
 
-    Equal texts are one text, named by 96 hash bits (see :func:`similar_texts`).
+    Equal texts are one text, named by 96 hash bits (see :func:`similar_texts`), and have their best concepts
+    chosen once; the proposals come last.  Of a known text's concepts the least ids, as many as are
+    wanted, are enough: any other one comes after all of these.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -94,41 +116,106 @@ def trigram_signal(proposals: DataFrame, terms: DataFrame, threshold: float = FU
     active = terms.where(F.col("status").isin(*ACTIVE))
     asked = _named(proposals.select("language", F.col("normalized_term").alias("s")).distinct(), "s")
     known = _named(active.select("language", F.col("normalized_text").alias("s")).distinct(), "s")
-    alike = rounds.last(similar_texts(asked, known, threshold, rounds, hot_list))
+    alike = similar_texts(asked, known, threshold, rounds, hot_list)
     p = proposals.select("proposal_id", F.xxhash64("language", "normalized_term").alias("pa"), F.hash("language", "normalized_term").alias("pb"))
     concepts = active.select("concept_id", F.xxhash64("language", "normalized_text").alias("ta"), F.hash("language", "normalized_text").alias("tb")).distinct()
+    concepts = top(concepts, ["ta", "tb"], [F.col("concept_id")], most)
     best = alike.join(concepts, ["ta", "tb"]).groupBy("pa", "pb", "concept_id").agg(F.max("trigram").alias("trigram"))
-    return top(best.join(p, ["pa", "pb"]).select("proposal_id", "concept_id", "trigram"), "trigram", most)
+    best = rounds.last(top(best, ["pa", "pb"], [F.desc("trigram"), F.col("concept_id")], most))
+    return top(best.join(p, ["pa", "pb"]).select("proposal_id", "concept_id", "trigram"), ["proposal_id"], [F.desc("trigram"), F.col("concept_id")], most)
+
+
+def _sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of a and b, summed in the order of the entries, so equal vectors have equal values wherever they stand."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as rows of doubles."""
+    column = column.combine_chunks()
+    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    sizes = np.unique(column.value_lengths().to_numpy())
+    if len(sizes) > 1:
+        raise ValueError(DIMENSION_ERROR)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _nearest(asked: pa.Table, known: pa.Table, most: int) -> pa.Table:
+    """proposal_id, concept_id, semantic: the best known rows of each asked one, as a whole table would give them.
+
+    A product in single precision leaves out what is surely not among the best; the rest is
+    computed in double precision.  Equal known vectors are one vector with its least ids.
+    """
+    names = ["proposal_id", "concept_id", "semantic"]
+    none = pa.table([asked.column("proposal_id").slice(0, 0), known.column("concept_id").slice(0, 0), pa.array([], pa.float64())], names)
+    if not asked.num_rows or not known.num_rows:
+        return none
+    known = known.take(pc.sort_indices(known, [("concept_id", "ascending")], null_placement="at_start"))
+    q, e = _matrix(asked.column("q")), _matrix(known.column("e"))
+    if q.shape[1] != e.shape[1]:
+        raise ValueError(DIMENSION_ERROR)
+    if not q.shape[1]:
+        return none
+    _, first, group = np.unique(np.ascontiguousarray(e).view(np.dtype((np.void, e.itemsize * e.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    u, group = e[first], group.ravel()
+    ids = np.argsort(group, kind="stable")
+    begin = np.searchsorted(group[ids], np.arange(len(u)))
+    held = np.minimum(np.diff(np.append(begin, len(ids))), most)
+    qn, un = np.sqrt(_sequential(q, q)), np.sqrt(_sequential(u, u))
+    with np.errstate(all="ignore"):
+        unit = (u / un[:, None]).astype(np.float32).T
+    # single precision is off by less than this
+    slack = np.float32(4 * (q.shape[1] + 8) * np.finfo(np.float32).eps)
+    step, k, out = max(1, BLOCK_VALUES // len(u)), min(most, len(u)), []
+    for lo in range(0, len(q), step):
+        with np.errstate(all="ignore"):
+            near = (q[lo : lo + step] / qn[lo : lo + step, None]).astype(np.float32) @ unit
+            # vectors without length are similar to none; what is no number comes first, as in the order of a column
+            near[:, un == 0] = -np.inf
+            least = np.partition(near, len(u) - k, axis=1)[:, len(u) - k]
+            row, at = np.nonzero(~(near < (least - slack)[:, None]))
+            row += lo
+            size = qn[row] * un[at]
+            row, at, size = row[size != 0], at[size != 0], size[size != 0]
+            score = _sequential(q[row], u[at]) / size
+        each = np.repeat(np.arange(len(row)), held[at])
+        place = np.arange(len(each)) - np.repeat(np.cumsum(held[at]) - held[at], held[at])
+        row, score, at = row[each], score[each], ids[begin[at[each]] + place]
+        order = np.lexsort((at, np.where(np.isnan(score), -np.inf, -score), row))
+        row, score, at = row[order], score[order], at[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < most
+        out.append(pa.table([asked.column("proposal_id").take(pa.array(row[kept])), known.column("concept_id").take(pa.array(at[kept])), pa.array(score[kept])], names))
+    return pa.concat_tables(out) if out else none
 
 
 def vector_signal(
-    proposals: DataFrame, embeddings: DataFrame, most: int = 2 * TOP_K, model_name: str | None = None, model_version: str | None = None, block_bytes: int = BROADCAST_BYTES
+    proposals: DataFrame, embeddings: DataFrame, most: int = 2 * TOP_K, model_name: str | None = None, model_version: str | None = None, block_bytes: int = QUERY_BYTES
 ) -> DataFrame:
     """proposal_id, concept_id, semantic: the nearest concepts by cosine (exact).
 
-    Only vectors of the named model and version are compared.  The asked vectors
-    are a stated query set: they are counted, dealt into blocks of bounded size, and
-    each block is sent to every stored vector; norms are taken once a row, and
-    each task keeps its best before the shuffle (a grouped limit below the window).
+    Only vectors of the named model and version are compared.  Asked and stored
+    vectors are counted and dealt into blocks of bounded bytes; each pair of blocks
+    is one group, whose vectors are multiplied as matrices and of which each asked vector's best
+    are kept.  Rows without a vector, with a null entry or without length are near to none.
     An asked vector of another dimension than the stored ones is an error.
     """
     for column, value in (("model_name", model_name), ("model_version", model_version)):
         if value is not None:
             embeddings = embeddings.where(F.col(column) == value)
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    q = proposals.where("query_embedding is not null").select("proposal_id", F.col("query_embedding").alias("q"), norm("query_embedding").alias("qn"))
-    e = embeddings.select("concept_id", F.col("embedding").alias("e"), norm("embedding").alias("en"))
-    size = q.agg(F.sum(F.size("q") * 8 + 64).alias("bytes")).first().bytes or 0
-    blocks = max(1, -(-size // block_bytes))
-    alike = dot(F.col("q"), F.col("e")) / F.nullif(F.col("qn") * F.col("en"), F.lit(0.0))
-    checked = F.when(F.size("q") == F.size("e"), alike).otherwise(F.raise_error(F.lit("a query vector has another dimension than the stored vectors")))
-    out = None
-    for b in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("proposal_id"), F.lit(blocks)) == b)
-        scored = e.crossJoin(F.broadcast(block)).select("proposal_id", "concept_id", checked.alias("semantic"))
-        best = top(scored.where("semantic is not null"), "semantic", most)
-        out = best if out is None else out.unionByName(best)
-    return out
+    whole = lambda c: F.col(c).isNotNull() & (F.size(F.array_compact(c)) == F.size(c))
+    q = proposals.where(whole("query_embedding")).select("proposal_id", F.col("query_embedding").alias("q"))
+    e = embeddings.where(whole("embedding")).select("concept_id", F.col("embedding").alias("e"))
+    sums = lambda df, c: df.agg(F.sum(F.size(c).cast("long") * 8).alias("bytes")).first().bytes or 0
+    asks, parts = max(1, -(-sums(q, "q") // block_bytes)), max(1, -(-sums(e, "e") // STORED_BYTES))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("ask", F.pmod(F.xxhash64("proposal_id", "q"), F.lit(asks)).cast("int")).withColumn("part", spread(parts))
+    e = e.withColumn("part", F.pmod(F.xxhash64("concept_id", "e"), F.lit(parts)).cast("int")).withColumn("ask", spread(asks))
+    schema = T.StructType([q.schema["proposal_id"], e.schema["concept_id"], T.StructField("semantic", T.DoubleType())])
+    best = q.groupBy("ask", "part").cogroup(e.groupBy("ask", "part")).applyInArrow(lambda a, b: _nearest(a, b, most), schema)
+    return top(best, ["proposal_id"], [F.desc("semantic"), F.col("concept_id")], most)
 
 
 def embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], list]], dimensions: int = DIMENSIONS, text_col: str = "text", batch: int = 64) -> DataFrame:
@@ -159,10 +246,9 @@ def embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], list]], dim
     return texts.mapInPandas(run, schema)
 
 
-def top(scored: DataFrame, score: str, most: int) -> DataFrame:
-    """The best rows of each proposal; ties by concept id."""
-    order = Window.partitionBy("proposal_id").orderBy(F.desc(score), "concept_id")
-    return scored.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).drop("at")
+def top(scored: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each group in an order."""
+    return scored.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= most).drop("at")
 
 
 def ranking_score(exact: Column, strength: Column, trigram: Column, semantic: Column) -> Column:

@@ -157,7 +157,7 @@ def search(index: VectorIndex, asked: DataFrame, most: int, probes: int, id_col:
     found = aimed.groupBy("cell", "part").cogroup(index.rows.groupBy("cell", "part")).applyInArrow(score, key_type)
     from termlake.operators.resolve import top
 
-    return top(found.withColumnRenamed(id_col, "proposal_id"), "semantic", most).withColumnRenamed("proposal_id", id_col)
+    return top(found, [id_col], [F.desc("semantic"), F.col("concept_id")], most)
 
 
 def recall(found: DataFrame, exact: DataFrame, id_col: str = "proposal_id") -> DataFrame:

@@ -262,6 +262,36 @@ def test_embedding_hook_and_vector_search(spark):
         resolve.vector_signal(spark.createDataFrame([("p", [1.0])], "proposal_id string, query_embedding array<float>"), stored).collect()
 
 
+def test_vectors_of_blocks_equal_all_pairs_and_copies_tie_by_id(spark):
+    rng = random.Random(5)
+    pool = [[rng.uniform(-1, 1) for _ in range(64)] for _ in range(300)]
+    stored = [(i, pool[i % 300] if i % 7 else pool[3]) for i in range(12_000)] + [(20_000, None), (20_001, [0.0] * 64)]
+    asked = [(f"p{i}", pool[i % 300]) for i in range(4_000)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    a = spark.createDataFrame(asked, "proposal_id string, query_embedding array<double>")
+    s = spark.createDataFrame(stored, "concept_id int, embedding array<double>")
+    began = time.time()
+    got = {}
+    for r in resolve.vector_signal(a, s, 5, block_bytes=1 << 20).collect():
+        got.setdefault(r.proposal_id, []).append((-r.semantic, r.concept_id))
+    assert len(got) == 4_000 and time.time() - began < 60
+    for name, q in asked[:40]:
+        near = sorted((-dot(q, v) / (dot(q, q) ** 0.5 * dot(v, v) ** 0.5), i) for i, v in ((i, pool[i % 300] if i % 7 else pool[3]) for i in range(12_000)))[:5]
+        assert [i for _, i in sorted(got[name])] == [i for _, i in near]
+
+
+def test_equal_questions_are_answered_once(spark):
+    n = 30_000  # the products would be 900,000,000 rows
+    began = time.time()
+    p = spark.range(n).select(F.concat(F.lit("p"), "id").alias("proposal_id"), F.lit("en").alias("language"), F.lit("gold alloy").alias("normalized_term"), F.array(F.struct(F.lit("CHEBI").alias("namespace"), F.lit("1").alias("value"))).alias("identifiers"))
+    ids = spark.range(n).select((F.col("id") % 3).alias("concept_id"), F.lit(1).alias("namespace_id"), F.lit("1").alias("external_id"))
+    names = spark.createDataFrame([(1, "CHEBI", "strong")], "id int, code string, identity_strength string")
+    assert {(r.concept_id, r.strength, r["count"]) for r in resolve.identifier_signal(p.union(p), ids, names).groupBy("concept_id", "strength").count().collect()} == {(i, "strong", n) for i in range(3)}
+    terms = spark.range(n).select(F.col("id").alias("concept_id"), F.lit("en").alias("language"), F.lit("gold alloy").alias("normalized_text"), F.lit("accepted").alias("status"))
+    assert {(r.concept_id, r["count"]) for r in resolve.trigram_signal(p, terms, most=4).groupBy("concept_id").count().collect()} == {(i, n) for i in range(4)}
+    assert time.time() - began < 60
+
+
 def test_trigrams_of_blocks_equal_pairwise_similarity(spark):
     rng = random.Random(2)
     text = lambda: " ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 4)))
