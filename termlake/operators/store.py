@@ -94,9 +94,12 @@ def seed_into(existing: DataFrame, seeds: DataFrame, refresh: tuple[str, ...] =
 
 def translations(terms: DataFrame) -> DataFrame:
     """Pairs of terms of one concept in different languages."""
-    a = terms.select("concept_id", F.col("language").alias("source_language"), F.col("text").alias("source_text"))
+    spoken = terms.select("concept_id", "language").distinct()
+    # the language is part of the key, so terms of one language never meet
+    asked = spoken.join(spoken.withColumnRenamed("language", "target_language"), "concept_id").where("language <> target_language")
+    a = terms.select("concept_id", "language", "text").join(asked, ["concept_id", "language"]).withColumnsRenamed({"language": "source_language", "text": "source_text"})
     b = terms.select("concept_id", F.col("language").alias("target_language"), F.col("text").alias("target_text"))
-    return a.join(b, "concept_id").where("source_language <> target_language")
+    return a.join(b, ["concept_id", "target_language"]).select("concept_id", "source_language", "source_text", "target_language", "target_text")
 
 
 def provenance(concepts: DataFrame, terms: DataFrame, evidence: DataFrame, sets: DataFrame) -> DataFrame:
