@@ -1,10 +1,15 @@
-"""Where merged and split concepts are now: chains of supersession, followed by pointer jumping.
+"""Where merged and split concepts are now: chains of supersession, contracted and then followed by pointer jumping.
 
-The edit log says which concept another one has taken the place of.  Each round
-joins every concept with what its present end points to, so a chain of n edits
-takes about log2 n rounds.  A concept that has not reached an end after as many
-rounds as the longest possible chain needs is on a cycle or leads to one, and is
-reported instead of being given an end.
+The edit log says which concept another one has taken the place of.  Edges are
+dealt by ranges of concepts, and each stretch of bounded size follows its chains as
+far as they stay in it.  Only the concepts where a chain enters another stretch
+go on: each round joins each of them with what its present end points to, so a
+chain over n stretches takes about log2 n rounds.  When a round ends no chain that the one
+before left open, none that is left has an end (any longer chain has places at all
+smaller distances from its end); these lead to cycles and are not given one.
+
+Cycles are what is left of such concepts when their successors are taken 1, 2, 4, ...
+edits on until no fewer remain.
 
 Splits move named terms: a term follows its concept's chain, but a split of a
 concept on that chain that names the term sends it elsewhere, from where it goes
@@ -17,61 +22,132 @@ then least successor); repeated rows count once; empty logs leave all where it i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlake.staging import Rounds
 
+#: Concepts whose chains are followed at once in a task.
+STRETCH = 1 << 18
+
 
 def _last(log: DataFrame, keys: list[str], target: str) -> DataFrame:
     """The last edit of each key: highest seq, then least target."""
     return log.groupBy(*keys).agg(F.min(F.struct((-F.coalesce(F.col("seq"), F.lit(0))).alias("late"), F.col(target).alias("to"))).alias("e")).select(*keys, F.col("e.to").alias("to"))
 
 
-def supersession(merges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
+def _followed(following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place (following has the next one, -1 outside): the last place of its chain, edits up to the exit, whether it never leaves, whether it is on a cycle."""
+    last, steps, ahead = np.arange(len(following)), np.ones(len(following), np.int64), following.copy()
+    endless, ring = np.zeros(len(following), bool), np.zeros(len(following), bool)
+    open_, before = np.flatnonzero(ahead >= 0), -1
+    while len(open_) and len(open_) != before:
+        before, to = len(open_), ahead[open_]
+        last[open_], steps[open_], ahead[open_] = last[to], steps[open_] + steps[to], ahead[to]
+        open_ = open_[ahead[open_] >= 0]
+    endless[open_] = True
+    jump, left = following.copy(), open_
+    while len(left):
+        image = np.unique(jump[left])
+        if len(image) == len(left):
+            break
+        left, jump[open_] = image, jump[jump[open_]]
+    ring[left] = True
+    return last, steps, endless, ring
+
+
+def _stretches(size: int):
+    """concept, to (sorted) with the place where each chain leaves its stretch, in how many edits, and what never leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            concept, to = rows.column("concept").combine_chunks(), rows.column("to").combine_chunks()
+            following = pc.fill_null(pc.index_in(to.cast(concept.type), value_set=concept), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            last, steps, endless, ring = _followed(following)
+            out = pa.table({"concept": concept, "to": to, "at": to.take(pa.array(last)), "steps": steps, "endless": endless, "ring": ring})
+            yield from out.to_batches(max_chunksize=1 << 16)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= size:
+                yield from told()
+                held = []
+        if held:
+            yield from told()
+
+    return run
+
+
+def supersession(merges: DataFrame, rounds: Rounds | None = None, stretch: int = STRETCH) -> DataFrame:
     """concept, current, steps, on_cycle for every concept that was merged; current is null where a cycle is reached.
 
     merges has concept, successor, seq.  steps is the number of edits followed (null for cycles).
     """
     rounds = rounds or Rounds(merges.sparkSession, "lineage")
-    edges = rounds.write(_last(merges.where("concept is not null and successor is not null"), ["concept"], "successor"))
-    now = edges.select("concept", F.col("to").alias("at"), F.lit(1).cast("long").alias("steps"))
-    limit = max(1, edges.count()).bit_length() + 1
-    for _ in range(limit):
-        ahead = now.select(F.col("concept").alias("key"), F.col("at").alias("next"), F.col("steps").alias("more"))
-        now = now.join(ahead, F.col("at") == F.col("key"), "left").select(
-            "concept", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("key").isNotNull().alias("moved")
+    return _chains(_last(merges.where("concept is not null and successor is not null"), ["concept"], "successor"), rounds, stretch)
+
+
+def _chains(edges: DataFrame, rounds: Rounds, stretch: int = STRETCH) -> DataFrame:
+    """supersession of edges (concept, to), one a concept."""
+    kinds = {f.name: f.dataType for f in edges.schema}
+    flag = T.BooleanType()
+    schema = T.StructType([T.StructField(n, t) for n, t in (("concept", kinds["concept"]), ("to", kinds["to"]), ("at", kinds["to"]), ("steps", T.LongType()), ("endless", flag), ("ring", flag))])
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.select("concept", "to").repartitionByRange(parts, "concept").sortWithinPartitions("concept")
+    near = rounds.write(dealt.mapInArrow(_stretches(stretch), schema))
+    entered = near.where("not endless").select(F.col("at").alias("key")).distinct()
+    far = rounds.write(near.join(entered, F.col("concept") == F.col("key"), "left_semi").select("concept", "at", "steps", "endless", F.lit(False).alias("moved")))
+    before = -1
+    while True:
+        ahead = far.select(F.col("concept").alias("key"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("endless").alias("lost"))
+        lost = F.col("endless") | F.coalesce("lost", F.lit(False))
+        joined = far.join(ahead, (F.col("at") == F.col("key")) & ~F.col("endless"), "left")
+        far = rounds.write(
+            joined.select(
+                "concept", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), lost.alias("endless"), (F.col("key").isNotNull() & ~lost).alias("moved")
+            )
         )
-        now = rounds.write(now)
-        if now.where("moved").isEmpty():
-            return now.select("concept", F.col("at").alias("current"), "steps", F.lit(False).alias("on_cycle"))
-        now = now.drop("moved")
-    # after 2^limit steps only cycles go on; a place reached from there lies on one
-    ends = now.join(edges.select(F.col("concept").alias("key")), F.col("at") == F.col("key"), "left_semi").select("concept", "at")
-    endless = rounds.write(ends)
-    ring = rounds.write(_ring(endless.select(F.col("at").alias("node")).distinct(), edges, rounds))
-    out = now.join(endless.select("concept", F.lit(True).alias("endless")), "concept", "left").join(ring.select(F.col("node").alias("concept"), F.lit(True).alias("ring")), "concept", "left")
-    return out.select(
-        "concept",
-        F.when(F.col("endless").isNull(), F.col("at")).alias("current"),
-        F.when(F.col("endless").isNull(), F.col("steps")).alias("steps"),
-        F.col("ring").isNotNull().alias("on_cycle"),
-    )
-
-
-def _ring(start: DataFrame, edges: DataFrame, rounds: Rounds) -> DataFrame:
-    """All nodes of the cycles that the start nodes lie on: doubling sets of successors until no node is new."""
-    known, jump = rounds.write(start), rounds.write(edges.select(F.col("concept").alias("a"), F.col("to").alias("b")))
+        open_ = far.where("moved").count()
+        if open_ in (0, before):
+            break
+        before = open_
+    # moved in the last round: leads to a cycle over several stretches
+    ends = far.select(F.col("concept").alias("key"), F.col("at").alias("end"), F.col("steps").alias("more"), F.col("endless").alias("lost"), "moved")
+    out = near.join(ends, (near.at == F.col("key")) & ~near.endless, "left")
+    none = F.col("endless") | F.coalesce(F.col("lost") | F.col("moved"), F.lit(False))
+    out = out.select(
+        "concept", "to", F.when(~none, F.coalesce("end", "at")).alias("current"), F.when(~none, F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+        F.col("ring").alias("on_cycle"), F.coalesce("moved", F.lit(False)).alias("wide"),
+    )
+    if open_:
+        out = rounds.write(out)
+        ring = _ring(out.where("wide").select("concept", "to"), rounds).withColumn("wide_ring", F.lit(True))
+        out = out.join(ring.withColumnRenamed("node", "concept"), "concept", "left").withColumn("on_cycle", F.col("on_cycle") | F.coalesce("wide_ring", F.lit(False)))
+    return out.select("concept", "current", "steps", "on_cycle")
+
+
+def _ring(edges: DataFrame, rounds: Rounds) -> DataFrame:
+    """The nodes on cycles, of edges (concept, to) whose targets all go on."""
+    jump = rounds.write(edges.select(F.col("concept").alias("a"), F.col("to").alias("b")))
+    left = jump.select(F.col("a").alias("node"))
+    size = left.count()
     while True:
-        more = known.join(jump, known.node == jump.a).select(F.col("b").alias("node"))
-        wider = rounds.write(known.unionByName(more).distinct())
+        image = rounds.write(left.join(jump, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct())
+        if (n := image.count()) == size:
+            return image
         twice = jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        if wider.count() == known.count():
-            return wider
-        known, jump = wider, rounds.write(twice)
+        left, size, jump = image, n, rounds.write(twice)
 
 
 def current_terms(terms: DataFrame, merges: DataFrame, splits: DataFrame) -> DataFrame:

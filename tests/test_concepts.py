@@ -184,6 +184,40 @@ def test_terms_follow_splits_before_merges(spark):
     assert got == {"a": (6, 2), "b": (7, 1), "c": (3, 0), "d": (None, None), "e": (None, None), "f": (None, None)}
 
 
+def plain_supersession(edges):
+    out = {}
+    for c in edges:
+        at, seen = c, {}
+        while at in edges and at not in seen:
+            seen[at] = len(seen)
+            at = edges[at]
+        out[c] = (at, len(seen), False) if at not in edges else (None, None, at == c)
+    return out
+
+
+@pytest.mark.parametrize("stretch", [7, 1 << 18])
+def test_chains_and_cycles_over_many_stretches(spark, stretch):
+    rng = random.Random(4)
+    names = rng.sample(range(10_000), 600)
+    edges = {a: b for a, b in zip(names[:300], names[1:301], strict=True)}
+    for lo, hi in ((301, 340), (340, 342), (342, 343), (343, 420)):  # cycles
+        edges |= {names[k]: names[k + 1 if k + 1 < hi else lo] for k in range(lo, hi)}
+    edges |= {names[k]: names[rng.choice([301 + k % 100, k - 1, k % 300])] for k in range(420, 600)}  # tails
+    rows = [(a, b, 0) for a, b in edges.items()]
+    rounds = Rounds(spark, "stretches")
+    got = {r.concept: (r.current, r.steps, r.on_cycle) for r in lineage.supersession(spark.createDataFrame(rows, "concept long, successor long, seq long").repartition(5), rounds, stretch).collect()}
+    assert got == plain_supersession(edges)
+    strings = spark.createDataFrame([(f"c{a}", f"c{b}", c) for a, b, c in rows], "concept string, successor string, seq long")
+    assert {int(r.concept[1:]): r.steps for r in lineage.supersession(strings, stretch=stretch).collect()} == {k: v[1] for k, v in got.items()}
+
+
+def test_a_cycle_takes_no_more_rounds_than_the_longest_chain(spark):
+    rows = [(-2, -1, 0), (-1, -2, 0)] + [(k * 10, k * 10 + 1, 0) for k in range(5000)]
+    rounds = Rounds(spark, "cycle")
+    got = lineage.supersession(spark.createDataFrame(rows, "concept long, successor long, seq long"), rounds).where("on_cycle").collect()
+    assert sorted(r.concept for r in got) == [-2, -1] and rounds.count <= 6
+
+
 # --- pairing -------------------------------------------------------------------------------------
 
 
