@@ -13,7 +13,8 @@ edits on until no fewer remain.
 
 Splits move named terms: a term follows its concept's chain, but a split of a
 concept on that chain that names the term sends it elsewhere, from where it goes
-on.
+on.  Terms that no split names are where their concept is; only the others are
+taken from split concept to split concept.
 
 Defined results: rows with a null concept are left out; a concept that names itself
 is a cycle of one; of several edits of one concept the last counts (highest seq,
@@ -159,32 +160,41 @@ def current_terms(terms: DataFrame, merges: DataFrame, splits: DataFrame) -> Dat
     """
     rounds = Rounds(terms.sparkSession, "terms")
     split = rounds.write(_last(splits.where("concept is not null and term is not null and successor is not null"), ["concept", "term"], "successor"))
-    cut = split.select(F.col("concept").alias("key")).distinct()
-    merged = merges.where("concept is not null and successor is not null")
-    # chains stop at concepts that were split: there each term may go its own way
-    whole = rounds.write(_last(merged, ["concept"], "successor"))
-    before = whole.join(cut, whole.concept == F.col("key"), "left_anti").select("concept", F.col("to").alias("successor"), F.lit(0).alias("seq"))
-    stops = rounds.write(supersession(before, rounds).select(F.col("concept").alias("from_"), F.col("current").alias("stop"), F.lit(True).alias("chained")))
-
-    def settled(rows: DataFrame) -> DataFrame:
-        """Rows with at moved to the stop of its chain; null where the chain is a circle."""
-        joined = rows.join(stops, rows.at == F.col("from_"), "left")
-        return joined.withColumn("at", F.when(F.col("chained"), F.col("stop")).otherwise(F.col("at"))).drop("from_", "stop", "chained")
+    whole = rounds.write(_last(merges.where("concept is not null and successor is not null"), ["concept"], "successor"))
 
+    def settled(rows: DataFrame, stops: DataFrame) -> DataFrame:
+        """Rows with at moved to the stop of its chain; null where the chain is a circle."""
+        joined = rows.join(stops, F.col("at") == F.col("from_"), "left")
+        return joined.withColumn("at", F.when(F.col("from_").isNotNull(), F.col("stop")).otherwise(F.col("at"))).drop("from_", "stop")
+
+    stops_of = lambda edges: _chains(edges, rounds).select(F.col("concept").alias("from_"), F.col("current").alias("stop"))
+    known = terms.select("term", "concept", F.col("concept").alias("at")).join(split.select(F.col("term").alias("t")).distinct(), F.col("term") == F.col("t"), "left")
+    every = rounds.write(settled(known.select("term", "concept", "at", F.col("t").isNotNull().alias("named")), stops_of(whole)))
+    kept = rounds.count
+
+    # chains of named terms stop at concepts that were split: there each term may go its own way
+    cut = rounds.write(split.select(F.col("concept").alias("key")).distinct())
+    stops = rounds.write(stops_of(whole.join(cut, whole.concept == F.col("key"), "left_anti")))
+    named = rounds.write(settled(split.select(F.col("concept").alias("c"), F.col("term").alias("t"), F.col("to").alias("at")), stops).withColumnRenamed("at", "goes"))
+    on = whole.join(cut, whole.concept == F.col("key"), "left_semi").select(F.col("concept").alias("m"), F.col("to").alias("at"))
+    on = rounds.write(settled(on, stops).withColumnRenamed("at", "merges_into"))
     seen = F.array().cast(T.ArrayType(terms.schema["concept"].dataType))
-    now = rounds.write(settled(terms.select("term", "concept", F.col("concept").alias("at"), F.lit(0).alias("moves"), seen.alias("seen"))))
-    named = split.select(F.col("concept").alias("c"), F.col("term").alias("t"), F.col("to").alias("goes"))
-    on = whole.join(cut, whole.concept == F.col("key"), "left_semi").select(F.col("concept").alias("m"), F.col("to").alias("merges_into"))
-    arrived = []
+    now = settled(every.where("named").select("term", "concept", F.col("concept").alias("at"), F.lit(0).alias("moves"), seen.alias("seen")), stops)
+    arrived = [every.limit(0).select("term", "concept", F.col("at").alias("current"), F.lit(0).alias("moves"))]
     while True:
         step = now.join(named, (F.col("at") == F.col("c")) & (F.col("term") == F.col("t")), "left").join(on, F.col("at") == F.col("m"), "left")
-        step = rounds.write(step.select("term", "concept", "at", "moves", "seen", F.col("goes").isNotNull().alias("by_split"), F.coalesce("goes", "merges_into").alias("goes")))
-        arrived.append(step.where("goes is null").select("term", "concept", F.col("at").alias("current"), F.when(F.col("at").isNotNull(), F.col("moves")).alias("moves")))
-        moving = step.where("goes is not null").select(
-            "term", "concept", F.col("goes").alias("at"), (F.col("moves") + F.col("by_split").cast("int")).alias("moves"), F.array_append("seen", F.col("at")).alias("seen")
-        )
+        by_split, goes = F.col("c").isNotNull(), F.col("c").isNotNull() | F.col("m").isNotNull()
+        to = F.when(by_split, F.col("goes")).otherwise(F.col("merges_into"))
+        step = rounds.write(step.select("term", "concept", "at", "moves", "seen", by_split.cast("int").alias("by_split"), goes.alias("moving"), to.alias("to")))
+        arrived.append(step.where("not moving").select("term", "concept", F.col("at").alias("current"), F.when(F.col("at").isNotNull(), F.col("moves")).alias("moves")))
+        if step.where("moving").isEmpty():
+            break
         # a split concept that a term comes to again is a circle
-        moving = settled(moving).withColumn("at", F.when(~F.array_contains("seen", F.col("at")), F.col("at")))
-        now = rounds.write(moving)
-        if now.isEmpty():
-            return rounds.last(reduce(DataFrame.unionByName, arrived))
+        passed = F.array_append("seen", F.col("at"))
+        now = step.where("moving").select(
+            "term", "concept", F.when(~F.array_contains(passed, F.col("to")), F.col("to")).alias("at"), (F.col("moves") + F.col("by_split")).alias("moves"), passed.alias("seen")
+        )
+    moved = rounds.write(reduce(DataFrame.unionByName, arrived))
+    rounds.drop(1, kept)
+    rounds.drop(kept + 1, rounds.count)
+    return every.where("not named").select("term", "concept", F.col("at").alias("current"), F.when(F.col("at").isNotNull(), F.lit(0)).alias("moves")).unionByName(moved)

@@ -218,6 +218,41 @@ def test_a_cycle_takes_no_more_rounds_than_the_longest_chain(spark):
     assert sorted(r.concept for r in got) == [-2, -1] and rounds.count <= 6
 
 
+def test_only_terms_that_a_split_names_are_taken_from_split_to_split(spark, monkeypatch):
+    rng = random.Random(11)
+    terms = [(f"t{k}", rng.randrange(30)) for k in range(200)] + [(None, 3), ("t1", None)]
+    merges = {c: rng.randrange(30) for c in rng.sample(range(30), 20)}
+    splits = {(rng.randrange(30), f"t{rng.randrange(40)}"): rng.randrange(30) for _ in range(60)}
+    carried = []
+    write = Rounds.write
+
+    def spy(rounds, df):
+        out = write(rounds, df)
+        if "seen" in df.columns:
+            carried.append({r.term for r in out.select("term").collect()})
+        return out
+
+    monkeypatch.setattr(Rounds, "write", spy)
+    got = Counter(
+        tuple(r)
+        for r in lineage.current_terms(
+            spark.createDataFrame(terms, "term string, concept long"),
+            spark.createDataFrame([(a, b, 0) for a, b in merges.items()], "concept long, successor long, seq long"),
+            spark.createDataFrame([(c, t, s, 0) for (c, t), s in splits.items()], "concept long, term string, successor long, seq long"),
+        ).collect()
+    )
+
+    def plain(term, at):
+        moves, seen = 0, set()
+        while at not in seen and ((at, term) in splits or at in merges):
+            seen.add(at)
+            moves, at = (moves + 1, splits[at, term]) if (at, term) in splits else (moves, merges[at])
+        return (None, None) if at in seen or at is None else (at, moves)
+
+    assert got == Counter((t, c, *plain(t, c)) for t, c in terms)
+    assert set().union(*carried) <= {t for _, t in splits}
+
+
 # --- pairing -------------------------------------------------------------------------------------
 
 
