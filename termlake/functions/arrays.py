@@ -34,4 +34,4 @@ def sums_before(values: Column) -> Column:
         total = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)
         return let(parts, lambda p: F.flatten(F.zip_with(p, _fold(F.transform(p, total), F.lit(0)), _fold)))
 
-    return let(values, of)
+    return let(values, lambda v: F.when(F.size(v) <= CHUNK, _fold(v, F.lit(0))).otherwise(of(v)))

@@ -4,6 +4,8 @@ All rules are native expressions.  Offsets count code points: the matches of a
 pattern and the parts between them alternate, so a match starts after the
 lengths of all that precede it; these are summed in time that is linear in the
 number of matches, and no character of the text is looked up by its place.
+A pattern passes over a text once: its matches are set between marks, and the text
+is split at these.  Only a text that has the mark itself is passed over twice.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ ABBREVIATION = r"\([A-Z][A-Z0-9-]{1,10}\)"
 FORMULA = r"(?U)\b(?:[A-Z][a-z]?[0-9]*){2,}+\b"
 TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[-'][A-Za-z0-9]+)*+"
 
+#: A noncharacter, which texts for interchange don't have.
+MARK = "\ufdd0"
+
 KEYS = ("source_record_id", "text_unit_index", "language")
 CANDIDATE = (
     "text string, start int, end int, types array<string>, roles array<string>, proposed_definition string, confidence double, "
@@ -43,8 +48,12 @@ CANDIDATE = (
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text, gap>> of the leftmost non-overlapping matches; gap is the text between a match and the one before it."""
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    # gap, match, gap, ..., match, rest
+    once = let(parts, lambda p: F.filter(F.transform(p, lambda x, i: F.struct(x.alias("text"), F.get(p, i - 1).alias("gap"))), lambda x, i: i % 2 == 1))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda hit, gap: F.struct(hit.alias("text"), gap.alias("gap")))
+    twice = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda hit, gap: F.struct(hit.alias("text"), gap.alias("gap")))
+    pairs = F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
 
     def placed(x: Column, at: Column) -> Column:
         start = (at + F.length(x["gap"])).cast("int")
@@ -63,8 +72,7 @@ def cas_valid(value: Column) -> Column:
 
 def formula_valid(value: Column) -> Column:
     """At least two element tokens and every symbol an element."""
-    symbols = F.regexp_extract_all(value, F.lit("[A-Z][a-z]?"), F.lit(0))
-    return (F.size(symbols) >= 2) & F.forall(symbols, lambda s: s.isin(*vocab.ELEMENTS))
+    return let(F.regexp_extract_all(value, F.lit("[A-Z][a-z]?"), F.lit(0)), lambda symbols: (F.size(symbols) >= 2) & F.forall(symbols, lambda s: s.isin(*vocab.ELEMENTS)))
 
 
 def _part(s: Column, start: Column, end: Column) -> Column:

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -435,3 +436,17 @@ def test_termhood_and_split(spark):
     assert by["gold alloy"].c_value == pytest.approx(1.584962500721156 * (2 - 1))
     rows = evaluate.split(spark.createDataFrame([("f", i) for i in range(5)], "family string, i int"), "family").select("split").distinct().collect()
     assert len(rows) == 1
+
+
+def test_spans_pass_over_a_text_once(spark, monkeypatch):
+    texts = ["", "NaCl", "x NaCl, H2O and NaCl", "x😀NaCl é H2O ", f"{extract.MARK} NaCl {extract.MARK}H2O", None, "none", " ".join(["NaCl x"] * 700), "a$1\\NaCl"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in rows.select("i", extract.spans(F.col("t"), extract.FORMULA).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        hits = None if t is None else [(m.start(), m.end(), m[0]) for m in re.finditer(r"\b(?:[A-Z][a-z]?[0-9]*){2,}\b", t)]
+        assert (got[i] and [(s.start, s.end, s.text) for s in got[i]]) == hits
+        assert hits is None or "".join(s.gap + s.text for s in got[i]) == t[: hits[-1][1] if hits else 0]
+    splits, split = [], F.split
+    monkeypatch.setattr(F, "split", lambda text, pattern, *more: splits.append(pattern) or split(text, pattern, *more))
+    extract.spans(F.col("t"), extract.FORMULA)
+    assert extract.MARK in splits
