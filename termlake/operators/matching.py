@@ -9,7 +9,8 @@ equal ranks, so a key with many rows gives as many candidates as its smaller sid
 rows, never the product.  Ranks are taken without a group being in one task
 (:func:`termlake.staging.rank_in_groups`).  Of the candidates, locally dominant
 ones are kept: those that are the best of both their rows.  Matched rows leave, and
-the round is repeated while a key has free rows on both sides.
+the round is repeated while a key has free rows on both sides.  Where every row has
+one key of the tier at most, equal ranks are the pairing itself and nothing is repeated.
 
 Order of candidates: number of shared keys of the tier, then left id, then right id; so
 ties are the same on any partitioning.
@@ -36,16 +37,30 @@ TIERS = (
 )
 
 
-def _keys(side: DataFrame, tier: str) -> DataFrame:
-    """(key, id, order) of a side's rows; a tier's column is an array of keys or one key."""
+def _keys(side: DataFrame, tier: str, once: bool = False) -> DataFrame:
+    """(key, id) of a side's rows; a tier's column is an array of keys or one key.  With one key a row and no id twice no pair can recur."""
     kind = side.schema[tier].dataType.typeName()
     key = F.explode(F.array_distinct(tier)) if kind == "array" else F.col(tier)
-    return side.where("id is not null").select(key.alias("key"), "id").where("key is not null").distinct()
-
-
-def match_tier(left: DataFrame, right: DataFrame, tier: str, rounds: Rounds) -> DataFrame:
-    """left_id, right_id: a maximal one-to-one pairing of rows that share a key of the tier."""
-    a, b = rounds.write(_keys(left, tier)), rounds.write(_keys(right, tier))
+    rows = side.where("id is not null").select(key.alias("key"), "id").where("key is not null")
+    return rows if once else rows.distinct()
+
+
+def _once(side: DataFrame) -> bool:
+    """Whether no id is repeated."""
+    return side.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+
+
+def match_tier(left: DataFrame, right: DataFrame, tier: str, rounds: Rounds, once: bool = False) -> DataFrame:
+    """left_id, right_id: a maximal one-to-one pairing of rows that share a key of the tier; once tells that no side repeats an id."""
+    kinds = lambda side: (side.schema[tier].dataType, side.schema["id"].dataType)
+    single = once and kinds(left) == kinds(right) and kinds(left)[0].typeName() != "array"
+    a, b = _keys(left, tier, single), _keys(right, tier, single)
+    if single:
+        both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+        ranked = rank_in_groups(both, ["key", "side"], ["id"], rounds)
+        x, y = (ranked.where(F.col("side") == k).select("key", "at", F.col("id").alias(name)) for k, name in enumerate(("left_id", "right_id")))
+        return x.join(y, ["key", "at"]).select("left_id", "right_id")
+    a, b = rounds.write(a), rounds.write(b)
     found: list[DataFrame] = []
     while True:
         # keys that both sides still have; others can pair nothing any more
@@ -75,9 +90,10 @@ def pair_publications(left: DataFrame, right: DataFrame, tiers: tuple[tuple[str,
     """
     rounds = Rounds(left.sparkSession, "pairs")
     a, b = left, right
+    once = _once(left) and _once(right)
     out: list[DataFrame] = []
     for tier, confidence, label in tiers:
-        found = match_tier(a, b, tier, rounds)
+        found = match_tier(a, b, tier, rounds, once)
         told = rounds.write(found.select("left_id", "right_id", F.lit(tier).alias("reason"), F.lit(confidence).alias("confidence"), F.lit(label).alias("label")))
         out.append(told)
         a = a.join(told.select(F.col("left_id").alias("id")), "id", "left_anti")
