@@ -3,21 +3,25 @@
 The ids of a text stream are cut into blocks of ``BLOCK`` ids.  Every block starts
 from the same empty model and has its own checksum, so blocks are coded and read
 independently.  All blocks of a frame are coded side by side, one id each a step, by
-array operations over the blocks (lanes).
-
-Predictions of an id: order 2 (the id that lately followed the last two ids), order
-1 (followed the last id), each with a confidence, and order 0 (adaptive
-distributions of the id's nibbles, each under the nibbles before it).  Whether
-order 2 is right is coded with a probability mixed in the logistic domain from
-what both contexts' confidences have been worth so far; the mixing weights follow
-the error.  If it is wrong, order 1's other candidate is coded by its confidence, and
-if that is wrong too, the id itself by order 0.  A 32-bit range coder with carries
-writes 16-bit words.  All arithmetic is on integers, so any machine reads what
-another wrote.
-
-A frame: magic, lengths and checksum of the head; the head (block size, nibbles,
-pieces of documents as id, number of ids and whether it goes on in the next frame;
-ids, words and checksum of each block); the words of all blocks.
+array operations over the blocks (lanes); no step picks lanes out but to move words.
+
+A frame names the ids that it has, and the phrases of ids that come often, by falling
+frequency: pairs of neighbours in a block are joined to one symbol, in ``PASSES``
+passes.  The symbols' ranks are coded.  Predictions of a rank: order 2 (the rank that
+lately followed the last two), order 1 (followed the last one), each with a
+confidence, and order 0.  Whether the candidate (order 2's where it has seen the
+context, else order 1's) is right is coded with a probability mixed in the logistic
+domain from what both contexts' confidences have been worth so far; the mixing
+weights follow the error.  If it is wrong, the rank is coded by order 0: its bit
+length by an adaptive distribution under the bit length of the rank before, the next
+four bits by one under the bit length, lower bits evenly.  A range coder of 48 bits
+writes 16-bit words; carries are added up when a lane ends.  All results are whole
+numbers that any machine reads as another wrote them.
+
+A frame: magic, lengths and checksum of the head; the head (block size, pieces of
+documents as id, number of ids and whether it goes on in the next frame; symbols,
+words and checksum of each block; the ids of each symbol, and the ids without a
+symbol of their own as they come); the words of all blocks.
 """
 
 from __future__ import annotations
@@ -29,267 +33,347 @@ import zlib
 import numpy as np
 
 BLOCK = 8192
-LANES = 1024
-MAGIC = b"TCM1"
-#: Probabilities have 15 bits; the range stays above 16.
-_BITS = 15
+LANES = 2048
+MAGIC = b"TCM2"
+#: Passes that join pairs, pairs joined in one, the least times that a pair comes, and symbols (in bits) that are joined.
+PASSES = 2
+PAIRS = 16_000
+FEW = 12
+_JOINED = 11
+#: Ids that have a symbol of their own; all others share the one after them.
+RANKED = 16_000
+#: Ids whose pairs are joined at once, about.
+_PART = 1 << 22
+#: Steps after which lanes that have ended are left out.
+_STRETCH = 128
+_BITS = 14
 _ONE = 1 << _BITS
-_SLOTS = 12
-_NODES = 1024
-_RATE = 4
-_GAP = 24
+#: The range stays between 2^32 and 2^48.
+_LEAST = 1 << 32
+#: Slots a lane of the tables of contexts, in bits.
+_SLOTS = 10
+_RATE = 5
+_GAP = 40
 _LEARN = 12
 _MIX = 1 << 15
 _EDGE = 2047
-
-def _where(truth: np.ndarray) -> np.ndarray:
-    return truth.nonzero()[0]
-
-
 _K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _D = np.arange(-_EDGE, _EDGE + 1)
 #: Logistic function of d / 256 in 12 bits, and its inverse.
-SQUASH = np.clip(np.array([round(4096 / (1 + math.exp(-int(d) / 256))) for d in _D]), 1, 4095).astype(np.int32)
+SQUASH = np.clip(np.array([round(4096 / (1 + math.exp(-int(d) / 256))) for d in _D]), 8, 4088)
 STRETCH = np.array([min(max(round(256 * math.log((p + 0.5) / (4095.5 - p))), -_EDGE), _EDGE) for p in range(4096)], dtype=np.int32)
 _J = np.arange(16)
-#: What a nibble's distribution moves to: nearly all mass on the nibble seen, some on every other.
-_TARGET = np.where(_J[None, :] <= _J[:, None], _J * _GAP, _ONE - (16 - _J) * _GAP).astype(np.int16)
+#: What the ends of a distribution's 16 parts move to: nearly all mass on the part seen, some on every other.
+_TARGET = np.where(_J[None, :] < _J[:, None], (_J + 1) * _GAP, _ONE - (15 - _J) * _GAP).astype(np.int16)
+_FLAT = ((_J + 1) * (_ONE // 16)).astype(np.int16)
 _BYTES = np.uint64(0x0101010101010101)
-#: A distribution of 16 cumulated counts as one item, so that numpy moves whole rows.
+#: A distribution of 16 ends as one item, so that numpy moves whole rows.
 _ROW = np.dtype("V32")
-_FLAT = (_J * (_ONE // 16)).astype(np.int16)
-
-
-def _share(rows: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of a nibble's part of each row's range; the last one ends at 2^15, which int16 wraps to below zero."""
-    flat, at = rows.reshape(-1), np.arange(0, rows.size, 16) + value
-    start = flat.take(at)
-    size = np.where(value < 15, flat.take(at + 1, mode="clip"), np.int16(-_ONE)) - start
-    return start.astype(np.uint32), size.view(np.uint16).astype(np.uint32)
+_WHOLE = _TARGET.reshape(-1).view(_ROW)
+#: Of a rank plus one: bit length less one, the next bits (four at most), the number of bits below.
+_V = np.maximum(np.arange(1 << 16), 1)
+_CLASS = (np.frexp(_V)[1] - 1).astype(np.uint8)
+_BELOW = np.maximum(np.arange(16) - 4, 0)
+_NEXT = ((_V - (1 << _CLASS.astype(np.int64))) >> _BELOW[_CLASS]).astype(np.uint8)
 
 
 class _Writer:
-    """Range encoders of many lanes; a lane's words are in out[lane, : at[lane]]."""
+    """Range encoders of many lanes; a lane's words, carries not yet passed on, are in out from its first place to at."""
 
     def __init__(self, lanes: int, room: int):
-        self.low = np.zeros(lanes, np.uint32)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint32)
-        self.out = np.zeros((lanes, room), np.uint16)
-        self.at = np.zeros(lanes, np.int64)
-
-    def _carry(self, lanes: np.ndarray) -> None:
-        at = self.at[lanes] - 1
-        while len(lanes):
-            self.out[lanes, at] += np.uint16(1)
-            over = self.out[lanes, at] == 0
-            lanes, at = lanes[over], at[over] - 1
-
-    def room(self, words: int) -> None:
-        if int(self.at.max(initial=0)) + words > self.out.shape[1]:
-            self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1] // 2 + words)))
-
-    def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        before = self.low[lanes]
-        r = self.range[lanes] >> np.uint32(_BITS)
-        low = before + start * r
-        width = size * r
-        carry = _where(low < before)
-        if len(carry):
-            self._carry(carry if isinstance(lanes, slice) else lanes[carry])
-        small = _where(width < 0x10000)
-        if len(small):
-            which = small if isinstance(lanes, slice) else lanes[small]
-            self.out[which, self.at[which]] = low[small] >> np.uint32(16)
-            self.at[which] += 1
-            low[small] <<= np.uint32(16)
-            width[small] <<= np.uint32(16)
-        self.low[lanes] = low
-        self.range[lanes] = width
-
-    def flag(self, lanes, p: np.ndarray, value: np.ndarray) -> np.ndarray:
-        p = p.astype(np.uint32)
-        self.put(lanes, np.where(value, np.uint32(0), p), np.where(value, p, np.uint32(_ONE) - p))
+        self.lows = np.zeros(lanes, np.int64)
+        self.ranges = np.full(lanes, (1 << 48) - 1, np.int64)
+        self.out = np.zeros((lanes, room), np.uint32)
+        self.at = np.arange(lanes, dtype=np.int64) * room
+
+    def first(self, n: int, words: int) -> None:
+        """From now on only the first n lanes are coded; so many words at most are written in each before the next call."""
+        self.low, self.range = self.lows[:n], self.ranges[:n]
+        lanes, had = self.out.shape
+        used = self.at - np.arange(lanes, dtype=np.int64) * had
+        if int(used.max(initial=0)) + words > had:
+            more = had // 2 + words
+            self.out = np.pad(self.out, ((0, 0), (0, more)))
+            self.at = used + np.arange(lanes, dtype=np.int64) * (had + more)
+
+    def flag(self, p: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+        r = self.range >> 12
+        self.low += p * wrong * r
+        np.multiply(np.abs(p - (wrong << 12)), r, out=self.range)
+        return wrong
+
+    def part(self, flat: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        at = at + value
+        start = flat.take(at - 1, mode="wrap") & (_ONE - 1)
+        r = self.range >> _BITS
+        self.low += start * r
+        np.multiply(flat.take(at) - start, r, out=self.range)
         return value
 
-    def nibble(self, lanes, rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-        start, size = _share(rows, value)
-        self.put(lanes, start, size)
+    def even(self, bits: np.ndarray, value: np.ndarray) -> np.ndarray:
+        self.range >>= bits
+        self.low += value * self.range
         return value
 
+    def move(self) -> None:
+        small = (self.range < _LEAST).nonzero()[0]
+        flat = self.out.reshape(-1)
+        while len(small):
+            low, at, width = self.low[small], self.at[small], self.range[small] << 16
+            flat[at] = low >> 32
+            self.at[small] = at + 1
+            self.low[small] = (low & 0xFFFFFFFF) << 16
+            self.range[small] = width
+            small = small[width < _LEAST]
+
     def end(self) -> list[np.ndarray]:
-        self.room(2)
-        lanes = np.arange(len(self.low))
-        for shift in (16, 0):
-            self.out[lanes, self.at] = (self.low >> np.uint32(shift)).astype(np.uint16)
+        self.first(len(self.lows), 3)
+        flat = self.out.reshape(-1)
+        for _ in range(3):
+            flat[self.at] = self.low >> 32
+            self.low = (self.low & 0xFFFFFFFF) << 16
             self.at += 1
-        return [row[:n] for row, n in zip(self.out, self.at, strict=True)]
+        over = self.out >> 16
+        while over.any():
+            self.out &= 0xFFFF
+            self.out[:, :-1] += over[:, 1:]
+            over = self.out >> 16
+        used = self.at - np.arange(len(self.at)) * self.out.shape[1]
+        return [row[:n].astype("<u2") for row, n in zip(self.out, used, strict=True)]
 
 
 class _Reader:
     """Range decoders of many lanes; code is what is left above low."""
 
     def __init__(self, words: np.ndarray, starts: np.ndarray):
-        self.words = np.concatenate([words, np.zeros(1, np.uint16)])
+        self.words = np.concatenate([words, np.zeros(1, np.uint16)]).astype(np.uint16)
         self.at = starts.astype(np.int64)
-        self.range = np.full(len(starts), 0xFFFFFFFF, np.uint32)
-        self.code = self.words[self.at].astype(np.uint32) << np.uint32(16) | self.words[np.minimum(self.at + 1, len(words))]
-        self.at += 2
-
-    def room(self, words: int) -> None:
-        pass
-
-    def _take(self, lanes, code: np.ndarray, width: np.ndarray) -> None:
-        small = _where(width < 0x10000)
-        if len(small):
-            which = small if isinstance(lanes, slice) else lanes[small]
-            at = self.at[which]
-            code[small] = code[small] << np.uint32(16) | self.words[np.minimum(at, len(self.words) - 1)]
-            self.at[which] = at + 1
-            width[small] <<= np.uint32(16)
-        self.code[lanes] = code
-        self.range[lanes] = width
-
-    def flag(self, lanes, p: np.ndarray, value: None) -> np.ndarray:
-        r = self.range[lanes] >> np.uint32(_BITS)
-        code = self.code[lanes]
-        whole = r << np.uint32(_BITS)
-        bound = p.astype(np.uint32) * r
-        hit = code < bound
-        self._take(lanes, np.where(hit, code, code - bound), np.where(hit, bound, whole - bound))
-        return hit
-
-    def nibble(self, lanes, rows: np.ndarray, value: None) -> np.ndarray:
-        r = self.range[lanes] >> np.uint32(_BITS)
-        code = self.code[lanes]
-        target = np.minimum(code // r, np.uint32(_ONE - 1)).astype(np.int16)
+        self.ranges = np.full(len(starts), (1 << 48) - 1, np.int64)
+        self.codes = np.zeros(len(starts), np.int64)
+        for _ in range(3):
+            self.codes = self.codes << 16 | self.words.take(self.at, mode="clip")
+            self.at += 1
+
+    def first(self, n: int, words: int) -> None:
+        self.range, self.code = self.ranges[:n], self.codes[:n]
+
+    def flag(self, p: np.ndarray, wrong: None) -> np.ndarray:
+        r = self.range >> 12
+        bound = p * r
+        wrong = (self.code >= bound).astype(np.int64)
+        self.code -= bound * wrong
+        np.multiply(np.abs(p - (wrong << 12)), r, out=self.range)
+        return wrong
+
+    def part(self, flat: np.ndarray, at: np.ndarray, value: None) -> np.ndarray:
+        r = self.range >> _BITS
+        # both are below 2^53 and the quotient below 2^15, so it is exact when cut
+        target = np.minimum(self.code / r, _ONE - 1).astype(np.int16)
         # sixteen truth bytes a row, added up in two machine words
-        below = (rows <= target[:, None]).view(np.uint64)
-        value = (((below[:, 0] + below[:, 1]) * _BYTES) >> np.uint64(56)).astype(np.int64) - 1
-        start, size = _share(rows, value)
-        self._take(lanes, code - start * r, size * r)
+        below = (flat.view(_ROW).take(at >> 4).view(np.int16).reshape(-1, 16) <= target[:, None]).view(np.uint64)
+        value = ((below[:, 0] + below[:, 1]) * _BYTES >> np.uint64(56)).view(np.int64)
+        at = at + value
+        start = flat.take(at - 1, mode="wrap") & (_ONE - 1)
+        self.code -= start * r
+        np.multiply(flat.take(at) - start, r, out=self.range)
         return value
 
+    def even(self, bits: np.ndarray, value: None) -> np.ndarray:
+        self.range >>= bits
+        value = np.minimum((self.code / self.range).astype(np.int64), (1 << bits) - 1)
+        self.code -= value * self.range
+        return value
 
-class _Contexts:
-    """The predicted id and the confidence (0 to 15) of each context of one order, in a table of slots a lane."""
-
-    def __init__(self, lanes: int):
-        self.held = np.zeros(lanes << _SLOTS, np.uint32)
-        self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
-
-    def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.slot = self.base[: len(key)] + (key >> np.uint32(32 - _SLOTS))
-        self.now = self.held.take(self.slot)
-        self.guess, self.trust = self.now >> np.uint32(4), self.now & np.uint32(15)
-        return self.guess, self.trust
-
-    def learn(self, ids: np.ndarray) -> None:
-        right = self.guess == ids
-        weaker = np.where(self.trust > 2, self.now - self.trust + (self.trust >> np.uint32(1)), ids << np.uint32(4) | np.uint32(1))
-        self.held[self.slot] = np.where(right, self.now + (self.trust < 15), weaker)
-
-
-def _run(coder: _Writer | _Reader, lengths: np.ndarray, nibbles: int, ids: np.ndarray | None) -> np.ndarray:
-    """Codes one id of every lane a step; lanes are sorted by falling length.  ids is [step, lane] to write, None to read."""
-    lanes = len(lengths)
-    steps = int(lengths[0]) if lanes else 0
-    out = np.zeros((steps, lanes), np.uint32) if ids is None else ids
-    two, one = _Contexts(lanes), _Contexts(lanes)
-    trusted = (65535 * (np.arange(16) + 0.3) / (np.arange(16) + 1.6)).astype(np.int32)
-    sure2 = np.tile(trusted, lanes)
-    sure1 = np.tile(np.concatenate([trusted[::-1] // 4, trusted]), lanes)
-    other = np.tile(trusted, lanes)
-    at16, at32 = np.arange(lanes, dtype=np.int64) * 16, np.arange(lanes, dtype=np.int64) * 32
-    weight2, weight1 = np.full(lanes, _MIX, np.int32), np.full(lanes, _MIX, np.int32)
-    sizes = [min(16**k, _NODES) for k in range(nibbles)]
-    bases = np.concatenate([[0], np.cumsum(sizes)])
-    nodes = int(bases[-1])
-    order0 = np.tile(_FLAT, lanes * nodes).view(_ROW)
-    lane_node = np.arange(lanes, dtype=np.int64) * nodes
-    last, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    live = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    def move(self) -> None:
+        small = (self.range < _LEAST).nonzero()[0]
+        while len(small):
+            at, width = self.at[small], self.range[small] << 16
+            self.code[small] = self.code[small] << 16 | self.words.take(at, mode="clip")
+            self.at[small] = at + 1
+            self.range[small] = width
+            small = small[width < _LEAST]
+
+
+def _run(coder: _Writer | _Reader, lengths: np.ndarray, n_ranks: int, ranks: np.ndarray | None) -> np.ndarray:
+    """Codes one rank of every lane a step; lanes are sorted by falling length.  ranks is [step, lane] to write, None to read."""
+    lanes, steps = len(lengths), int(lengths[0])
+    out = np.zeros((steps, lanes), np.uint16) if ranks is None else ranks
+    # tables of order 2 and, in the second half, of order 1: a rank and its confidence (0 to 7) for each slot of a lane
+    kept = np.uint16 if n_ranks <= 8192 else np.uint32
+    held = np.zeros(2 * lanes << _SLOTS, kept)
+    base = (np.arange(2 * lanes, dtype=np.int64) << _SLOTS).reshape(2, -1)
+    # what confidences have been worth, apart for whether both orders tell the same
+    trusted = (65535 * (np.arange(8) + 0.2) / (np.arange(8) + 2)).astype(np.int32)
+    sure = np.tile(trusted, 4 * lanes)
+    places = (np.arange(2 * lanes, dtype=np.int64) * 16).reshape(2, -1)
+    weight = np.full((2, lanes), _MIX, np.int32)
+    # distributions: the first one is whole and stands for nothing coded; then 16 a lane under the last length, 16 under the length
+    flat = np.concatenate([np.full(16, _ONE, np.int16), np.tile(_FLAT, lanes * 32)])
+    rows = flat.view(_ROW)
+    lane_rows = (np.arange(2 * lanes, dtype=np.int64) * 16 + 1).reshape(2, -1)
+    last, before, kind = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.zeros(lanes, np.int64)
     for step in range(steps):
-        n = int(live[step])
-        if not step & 63:
-            coder.room(64 * (nibbles + 2) + 2)
-        all_lanes = slice(0, n)
-        last, before = last[:n], before[:n]
-        key = last * _K1
-        guess2, trust2 = two.look(key + before * _K2)
-        guess1, trust1 = one.look(key)
-        now = None if ids is None else ids[step, :n]
-        i2 = at16[:n] + trust2
-        i1 = at32[:n] + trust1 + ((guess1 == guess2) << 4)
-        p2, p1 = sure2.take(i2), sure1.take(i1)
-        s2, s1 = STRETCH.take(p2 >> 4), STRETCH.take(p1 >> 4)
-        w2, w1 = weight2[:n], weight1[:n]
-        p = SQUASH.take(np.minimum(np.maximum((w2 * s2 + w1 * s1) >> 16, -_EDGE), _EDGE) + _EDGE)
-        hit = coder.flag(all_lanes, p << (_BITS - 12), None if now is None else guess2 == now)
-        error = ((hit.astype(np.int32) << 12) - p) * _LEARN
-        w2 += s2 * error >> 16
-        w1 += s1 * error >> 16
-        goal = hit.astype(np.int32) * 65535
-        sure2[i2] = p2 + (goal - p2 >> 5)
-        sure1[i1] = p1 + (goal - p1 >> 5)
-        found = np.where(hit, guess2, np.uint32(0))
-        missed = _where(~hit)
-        if len(missed):
-            asked = missed[(guess1[missed] != guess2[missed]) & (trust1[missed] > 0)]
-            if len(asked):
-                i = at16[asked] + trust1[asked]
-                p = other[i]
-                hit1 = coder.flag(asked, np.minimum(np.maximum(p >> 1, 32), _ONE - 32), None if now is None else guess1[asked] == now[asked])
-                other[i] = p + (hit1.astype(np.int32) * 65535 - p >> 5)
-                right = asked[hit1]
-                found[right] = guess1[right]
-                hit[right] = True
-                missed = _where(~hit)
-        if len(missed):
-            prefix = np.zeros(len(missed), np.int64)
-            left = None if now is None else now[missed].astype(np.int64)
-            for k in range(nibbles):
-                at = lane_node[missed] + bases[k] + (prefix & (sizes[k] - 1))
-                rows = order0.take(at).view(np.int16).reshape(-1, 16)
-                value = coder.nibble(missed, rows, None if left is None else left >> 4 * (nibbles - 1 - k) & 15)
-                rows += _TARGET.take(value, axis=0) - rows >> _RATE
-                order0[at] = rows.reshape(-1).view(_ROW)
-                prefix = prefix << 4 | value
-            found[missed] = prefix
-        two.learn(found)
-        one.learn(found)
-        if ids is None:
+        if not step % _STRETCH:
+            n = int(np.searchsorted(-lengths, -step, side="left"))
+            coder.first(n, _STRETCH * 3 + 4)
+            base, places, lane_rows, weight = (x[:, :n].copy() for x in (base, places, lane_rows, weight))
+            last, before, kind = last[:n], before[:n], kind[:n]
+            key, seen, parts = np.empty((2, n), np.uint32), np.empty((2, n), np.int64), np.empty((2, n), np.int64)
+        np.multiply(last, _K1, out=key[1])
+        np.multiply(before, _K2, out=key[0])
+        key[0] += key[1]
+        slot = (base + (key >> np.uint32(32 - _SLOTS))).reshape(-1)
+        entry = held.take(slot).reshape(2, -1)
+        guesses, trust = entry >> 3, entry & 7
+        guess = np.where(trust[0] > 0, guesses[0], guesses[1])
+        place = places + (trust + ((guesses[0] == guesses[1]).view(np.uint8) << 3))
+        chance = sure.take(place)
+        stretched = STRETCH.take(chance >> 4)
+        mixed = weight * stretched
+        p = SQUASH.take((mixed[0] + mixed[1] >> 16) + _EDGE, mode="clip")
+        now = None if ranks is None else ranks[step, :n]
+        wrong = coder.flag(p, None if now is None else (guess != now).astype(np.int64))
+        goal = 4096 - (wrong << 12)
+        weight += stretched * ((goal - p) * _LEARN).astype(np.int32) >> 16
+        sure[place.reshape(-1)] = (chance + ((goal << 4).astype(np.int32) - chance >> 5)).reshape(-1)
+        np.add(lane_rows[0], kind, out=seen[0])
+        asked = seen[0] * wrong << 4
+        if now is None:
+            kind = coder.part(flat, asked, None)
+            coder.move()
+            kind = np.where(wrong > 0, kind, _CLASS.take(guess + np.int64(1), mode="clip"))
+            np.add(lane_rows[1], kind, out=seen[1])
+            part = coder.part(flat, seen[1] * wrong << 4, None)
+            bits = _BELOW.take(kind) * wrong
+            rest = coder.even(bits, None)
+            found = np.where(wrong > 0, (1 << kind) + (part << bits) + rest - 1, guess).astype(np.uint32)
             out[step, :n] = found
+            parts[1] = _NEXT.take(found + np.int64(1), mode="clip")
+        else:
+            value = now + np.int64(1)
+            kind = _CLASS.take(value).astype(np.int64)
+            coder.part(flat, asked, kind * wrong)
+            coder.move()
+            np.add(lane_rows[1], kind, out=seen[1])
+            parts[1] = _NEXT.take(value)
+            coder.part(flat, seen[1] * wrong << 4, parts[1] * wrong)
+            bits = _BELOW.take(kind) * wrong
+            coder.even(bits, value & (1 << bits) - 1)
+            found = now.astype(np.uint32)
+        coder.move()
+        parts[0] = kind
+        which = seen.reshape(-1)
+        ends = rows.take(which, mode="clip").view(np.int16)
+        ends += _WHOLE.take(parts.reshape(-1)).view(np.int16) - ends >> _RATE
+        rows.put(which, ends.view(_ROW), mode="clip")
+        weaker = np.where(trust > 2, entry - (trust + 1 >> 1), (found << 3 | 1).astype(kept))
+        held[slot] = np.where(guesses == found, entry + (trust < 7), weaker).reshape(-1)
         last, before = found, last
     return out
 
 
-def _lanes(total: int) -> np.ndarray:
-    return np.minimum(BLOCK, total - np.arange(0, total, BLOCK))
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]:
+    """The symbol of every id, the ids of each symbol, and the ids that share the last symbol as they come."""
+    if len(ids) and int(ids.max()) < 1 << 20:
+        known, at = np.arange(int(ids.max()) + 1), ids
+        counts = np.bincount(ids)
+    else:
+        known, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    place = np.zeros(len(counts), np.int32)
+    place[order] = np.minimum(np.arange(len(order)), RANKED)
+    symbols = place.take(at)
+    names = [(i,) for i in known[order[:RANKED]].tolist()]
+    if len(order) <= RANKED:
+        return symbols, names, ids[:0]
+    return symbols, [*names, (0,)], ids[symbols == RANKED]
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]], names: list[tuple[int, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and what opens a block, in parts, after one pass; the names of new symbols are appended."""
+    many = (1 << _JOINED) - 1
+    counts = sum(np.bincount(symbols, minlength=len(names)) for symbols, _ in parts)
+    counts[RANKED : RANKED + 1] = 0
+    order = np.argsort(-counts, kind="stable")[: min(many, np.count_nonzero(counts))]
+    place = np.full(len(names), many, np.int32)
+    place[order] = np.arange(len(order))
+
+    def pairs(symbols: np.ndarray) -> np.ndarray:
+        small = place.take(symbols)
+        return small[:-1] << _JOINED | small[1:]
+
+    times = sum(np.bincount(pairs(symbols), minlength=1 << 2 * _JOINED) for symbols, _ in parts).reshape(1 << _JOINED, -1)
+    times[many], times[:, many] = 0, 0
+    times = times.reshape(-1)
+    often = (times >= FEW).nonzero()[0]
+    often = often[np.argsort(-times[often], kind="stable")][: min(PAIRS, (1 << 16) - 2 - len(names))]
+    table = np.zeros(1 << 2 * _JOINED, np.uint16)
+    table[often] = np.arange(1, len(often) + 1)
+    done = []
+    for symbols, opens in parts:
+        found = table.take(pairs(symbols))
+        good = (found > 0) & ~opens[1:]
+        # of pairs that overlap, every second one
+        at = np.arange(len(good), dtype=np.int32)
+        taken = (good & ((at - np.maximum.accumulate(np.where(good, np.int32(-1), at))) & 1 == 1)).nonzero()[0]
+        symbols[taken] = found[taken].astype(np.int32) + (len(names) - 1)
+        keep = np.ones(len(symbols), bool)
+        keep[taken + 1] = False
+        done.append((symbols[keep], opens[keep]))
+    names += [names[a] + names[b] for a, b in zip(order[often >> _JOINED].tolist(), order[often & many].tolist(), strict=True)]
+    return done
+
+
+def _phrases(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]], np.ndarray, int]:
+    """Ranks of the symbols, symbols of each block, the ids of each rank, the ids without a symbol, and the rank they share."""
+    symbols, names, rest = _ranked(ids)
+    opens = np.zeros(len(ids), bool)
+    opens[::BLOCK] = True
+    # pairs never reach over two blocks, so parts of blocks bound what is held besides the ids
+    size = max(1, _PART // BLOCK) * BLOCK
+    parts = [(symbols[lo : lo + size], opens[lo : lo + size]) for lo in range(0, len(ids), size)]
+    for _ in range(PASSES):
+        parts = _joined(parts, names)
+    counts = sum(np.bincount(symbols, minlength=len(names)) for symbols, _ in parts)
+    order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    place = np.zeros(len(names), np.uint16)
+    place[order] = np.arange(len(order))
+    lengths = np.concatenate([np.diff(np.append(opens.nonzero()[0], len(opens))) for _, opens in parts])
+    ranks = np.concatenate([place.take(symbols) for symbols, _ in parts])
+    return ranks, lengths, [names[k] for k in order.tolist()], rest, int(place[RANKED]) if len(rest) else 0
 
 
 def encode(ids: np.ndarray, pieces: list[tuple[int | None, int, bool]]) -> bytes:
     """One frame of ids (uint32); pieces are (document, number of ids, goes on) in order."""
-    lengths = _lanes(len(ids))
-    padded = np.zeros(len(lengths) * BLOCK, np.uint32)
-    padded[: len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(-1, BLOCK)[:, : int(lengths[0]) if len(lengths) else 0].T)
-    nibbles = max(1, (int(ids.max(initial=0)).bit_length() + 3) // 4)
-    coder = _Writer(len(lengths), BLOCK // 2 + 64 * (nibbles + 2) + 4)
-    _run(coder, lengths, nibbles, grid)
-    words = coder.end() if len(lengths) else []
+    words: list[np.ndarray] = []
+    lengths, names, rest, shared = np.zeros(0, np.int64), [], ids[:0], 0
+    if len(ids):
+        ranks, lengths, names, rest, shared = _phrases(ids)
+        lanes = np.argsort(-lengths, kind="stable")
+        grid = np.zeros((len(lengths), int(lengths.max())), np.uint16)
+        ends = np.cumsum(lengths)
+        for row, k in zip(grid, lanes.tolist(), strict=True):
+            row[: lengths[k]] = ranks[ends[k] - lengths[k] : ends[k]]
+        coder = _Writer(len(lengths), grid.shape[1] + 400)
+        _run(coder, lengths[lanes], len(names), np.ascontiguousarray(grid.T))
+        words = coder.end()
     sums = [zlib.crc32(ids[lo : lo + BLOCK].astype("<u4").tobytes()) for lo in range(0, len(ids), BLOCK)]
     head = b"".join(
         [
-            struct.pack("<IIQQQ", BLOCK, nibbles, len(ids), len(pieces), len(lengths)),
+            struct.pack("<IQQQQQQ", BLOCK, len(ids), len(pieces), len(lengths), len(names), len(rest), shared),
             np.array([0 if d is None else d for d, _, _ in pieces], "<i8").tobytes(),
             np.array([n for _, n, _ in pieces], "<u4").tobytes(),
             np.array([(d is None) + 2 * on for d, _, on in pieces], "u1").tobytes(),
+            lengths.astype("<u4").tobytes(),
             np.array([len(w) for w in words], "<u4").tobytes(),
             np.array(sums, "<u4").tobytes(),
+            np.array([len(x) for x in names], "<u4").tobytes(),
+            rest.astype("<u4").tobytes(),
+            np.array([i for x in names for i in x], "<u4").tobytes(),
         ]
     )
     head = zlib.compress(head)
-    body = b"".join(w.astype("<u2").tobytes() for w in words)
+    body = b"".join(w.tobytes() for w in words)
     return MAGIC + struct.pack("<IQI", len(head), len(body), zlib.crc32(head)) + head + body
 
 
@@ -303,19 +387,37 @@ def decode(raw: memoryview, at: int) -> tuple[np.ndarray, list[tuple[int | None,
     if zlib.crc32(packed) != check:
         raise ValueError(f"the head of the frame at {at - 20} does not match its checksum")
     head = zlib.decompress(packed)
-    block, nibbles, total, n_pieces, n_lanes = struct.unpack_from("<IIQQQ", head)
-    where = struct.calcsize("<IIQQQ")
+    form = "<IQQQQQQ"
+    block, total, n_pieces, n_lanes, n_names, n_rest, shared = struct.unpack_from(form, head)
+    where = struct.calcsize(form)
     parts = []
-    for kind, n in (("<i8", n_pieces), ("<u4", n_pieces), ("u1", n_pieces), ("<u4", n_lanes), ("<u4", n_lanes)):
+    for kind, n in (("<i8", n_pieces), ("<u4", n_pieces), ("u1", n_pieces), ("<u4", n_lanes), ("<u4", n_lanes), ("<u4", n_lanes), ("<u4", n_names), ("<u4", n_rest)):
         parts.append(np.frombuffer(head, kind, n, where))
         where += parts[-1].nbytes
-    docs, counts, flags, sizes, sums = parts
+    docs, counts, flags, lengths, sizes, sums, spans, rest = parts
     at += n_head
-    words = np.frombuffer(raw[at : at + n_body], "<u2")
-    lengths = np.minimum(block, total - np.arange(0, total, block, dtype=np.int64))
-    starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
-    grid = _run(_Reader(words, starts), lengths, nibbles, None) if n_lanes else np.zeros((0, 0), np.uint32)
-    ids = grid.T.reshape(-1)[:total] if n_lanes else np.zeros(0, np.uint32)
+    ids = np.zeros(0, np.uint32)
+    if n_lanes:
+        words = np.frombuffer(raw[at : at + n_body], "<u2")
+        named = np.frombuffer(head, "<u4", int(spans.sum()), where)
+        lengths = lengths.astype(np.int64)
+        lanes = np.argsort(-lengths, kind="stable")
+        # the words of the blocks follow one another in the order of the lanes
+        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
+        grid = np.ascontiguousarray(_run(_Reader(words, starts), lengths[lanes], n_names, None).T)
+        place = np.argsort(lanes)
+        ranks = np.concatenate([grid[place[k], :n] for k, n in enumerate(lengths.tolist())])
+        spans = spans.astype(np.int32)
+        opens = np.cumsum(spans, dtype=np.int32) - spans
+        long = spans.take(ranks, mode="clip")
+        if (held := int(long.sum(dtype=np.int64))) != total:
+            raise ValueError(f"the blocks of the frame before {at + n_body} have {held} ids and not {total}")
+        begins = np.cumsum(long, dtype=np.int32) - long
+        places = np.repeat(opens.take(ranks, mode="clip") - begins, long)
+        places += np.arange(total, dtype=np.int32)
+        ids = named.astype(np.uint32).take(places)
+        if n_rest:
+            ids[begins[ranks == shared]] = rest
     for k, s in enumerate(sums.tolist()):
         if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != s:
             raise ValueError(f"block {k} of the frame does not match its checksum")

@@ -21,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm import token_coding
 from llm.common import Tables, broadcast_if_small
-from llm.units import tokenizer_path, worker_encoder
+from llm.units import Encoder, TokenizersTexts, tokenizer_path, worker_encoder
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of text a file has, about.
-FILE_BYTES = 20 << 20
+FILE_BYTES = 32 << 20
+#: Bytes of text that are encoded at once.
+COLUMN_BYTES = 16 << 20
 FRAME = token_coding.LANES * token_coding.BLOCK
 _ROW = 64
 
@@ -40,6 +43,22 @@ def _ids(ids: list[int]) -> np.ndarray:
     return np.array(ids, dtype=np.uint32)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Document id and ids of every row."""
+    for batch in batches:
+        docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        if not isinstance(encoder.units, TokenizersTexts):
+            yield from ((doc, np.concatenate([_ids([]), *kept])) for doc, (_, kept) in zip(docs, encoder.texts(texts), strict=True))
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < len(docs):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COLUMN_BYTES, "right")))
+            ids, each = encoder.units.encode_column(texts.slice(lo, hi - lo))
+            yield from zip(docs[lo:hi], np.split(ids, np.cumsum(each)[:-1]), strict=True)
+            lo = hi
+
+
 def _frames(name: str, path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path or tokenizer_path(name), _ids)
@@ -48,22 +67,23 @@ def _frames(name: str, path: str | None, end_id: int):
         room = FRAME
 
         def frame() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([token_coding.encode(np.concatenate(held), pieces)], pa.binary())], ["value"])
-
-        for batch in batches:
-            for doc, (_, kept) in zip(batch.column("doc_id").to_pylist(), encoder.texts(batch.column("text")), strict=True):
-                ids = np.concatenate([*kept, _ids([end_id])])
-                while len(ids) > room:
-                    held.append(ids[:room])
-                    pieces.append((doc, room, True))
-                    yield frame()
-                    ids, held, pieces, room = ids[room:], [], [], FRAME
-                held.append(ids)
-                pieces.append((doc, len(ids), False))
-                room -= len(ids)
-                if not room:
-                    yield frame()
-                    held, pieces, room = [], [], FRAME
+            ids = np.concatenate(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([token_coding.encode(ids, pieces)], pa.binary())], ["value"])
+
+        for doc, own in _encoded(batches, encoder):
+            ids = np.concatenate([own, _ids([end_id])])
+            while len(ids) > room:
+                held.append(ids[:room])
+                pieces.append((doc, room, True))
+                yield frame()
+                ids, pieces, room = ids[room:], [], FRAME
+            held.append(ids)
+            pieces.append((doc, len(ids), False))
+            room -= len(ids)
+            if not room:
+                yield frame()
+                pieces, room = [], FRAME
         if held:
             yield frame()
 

@@ -11,10 +11,14 @@ serves, in two generations of bounded size.  Where the check fails the whole
 text is the only unit.
 
 Byte-level BPE splits text into words itself and is fast enough on whole texts.
+Where ids of many texts are wanted at once, its texts are cut before every space as
+well: a space between two characters that are no white space opens a word of the
+pattern, whatever stands before it, so different words are encoded once a column.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -36,6 +40,8 @@ WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 PROBES = ("", "a bc.,!", " don't we'll  I'M 12 3,4  \n\n x\t\r\n", "Über ça señor ßẞ ǅ \u00a0\u3000 漢字 かな 😀👍🏽 \u0301e\u0301 ١٢ Ⅷ²", "x" * 300 + "  ")
 _ODD = re.compile(r"\s |▁ ")
 _CUT = re.compile(r"(?<=[^\s▁]) ")
+#: White space (of Unicode, for RE2) before a space or at the end: such a text is not cut at spaces.
+_LOOSE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}](?: |\z)"
 
 
 def tokenizer_path(name: str) -> str:
@@ -107,6 +113,8 @@ class TokenizersTexts:
         other = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
+        self.lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.lengths[list(ranks.values())] = list(map(len, ranks))
         return tiktoken.Encoding("texts", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def _whole(self, text: str) -> list[int]:
@@ -117,6 +125,45 @@ class TokenizersTexts:
             return self._whole(text)
         return self.plain.encode_ordinary(text)
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has; null is empty."""
+        column = pc.fill_null(column, "")
+        whole = pc.match_substring_regex(column, _LOOSE).to_numpy(zero_copy_only=False)
+        for x in self.special:
+            whole |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        for i in (pc.binary_length(column).to_numpy() > LONG_WORD).nonzero()[0].tolist():
+            whole[i] = whole[i] or max(map(len, column[i].as_py().split()), default=0) > LONG_WORD
+        if self.plain is None:
+            whole[:] = True
+        # the texts that are not cut stand as one first word each
+        parts = pc.split_pattern(pc.if_else(pa.array(whole), "", column), " ")
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        words = parts.flatten().dictionary_encode()
+        codes = words.indices.to_numpy().copy()
+        first = offsets[:-1]
+        ids, counts = self._words(words.dictionary)
+        opening = [self.encode_text(column[i].as_py() if w else words.dictionary[int(codes[f])].as_py()) for i, (w, f) in enumerate(zip(whole.tolist(), first.tolist(), strict=True))]
+        # the ids of the first words follow those of all others
+        counts = np.concatenate([counts, np.fromiter(map(len, opening), np.int64, len(opening))]).astype(np.int32)
+        begins = np.cumsum(counts, dtype=np.int32) - counts
+        codes[first] = len(words.dictionary) + np.arange(len(first))
+        ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(opening), np.uint32)])
+        long = counts.take(codes)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(long, dtype=np.int64)])
+        where = np.repeat(begins.take(codes) - ends[:-1].astype(np.int32), long)
+        where += np.arange(len(where), dtype=np.int32)
+        return ids.take(where), np.diff(ends.take(offsets))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each word, one after the other, and how many each has."""
+        if not len(words) or self.plain is None:
+            return np.zeros(0, np.uint32), np.zeros(len(words), np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = self.plain.encode_to_numpy(" " + joined, disallowed_special=())
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        told = np.searchsorted(np.cumsum(self.lengths.take(ids)), ends) + 1
+        return ids, np.diff(told, prepend=0)
+
 
 def load(path: str) -> SentencePieceUnits | TokenizersTexts:
     """The library for a file: sentencepiece for .model, tokenizers for .json."""
