@@ -14,7 +14,8 @@ context, else order 1's) is right is coded with a probability mixed in the logis
 domain from what both contexts' confidences have been worth so far; the mixing
 weights follow the error.  If it is wrong, the rank is coded by order 0: its bit
 length by an adaptive distribution under the bit length of the rank before, the next
-four bits by one under the bit length, lower bits evenly.  A range coder of 48 bits
+four bits by one under the bit length, lower bits evenly.  Contexts learn at every step,
+what is adaptive besides them at every second one.  A range coder of 48 bits
 writes 16-bit words; carries are added up when a lane ends.  All results are whole
 numbers that any machine reads as another wrote them.
 
@@ -233,9 +234,10 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, n_ranks: int, ranks: np.
         p = SQUASH.take((mixed[0] + mixed[1] >> 16) + _EDGE, mode="clip")
         now = None if ranks is None else ranks[step, :n]
         wrong = coder.flag(p, None if now is None else (guess != now).astype(np.int64))
-        goal = 4096 - (wrong << 12)
-        weight += stretched * ((goal - p) * _LEARN).astype(np.int32) >> 16
-        sure[place.reshape(-1)] = (chance + ((goal << 4).astype(np.int32) - chance >> 5)).reshape(-1)
+        if step & 1:
+            goal = (4096 - (wrong << 12)).astype(np.int32)
+            weight += stretched * ((goal - p.astype(np.int32)) * _LEARN) >> 16
+            sure[place.reshape(-1)] = (chance + ((goal << 4) - chance >> 5)).reshape(-1)
         np.add(lane_rows[0], kind, out=seen[0])
         asked = seen[0] * wrong << 4
         if now is None:
@@ -248,7 +250,8 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, n_ranks: int, ranks: np.
             rest = coder.even(bits, None)
             found = np.where(wrong > 0, (1 << kind) + (part << bits) + rest - 1, guess).astype(np.uint32)
             out[step, :n] = found
-            parts[1] = _NEXT.take(found + np.int64(1), mode="clip")
+            if step & 1:
+                parts[1] = _NEXT.take(found + np.int64(1), mode="clip")
         else:
             value = now + np.int64(1)
             kind = _CLASS.take(value).astype(np.int64)
@@ -261,12 +264,13 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, n_ranks: int, ranks: np.
             coder.even(bits, value & (1 << bits) - 1)
             found = now.astype(np.uint32)
         coder.move()
-        parts[0] = kind
-        which = seen.reshape(-1)
-        ends = rows.take(which, mode="clip").view(np.int16)
-        ends += _WHOLE.take(parts.reshape(-1)).view(np.int16) - ends >> _RATE
-        rows.put(which, ends.view(_ROW), mode="clip")
-        weaker = np.where(trust > 2, entry - (trust + 1 >> 1), (found << 3 | 1).astype(kept))
+        if step & 1:
+            parts[0] = kind
+            which = seen.reshape(-1)
+            ends = rows.take(which, mode="clip").view(np.int16)
+            ends += _WHOLE.take(parts.reshape(-1)).view(np.int16) - ends >> _RATE
+            rows.put(which, ends.view(_ROW), mode="clip")
+        weaker = np.where(trust > 2, entry - 2, (found << 3 | 1).astype(kept))
         held[slot] = np.where(guesses == found, entry + (trust < 7), weaker).reshape(-1)
         last, before = found, last
     return out
@@ -413,9 +417,12 @@ def decode(raw: memoryview, at: int) -> tuple[np.ndarray, list[tuple[int | None,
         if (held := int(long.sum(dtype=np.int64))) != total:
             raise ValueError(f"the blocks of the frame before {at + n_body} have {held} ids and not {total}")
         begins = np.cumsum(long, dtype=np.int32) - long
-        places = np.repeat(opens.take(ranks, mode="clip") - begins, long)
-        places += np.arange(total, dtype=np.int32)
-        ids = named.astype(np.uint32).take(places)
+        opens, named, ids = opens.take(ranks, mode="clip") - begins, named.astype(np.uint32), np.empty(total, np.uint32)
+        for lo in range(0, len(ranks), _PART):
+            places = np.repeat(opens[lo : lo + _PART], long[lo : lo + _PART])
+            first = int(begins[lo])
+            places += np.arange(first, first + len(places), dtype=np.int32)
+            ids[first : first + len(places)] = named.take(places)
         if n_rest:
             ids[begins[ranks == shared]] = rest
     for k, s in enumerate(sums.tolist()):

@@ -32,7 +32,7 @@ from llm.units import Encoder, TokenizersTexts, tokenizer_path, worker_encoder
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of text a file has, about.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 48 << 20
 #: Bytes of text that are encoded at once.
 COLUMN_BYTES = 16 << 20
 FRAME = token_coding.LANES * token_coding.BLOCK

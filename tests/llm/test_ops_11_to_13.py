@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm import ngram_join, queries, spelling, token_coding, token_files, whitening
@@ -162,6 +163,35 @@ def test_coder_is_smaller_where_ids_repeat_and_tells_damage():
             token_coding.decode(memoryview(bytes(bad)), 0)
 
 
+def test_coder_joins_phrases_inside_blocks_and_keeps_ids_without_a_symbol(monkeypatch):
+    """F op13: a step for every id took twice the steps; neighbours that come often are one symbol."""
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 3000, k) for k in rng.integers(1, 5, 400)]
+    ids = np.concatenate([words[min(k, 399)] for k in rng.zipf(1.2, 60_000)]).astype(np.uint32)
+    ranks, lengths, names, _, _ = token_coding._phrases(ids)
+    assert len(ranks) < 0.6 * len(ids) and lengths.sum() == len(ranks) and max(map(len, names)) > 2
+    assert [sum(len(names[r]) for r in ranks[e - n : e]) for n, e in zip(lengths, np.cumsum(lengths), strict=True)][:-1] == [token_coding.BLOCK] * (len(lengths) - 1)
+    monkeypatch.setattr(token_coding, "_PART", 3 * token_coding.BLOCK)
+    for ranked in (token_coding.RANKED, 500, 1):
+        monkeypatch.setattr(token_coding, "RANKED", ranked)
+        for case in (ids, ids[:9000], np.concatenate([ids[:20_000], ids[:20_000] + np.uint32(1 << 24)])):
+            got, _, _ = token_coding.decode(memoryview(token_coding.encode(case, [(1, len(case), False)])), 0)
+            assert (got == case).all()
+
+
+def test_ids_of_a_column_are_those_of_the_whole_texts():
+    rng = random.Random(1)
+    letters = [*"ab1,.'é漢😀", *"      ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\x1c", "\x85", "\r", "\x0b", "'s", "<|endoftext|>", "\u200b", "\u180e", "\u0301"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += [None, "", " ", "  ", " a", "a ", " a ", "a\n", "a\n b", "x" * 20_000 + " b", "a b " * 5000, "a b"]
+    units = load(tokenizer_path(token_files.MODEL))
+    want = [units.model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, each = units.encode_column(pa.array(["left out", *texts], pa.string()).slice(1))
+    assert each.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    ids, each = units.encode_column(pa.array([], pa.string()))
+    assert not len(ids) and not len(each)
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(4)
