@@ -14,10 +14,10 @@ context, else order 1's) is right is coded with a probability mixed in the logis
 domain from what both contexts' confidences have been worth so far; the mixing
 weights follow the error.  If it is wrong, the rank is coded by order 0: its bit
 length by an adaptive distribution under the bit length of the rank before, the next
-four bits by one under the bit length, lower bits evenly.  Contexts learn at every step,
-what is adaptive besides them at every second one.  A range coder of 48 bits
-writes 16-bit words; carries are added up when a lane ends.  All results are whole
-numbers that any machine reads as another wrote them.
+four bits by one under the bit length, lower bits evenly.  Contexts learn at every
+step, confidences, weights and distributions at every second one.  A range coder of
+48 bits writes 16-bit words; carries are added up when a lane ends.  All results are
+whole numbers that any machine reads as another wrote them.
 
 A frame: magic, lengths and checksum of the head; the head (block size, pieces of
 documents as id, number of ids and whether it goes on in the next frame; symbols,
