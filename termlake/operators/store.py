@@ -92,14 +92,39 @@ def seed_into(existing: DataFrame, seeds: DataFrame, refresh: tuple[str, ...] =
     return existing.unionByName(new)
 
 
+#: Terms in a block of a concept and language, and copies of one term that go to a block together.
+BLOCK, PIECE = 256, 32
+
+
 def translations(terms: DataFrame) -> DataFrame:
-    """Pairs of terms of one concept in different languages."""
-    spoken = terms.select("concept_id", "language").distinct()
-    # the language is part of the key, so terms of one language never meet
-    asked = spoken.join(spoken.withColumnRenamed("language", "target_language"), "concept_id").where("language <> target_language")
-    a = terms.select("concept_id", "language", "text").join(asked, ["concept_id", "language"]).withColumnsRenamed({"language": "source_language", "text": "source_text"})
-    b = terms.select("concept_id", F.col("language").alias("target_language"), F.col("text").alias("target_text"))
-    return a.join(b, ["concept_id", "target_language"]).select("concept_id", "source_language", "source_text", "target_language", "target_text")
+    """Pairs of terms of one concept in different languages; repeated terms are paired as often as they come.
+
+    The pairs are far larger than the terms, so tasks dealt by bytes of terms would be
+    few and long.  The terms of a concept and language are therefore dealt to blocks of
+    about BLOCK, and pairs of blocks to all tasks: none makes a whole concept.  A source
+    term meets a block of targets as one row, so terms move once for BLOCK pairs.
+    """
+    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # equal terms are counted and dealt in pieces, so a row's block depends on nothing but its values
+    counted = terms.where("concept_id is not null and language is not null").groupBy("concept_id", "language", "text").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("concept_id", "language").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n_blocks"))
+    pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / PIECE).cast("int"))))
+    copies = F.array_repeat("text", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE).cast("int"))
+    block = F.pmod(F.xxhash64("text", "piece"), F.col("n_blocks")).cast("int")
+    placed = pieces.join(sizes, ["concept_id", "language"]).select("concept_id", "language", block.alias("block"), copies.alias("texts"))
+    name = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c != "concept_id"})
+    asked = name(sizes, "source").join(name(sizes, "target"), "concept_id").where("source_language <> target_language")
+    keys = ["concept_id", "source_language", "source_block", "target_language", "target_block"]
+
+    def dealt(rows: DataFrame, side: str, other: str) -> DataFrame:
+        """The rows of one side, once for each block of the other side."""
+        met = name(rows, side).join(asked.drop(f"{side}_n_blocks"), ["concept_id", f"{side}_language"])
+        met = met.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_n_blocks") - 1))).drop(f"{other}_n_blocks")
+        return met.repartition(parts, *keys)  # by number: tasks of few bytes stay apart
+
+    sources = dealt(placed.select("concept_id", "language", "block", F.explode("texts").alias("text")), "source", "target")
+    targets = dealt(placed.groupBy("concept_id", "language", "block").agg(F.flatten(F.collect_list("texts")).alias("texts")), "target", "source")
+    return sources.join(targets, keys).select("concept_id", "source_language", "source_text", "target_language", F.explode("target_texts").alias("target_text"))
 
 
 def provenance(concepts: DataFrame, terms: DataFrame, evidence: DataFrame, sets: DataFrame) -> DataFrame:

@@ -430,6 +430,22 @@ def test_store(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_translations_of_one_concept_are_dealt_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(store, "BLOCK", 32, raising=False)
+    monkeypatch.setattr(store, "PIECE", 8, raising=False)
+    terms = [("big", "en", f"e{i % 150}") for i in range(200)] + [("big", "de", f"d{i % 3 * i}") for i in range(100)]
+    terms += [("small", "en", "a"), ("small", "en", "a"), ("small", "de", None), ("alone", "en", "x"), ("alone", "en", "y"), (None, "en", "n"), (None, "de", "m"), ("small", None, "l")]
+    rows = spark.createDataFrame(terms, "concept_id string, language string, text string")
+    got = store.translations(rows)
+    a, b = (rows.select("concept_id", F.col("language").alias(f"{s}_language"), F.col("text").alias(f"{s}_text")) for s in ("source", "target"))
+    want = a.join(b, "concept_id").where("source_language <> target_language").select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert got.where("concept_id = 'small' and source_text = 'a' and target_text is null").count() == 2
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(tasks) == 4 and max(tasks) < sum(tasks) / 2  # a task made all pairs of a concept in one direction
+    assert store.translations(rows.limit(0)).isEmpty()
+
+
 def test_termhood_and_split(spark):
     m = spark.createDataFrame([("1", "gold alloy coating"), ("2", "gold alloy"), ("3", "gold alloy")], "source_record_id string, text string")
     by = {r.text: r for r in evaluate.termhood(m).collect()}
