@@ -90,6 +90,47 @@ def test_alternative_places():
     assert bead.right in ((2, 3), (3, 4)) and bead.other in ((2, 3), (3, 4)) and bead.other != bead.right and bead.extra == 0
 
 
+def changed_pairs(rng, count):
+    pairs = []
+    for _ in range(count):
+        left = [rng.choice(("", " ".join(passages(rng, rng.randint(1, 3))))) if rng.random() < 0.1 else passages(rng, 1)[0] for _ in range(rng.choice((0, 1, 1, 2, 3, 7, 12, 45)))]
+        right = [y for x in left for y in ([] if rng.random() < 0.15 else [x, *passages(rng, 1)] if rng.random() < 0.15 else [x])]
+        pairs.append((left, list(left) if rng.random() < 0.25 else passages(rng, rng.choice((0, 1, 2, 6, 30))) if rng.random() < 0.25 else right))
+    return pairs
+
+
+@pytest.mark.parametrize("band", [4, 12, align.BAND])
+def test_pairs_of_all_sizes_share_tables_and_keep_their_beads(band):
+    rng = random.Random(band)
+    pairs = changed_pairs(rng, 250) + [(["a NaCl 5."] * n, ["a NaCl 5."] * m) for n, m in ((1, 1), (3, 3), (90, 90), (230, 40), (3, 4), (150, 148))]
+    plain = lambda beads: [(b.left, b.right, b.cost, b.other, b.extra) for b in beads]
+    for (left, right), beads in zip(pairs, align.align_many(pairs, band), strict=True):
+        assert plain(beads) == plain(align.Aligner(left, right, band).beads()), (left, right)
+    assert any(b.other for beads in align.align_many(pairs, band) for b in beads)
+    assert align.align_rows(pairs, band) == [align.align_units(left, right, band) for left, right in pairs] and align.align_many([]) == align.align_rows([]) == []
+
+
+def test_rows_are_aligned_together(monkeypatch):
+    rng, tables = random.Random(12), []
+    for known in {align.Aligner, getattr(align, "Tables", align.Aligner)}:
+        monkeypatch.setattr(known, "forward", lambda self, forward=known.forward: tables.append(1) or forward(self))
+    left = [passages(rng, 6) for _ in range(300)]
+    rows = align.align_rows([(units, [x for i, x in enumerate(units) if i != k % 6]) for k, units in enumerate(left)])
+    assert [sum(level == "paragraph" for level, *_ in beads) >= 5 for beads in rows] == [True] * 300
+    assert 0 < len(tables) < 30  # a table for each pair of paragraphs and for each of its beads made 1,500 and more
+
+
+def test_rows_beyond_what_is_aligned_together(spark, monkeypatch):
+    rng = random.Random(3)
+    given = [(k, left, None if k % 9 == 0 else right) for k, (left, right) in enumerate(changed_pairs(rng, 80))] + [(80, None, None), (81, [None, "x 5."], ["x 5."])]
+    rows = spark.createDataFrame(given, "k int, left_units array<string>, right_units array<string>").coalesce(1)
+    want = [(k, *bead) for k, left, right in given for bead in align.align_units([x or "" for x in left or []], [x or "" for x in right or []])]
+    for size in (1, 2000):
+        monkeypatch.setattr(align, "TOGETHER", size)
+        got = [tuple(r) for r in align.align_sections(rows, ["k"]).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_sections_without_counterpart_and_odd_rows(spark):
     left = spark.createDataFrame([(1, "title", "A NaCl 5"), (1, "claims", "One. Two 7."), (2, "title", None)], "pair int, section string, text string")
     right = spark.createDataFrame([(1, "title", "Ein NaCl 5"), (3, "title", "x\n\ny")], "pair int, section string, text string")
